@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import mixing, sharding
+from docloom.llm import decontamination, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_simhash": simhash.op2_simhash,
+    "op4_decontaminate": decontamination.op4_decontaminate,
     "op7_shard": sharding.op7_shard,
 }
 ORACLES = {
