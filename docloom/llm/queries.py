@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, mixing, sharding, simhash
+from docloom.llm import decontamination, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_simhash": simhash.op2_simhash,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op7_shard": sharding.op7_shard,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
