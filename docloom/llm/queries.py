@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from docloom.llm import decontamination, mixing, quality, sharding, simhash
 
 QUERIES = {
@@ -9,6 +10,7 @@ QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op7_shard": sharding.op7_shard,
+    "pipeline": corpus_pipeline.run,
     "op9_quality": quality.op9_quality,
 }
 ORACLES = {

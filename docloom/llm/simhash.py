@@ -95,7 +95,9 @@ def variant_masks() -> list[tuple[int, int, int]]:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints ``fp`` that differ in RADIUS bits or fewer."""
     masks = F.array(*[F.struct(F.lit(g).cast("tinyint").alias("g"), F.lit(k).cast("long").alias("k"), F.lit(x).cast("long").alias("x")) for g, k, x in variant_masks()])
-    emitted = distinct.select("fp", F.explode(masks).alias("m")).select(
+    # few bytes become many rows here, so the fingerprints are spread over all partitions first
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    emitted = spread.select("fp", F.explode(masks).alias("m")).select(
         "fp", F.col("m.g").alias("g"), F.col("fp").bitwiseAND(F.col("m.k")).bitwiseXOR(F.col("m.x")).alias("variant")
     )
     other = emitted.withColumnRenamed("fp", "b")
