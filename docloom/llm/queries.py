@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import decontamination, mixing, quality, sharding, simhash
+from docloom.llm import chat, decontamination, licenses, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_simhash": simhash.op2_simhash,
+    "op3_licenses": licenses.op3_licenses,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op7_shard": sharding.op7_shard,
     "pipeline": corpus_pipeline.run,
+    "op8_chat": chat.op8_chat,
+    "op10_secrets": secrets.op10_secrets,
     "op9_quality": quality.op9_quality,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op8_chat": chat.OP8_SQL,
 }
