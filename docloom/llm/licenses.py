@@ -52,7 +52,7 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("proprietary", "copyright all rights reserved"),
 )
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 MOST_TEMPLATE_WORDS = 10_000
 
 
