@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import chat, decontamination, licenses, mixing, quality, secrets, sharding, simhash
+from docloom.llm import chat, decontamination, imatch, licenses, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_simhash": simhash.op2_simhash,
     "op3_licenses": licenses.op3_licenses,
     "op4_decontaminate": decontamination.op4_decontaminate,
+    "op5_imatch": imatch.op5_imatch,
     "op7_shard": sharding.op7_shard,
     "pipeline": corpus_pipeline.run,
     "op8_chat": chat.op8_chat,
@@ -18,5 +19,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op5_imatch": imatch.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
 }
