@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import chat, decontamination, imatch, licenses, mixing, quality, secrets, sharding, simhash
+from docloom.llm import chat, decontamination, imatch, licenses, mixing, pii, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_decontaminate": decontamination.op4_decontaminate,
     "op5_imatch": imatch.op5_imatch,
+    "op6_pii": pii.op6_pii,
     "op7_shard": sharding.op7_shard,
     "pipeline": corpus_pipeline.run,
     "op8_chat": chat.op8_chat,
