@@ -8,8 +8,9 @@ apart; the likeness of two fingerprints is the share of equal hashes among the s
 either text has terms of.
 
 A lexicon has at most (mean distinct terms of a document) / ``BAND[0]`` terms, whatever the
-size of the collection. It is broadcast after a check of its size, and joined by shuffle
-beyond ``MOST_BROADCAST`` terms.
+size of the collection. Up to ``MOST_LITERAL`` terms it is a set inside the expression that
+filters a text's terms, so texts are shuffled once, to stand beside the next one, and terms
+never; a larger one is joined by shuffle.
 
 Cases: null texts are empty; texts without a lexicon term are hashed whole, so equal texts
 (letter case A-Z aside) have equal fingerprints; documents are ordered by id (null first),
@@ -28,12 +29,13 @@ from docloom.llm.common import WORD_BREAKS, ascii_lower, bucket_count, range_bou
 from docloom.session import table
 
 #: Least and greatest share of documents of a lexicon term.
-BAND = (0.002, 0.2)
+BAND = (0.005, 0.2)
 #: (one term in so many, first bit of the term's hash that says so) of each subset; the first holds the whole lexicon.
 SUBSETS = [(1, 0), *((rate, 10 * i) for rate, n in ((4, 3), (16, 4), (64, 6), (256, 6), (1024, 6)) for i in range(n))]
 DIGITS = 8
-NONE = "-" * DIGITS
-MOST_BROADCAST = 500_000
+#: The hash of no terms.
+NONE = "d41d8cd9"
+MOST_LITERAL = 100_000
 
 
 def terms(text: Column) -> Column:
@@ -41,32 +43,40 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """(term, bits) of the terms in the band; 60 bits of the term's hash choose its subsets."""
+    """(term) of the terms in the band."""
     n = docs.count()
     low, high = max(2, -int(-band[0] * n // 1)), int(band[1] * n)
     each = docs.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).where("term <> ''")
-    counted = each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    bits = F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long")
-    return written(counted.select("term", bits.alias("bits")), "lexicon")
+    return written(each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(low, high)).select("term"), "lexicon")
 
 
-def subset_test(s: int, bits: Column) -> Column:
-    """Whether a term is in subset s: some bits of its hash, other ones for each subset of a rate, are zero."""
-    rate, shift = SUBSETS[s]
-    return F.shiftright(bits, shift) % rate == 0
+def known_terms(texts: DataFrame, column: str, words: DataFrame, out: str, most: int = MOST_LITERAL) -> DataFrame:
+    """``texts`` with the sorted distinct lexicon terms of a column."""
+    known = [r.term for r in words.limit(most + 1).collect()]
+    if len(known) <= most:
+        kept = F.filter(F.array_distinct(terms(F.col(column))), lambda w: w.isin(known) if known else F.lit(False))
+        return texts.withColumn(out, F.array_sort(kept))
+    each = texts.select("bucket", "pos", F.explode(F.array_distinct(terms(F.col(column)))).alias("term")).join(words, "term")
+    grouped = each.groupBy("bucket", "pos").agg(F.array_sort(F.collect_list("term")).alias(out))
+    joined = texts.join(grouped, ["bucket", "pos"], "left")
+    return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
+def with_bits(found: str) -> Column:
+    """Terms with the 60 bits of their hash that choose their subsets."""
+    return F.transform(found, lambda t: F.struct(t.alias("term"), F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long").alias("bits")))
 
 
 def in_subset(s: int) -> Callable[[Column], Column]:
-    return lambda x: subset_test(s, x["bits"])
+    """Whether a term is in subset s: some bits of its hash, other ones for each subset of a rate, are zero."""
+    rate, shift = SUBSETS[s]
+    return lambda x: F.shiftright(x["bits"], shift) % rate == 0
 
 
-def fingerprint(found: Column, whole: Column) -> Column:
+def fingerprint(found: str, whole: str) -> Column:
     """Joined subset hashes of sorted (term, bits); ``whole`` stands in for a text without any."""
-    parts = []
-    for s in range(len(SUBSETS)):
-        kept = F.array_join(F.transform(F.filter(found, in_subset(s)), lambda x: x["term"]), " ")
-        parts.append(F.when(kept == "", F.lit(NONE)).otherwise(F.substring(F.md5(kept), 1, DIGITS)))
-    return F.when(F.size(found) == 0, F.repeat(whole, len(SUBSETS))).otherwise(F.concat(*parts))
+    parts = [F.substring(F.md5(F.array_join(F.transform(F.filter(found, in_subset(s)), lambda x: x["term"]), " ")), 1, DIGITS) for s in range(len(SUBSETS))]
+    return F.when(F.size(found) == 0, F.repeat(whole, F.lit(len(SUBSETS)))).otherwise(F.concat(*parts))
 
 
 def likeness(left: str, right: str) -> Column:
@@ -100,32 +110,17 @@ def chained(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "bucket", "flag", "t", F.row_number().over(order).alias("pos"), F.coalesce(F.lead("t").over(order), F.lit("")).alias("next"))
 
 
-def prints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+def prints(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_LITERAL) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and their likenesses."""
     words = lexicon(docs, band)
-    known = words.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("long").alias("bits")))
-    if words.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    rows = chained(docs).withColumn("n", F.length("t").cast("long"))
-    half = F.expr("cast(shiftright(n, 1) as int)")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - half).cast("int")), F.substring(F.col("next"), F.lit(1), half)))
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("x"))))
-    texts = rows.select("doc_id", "bucket", "pos", "flag", "n", kinds.alias("v")).select("doc_id", "bucket", "pos", "flag", "n", "v.*").where("flag = 0 OR kind = 0")
-    # what is computed once for a text stands below the explode; the empty term stands in every text,
-    # so texts without lexicon terms stay
-    hashed = texts.select(
-        "doc_id", "bucket", "pos", "flag", "n", "kind", F.when(F.col("kind") == 1, F.sha2("x", 256)).alias("sha"),
-        F.substring(F.md5(ascii_lower("x")), 1, DIGITS).alias("whole"), F.concat(terms(F.col("x")), F.array(F.lit(""))).alias("terms"),
-    )
-    each = hashed.select("doc_id", "bucket", "pos", "flag", "n", "kind", "sha", "whole", F.explode("terms").alias("term"))
-    met = each.join(known, "term")
-    of = lambda kind: F.sort_array(F.collect_set(F.when((F.col("kind") == kind) & F.col("bits").isNotNull(), F.struct("term", "bits"))))
-    whole = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("whole")))
-    grouped = met.groupBy("bucket", "pos").agg(
-        F.first("doc_id").alias("doc_id"), F.first("flag").alias("flag"), F.first("n").alias("n_chars"), F.max("sha").alias("edited_sha256"),
-        of(0).alias("own"), of(1).alias("other"), whole(0).alias("w0"), whole(1).alias("w1"),
-    )
-    printed = grouped.select("bucket", "pos", "flag", "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own"), F.col("w0")).alias("fingerprint"), fingerprint(F.col("other"), F.col("w1")).alias("edited_fingerprint"))
+    rows = chained(docs).withColumn("n_chars", F.length("t").cast("long"))
+    half = F.expr("cast(shiftright(n_chars, 1) as int)")
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next"), F.lit(1), half)))
+    rows = rows.withColumn("edited", F.when(F.col("flag") == 0, F.col("edited")).otherwise(""))
+    found = known_terms(known_terms(rows, "t", words, "own", most), "edited", words, "other", most)
+    whole = lambda c: F.substring(F.md5(ascii_lower(c)), 1, DIGITS)
+    bare = found.select("bucket", "pos", "flag", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), whole("t").alias("w0"), whole("edited").alias("w1"), with_bits("own").alias("own"), with_bits("other").alias("other"))
+    printed = bare.select("bucket", "pos", "flag", "doc_id", "n_chars", "edited_sha256", fingerprint("own", "w0").alias("fingerprint"), fingerprint("other", "w1").alias("edited_fingerprint"))
     following = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("pos"))
     out = printed.withColumn("next_fingerprint", following).where("flag = 0")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
@@ -142,7 +137,7 @@ def _sql() -> str:
     words = f"list_distinct(string_split_regex({low.format('{}')}, '{breaks}'))"
     tests = [f"(y.bits >> {shift}) % {rate} = 0" for rate, shift in SUBSETS]
     parts = " || ".join(
-        f"CASE WHEN len(list_filter(found, lambda y: {t})) = 0 THEN '{NONE}' ELSE substr(md5(array_to_string(list_transform(list_filter(found, lambda y: {t}), lambda y: y.term), ' ')), 1, {DIGITS}) END" for t in tests
+        f"substr(md5(coalesce(array_to_string(list_transform(list_filter(found, lambda y: {t}), lambda y: y.term), ' '), '')), 1, {DIGITS})" for t in tests
     )
     like = (
         "(SELECT count(*) FILTER (l = r)::DOUBLE / greatest(count(*), 1) FROM (SELECT substr({a}, i, 8) AS l, substr({b}, i, 8) AS r "
