@@ -1,4 +1,6 @@
 """Name -> query and name -> oracle SQL of the retrieval engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docloom.plans import analytics_queries, search_queries
+
+QUERIES = {**search_queries.QUERIES, **analytics_queries.QUERIES}
+ORACLES = {**search_queries.ORACLES, **analytics_queries.ORACLES}
