@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.session import shared_dir, written  # noqa: F401
+
 #: Words of the scanning operators: maximal runs outside ASCII punctuation, space and control characters.
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of the mixing and fingerprint operators: maximal runs outside ASCII white space.
@@ -32,29 +33,6 @@ def ascii_lower(column: Column | str) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets one of its own; a cluster must name it.
-    """
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "/tmp/checkpoints/docloom"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list:
     """At most ``buckets - 1`` rising cut points of a numeric key, from its approximate quantiles.
 
