@@ -221,12 +221,17 @@ def read_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = B
     return [[(r[0], r[1]) for r in benchmark.where(part == i).select("item_id", "text").collect()] for i in range(blocks)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``n_words``, ``spans`` (merged word ranges of benchmark passages) and ``items``."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
+    """``docs`` with ``n_words``, ``spans`` (merged word ranges of benchmark passages) and ``items``.
+
+    The names get ``prefix``; they take the place of columns so named.
+    """
+    names = [prefix + n for n in ("n_words", "spans", "items")]
+    docs = docs.drop(*names)
     sc = docs.sparkSession.sparkContext
     item_type = benchmark.schema["item_id"].dataType
     blocks = [sc.broadcast(Phrases(b, window)) for b in read_blocks(benchmark, window, block_words)]
-    added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(item_type))])
+    added = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), SPAN, T.ArrayType(item_type)))])
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], *added])
     arrow = to_arrow_schema(schema)
     text_at, width = docs.columns.index("text"), len(docs.columns)
@@ -286,7 +291,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark window go."""
-    return scan(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") == 0).select(*docs.columns)
+    return scan(docs, table(spark, sf_dir, "benchmark"), prefix="__").where(F.size("__spans") == 0).select(*docs.columns)
 
 
 def brute_scan(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, str]:

@@ -55,8 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return levelled.select("key", "source_size", F.least(F.col("weight") * F.col("level"), F.col("most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies``.
+def placed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The ``keep`` columns of ``docs``, named k_ and their name, with ``size``, ``source_size``, ``target`` and ``copies``.
 
     Rows are numbered within (source, size, hash cell). Where a cell starts comes from a
     histogram of the same three, so rows are shuffled once and no source meets in one task.
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGH
     cells = cells.join(shares, "key").withColumn("start", F.col("before_size") + F.col("before_cell")).drop("n", "before_size", "before_cell")
 
     within = Window.partitionBy("key", "size", "cell").orderBy("mark", "tie")
-    placed = rows.withColumn("i", F.row_number().over(within).cast("long")).join(cells, ["key", "size", "cell"])
+    numbered = rows.withColumn("i", F.row_number().over(within).cast("long")).join(cells, ["key", "size", "cell"])
     end = F.col("start") + F.col("i")
     whole, part = F.expr(f"step div {UNIT}"), F.pmod("step", F.lit(UNIT))
 
@@ -94,7 +94,14 @@ def mix(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGH
         return F.floor(F.shiftright(i * part + F.col("offset"), 28))
 
     copies = (whole + crossed(end) - crossed(end - 1)).cast("long")
-    return placed.select(*[F.col(f"k_{c}").alias(c) for c in keep], "size", "source_size", "target", copies.alias("copies"))
+    return numbered.select(*[f"k_{c}" for c in keep], "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, keep: tuple[str, ...], **settings) -> DataFrame:
+    """The ``keep`` columns with ``size``, ``source_size``, ``target`` and ``copies``; kept columns so named give way."""
+    own = ("size", "source_size", "target", "copies")
+    keep = tuple(c for c in keep if c not in own)
+    return placed(docs, keep, **settings).select(*[F.col(f"k_{c}").alias(c) for c in keep], *own)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +113,9 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
     columns = tuple(docs.columns)
-    mixed = mix(docs, columns)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    mixed = placed(docs, columns)
+    repeated = mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"k_{c}").alias(c) for c in columns])
 
 
 OP1_SQL = f"""

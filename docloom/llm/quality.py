@@ -259,10 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(words.value, x[order], found["y"].to_numpy().astype(np.float64)[order])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with a score in ``out``, in place of a column of that name."""
+    docs = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField(out, T.DoubleType())])
     arrow = to_arrow_schema(schema)
     at = docs.columns.index("text")
 
@@ -287,5 +288,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents the classifier rejects go."""
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), "__score")
+    return scored.where(F.col("__score") >= THRESHOLD).select(*docs.columns)

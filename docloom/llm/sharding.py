@@ -87,7 +87,8 @@ def row_of(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
 
 
 def shard_rows(df: DataFrame, key: str, ties: tuple[str, ...], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Adds ``shard`` and ``slot`` to ``df``."""
+    """Adds ``shard`` and ``slot`` to ``df``, in place of columns so named."""
+    df = df.drop("shard", "slot")
     numbered, n = with_row_numbers(df, key, "__row", ties)
     if not n:
         return numbered.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop("__row")
