@@ -28,15 +28,16 @@ def _clean(text: object, most: int) -> str | None:
 
 def model_json(answer: str) -> object:
     """The JSON value of a model's answer, without reasoning tags and fences before or after it."""
-    text = _THOUGHT.sub("", answer) if not re.match(r"\s*<(think|thinking|thought)>", answer, re.I) or "</" not in answer else re.sub(r"</?(?:think|thinking|thought)>", " ", answer)
     decoder = json.JSONDecoder()
-    for mark in "{[":
-        at = text.find(mark)
-        while at >= 0:
-            try:
-                return decoder.raw_decode(text, at)[0]
-            except ValueError:
-                at = text.find(mark, at + 1)
+    # a model may put its whole answer among its thoughts
+    for text in (_THOUGHT.sub("", answer), answer):
+        for mark in "{[":
+            at = text.find(mark)
+            while at >= 0:
+                try:
+                    return decoder.raw_decode(text, at)[0]
+                except ValueError:
+                    at = text.find(mark, at + 1)
     raise ValueError("no JSON in the answer")
 
 
@@ -87,7 +88,8 @@ def extract(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
                     continue
                 for kind, items in found.items():
                     rows += [{"paper_id": paper, "kind": kind.rstrip("s"), **item, "chunk_id": chunk} for item in items]
-            yield pd.DataFrame(rows, columns=columns)
+            frame = pd.DataFrame(rows, columns=columns).astype(object)
+            yield frame.where(frame.notna(), None)
 
     return chunks.select("paper_id", "chunk_id", "content").mapInPandas(run, EXTRACTED)
 

@@ -211,8 +211,8 @@ ORACLES = {
     "single_leg": f"WITH k AS ({_knn_sql()}) SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, rank AS place FROM k",
     "folder_boost": _FOLDER_SQL,
     "strategy_filtered_search": f"""WITH {_LEGS},
-l2 AS (SELECT chunk_id, row_number() OVER (ORDER BY rank) AS rank FROM lex WHERE chunk_id % 2 = 1),
-v2 AS (SELECT chunk_id, row_number() OVER (ORDER BY rank) AS rank FROM vec WHERE chunk_id % 2 = 1),
+l2 AS (SELECT chunk_id, row_number() OVER (ORDER BY rank) AS rank FROM lex WHERE chunk_id % 2 = 1 AND chunk_id IN (SELECT doc_id FROM documents)),
+v2 AS (SELECT chunk_id, row_number() OVER (ORDER BY rank) AS rank FROM vec WHERE chunk_id % 2 = 1 AND chunk_id IN (SELECT doc_id FROM documents)),
 f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 + rank) AS first FROM (SELECT *, 0 AS leg FROM l2 UNION ALL SELECT *, 1 FROM v2) GROUP BY chunk_id)
 SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, first)::INT AS place FROM f QUALIFY place <= 10""",
     "keywords": _KEYWORDS_SQL,
