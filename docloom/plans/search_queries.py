@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as text_functions
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import ingest, lexical, retrieval
+from docloom.operators import index, ingest, lexical, retrieval
 from docloom.plans import views
 from docloom.plans.views import CHUNKS_SQL, WORDS_SQL
-from docloom.session import table
+from docloom.session import shared_dir, table
 
 TERMS = ((0, "the"), (0, "and"), (0, "of"), (1, "der"), (1, "und"), (2, "eresan"))
 _Q = "q(query_id, term) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in TERMS) + ")"
@@ -126,6 +126,35 @@ f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 +
 g AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, first)::INT AS place FROM f)"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    """The impacts of all documents, built at the first use of a table in a session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        path = f"{shared_dir(spark)}/impacts-{len(_INDEXES)}"
+        index.build(views.whole_chunks(spark, sf), "chunk_id", "content", path)
+        _INDEXES[at] = path
+    return spark.read.parquet(_INDEXES[at])
+
+
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship search from a built index."""
+    terms = _terms(spark).where("query_id = 0")
+    found = index.hybrid(_index(spark, sf), views.vectors(spark, sf), terms, views.query_vectors(spark, sf, (0,)), "chunk_id")
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "place")
+
+
+def batch_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text as a query: five intent words and a vector each, in one pass."""
+    terms = keywords(spark, sf).select(F.col("query_id").cast("int").alias("query_id"), F.col("keyword").alias("term"))
+    count = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("query_id"))
+    vectors = views.vectors(spark, sf)
+    qvecs = count.join(vectors, F.col("query_id") == F.col("chunk_id")).select("query_id", F.col("embedding").alias("qvec"))
+    return index.hybrid(_index(spark, sf), vectors, terms, qvecs, "chunk_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+
+
 def single_leg(spark: SparkSession, sf: str) -> DataFrame:
     leg = retrieval.nearest(views.query_vectors(spark, sf), views.vectors(spark, sf), "chunk_id", 10)
     return retrieval.single_leg(leg, "chunk_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
@@ -194,7 +223,7 @@ def match_query(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "chunk_text": chunk_text, "content_dedup": content_dedup, "token_stats": token_stats, "bm25_topk": bm25_topk, "bm25_stemmed": bm25_stemmed,
     "boolean_match": boolean_match, "l2_topk": l2_topk, "cosine_topk": cosine_topk, "matryoshka_topk": matryoshka_topk, "int8_topk": int8_topk,
-    "rrf_hybrid": rrf_hybrid, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
+    "rrf_hybrid": rrf_hybrid, "indexed_search": indexed_search, "batch_search": batch_search, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
     "full_search": full_search, "keywords": keywords, "match_query": match_query,
 }
 ORACLES = {
@@ -208,6 +237,13 @@ ORACLES = {
     "matryoshka_topk": _knn_sql(_unit("list_slice({0}, 1, 16)").replace("{0}", "{0}")),
     "int8_topk": _knn_sql("list_transform(" + _unit("{0}") + ", lambda x: floor(least(greatest((x + 1) / 2 * 255, 0.0), 255.0) - 128)::TINYINT)"),
     "rrf_hybrid": f"WITH {_FUSED} SELECT g.chunk_id, round(score, 6) AS score, place, '/' || source || '/' || doc_id || '.md' AS source_uri FROM g JOIN documents ON doc_id = chunk_id WHERE place <= 10",
+    "indexed_search": f"WITH {_FUSED} SELECT chunk_id, round(score, 6) AS score, place FROM g WHERE place <= 10",
+    "batch_search": f"""WITH kw AS ({_KEYWORDS_SQL}), {_BM25.replace(_Q, "q AS (SELECT query_id::INT AS query_id, keyword AS term FROM kw)")},
+lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 30),
+sv AS (SELECT q.vec_id::INT AS query_id, e.vec_id AS chunk_id, round({_l2('e.embedding', 'q.embedding')}, 9) AS distance FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM sv QUALIFY rank <= 30),
+f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 + rank) AS first FROM (SELECT query_id, chunk_id, rank, 0 AS leg FROM lex UNION ALL SELECT query_id, chunk_id, rank, 1 FROM vec) GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first)::INT AS place FROM f QUALIFY place <= 10""",
     "single_leg": f"WITH k AS ({_knn_sql()}) SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, rank AS place FROM k",
     "folder_boost": _FOLDER_SQL,
     "strategy_filtered_search": f"""WITH {_LEGS},
