@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +54,13 @@ def missing_entries(found: DataFrame, lines: DataFrame) -> DataFrame:
     there = lines.select(F.explode(F.regexp_extract_all("value", F.lit(KEY), F.lit(1))).alias("key"))
     marked = lines.where(F.col("value").startswith(MARKER)).select(F.regexp_extract("value", r"(\d+)\s*$", 1).cast("long").alias("paper_id"))
     return found.join(there, "key", "left_anti").join(marked, "paper_id", "left_anti")
+
+
+def checked_path(path: str) -> Path:
+    """A bibliography file's path: .bib or .bibtex, below home or the working folder."""
+    found = Path(path).expanduser().resolve()
+    if found.suffix.lower() not in (".bib", ".bibtex"):
+        raise ValueError("a bibliography ends in .bib or .bibtex")
+    if not any(found.is_relative_to(top.resolve()) for top in (Path.home(), Path.cwd())):
+        raise ValueError("a bibliography lies below the home or the working folder")
+    return found

@@ -35,7 +35,7 @@ class Describer(Protocol):
 
 
 class HashEmbedder:
-    """Signed feature hashing of words, unit length; equal texts have equal vectors."""
+    """Sums of words' random signs, unit length; equal texts have equal vectors."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -44,8 +44,8 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
-                row[h % self.dim] += 1 if h >> 63 else -1
+                signs = np.frombuffer(hashlib.shake_128(word.encode()).digest(-(-self.dim // 8)), np.uint8)
+                row += np.unpackbits(signs)[: self.dim] * 2.0 - 1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1, norms)).tolist()
 
