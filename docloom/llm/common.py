@@ -28,6 +28,11 @@ def scan_words(text: bytes) -> list[bytes]:
     return text.translate(SCAN_TABLE).split()
 
 
+def sql_words(text: str) -> str:
+    """DuckDB list of the scanning words of a text column."""
+    return f"list_filter(string_split_regex(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD_BREAKS}'), lambda x: x <> '')"
+
+
 def ascii_lower(column: Column | str) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(column, UPPER, LOWER)

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.llm.common import SCAN_TABLE, scan_words
+from docloom.llm.common import SCAN_TABLE, scan_words, sql_words
 from docloom.session import table
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 SAMPLE = 8
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -308,3 +308,18 @@ def brute_scan(text: str | None, items: list[tuple[object, str | None]], window:
                     named.add(item)
     names = ",".join(sorted(str(x) for x in named if x is not None))
     return len(words), len(hit), hashlib.sha256(names.encode()).hexdigest()
+
+
+OP4_SQL = f"""
+WITH b AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark),
+v AS (SELECT item_id, unnest(list_transform(range(0, greatest(1, len(w) - {WINDOW - 1})), lambda i: w[i + 1:i + {WINDOW}])) AS p FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, len(p) AS m, array_to_string(p, ' ') AS p FROM v),
+d AS (SELECT row_number() OVER () AS r, doc_id, {sql_words('text')} AS w FROM documents),
+g AS (SELECT r, m, unnest(range(0, len(w) - m + 1)) AS i, w FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m),
+h AS (SELECT DISTINCT r, i, g.m, item_id FROM (SELECT r, m, i, array_to_string(w[i + 1:i + m], ' ') AS p FROM g) g JOIN bw ON bw.m = g.m AND bw.p = g.p),
+n AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, m FROM h), unnest(range(0, m)) u(k) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""

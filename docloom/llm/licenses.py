@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import scan_words
+from docloom.llm.common import scan_words, sql_words
 from docloom.session import table
 
 # Phrase and label.
@@ -182,3 +182,24 @@ def brute_labels(text: str | None) -> set[str]:
             if len(set(words[start : start + 2 * len(w)]) & set(w)) >= THRESHOLD * len(set(w)) - 1e-9:
                 out.add(label)
     return out
+
+
+def _sql() -> str:
+    phrases = ", ".join(f"('{label}', {p.split()})" for p, label in BASE_PHRASES)
+    templates = ", ".join(f"('{label}', {text.split()})" for label, text in TEMPLATES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {sql_words('text')} AS w FROM documents),
+ph(label, p) AS (VALUES {phrases}),
+te(label, t) AS (VALUES {templates}),
+hit AS (SELECT r, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS i FROM d, ph WHERE len(w) >= len(p)),
+base AS (SELECT r, count(*) AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word FROM hit GROUP BY r),
+block AS (SELECT r, label, t, unnest(list_transform(range(0, len(w), len(t)), lambda i: w[i + 1:i + 2 * len(t)])) AS b FROM d, te WHERE len(list_intersect(w, t)) >= {THRESHOLD} * len(list_distinct(t)) - 1e-9),
+met AS (SELECT r, label, len(list_intersect(list_distinct(b), list_distinct(t)))::DOUBLE / len(list_distinct(t)) AS c, len(list_distinct(t)) AS n, len(list_intersect(list_distinct(b), list_distinct(t))) AS k FROM block),
+l AS (SELECT r, label, 1 AS base, 1.0::DOUBLE AS c FROM hit UNION ALL SELECT r, label, 0, c FROM met WHERE k >= {THRESHOLD} * n - 1e-9),
+g AS (SELECT r, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base = 1), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score FROM l GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN g USING (r)
+"""
+
+
+OP3_SQL = _sql()

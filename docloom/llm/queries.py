@@ -20,6 +20,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
+    "op3_licenses": licenses.OP3_SQL,
+    "op4_decontaminate": decontamination.OP4_SQL,
     "op5_imatch": imatch.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
 }
