@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +52,40 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+#: Folders written inside a scratch block, innermost block last.
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str = "table") -> str:
+    """Writes ``df`` as Parquet into the shared folder; returns where."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    The table stays, as results may still read it; a ``scratch`` block removes its tables.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Removes what was written inside the block, but for the last ``keep`` tables."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        made = _SCRATCH.pop()
+        for path in made[: len(made) - keep]:
+            removed(spark, path)
