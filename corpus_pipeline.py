@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontamination, mixing, near_dedup, quality, sharding
-from docloom.llm.common import written
-from docloom.session import table
+from docloom.session import removed, scratch, stored, table
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -26,8 +25,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage leaves behind goes when the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = stored(out, name.replace(" ", "-"))
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last is not None:
+            removed(spark, last)
+        last = path
     return docs
