@@ -10,20 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.lexical import K1, LEAST_IDF, B, occurrences, postings, top
+from docloom.operators.lexical import impact, occurrences, postings, top
 from docloom.operators.retrieval import RRF_K, fuse, nearest
+from docloom.session import written
 
 
 def impacts(chunks: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
     """(term, key, impact): BM25 contributions of every posting."""
-    words = occurrences(chunks, key, text, stem)
-    hits = postings(words, key)
-    lengths = words.groupBy(key).agg(F.count("*").alias("len"))
+    hits = written(postings(occurrences(chunks, key, text, stem), key), "postings")
+    lengths = hits.groupBy(key).agg(F.sum("tf").alias("len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one_row = F.broadcast(chunks.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("len").alias("words"))))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("words") / F.col("n"))))
-    return hits.join(df, "term").join(lengths, key).crossJoin(one_row).select("term", key, weight.alias("impact"))
+    whole = F.broadcast(chunks.agg(F.count("*").alias("n")).crossJoin(hits.agg(F.sum("tf").alias("words"))))  # one row
+    return hits.join(df, "term").join(lengths, key).crossJoin(whole).select("term", key, impact().alias("impact"))
 
 
 def build(chunks: DataFrame, key: str, text: str, path: str, stem: bool = False) -> None:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import stemmed, tokens
+from docloom.session import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Query words that a filter holds as a set.
+MOST_TERMS = 5000
 
 
 def occurrences(chunks: DataFrame, key: str, text: str, stem: bool = False, fold: bool = False) -> DataFrame:
@@ -28,25 +31,48 @@ def postings(words: DataFrame, key: str) -> DataFrame:
     return words.groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, words: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str = "content", stem: bool = False, most: int = MOST_TERMS) -> DataFrame:
     """(query_id, key, score): BM25 of chunks for the distinct words of each query, higher is better.
 
     ``queries`` has (query_id, term). Frequencies and lengths come from all chunks, also where
-    a filter follows. Postings are joined on the query's terms before they are scored.
+    a filter follows. The text is read once: of each chunk its length and those words remain
+    that the queries ask for; up to ``most`` words are a set in that filter, more are kept whole
+    and joined.
     """
     wanted = queries.select("query_id", "term").distinct()
-    lengths = words.groupBy(key).agg(F.count("*").alias("len"))
-    size = chunks.agg(F.count("*").alias("n"))
-    total = lengths.agg(F.sum("len").alias("words"))
-    hits = postings(words.join(wanted.select("term").distinct(), "term", "left_semi"), key)
+    asked = [r.term for r in wanted.select("term").distinct().limit(most + 1).collect()]
+    forms = {t: t for t in asked}
+    if stem and len(asked) <= most:
+        # the words whose stem is asked for, among the distinct words of the chunks
+        words = chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")).distinct().withColumn("stem", stemmed("word"))
+        forms = {r.word: r.stem for r in words.where(F.col("stem").isin(asked)).limit(most + 1).collect()}
+    narrow = chunks.select(F.col(key), tokens(F.col(text)).alias("all"))
+    if len(asked) <= most and len(forms) <= most:
+        kept = F.filter("all", lambda w: w.isin(list(forms)) if forms else F.lit(False))
+        narrow = written(narrow.select(key, F.size("all").alias("len"), kept.alias("found")), "bm25")
+        each = narrow.select(key, "len", F.explode("found").alias("word"))
+        if stem:
+            pairs = chunks.sparkSession.createDataFrame(list(forms.items()) or [("", "")], "word string, term string")
+            each = each.join(F.broadcast(pairs), "word")  # at most ``most`` words
+        else:
+            each = each.withColumnRenamed("word", "term")
+    else:
+        each = occurrences(chunks, key, text, stem).join(wanted.select("term").distinct(), "term", "left_semi")
+        narrow = written(narrow.select(key, F.size("all").alias("len")), "bm25")
+        each = each.join(narrow, key)
+    hits = each.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    one_row = F.broadcast(size.crossJoin(total))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("words") / F.col("n"))))
-    scored = hits.join(df, "term").join(lengths, key).crossJoin(one_row).withColumn("weight", weight)
+    whole = F.broadcast(narrow.agg(F.count("*").alias("n"), F.sum("len").alias("words")))  # one row
+    scored = hits.join(df, "term").crossJoin(whole).withColumn("weight", impact())
     return wanted.join(scored, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
 
 
+def impact() -> Column:
+    """BM25 of one word in one chunk, from tf, df, len, n (chunks) and words (of all chunks)."""
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("words") / F.col("n"))))
+
+
 def top(scored: DataFrame, key: str, k: int, digits: int = 9, by: str = "score", descending: bool = True) -> DataFrame:
     """The k best rows of each query with their rank; scores are rounded first, ties go by key."""
     scored = scored.withColumn(by, F.round(by, digits))

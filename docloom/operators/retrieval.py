@@ -89,7 +89,7 @@ def lexical_leg(chunks: DataFrame, key: str, query: str, limit: int, chunk_strat
     except QueryError:
         return spark.createDataFrame([], f"query_id int, {key} long, score double, rank int")
     terms = spark.createDataFrame([(0, t) for t in query_terms(tree)], "query_id int, term string")
-    scored = bm25(terms, words, chunks, key).join(found, key, "left_semi")
+    scored = bm25(terms, chunks, key, "content", stem).join(found, key, "left_semi")
     if chunk_strategy:
         scored = scored.join(chunks.where(F.col("chunk_strategy") == chunk_strategy), key, "left_semi")
     return top(scored, key, limit)

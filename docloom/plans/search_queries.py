@@ -54,7 +54,7 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf: str, stem: bool = False) -> DataFrame:
     docs = views.whole_chunks(spark, sf)
-    return lexical.bm25(_terms(spark), lexical.occurrences(docs, "chunk_id", "content", stem), docs, "chunk_id")
+    return lexical.bm25(_terms(spark), docs, "chunk_id", "content", stem)
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_boost_of_a_perfect_folder(spark):
 def test_arguments(chunks, bad):
     with pytest.raises(ValueError):
         R.search(chunks, "fox", **bad)
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_bm25_is_the_same_for_any_number_of_terms(spark, chunks, stem):
+    terms = spark.createDataFrame([(0, "fox"), (0, "dog"), (1, "quick"), (1, "none")], "query_id int, term string")
+    few = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in L.bm25(terms, chunks, "chunk_id", stem=stem).collect())
+    many = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in L.bm25(terms, chunks, "chunk_id", stem=stem, most=1).collect())
+    assert few == many and len(few) == (7 if stem else 6)
