@@ -38,62 +38,79 @@ def ascii_lower(column: Column | str) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def range_bounds(df: DataFrame, key: str, buckets: int) -> list:
-    """At most ``buckets - 1`` rising cut points of a numeric key, from its approximate quantiles.
+#: Rows of a bucket of a global order, and key ranges that the driver handles.
+BUCKET_ROWS, MOST_RANGES = 20_000, 1000
+#: Buckets up to which a table with one row for each is broadcast: 16 bytes a row.
+MOST_BROADCAST = 1_000_000
+
+
+def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
+    """At most ``ranges - 1`` rising cut points of a numeric key, from its approximate quantiles.
 
     The driver gets only the cut points. They steer balance, never results.
     """
-    if buckets < 2:
+    if ranges < 2:
         return []
-    points = ", ".join(f"{i / buckets:.9f}D" for i in range(1, buckets))
-    row = df.select(F.expr(f"percentile_approx({key}, array({points}), {max(1000, 20 * buckets)})").alias("q")).first()
+    points = ", ".join(f"{i / ranges:.9f}D" for i in range(1, ranges))
+    row = df.select(F.expr(f"percentile_approx({key}, array({points}), {max(1000, 20 * ranges)})").alias("q")).first()
     return sorted({x for x in (row.q or []) if x is not None})
 
 
-def range_bucket(key: str, bounds: list) -> Column:
-    """Bucket of a key among ``bounds``: as many as are at most the key; nulls go first."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(array, lambda b: b <= F.col(key))), F.lit(0))
-
-
-def bucket_count(spark: SparkSession) -> int:
-    """Buckets of a global order: a few for each shuffle partition, at most 1,000."""
-    return max(1, min(1000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def bucketed(df: DataFrame, key: str, ties: tuple[str, ...], out: str, rows: int = BUCKET_ROWS) -> tuple[DataFrame, int, int]:
+    """Adds bucket numbers that rise with a long key, and returns buckets and rows.
 
-
-def with_row_numbers(df: DataFrame, key: str, out: str, ties: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """Adds gapless numbers from 0 in the order of ``key`` (nulls first), and returns the row count.
-
-    Rows are cut into key ranges. Each range is numbered by itself, shifted by the rows
-    before it, so no task gets the whole order. Rows that share a key are told apart by a
-    hash of ``ties``: heavily repeated keys are split over sub-ranges. The driver gets one
-    count for each range and sub-range, of which there are at most 16,000.
+    Keys are cut into at most MOST_RANGES ranges at their quantiles, and each range evenly
+    into as many buckets as its rows need, so buckets keep their size as the data grow. A
+    range of one key, however many rows have it, is cut by a hash of ``ties``.
+    """
+    ranges = max(1, min(MOST_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = range_bounds(df, key, ranges)
+    place = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    df = df.withColumn("__range", place)
+    counted = df.groupBy("__range").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy("__range").collect()
+    first, low, width, parts = {}, {}, {}, {}
+    buckets = 0
+    for r in counted:
+        first[r["__range"]], low[r["__range"]], width[r["__range"]] = buckets, float(r.low), float(r.high) - float(r.low)
+        parts[r["__range"]] = -(-r.n // rows)
+        buckets += parts[r["__range"]]
+    if buckets <= len(counted):
+        number = {r["__range"]: i for i, r in enumerate(counted)}
+        return df.withColumn(out, _looked_up(number, "int")).drop("__range"), buckets, sum(r.n for r in counted)
+    n = _looked_up(parts, "int")
+    mixed = F.pmod(F.xxhash64(*ties), n).cast("int")
+    even = F.least(n - 1, F.floor((F.col(key).cast("double") - _looked_up(low, "double")) / _looked_up(width, "double") * n).cast("int"))
+    part = F.when(n == 1, 0).when(_looked_up(width, "double") == 0, mixed).otherwise(even)
+    return df.withColumn(out, _looked_up(first, "int") + part).drop("__range"), buckets, sum(r.n for r in counted)
+
+
+def _looked_up(values: dict, kind: str) -> Column:
+    """The value of the row's range."""
+    if not values:
+        return F.lit(0).cast(kind)
+    array = F.array(*[F.lit(values.get(i)).cast(kind) for i in range(max(values) + 1)])
+    return F.get(array, F.col("__range"))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table of a known number of narrow rows, if they are few enough."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def with_row_numbers(df: DataFrame, key: str, out: str, ties: tuple[str, ...], rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """Adds gapless numbers from 0 in the order of a long key (nulls first), and returns the row count.
+
+    Each bucket of the order is numbered by itself and shifted by the rows before it, so no
+    task gets the whole order. Rows that share a key are in the order of ``ties``, within the
+    buckets that a heavily repeated key is cut into.
     """
-    bounds = range_bounds(df, key, bucket_count(df.sparkSession))
-    mix = F.xxhash64(*[F.col(c) for c in (ties or (key,))])
-    df = df.withColumn("__b", range_bucket(key, bounds))
-    counted = df.groupBy("__b").agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).orderBy("__b").collect()
-    # a range of one key alone is cut by the hash of its ties
-    single = [r["__b"] for r in counted if r["n"] > 4096 and r["d"] <= 1]
-    if single and ties:
-        df = df.withColumn("__s", F.when(F.col("__b").isin(single), F.pmod(mix, F.lit(16)).cast("int")).otherwise(0))
-    else:
-        df = df.withColumn("__s", F.lit(0))
-    if single and ties:
-        parts = [(r["__b"], r["__s"], r["n"]) for r in df.groupBy("__b", "__s").agg(F.count("*").alias("n")).orderBy("__b", "__s").collect()]
-    else:
-        parts = [(r["__b"], 0, r["n"]) for r in counted]
-    shift, total = [], 0
-    for b, s, n in parts:
-        shift.append((b * 16 + s, total))
-        total += n
-    w = Window.partitionBy("__b", "__s").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties])
-    known = F.create_map(*[F.lit(x) for pair in shift for x in pair]) if shift else None
-    number = F.row_number().over(w).cast("long") - 1
-    df = df.withColumn(out, number + known[F.col("__b") * 16 + F.col("__s")].cast("long") if shift else number)
-    return df.drop("__b", "__s"), total
+    df = df.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
+    df, buckets, total = bucketed(df, "__k", ties, "__b", rows)
+    before = F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = df.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(before, F.lit(0)).alias("__shift"))
+    w = Window.partitionBy("__b").orderBy("__k", *[F.col(c).asc_nulls_first() for c in ties])
+    numbered = df.withColumn("__i", F.row_number().over(w).cast("long") - 1).join(small(shifts, buckets), "__b")
+    return numbered.withColumn(out, F.col("__i") + F.col("__shift")).drop("__b", "__k", "__i", "__shift"), total
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

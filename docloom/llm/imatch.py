@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD_BREAKS, ascii_lower, bucket_count, range_bounds, range_bucket, written
+from docloom.llm.common import BUCKET_ROWS, WORD_BREAKS, ascii_lower, bucketed, small, written
 from docloom.session import table
 
 #: Least and greatest share of documents of a lexicon term.
@@ -87,33 +87,29 @@ def likeness(left: str, right: str) -> Column:
     return F.expr(f"aggregate({live}, struct(0 AS same, 0 AS n), (a, x) -> struct(a.same + if(x.l = x.r, 1, 0), a.n + 1), a -> CAST(a.same AS double) / greatest(a.n, 1))")
 
 
-def chained(docs: DataFrame) -> DataFrame:
+def chained(docs: DataFrame, rows_of_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Rows of documents in buckets of the id's order, each with the next document's text.
 
     A bucket also gets the first row of the following one (the last bucket that of the
-    first), marked by ``flag`` 1, so no row needs another bucket. The driver gets one id for
-    each bucket, of which there are at most 1,000.
+    first), marked by ``flag`` 1, so no row needs another bucket.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"))
-    bounds = range_bounds(rows.select("k"), "k", bucket_count(docs.sparkSession))
-    rows = rows.withColumn("bucket", range_bucket("k", bounds))
-    heads = rows.groupBy("bucket").agg(F.min("k").alias("k")).orderBy("bucket").collect()
-    if heads:
-        back = {h.k: heads[i - 1].bucket for i, h in enumerate(heads)}
-        before = F.create_map(*[F.lit(x) for pair in back.items() for x in pair])[F.col("k")]
-        place = lambda b, flag: F.struct(b.cast("int").alias("bucket"), F.lit(flag).alias("flag"))
-        both = F.when(F.col("k").isin(list(back)), F.array(place(F.col("bucket"), 0), place(before, 1))).otherwise(F.array(place(F.col("bucket"), 0)))
-        rows = rows.withColumn("p", F.explode(both)).select("doc_id", "k", "t", "p.*")
-    else:
-        rows = rows.withColumn("flag", F.lit(0))
-    order = Window.partitionBy("bucket").orderBy("flag", "k", "t")
-    return rows.select("doc_id", "bucket", "flag", "t", F.row_number().over(order).alias("pos"), F.coalesce(F.lead("t").over(order), F.lit("")).alias("next"))
-
-
-def prints(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_LITERAL) -> DataFrame:
+    rows, buckets, _ = bucketed(rows, "k", ("t",), "bucket", rows_of_bucket)
+    order = Window.orderBy("bucket")
+    heads = rows.groupBy("bucket").agg(F.min("k").alias("k"))
+    back = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(0))))
+    marked = rows.join(small(heads.select("bucket", "k", back.alias("back")), buckets), ["bucket", "k"], "left")
+    place = lambda b, flag: F.struct(F.col(b).alias("bucket"), F.lit(flag).alias("flag"))
+    both = F.when(F.col("back").isNotNull(), F.array(place("bucket", 0), place("back", 1))).otherwise(F.array(place("bucket", 0)))
+    rows = marked.select("doc_id", "k", "t", F.explode(both).alias("p")).select("doc_id", "k", "t", "p.*")
+    within = Window.partitionBy("bucket").orderBy("flag", "k", "t")
+    return rows.select("doc_id", "bucket", "flag", "t", F.row_number().over(within).alias("pos"), F.coalesce(F.lead("t").over(within), F.lit("")).alias("next"))
+
+
+def prints(docs: DataFrame, band: tuple[float, float] = BAND, most: int = MOST_LITERAL, rows_of_bucket: int = BUCKET_ROWS) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and their likenesses."""
     words = lexicon(docs, band)
-    rows = chained(docs).withColumn("n_chars", F.length("t").cast("long"))
+    rows = chained(docs, rows_of_bucket).withColumn("n_chars", F.length("t").cast("long"))
     half = F.expr("cast(shiftright(n_chars, 1) as int)")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next"), F.lit(1), half)))
     rows = rows.withColumn("edited", F.when(F.col("flag") == 0, F.col("edited")).otherwise(""))

@@ -57,6 +57,7 @@ def test_many_documents_both_ways(spark):
     want = sorted(brute(rows), key=repr)
     assert got(imatch.prints(df)) == want
     assert got(imatch.prints(df, most=0)) == want  # terms joined by shuffle
+    assert got(imatch.prints(df, rows_of_bucket=3)) == want  # ranges cut into buckets
 
 
 def test_equal_texts_have_equal_fingerprints(spark):

@@ -57,3 +57,15 @@ def test_stage_replaces_clashing_columns(spark):
     out = sharding.stage(spark, odd(spark, True), "")
     assert out.columns.count("shard") == 1 and dict(out.dtypes)["shard"] == "int"
     assert out.count() == 13
+
+
+def test_numbers_with_small_buckets(spark):
+    from docloom.llm.common import with_row_numbers
+
+    keys = [None, None, -5, 0, 0, 0, 3, 4, 4, 1 << 40, -(1 << 62)] + list(range(100, 160)) + [7] * 50
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, t long")
+    for rows in (1, 4, 20_000):
+        numbered, total = with_row_numbers(df, "k", "i", ("t",), rows)
+        got = sorted((r.i, r.k) for r in numbered.collect())
+        assert total == len(keys) and [i for i, _ in got] == list(range(total))
+        assert [k for _, k in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
