@@ -46,7 +46,9 @@ EPOCHS = 60
 THRESHOLD = 0.3
 SEED = 9
 #: Distinct tokens whose vectors a task keeps; beyond that it starts anew, with equal results.
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 50_000
+#: Documents whose texts and features a task holds at once, and tokens of a text.
+SLICE, PIECE = 256, 1 << 13
 
 #: Mean and spread of both vectors, two norms, log length, adjacent repeats, concentration.
 FEATURES = 4 * DIMS + 5
@@ -83,12 +85,10 @@ class Vectors(dict):
     def __init__(self, words: dict[bytes, np.ndarray]):
         super().__init__()
         self.words, self.zero = words, np.zeros(DIMS, np.float32)
-        self.rows = np.zeros((1024, 2 * DIMS), np.float32)
+        self.rows = np.zeros((KEPT_TOKENS + PIECE + 1, 2 * DIMS), np.float32)
 
     def __missing__(self, token: bytes) -> int:
         n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[n, :DIMS] = self.words.get(word_of(token), self.zero)
         self.rows[n, DIMS:] = index_vector(b"\x00" + shape_of(token))
         self[token] = n
@@ -104,8 +104,8 @@ def features(text: bytes, vectors: Vectors) -> np.ndarray:
     if not tokens:
         return out
     total, square, adjacent, alike = np.zeros(2 * DIMS), np.zeros(2 * DIMS), 0, 0.0
-    for at in range(0, len(tokens), 1 << 14):
-        ids = np.fromiter(map(vectors.__getitem__, tokens[at : at + (1 << 14)]), np.int64)
+    for at in range(0, len(tokens), PIECE):
+        ids = np.fromiter(map(vectors.__getitem__, tokens[at : at + PIECE]), np.int64)
         rows = vectors.rows[ids]
         total += rows.sum(axis=0)
         square += np.einsum("ij,ij->j", rows, rows)
@@ -190,6 +190,12 @@ def training_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     return once.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     column = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -201,7 +207,7 @@ def word_vectors(sample: DataFrame, vocabulary: int = VOCABULARY, least: int = M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[bytes, np.ndarray] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             seen: dict[bytes, int] = {}
             sums: dict[bytes, np.ndarray] = {}
             for text in _texts(batch):
@@ -248,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(words.value)
-        for batch in batches:
+        for batch in _slices(batches):
             x = [features(t, vectors).tolist() for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
@@ -270,9 +276,9 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         vectors = Vectors(model.words)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            x = np.stack([features(t, vectors) for t in texts]).astype(np.float64) if texts else np.zeros((0, FEATURES))
+            x = np.stack([features(t, vectors) for t in texts]).astype(np.float64)
             columns = [c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(x), pa.float64())], schema=arrow)
 
