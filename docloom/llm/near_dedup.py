@@ -109,12 +109,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the smallest id of each group of near copies stays."""
-    groups = near_groups(docs)
+    groups = written(near_groups(docs), "near")
     kept = groups.groupBy("root").agg(F.min("doc_id").alias("__id")).where("__id is not null").select("__id").distinct()
     one = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
-    # a repeated id stays once
+    lone = docs.where("doc_id is null")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if repeated.isEmpty():
+        return one.unionByName(lone)
+    # a repeated id stays once
     first = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
     twice = one.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    lone = one.join(repeated, "doc_id", "left_anti")
-    return lone.unionByName(twice.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    return one.join(repeated, "doc_id", "left_anti").unionByName(twice.select(*docs.columns)).unionByName(lone)
