@@ -4,9 +4,10 @@ Groups come from the SimHash operator: fingerprints that differ in three bits or
 link. Three of 64 bits reach only the closest copies: of measured pairs whose sets of
 five-word shingles have a Jaccard similarity of 0.8 or more, a tenth lie within them. So the
 stage adds links for that similarity: documents that agree in one of ``BANDS`` bands of
-min-hashes of five-word shingles meet, each with one representative of its bucket, and link
-if their signatures agree in ``AGREE`` of all places. A bucket of any size gives one pair
-for each member, and copies of a text are merged before.
+min-hashes of five-word shingles meet, each with one representative of its bucket. Bands and
+fingerprints only propose: every pair is counted on its whole shingle sets and links at 4/5
+or more. A bucket of any size gives one pair for each member, and copies of a text are
+merged before.
 
 Cases: null and empty texts form one group, as equal texts do; a text of fewer than five
 words is one shingle; of a group the document with the smallest id stays, of repeated ids
@@ -20,17 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import utf8, written
 from docloom.llm.simhash import components, fingerprint, links
 
 SHINGLE = 5
 BANDS = 16
 ROWS = 128
-#: Share of equal min-hashes: 0.8 less one standard error of the estimate.
-AGREE = 0.77
 SEED = 5
 
 
@@ -38,6 +37,17 @@ def multipliers() -> np.ndarray:
     return np.random.default_rng(SEED).integers(1 << 32, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted hashes of the text's distinct five-word shingles."""
+    words = text.lower().split()
+    lines = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64))
+
+
+def digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def signature(text: bytes, odd: np.ndarray) -> np.ndarray:
     """ROWS min-hashes of the text's distinct five-word shingles."""
     words = text.lower().split()
@@ -51,59 +61,68 @@ def signature(text: bytes, odd: np.ndarray) -> np.ndarray:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, digest, sketch, bands) of documents."""
+    """(doc_id, fp, digest, bands) of documents."""
     width = ROWS // BANDS
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = multipliers()
         for batch in batches:
-            fp, digest, sketch, bands = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            fp, bands = [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 text = text or b""
                 s = signature(text, odd)
                 fp.append(fingerprint(text))
-                digest.append(xxhash.xxh64_intdigest(text))
-                sketch.append(s.tobytes())
                 # a band takes the first four of its places
                 bands.append([xxhash.xxh64_intdigest(s[b * width : b * width + 4].tobytes(), b) for b in range(BANDS)])
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * BANDS, pa.int32()), signed(np.array(bands, np.uint64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fp), signed(digest), pa.array(sketch, pa.binary()), rows], ["doc_id", "fp", "digest", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fp), batch.column(1), rows], ["doc_id", "fp", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long, digest long, sketch binary, bands array<long>")
+    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {id_type}, fp long, digest long, bands array<long>")
 
 
-def close(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, left, right) whose sketches agree in AGREE of their places."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts that link, counted on their whole shingle sets."""
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    texts = docs.select(digest().alias("digest"), "text").join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["digest", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.array([np.frombuffer(s, np.uint32) for s in batch.column(i).to_pylist()]).reshape(-1, ROWS) for i in (2, 3))
-            keep = pa.array((x == y).mean(axis=1) >= AGREE)
+            keep = []
+            for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3))):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                both = len(x) + len(y)
+                keep.append(9 * (both - len(np.union1d(x, y))) >= 4 * both)
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    found = written(texts.mapInArrow(sets, "digest long, hashes binary"), "sets")
+    joined = pairs.join(found.selectExpr("digest as a", "hashes as left"), "a").join(found.selectExpr("digest as b", "hashes as right"), "b")
+    return written(joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, root): documents with equal roots are near copies."""
     found = written(measures(docs), "near")
     # one row for each text; its digest is the node
-    texts = found.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    texts = found.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     texts = written(texts, "near")
     banded = texts.select("digest", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("digest", "band").alias("h"), "digest")).alias("head"), F.count("*").alias("n")).where("n > 1")
     met = banded.join(heads, ["band", "key"]).select(F.col("digest").alias("a"), F.col("head.digest").alias("b")).where("a <> b").distinct()
-    sketches = texts.select("digest", "sketch")
-    pairs = met.join(sketches.selectExpr("digest as a", "sketch as left"), "a").join(sketches.selectExpr("digest as b", "sketch as right"), "b")
-    similar = close(pairs)
     # fingerprints: their links carry over to one text of each, and equal fingerprints link
     by_fp = texts.groupBy("fp").agg(F.min("digest").alias("head"))
     alike = texts.join(by_fp, "fp").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b"))
     near = links(by_fp.select("fp"))
     near = near.join(by_fp.selectExpr("fp as a", "head as x"), "a").join(by_fp.selectExpr("fp as b", "head as y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    linked = components(similar.unionByName(alike).unionByName(near))
+    proposed = met.unionByName(alike).unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = components(verified(proposed, docs))
     return found.join(linked, found["digest"] == linked["node"], "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
 
 
