@@ -1,13 +1,18 @@
 """Pipeline stage: one document of each group of near copies stays.
 
-Groups come from the SimHash operator: fingerprints that differ in three bits or fewer
-link. Three of 64 bits reach only the closest copies: of measured pairs whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more, a tenth lie within them. So the
-stage adds links for that similarity: documents that agree in one of ``BANDS`` bands of
-min-hashes of five-word shingles meet, each with one representative of its bucket. Bands and
-fingerprints only propose: every pair is counted on its whole shingle sets and links at 4/5
-or more. A bucket of any size gives one pair for each member, and copies of a text are
-merged before.
+Documents link if their sets of five-word shingles have a Jaccard similarity of 4/5 or more;
+groups are the components of these links. The join is exact, by prefix, length and positional
+filters: shingles are ordered by their frequency in a sample, rarest first, then by hash. Any
+such order gives right results; the sample only keeps common passages out of the prefixes.
+Of two linked sets of sizes m <= n the larger has a shared shingle among its first
+n - ceil(4n/5) + 1, and the smaller has it among its first m - ceil(8m/9) + 1. So documents
+meet on these shingles, and what they propose is counted on the whole sets. SimHash links
+(within three bits) would be verified by the same count, and what passes it is found by the
+join already, so they are not taken besides.
+
+A shingle of many documents is not joined all with all. One of its documents is compared
+with all others for ``ROUNDS`` rounds, and documents that are connected by then need no
+further comparison with each other. Afterwards all pairs that are not connected are compared.
 
 Cases: null and empty texts form one group, as equal texts do; a text of fewer than five
 words is one shingle; of a group the document with the smallest id stays, of repeated ids
@@ -25,18 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import utf8, written
-from docloom.llm.simhash import components, fingerprint, links
+from docloom.llm.simhash import components
 
 SHINGLE = 5
-BANDS = 16
-ROWS = 128
+#: Documents whose shingles are counted for the order, and counted shingles that go to every task.
+SAMPLE, MOST_COMMON = 20_000, 200_000
+#: Rounds of comparing one document of a shingle with the others.
+ROUNDS = 4
 SEED = 5
 
 
-def multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1 << 32, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-
-
 def shingles(text: bytes) -> np.ndarray:
     """Sorted hashes of the text's distinct five-word shingles."""
     words = text.lower().split()
@@ -48,38 +51,45 @@ def digest() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def signature(text: bytes, odd: np.ndarray) -> np.ndarray:
-    """ROWS min-hashes of the text's distinct five-word shingles."""
-    words = text.lower().split()
-    lines = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    hashes ^= hashes >> np.uint64(29)
-    out = np.full(len(odd), (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(out, (hashes[at : at + 4096, None] * odd).min(axis=0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several documents of a sample, sorted, and in how many."""
+    total = docs.count()
+    sampled = docs.select("text").where(F.pmod(F.xxhash64(digest(), F.lit(SEED)), F.lit(max(1, total // SAMPLE))) == 0)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([shingles(t) for t in utf8(batch.column(0))] or [np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["key", "n"])
 
-def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, digest, bands) of documents."""
-    width = ROWS // BANDS
+    counted = sampled.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    keys, n = np.array([r.key for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, digest, size, keys) of documents; ``keys`` are the first shingles of the order."""
+    sent = docs.sparkSession.sparkContext.broadcast(common)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    def first(hashes: np.ndarray) -> np.ndarray:
+        keys, counts = sent.value
+        n = np.zeros(len(hashes), np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            n = np.where(keys[at] == hashes, counts[at], 0)
+        return hashes[np.lexsort((hashes, n))[: len(hashes) - (4 * len(hashes) + 4) // 5 + 1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = multipliers()
         for batch in batches:
-            fp, bands = [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                text = text or b""
-                s = signature(text, odd)
-                fp.append(fingerprint(text))
-                # a band takes the first four of its places
-                bands.append([xxhash.xxh64_intdigest(s[b * width : b * width + 4].tobytes(), b) for b in range(BANDS)])
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * BANDS, pa.int32()), signed(np.array(bands, np.uint64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(fp), batch.column(1), rows], ["doc_id", "fp", "digest", "bands"])
+            sets = [shingles(t) for t in utf8(batch.column(2))]
+            keys = [first(s) for s in sets]
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int32()), lists], ["doc_id", "digest", "size", "keys"])
 
-    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {id_type}, fp long, digest long, bands array<long>")
+    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {id_type}, digest long, size int, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -107,23 +117,55 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
 
 
+def may_link(x: str, y: str) -> Column:
+    """Length and positional filter of two rows that meet on their first shared shingle."""
+    return F.expr(f"9L * least({x}.size - {x}.pos, {y}.size - {y}.pos) >= 4L * ({x}.size + {y}.size)")
+
+
+def with_roots(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    return rows.join(linked, rows["digest"] == linked["node"], "left").select(*rows.columns, F.coalesce("root", "digest").alias("root"))
+
+
+def near_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of texts (digest, size, keys) with a link."""
+    # of a row: whether the shingle is in the prefix of the smaller text of a pair
+    inner = F.expr("pos <= size - (8L * size + 8) div 9")
+    rows = texts.select("digest", "size", F.posexplode("keys").alias("pos", "key")).withColumn("inner", inner)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any")).where("n > 1 and any").select("key")
+    rows = written(rows.join(shared, "key", "left_semi"), "near")
+    edges, linked = None, None
+    for turn in range(ROUNDS):
+        head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "size", "pos", *([] if linked is None else ["root"])))).alias("head")
+        heads = rows.groupBy("key").agg(head)
+        apart = "true" if linked is None else "r.root <> h.root"
+        met = rows.alias("r").join(heads.select("key", "head.*").alias("h"), "key").where(F.expr(f"r.digest <> h.digest and {apart}") & may_link("r", "h"))
+        new = verified(met.select(F.expr("least(r.digest, h.digest)").alias("a"), F.expr("greatest(r.digest, h.digest)").alias("b")).distinct(), docs)
+        edges = new if edges is None else edges.unionByName(new)
+        linked = components(edges)
+        # a head has met all; of the rest, shingles whose texts are not connected yet remain
+        rest = rows.join(heads.select("key", "head.digest"), ["key", "digest"], "left_anti").select("digest", "size", "pos", "key", "inner")
+        rest = written(with_roots(rest, linked), "near")
+        live = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("inner").alias("any")).where("low < high and any").select("key")
+        rows = written(rest.join(live, "key", "left_semi"), "near")
+        if rows.isEmpty():
+            return linked
+    # all pairs of a shingle that are not connected: one of the two is outside its main group
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    others = rows.join(sizes, "key").where("root <> main").drop("main")
+    order = "(x.inner and x.size <= y.size or y.inner and y.size <= x.size)"
+    met = others.alias("x").join(rows.alias("y"), "key").where(F.expr(f"x.root <> y.root and {order}") & may_link("x", "y"))
+    new = verified(met.select(F.expr("least(x.digest, y.digest)").alias("a"), F.expr("greatest(x.digest, y.digest)").alias("b")).distinct(), docs)
+    return components(edges.unionByName(new))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, root): documents with equal roots are near copies."""
-    found = written(measures(docs), "near")
+    found = written(prefixes(docs, common_shingles(docs)), "near")
     # one row for each text; its digest is the node
-    texts = found.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    texts = written(texts, "near")
-    banded = texts.select("digest", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("digest", "band").alias("h"), "digest")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = banded.join(heads, ["band", "key"]).select(F.col("digest").alias("a"), F.col("head.digest").alias("b")).where("a <> b").distinct()
-    # fingerprints: their links carry over to one text of each, and equal fingerprints link
-    by_fp = texts.groupBy("fp").agg(F.min("digest").alias("head"))
-    alike = texts.join(by_fp, "fp").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b"))
-    near = links(by_fp.select("fp"))
-    near = near.join(by_fp.selectExpr("fp as a", "head as x"), "a").join(by_fp.selectExpr("fp as b", "head as y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    proposed = met.unionByName(alike).unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = components(verified(proposed, docs))
-    return found.join(linked, found["digest"] == linked["node"], "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
+    texts = written(found.groupBy("digest").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "near")
+    linked = near_links(texts, docs)
+    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    return with_roots(found.select("doc_id", "digest"), linked)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

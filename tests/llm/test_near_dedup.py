@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from docloom.llm import near_dedup
 
 VOCABULARY = [f"w{i}" for i in range(5000)]
@@ -50,3 +52,28 @@ def test_pairs_at_the_threshold(spark):
     expected = brute(texts)
     assert len(set(expected)) == len(texts) - 40
     assert groups(spark, texts) == expected
+
+
+@pytest.mark.parametrize("share, rounds", [(0.75, 4), (0.8, 4), (0.87, 1), (0.95, 1)])
+def test_near_copies_among_texts_with_one_passage(spark, monkeypatch, share, rounds):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds, raising=False)
+    rng, texts = random.Random(2), []
+    passage = words(rng, int(400 * share))
+    own = 400 - len(passage)
+    for _ in range(60):
+        base = words(rng, own) + passage
+        texts += [" ".join(base), " ".join(base + words(rng, rng.randrange(60, 99)))]
+    assert groups(spark, texts) == brute(texts)
+
+
+def test_chains_and_rings_of_one_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1, raising=False)
+    rng, texts = random.Random(4), []
+    for edits in (2, 5, 7, 9, 11):
+        base = words(rng, 200)
+        for _ in range(25):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randrange(edits + 1)):
+                copy[at] = rng.choice(VOCABULARY)
+            texts.append(" ".join(copy))
+    assert groups(spark, texts) == brute(texts)
