@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +25,21 @@ QUERY_BLOCK = 1000
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, metric: str = "l2", digits: int = 9) -> DataFrame:
     """(query_id, key, distance, rank): exact k nearest vectors of each query.
 
-    ``queries`` has (query_id, qvec) and at most QUERY_BLOCK rows: each is compared with all
-    vectors in one pass; ranks are limited within partitions before the shuffle.
+    ``queries`` has (query_id, qvec) and any number of rows. Blocks of about QUERY_BLOCK are
+    compared with all vectors, one pass each; ranks are limited within partitions before the
+    shuffle.
     """
     measure = l2("embedding", "qvec") if metric == "l2" else 1 - cosine("embedding", "qvec")
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"search at most {QUERY_BLOCK} queries at a time")
-    compared = vectors.select(key, "embedding").join(F.broadcast(queries.select("query_id", "qvec"))).select("query_id", key, measure.alias("distance"))
-    return top(compared.where("distance is not null"), key, k, digits, "distance", False)
+    queries = queries.select("query_id", "qvec")
+    n = -(-queries.count() // QUERY_BLOCK)
+    # a query's rows are all in one block, so blocks can be ranked by themselves
+    blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+    def ranked(block: DataFrame) -> DataFrame:
+        compared = vectors.select(key, "embedding").join(F.broadcast(block)).select("query_id", key, measure.alias("distance"))
+        return top(compared.where("distance is not null"), key, k, digits, "distance", False)
+
+    return reduce(DataFrame.unionByName, map(ranked, blocks))
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int = RRF_K) -> DataFrame:

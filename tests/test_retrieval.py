@@ -100,3 +100,12 @@ def test_bm25_is_the_same_for_any_number_of_terms(spark, chunks, stem):
     few = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in L.bm25(terms, chunks, "chunk_id", stem=stem).collect())
     many = sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in L.bm25(terms, chunks, "chunk_id", stem=stem, most=1).collect())
     assert few == many and len(few) == (7 if stem else 6)
+
+
+def test_more_queries_than_a_block(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(7)], "chunk_id long, embedding array<float>")
+    n = 2 * R.QUERY_BLOCK + 500
+    queries = spark.range(n).selectExpr("cast(id as int) as query_id", "array(cast(id % 7 as double), 0.0D) as qvec")
+    found = R.nearest(queries, vectors, "chunk_id", 2).collect()
+    assert len(found) == 2 * n
+    assert {r.query_id: r.chunk_id for r in found if r["rank"] == 1} == {i: i % 7 for i in range(n)}
