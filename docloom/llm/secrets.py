@@ -41,7 +41,7 @@ MORE_RULES = (
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 20),
     ("map_key", r"AIza[0-9A-Za-z_-]+", False, 0, 39),
     ("pay", r"[rs]k_live_[0-9A-Za-z]+", False, 0, 24),
-    ("url_login", r"://[^/\s:@]{1,80}:[^/\s:@]{1,80}@", False, 0, 1),
+    ("url_login", r"://[^/\s:@]+:[^/\s:@]+@", False, 0, 1),
     ("bearer", r"bearer\x20+[A-Za-z0-9._~+/=-]+", True, 0, 27),
 )
 RULES = BASE_RULES + MORE_RULES

@@ -93,3 +93,9 @@ def test_odd_and_empty_tables(spark, tmp_path):
     save(none(spark), tmp_path, "documents")
     for query in (licenses.op3_licenses, secrets.op10_secrets, pii.op6_pii):
         assert query(spark, folder).count() == 0
+
+
+def test_long_logins_of_urls(spark):
+    texts = [f"see https://{'u' * n}:{'p' * m}@example.org/x now" for n, m in ((80, 80), (81, 5), (5, 93), (3000, 3000))] + ["see https://u@example.org:80/x"]
+    rows = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(frame(spark, texts))).collect()}
+    assert [rows[i] for i in range(4)] == [f"url_login:9:{14 + n}" for n in (160, 86, 98, 6000)] and rows[4] == ""
