@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from collections.abc import Iterator
@@ -54,11 +55,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders written inside a scratch block, innermost block last.
 _SCRATCH: list[list[str]] = []
+#: Folders that are removed when the program ends.
+_LEFT: set[str] = set()
+
+
+@atexit.register
+def _swept() -> None:
+    """Removes the tables that results could read until the program ended."""
+    spark = SparkSession.getActiveSession() if _LEFT else None
+    if spark is not None:
+        for path in _LEFT:
+            removed(spark, path)
 
 
 def stored(df: DataFrame, name: str = "table") -> str:
     """Writes ``df`` as Parquet into the shared folder; returns where."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
     df.write.parquet(path)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
@@ -68,7 +81,7 @@ def stored(df: DataFrame, name: str = "table") -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    The table stays, as results may still read it; a ``scratch`` block removes its tables.
+    A ``scratch`` block removes its tables; others stay to the program's end, as results may read them.
     """
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
@@ -81,7 +94,7 @@ def removed(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession, keep: int = 1) -> Iterator[None]:
-    """Removes what was written inside the block, but for the last ``keep`` tables."""
+    """Removes what was written inside the block, but for the last ``keep`` tables, which belong to the block around it."""
     _SCRATCH.append([])
     try:
         yield
@@ -89,3 +102,6 @@ def scratch(spark: SparkSession, keep: int = 1) -> Iterator[None]:
         made = _SCRATCH.pop()
         for path in made[: len(made) - keep]:
             removed(spark, path)
+            _LEFT.discard(path)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(made[len(made) - keep :])
