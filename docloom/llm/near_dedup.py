@@ -1,120 +1,183 @@
 """Pipeline stage: one document of each group of near copies stays.
 
 Documents link if their sets of five-word shingles have a Jaccard similarity of 4/5 or more;
-groups are the components of these links. The join is exact, by prefix, length and positional
-filters: shingles are ordered by their frequency in a sample, rarest first, then by hash. Any
-such order gives right results; the sample only keeps common passages out of the prefixes.
-Of two linked sets of sizes m <= n the larger has a shared shingle among its first
-n - ceil(4n/5) + 1, and the smaller has it among its first m - ceil(8m/9) + 1. So documents
-meet on these shingles, and what they propose is counted on the whole sets. SimHash links
-(within three bits) would be verified by the same count, and what passes it is found by the
-join already, so they are not taken besides.
-
-A shingle of many documents is not joined all with all. One of its documents is compared
-with all others for ``ROUNDS`` rounds, and documents that are connected by then need no
-further comparison with each other. Afterwards all pairs that are not connected are compared.
-
-Cases: null and empty texts form one group, as equal texts do; a text of fewer than five
-words is one shingle; of a group the document with the smallest id stays, of repeated ids
-one row; rows without an id stay.
+groups are the components of these links, so a chain of links is one group. SimHash proposes
+the families of texts whose fingerprints lie within three bits, and every pair it proposes is
+counted on the whole sets. Three bits of 64 are far nearer than 4/5, so a set-similarity join
+finds what SimHash leaves apart, with no loss: shingles are ordered by the number of texts
+that have them, rarest first. Of two linked sets of sizes m <= n the larger has a shared
+shingle among its first n - ceil(4n/5) + 1, and the smaller has it among its first
+m - ceil(8m/9) + 1. Shingles of one text alone come first in the order and meet nothing, so
+most texts have no other shingle in that prefix and end there, without ever being compared.
+
+Every shingle is shuffled once to count its texts. Those that a sample shows to be frequent
+take their place in the order from the sample and are dealt over ``SALTS`` tasks each. What
+several texts share goes to its text; a link can be counted on that alone, so no text is read
+again.
+
+A shingle of many texts is not joined all with all. One of its texts is compared with all
+others for ``ROUNDS`` rounds, and texts that are connected by then need no further comparison.
+Afterwards all pairs that are not connected are compared.
+
+Cases: null texts are empty; empty texts are equal texts; a text of fewer than five words is
+one shingle; of a group the row with the smallest id stays (null ids come last), and among
+equal ids the one with the smallest digest; rows equal in id and text are one document, of
+which one row stays; different texts of one id are different documents; other columns pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import utf8, written
-from docloom.llm.simhash import components
+from docloom.llm.common import small, written
+from docloom.llm.simhash import classes, components, majority, shingle_hashes
+from docloom.session import scratch
 
 SHINGLE = 5
-#: Documents whose shingles are counted for the order, and counted shingles that go to every task.
-SAMPLE, MOST_COMMON = 20_000, 200_000
-#: Rounds of comparing one document of a shingle with the others.
-ROUNDS = 4
+#: Texts whose shingles are counted for the frequent ones, in how many of them one is frequent, and how many go to every task.
+SAMPLE, FREQUENT, MOST_COMMON = 20_000, 4, 200_000
+#: Tasks over which a frequent shingle's texts are dealt.
+SALTS = 256
+#: Rounds of comparing one text of a shingle with the others.
+ROUNDS = 2
 SEED = 5
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted hashes of the text's distinct five-word shingles."""
-    words = text.lower().split()
-    lines = {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64))
+#: Bytes of text a task turns into shingles at once, and digests it remembers to skip exact copies.
+SLICE_BYTES, REMEMBERED = 1 << 20, 1 << 20
+NO_WORDS = -7046029254386353131  # stands for the shingle of a text without words
 
 
 def digest() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    """128 bits of a text."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def node(key: str = "key") -> Column:
+    """64 bits of a digest: texts are compared under this name."""
+    return F.conv(F.substring(F.hex(key), 1, 16), 16, -10).cast("long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(node, text) of documents."""
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), digest().alias("key")).select(node().alias("node"), "text")
+
+
+def shingled(text: bytes) -> tuple[np.ndarray, int]:
+    """Sorted hashes of a text's distinct five-word shingles, and its SimHash."""
+    pieces = list(shingle_hashes(text, SHINGLE))
+    if not pieces:
+        return np.array([NO_WORDS]), 0
+    return np.unique(np.concatenate(pieces).view(np.int64)), majority(pieces)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(nodes, texts) of about SLICE_BYTES each, without texts that the task has had already."""
+    seen: set[int] = set()
+    nodes, texts, held = [], [], 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+            if name in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(name)
+            raw = text.as_py()
+            nodes.append(name)
+            texts.append(raw)
+            held += len(raw)
+            if held >= SLICE_BYTES:
+                yield nodes, texts
+                nodes, texts, held = [], [], 0
+    if nodes:
+        yield nodes, texts
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several documents of a sample, sorted, and in how many."""
+    """Frequent shingles of a sample of texts, sorted, and the number of texts of the whole that have them, by estimate."""
     total = docs.count()
-    sampled = docs.select("text").where(F.pmod(F.xxhash64(digest(), F.lit(SEED)), F.lit(max(1, total // SAMPLE))) == 0)
+    rate = max(1, total // SAMPLE)
+    sampled = keyed(docs).where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(rate)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n = np.unique(np.concatenate([shingles(t) for t in utf8(batch.column(0))] or [np.empty(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["key", "n"])
+        for _, texts in slices(batches):
+            found, n = np.unique(np.concatenate([shingled(t)[0] for t in texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["h", "n"])
 
-    counted = sampled.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    keys, n = np.array([r.key for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    counted = sampled.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    found, n = rows["h"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(found)
+    return found[order], np.minimum(n[order] * rate, (1 << 31) - 1)
 
 
-def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, digest, size, keys) of documents; ``keys`` are the first shingles of the order."""
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def incidences(docs: DataFrame) -> DataFrame:
+    """(h, node, tag): the shingles of each text.
 
-    def first(hashes: np.ndarray) -> np.ndarray:
-        keys, counts = sent.value
-        n = np.zeros(len(hashes), np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            n = np.where(keys[at] == hashes, counts[at], 0)
-        return hashes[np.lexsort((hashes, n))[: len(hashes) - (4 * len(hashes) + 4) // 5 + 1]]
+    ``tag`` is 0, or minus the estimated number of texts of a frequent shingle. One more row
+    of each text has its SimHash as ``h`` and its number of shingles as ``tag``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t) for t in utf8(batch.column(2))]
-            keys = [first(s) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int32()), lists], ["doc_id", "digest", "size", "keys"])
+        keys, counts = sent.value
+        for nodes, texts in slices(batches):
+            found = [shingled(t) for t in texts]
+            n = np.array([len(s) for s, _ in found])
+            h = np.concatenate([s for s, _ in found])
+            tag = np.zeros(len(h), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                tag = np.where(keys[at] == h, -counts[at], 0)
+            prints = np.array([fp for _, fp in found], np.uint64).view(np.int64)
+            names = np.array(nodes, np.int64)
+            columns = np.concatenate([h, prints]), np.concatenate([np.repeat(names, n), names]), np.concatenate([tag, n]).astype(np.int32)
+            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "tag"])
+            yield from (whole.slice(at, 1 << 16) for at in range(0, whole.num_rows, 1 << 16))
 
-    return docs.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {id_type}, digest long, size int, keys array<long>")
+    return keyed(docs).select("node", "text").mapInArrow(run, "h long, node long, tag int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts that link, counted on their whole shingle sets."""
-    pairs = written(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = docs.select(digest().alias("digest"), "text").join(asked, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+def sets(docs: DataFrame) -> DataFrame:
+    """(node, size, fp, alone, shared) of the texts that can have a link.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["digest", "hashes"])
+    ``shared`` holds the shingles of several texts in the order, after the ``alone`` shingles
+    that no other text has.
+    """
+    rows = incidences(docs)
+    one = Window.partitionBy("h", F.expr(f"CASE WHEN tag < 0 THEN pmod(node, {SALTS}) ELSE 0 END"))
+    named = F.when(F.col("tag") <= 0, F.col("node"))
+    counted = rows.withColumns({"low": F.min(named).over(one), "high": F.max(named).over(one), "n": F.count(named).over(one)})
+    kept = counted.where("tag <> 0 or low < high").select("node", "h", "tag", F.when(F.col("tag") < 0, -F.col("tag")).otherwise(F.col("n")).cast("int").alias("n"))
+    shared = F.collect_set(F.when(F.col("tag") <= 0, F.struct("n", "h")))
+    grouped = kept.groupBy("node").agg(F.max("tag").alias("size"), F.max(F.when(F.col("tag") > 0, F.col("h"))).alias("fp"), F.sort_array(shared).alias("shared"))
+    each = grouped.select("node", "size", "fp", (F.col("size") - F.size("shared")).alias("alone"), F.col("shared.h").alias("shared"))
+    return each.where(f"alone < {PREFIX}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3))):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = len(x) + len(y)
-                keep.append(9 * (both - len(np.union1d(x, y))) >= 4 * both)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    found = written(texts.mapInArrow(sets, "digest long, hashes binary"), "sets")
-    joined = pairs.join(found.selectExpr("digest as a", "hashes as left"), "a").join(found.selectExpr("digest as b", "hashes as right"), "b")
-    return written(joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links")
+#: Shingles of the order among which a text has one of any text it links to, and of any text it links to that is no smaller.
+PREFIX, INNER = "(size - (4 * size + 4) div 5 + 1)", "(size - (8 * size + 8) div 9 + 1)"
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(node, size, h, pos, inner): shared shingles in the prefix of each text, and whether they are in the inner one."""
+    first = texts.select("node", "size", "alone", F.posexplode(F.expr(f"slice(shared, 1, {PREFIX} - alone)")).alias("i", "h"))
+    return first.select("node", "size", "h", (F.col("alone") + F.col("i")).alias("pos"), F.expr(f"alone + i < {INNER}").alias("inner"))
+
+
+def ordered_pairs(met: DataFrame, left: str, right: str) -> DataFrame:
+    return met.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a <> b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts that link, counted on their whole sets; what no other text has can't be common."""
+    side = lambda name, n: texts.select(F.col("node").alias(name), F.col("size").alias(f"n{n}"), F.col("shared").alias(f"s{n}"))
+    both = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    return written(both.where("9L * size(array_intersect(s1, s2)) >= 4L * (n1 + n2)").select("a", "b"), "links")
 
 
 def may_link(x: str, y: str) -> Column:
@@ -123,61 +186,76 @@ def may_link(x: str, y: str) -> Column:
 
 
 def with_roots(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    return rows.join(linked, rows["digest"] == linked["node"], "left").select(*rows.columns, F.coalesce("root", "digest").alias("root"))
+    return rows.drop("root").join(linked.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").withColumn("root", F.coalesce("root", "node")).drop("__node")
+
+
+def live(rows: DataFrame) -> DataFrame:
+    """The rows (node, size, h, pos, inner, root) of shingles on which texts of different roots meet."""
+    mixed = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("inner").alias("any")).where("low < high and any").select("h")
+    return rows.join(mixed, "h", "left_semi")
+
+
+def simhash_links(texts: DataFrame) -> DataFrame:
+    """Links between each text and the first of its SimHash class."""
+    linked = classes(texts.select("fp").distinct())
+    found = texts.select("node", "fp").join(linked.withColumnRenamed("node", "__fp"), F.col("fp") == F.col("__fp"), "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = found.groupBy("root").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return verified(ordered_pairs(found.join(heads, "root"), "node", "head"), texts)
 
 
-def near_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of texts (digest, size, keys) with a link."""
-    # of a row: whether the shingle is in the prefix of the smaller text of a pair
-    inner = F.expr("pos <= size - (8L * size + 8) div 9")
-    rows = texts.select("digest", "size", F.posexplode("keys").alias("pos", "key")).withColumn("inner", inner)
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any")).where("n > 1 and any").select("key")
-    rows = written(rows.join(shared, "key", "left_semi"), "near")
-    edges, linked = None, None
+def near_links(texts: DataFrame) -> DataFrame:
+    """(node, root) of texts (node, size, fp, alone, shared) with a link."""
+    edges = simhash_links(texts)
+    linked = components(edges)
+    rows = written(live(with_roots(prefixes(texts), linked)), "near")
     for turn in range(ROUNDS):
-        head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "size", "pos", *([] if linked is None else ["root"])))).alias("head")
-        heads = rows.groupBy("key").agg(head)
-        apart = "true" if linked is None else "r.root <> h.root"
-        met = rows.alias("r").join(heads.select("key", "head.*").alias("h"), "key").where(F.expr(f"r.digest <> h.digest and {apart}") & may_link("r", "h"))
-        new = verified(met.select(F.expr("least(r.digest, h.digest)").alias("a"), F.expr("greatest(r.digest, h.digest)").alias("b")).distinct(), docs)
-        edges = new if edges is None else edges.unionByName(new)
+        head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "pos", "root"))).alias("head")
+        heads = rows.groupBy("h").agg(head).select("h", "head.*")
+        met = rows.alias("r").join(heads.alias("o"), "h").where(F.expr("r.root <> o.root") & may_link("r", "o"))
+        edges = edges.unionByName(verified(ordered_pairs(met, "r.node", "o.node"), texts))
         linked = components(edges)
-        # a head has met all; of the rest, shingles whose texts are not connected yet remain
-        rest = rows.join(heads.select("key", "head.digest"), ["key", "digest"], "left_anti").select("digest", "size", "pos", "key", "inner")
-        rest = written(with_roots(rest, linked), "near")
-        live = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("inner").alias("any")).where("low < high and any").select("key")
-        rows = written(rest.join(live, "key", "left_semi"), "near")
+        # a head has met all of its shingle
+        rest = rows.join(heads.select("h", "node"), ["h", "node"], "left_anti")
+        rows = written(live(with_roots(rest, linked)), "near")
         if rows.isEmpty():
             return linked
     # all pairs of a shingle that are not connected: one of the two is outside its main group
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    others = rows.join(sizes, "key").where("root <> main").drop("main")
+    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    others = rows.join(main, "h").where("root <> main")
     order = "(x.inner and x.size <= y.size or y.inner and y.size <= x.size)"
-    met = others.alias("x").join(rows.alias("y"), "key").where(F.expr(f"x.root <> y.root and {order}") & may_link("x", "y"))
-    new = verified(met.select(F.expr("least(x.digest, y.digest)").alias("a"), F.expr("greatest(x.digest, y.digest)").alias("b")).distinct(), docs)
-    return components(edges.unionByName(new))
+    met = others.alias("x").join(rows.alias("y"), "h").where(F.expr(f"x.root <> y.root and {order}") & may_link("x", "y"))
+    return components(edges.unionByName(verified(ordered_pairs(met, "x.node", "y.node"), texts)))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, root): documents with equal roots are near copies."""
-    found = written(prefixes(docs, common_shingles(docs)), "near")
-    # one row for each text; its digest is the node
-    texts = written(found.groupBy("digest").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "near")
-    linked = near_links(texts, docs)
-    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).distinct()
-    return with_roots(found.select("doc_id", "digest"), linked)
+    """(doc_id, key, root): documents with equal roots are near copies; ``key`` is the text's digest."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            texts = written(sets(docs), "sets")
+        linked = written(near_links(texts).distinct(), "near")
+    ids = docs.select("doc_id", digest().alias("key")).withColumn("node", node())
+    return with_roots(ids, small(linked, linked.count())).select("doc_id", "key", "root")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the smallest id of each group of near copies stays."""
-    groups = written(near_groups(docs), "near")
-    kept = groups.groupBy("root").agg(F.min("doc_id").alias("__id")).where("__id is not null").select("__id").distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
-    lone = docs.where("doc_id is null")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
-        return one.unionByName(lone)
-    # a repeated id stays once
-    first = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))))
-    twice = one.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return one.join(repeated, "doc_id", "left_anti").unionByName(twice.select(*docs.columns)).unionByName(lone)
+    with scratch(spark, 2):
+        groups = written(near_groups(docs), "near")
+        rows = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+        best = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__best"))
+        drops = rows.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__best")), "left_anti")
+        drops = written(drops.select("doc_id", "key"), "drops")
+        twice = written(rows.where("n > 1").select("doc_id", "key"), "twice")
+    marked = docs.withColumn("__key", digest())
+
+    def without(df: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        listed = small(listed.select(F.col("doc_id").alias("__id"), F.col("key").alias("__drop")), listed.count())
+        return df.join(listed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__drop")), how)
+
+    kept = without(marked, drops, "left_anti")
+    if twice.isEmpty():
+        return kept.drop("__key")
+    repeated = without(kept, twice, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return without(kept, twice, "left_anti").unionByName(repeated).drop("__key")

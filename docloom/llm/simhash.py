@@ -19,13 +19,13 @@ of their fingerprint; repeated rows stay; other columns are not touched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import utf8, written
@@ -38,25 +38,40 @@ HASH_SEED = 42
 GROUPS = ((0, 21), (21, 42), (42, 64))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text."""
+#: Shingles hashed and summed at a time, so a long text holds no more than its hashes.
+PIECE = 1 << 16
+
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a UTF-8 text, repeats included, in pieces; none for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     line, n = b" ".join(words), max(1, len(words) - shingle + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
-    starts = (ends - lengths + 1)[:n].tolist()
-    stops = ends[min(shingle, len(words)) - 1 :].tolist()
+    starts, stops = (ends - lengths + 1)[:n], ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)])], "<u8")
+    for at in range(0, n, PIECE):
+        part = slice(at, at + PIECE)
+        yield np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts[part].tolist(), stops[part].tolist())], "<u8")
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """Fingerprint of hashes: the bits set in over half of them."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64) if len(bits) < 256 else _column_sums(bits)
+        n += len(hashes)
     return sum(1 << int(i) for i in np.flatnonzero(2 * total > n))
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def _column_sums(bits: np.ndarray) -> np.ndarray:
     """Sums of 0/1 bytes by column: eight columns to a word, 255 rows at a time, so no sum overflows."""
     words = bits.view(np.uint64)
@@ -92,21 +107,51 @@ def variant_masks() -> list[tuple[int, int, int]]:
     return out
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints ``fp`` that differ in RADIUS bits or fewer."""
+def meetings(distinct: DataFrame) -> DataFrame:
+    """(fp, g, variant) of the variants that several of the distinct fingerprints ``fp`` emit.
+
+    Variants are shuffled once; most of them meet nothing and end here.
+    """
     masks = F.array(*[F.struct(F.lit(g).cast("tinyint").alias("g"), F.lit(k).cast("long").alias("k"), F.lit(x).cast("long").alias("x")) for g, k, x in variant_masks()])
     # few bytes become many rows here, so the fingerprints are spread over all partitions first
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     emitted = spread.select("fp", F.explode(masks).alias("m")).select(
         "fp", F.col("m.g").alias("g"), F.col("fp").bitwiseAND(F.col("m.k")).bitwiseXOR(F.col("m.x")).alias("variant")
     )
-    other = emitted.withColumnRenamed("fp", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    met = emitted.withColumnRenamed("fp", "a").join(other, ["g", "variant"]).where((F.col("a") < F.col("b")) & near)
-    return met.select("a", "b").distinct()
+    several = F.count("*").over(Window.partitionBy("g", "variant")) > 1
+    return emitted.withColumn("met", several).where("met").drop("met")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+
+
+def classes(distinct: DataFrame) -> DataFrame:
+    """(node, root) of the distinct fingerprints ``fp`` that link to another, by components of links.
+
+    Fingerprints that meet on a variant differ in two of the kept bits at most. Those whose
+    masked bits agree too are linked, all of them, so a star to the least one stands for the
+    pairs. What is not connected by that is compared with the rest of its variant, and only
+    there, so a family of near fingerprints costs no square of its size.
+    """
+    met = written(meetings(distinct), "met")
+    masked = F.element_at(F.array(*[F.lit(_signed(((1 << high) - 1) ^ ((1 << low) - 1))) for low, high in GROUPS]), F.col("g") + 1)
+    star = Window.partitionBy("g", "variant", "masked")
+    stars = met.withColumn("masked", F.col("fp").bitwiseAND(masked)).withColumn("least", F.min("fp").over(star)).where("fp <> least")
+    stars = written(stars.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct(), "stars")
+    linked = components(stars)
+    rows = met.join(linked, met["fp"] == linked["node"], "left").select("fp", "g", "variant", F.coalesce("root", "fp").alias("root"))
+    bucket = Window.partitionBy("g", "variant")
+    rows = rows.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high")
+    rows = written(rows.select("fp", "g", "variant", "root"), "mixed")
+    main = rows.groupBy("g", "variant", "root").agg(F.count("*").alias("n")).groupBy("g", "variant").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    others = rows.join(main, ["g", "variant"]).where("root <> main").select("g", "variant", F.col("fp").alias("a"), F.col("root").alias("x"))
+    pairs = others.join(rows.select("g", "variant", F.col("fp").alias("b"), F.col("root").alias("y")), ["g", "variant"]).where((F.col("x") != F.col("y")) & near("a", "b"))
+    more = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the smallest node reachable.
 
     Large-star links each larger neighbour to the smallest neighbour, small-star does so
@@ -114,7 +159,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -125,14 +170,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (now.n, now.x) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (now.n, now.x)
-    raise RuntimeError("components did not settle")
 
 
 def with_components(prints: DataFrame) -> DataFrame:
     """(doc_id, fp) -> with component_id, the smallest doc_id reachable by links."""
     prints = written(prints, "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(distinct.select("fp")))
+    linked = classes(distinct.select("fp"))
     # every node of a component has an edge to its root but the root itself
     roots = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

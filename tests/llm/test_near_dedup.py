@@ -56,7 +56,7 @@ def test_pairs_at_the_threshold(spark):
 
 @pytest.mark.parametrize("share, rounds", [(0.75, 4), (0.8, 4), (0.87, 1), (0.95, 1)])
 def test_near_copies_among_texts_with_one_passage(spark, monkeypatch, share, rounds):
-    monkeypatch.setattr(near_dedup, "ROUNDS", rounds, raising=False)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     rng, texts = random.Random(2), []
     passage = words(rng, int(400 * share))
     own = 400 - len(passage)
@@ -67,7 +67,7 @@ def test_near_copies_among_texts_with_one_passage(spark, monkeypatch, share, rou
 
 
 def test_chains_and_rings_of_one_group(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "ROUNDS", 1, raising=False)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     rng, texts = random.Random(4), []
     for edits in (2, 5, 7, 9, 11):
         base = words(rng, 200)
@@ -77,3 +77,51 @@ def test_chains_and_rings_of_one_group(spark, monkeypatch):
                 copy[at] = rng.choice(VOCABULARY)
             texts.append(" ".join(copy))
     assert groups(spark, texts) == brute(texts)
+
+
+def test_whole_table_against_all_pairs(spark):
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    distinct = list(dict.fromkeys(texts))
+    sets = [cut(t) for t in distinct]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    near = {(i, j) for group in where.values() if len(group) < 200 for i, j in combinations(group, 2)}
+    linked = {(i, j) for i, j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert groups(spark, distinct) == [min({i} | reached(linked, i)) for i in range(len(distinct))]
+
+
+def reached(linked, i):
+    found, rest = {i}, {i}
+    while rest:
+        rest = {b for a, b in linked if a in rest} | {a for a, b in linked if b in rest}
+        rest -= found
+        found |= rest
+    return found
+
+
+def test_frequent_shingles_from_the_sample(spark, monkeypatch):
+    """All shingles frequent, none frequent and a small sample give the same groups."""
+    rng, texts = random.Random(7), []
+    passage = words(rng, 60)
+    for _ in range(30):
+        base = words(rng, 30) + passage
+        texts += [" ".join(base), " ".join(base[3:])]
+    want = brute(texts)
+    for frequent, sample in ((1, 20_000), (10_000, 20_000), (2, 10)):
+        monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
+        monkeypatch.setattr(near_dedup, "SAMPLE", sample)
+        assert groups(spark, texts) == want
+
+
+def test_hot_copies(spark):
+    rng = random.Random(8)
+    base = words(rng, 50)
+    near = " ".join([*base[:-1], "other"])
+    rows = [(i, " ".join(base)) for i in range(3000)] + [(3000, near), (3001, " ".join(words(rng, 50)))]
+    out = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 3001]

@@ -24,7 +24,7 @@ def test_fingerprint_by_the_plain_rule():
         assert simhash.fingerprint((t or "").encode()) == plain_fingerprint(t)
 
 
-def test_links_are_all_pairs_within_three_bits(spark):
+def test_classes_are_those_of_all_pairs_within_three_bits(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(60)]
     for p in prints[:30]:
@@ -35,9 +35,19 @@ def test_links_are_all_pairs_within_three_bits(spark):
     prints = sorted(set(prints))
     signed = [simhash._signed(p) for p in prints]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    got = {(r.a, r.b) for r in simhash.links(df).collect()}
-    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
-    assert got == want
+    found = {r.node: r.root for r in simhash.classes(df).collect()}
+    want = simhash.brute_components({s: s & (1 << 64) - 1 for s in signed})
+    assert {s: found.get(s, s) for s in signed} == want
+    assert {k for k, v in found.items() if k == v} == set()
+
+
+def test_a_dense_family_meets_without_all_pairs(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(5))) for _ in range(800)}
+    signed = sorted(simhash._signed(p) for p in prints)
+    found = {r.node: r.root for r in simhash.classes(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    assert {s: found.get(s, s) for s in signed} == simhash.brute_components({s: s & (1 << 64) - 1 for s in signed})
 
 
 def test_components_of_chains_rings_and_stars(spark):
@@ -99,7 +109,15 @@ def test_stage_odd_and_empty(spark):
     docs = odd(spark, True)
     out = near_dedup.stage(spark, docs, "")
     assert out.columns == docs.columns
-    ids = sorted(r.doc_id for r in out.collect() if r.doc_id is not None)
-    assert ids == [-3, 1, 3, 6, 7, 8, 9]
-    assert out.where("doc_id is null").count() == 2
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [-3, 1, 3, 6, 7, 8, 9]
+    assert [r.text for r in rows if r.doc_id is None] == ["no id here"]
     assert near_dedup.stage(spark, none(spark), "").count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(9999)}" for _ in range(30)) for _ in range(3)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[2]), (None, texts[0]), (None, "alone"), (None, "alone")]
+    out = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, "alone")]))
