@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ def ascii_lower(column: Column | str) -> Column:
 
 #: Rows of a bucket of a global order, and key ranges that the driver handles.
 BUCKET_ROWS, MOST_RANGES = 20_000, 1000
+#: Parts into which a bucket that is too large is cut at once.
+CUTS = 32
 #: Buckets up to which a table with one row for each is broadcast: 16 bytes a row.
 MOST_BROADCAST = 1_000_000
 
@@ -56,41 +60,43 @@ def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
     return sorted({x for x in (row.q or []) if x is not None})
 
 
-def bucketed(df: DataFrame, key: str, ties: tuple[str, ...], out: str, rows: int = BUCKET_ROWS) -> tuple[DataFrame, int, int]:
-    """Adds bucket numbers that rise with a long key, and returns buckets and rows.
+def cut_at(cuts: Column, x: Column) -> Column:
+    """A number that rises with x: 2 for each cut point below it, and 1 more if it is one."""
+    return (F.size(F.filter(cuts, lambda c: c <= x)) + F.size(F.filter(cuts, lambda c: c < x))).cast("long")
 
-    Keys are cut into at most MOST_RANGES ranges at their quantiles, and each range evenly
-    into as many buckets as its rows need, so buckets keep their size as the data grow. A
-    range of one key, however many rows have it, is cut by a hash of ``ties``.
+
+def bucketed(df: DataFrame, key: str, tie: str, out: str, rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame, int, int]:
+    """Adds bucket numbers that rise with (key, tie), two long columns without nulls.
+
+    Returns the rows, a table of (bucket, n), and how many buckets and rows there are. Keys
+    are cut at their quantiles into ranges; a range with over twice ``rows`` rows is cut
+    again at its own quantiles, one key at those of the tie, and rows equal in both are dealt
+    at random, until none is left. So no bucket grows with the data, however the keys lie.
     """
     ranges = max(1, min(MOST_RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = range_bounds(df, key, ranges)
-    place = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    df = df.withColumn("__range", place)
-    counted = df.groupBy("__range").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy("__range").collect()
-    first, low, width, parts = {}, {}, {}, {}
-    buckets = 0
-    for r in counted:
-        first[r["__range"]], low[r["__range"]], width[r["__range"]] = buckets, float(r.low), float(r.high) - float(r.low)
-        parts[r["__range"]] = -(-r.n // rows)
-        buckets += parts[r["__range"]]
-    if buckets <= len(counted):
-        number = {r["__range"]: i for i, r in enumerate(counted)}
-        return df.withColumn(out, _looked_up(number, "int")).drop("__range"), buckets, sum(r.n for r in counted)
-    n = _looked_up(parts, "int")
-    mixed = F.pmod(F.xxhash64(*ties), n).cast("int")
-    even = F.least(n - 1, F.floor((F.col(key).cast("double") - _looked_up(low, "double")) / _looked_up(width, "double") * n).cast("int"))
-    part = F.when(n == 1, 0).when(_looked_up(width, "double") == 0, mixed).otherwise(even)
-    return df.withColumn(out, _looked_up(first, "int") + part).drop("__range"), buckets, sum(r.n for r in counted)
-
-
-def _looked_up(values: dict, kind: str) -> Column:
-    """The value of the row's range."""
-    if not values:
-        return F.lit(0).cast(kind)
-    array = F.array(*[F.lit(values.get(i)).cast(kind) for i in range(max(values) + 1)])
-    return F.get(array, F.col("__range"))
-
+    bounds = F.array(*[F.lit(b).cast("long") for b in range_bounds(df, key, ranges)]).cast("array<long>")
+    df = df.withColumn(out, cut_at(bounds, F.col(key)))
+    while True:
+        ends = [f(c).alias(n) for n, f, c in (("low", F.min, key), ("high", F.max, key), ("first", F.min, tie), ("last", F.max, tie))]
+        sizes = written(df.groupBy(out).agg(F.count("*").alias("n"), *ends), "buckets")
+        big = F.col("n") > 2 * rows
+        equal = big & (F.col("low") == F.col("high")) & (F.col("first") == F.col("last"))
+        found = sizes.agg(F.count("*").alias("buckets"), F.sum("n").alias("rows"), F.count_if(big).alias("big"), F.count_if(equal).alias("equal")).first()
+        if not found.big:
+            return df, sizes.select(out, "n"), found.buckets, found.rows or 0
+        over = small(sizes.where(big).select(F.col(out).alias("__big"), (F.col("low") < F.col("high")).alias("__wide"), equal.alias("__equal")), found.big)
+        if found.equal:  # the random numbers must not be drawn twice
+            df = written(df.withColumn("__deal", F.floor(F.rand() * CUTS).cast("long")), "dealt")
+        value = F.when(F.col("__wide"), F.col(key)).otherwise(F.col(tie))
+        points = ", ".join(f"{i / CUTS:.9f}D" for i in range(1, CUTS))
+        cut = df.join(over, F.col(out) == F.col("__big")).select("__big", "__wide", "__equal", value.alias("v"))
+        cuts = cut.groupBy("__big", "__wide", "__equal").agg(F.expr(f"array_distinct(percentile_approx(v, array({points}), 1000))").alias("__cuts"))
+        cuts = small(written(cuts, "cuts"), found.big)
+        part = cut_at(F.col("__cuts"), value)
+        if found.equal:
+            part = F.when(F.col("__equal"), F.col("__deal")).otherwise(part)
+        number = F.col(out) * (2 * CUTS) + F.when(F.col("__big").isNull(), 0).otherwise(part)
+        df = df.join(cuts, F.col(out) == F.col("__big"), "left").withColumn(out, number).drop("__big", "__wide", "__equal", "__cuts", "__deal")
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for a table of a known number of narrow rows, if they are few enough."""
@@ -98,19 +104,47 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def with_row_numbers(df: DataFrame, key: str, out: str, ties: tuple[str, ...], rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """Adds gapless numbers from 0 in the order of a long key (nulls first), and returns the row count.
+    """Adds gapless numbers from 0 in the order of a long key (nulls first) and of ``ties``, and returns the row count.
 
     Each bucket of the order is numbered by itself and shifted by the rows before it, so no
-    task gets the whole order. Rows that share a key are in the order of ``ties``, within the
-    buckets that a heavily repeated key is cut into.
+    task gets the whole order. The first tie is a long.
     """
-    df = df.withColumn("__k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    df, buckets, total = bucketed(df, "__k", ties, "__b", rows)
+    df = df.withColumns({"__k": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__t": F.coalesce(F.col(ties[0]).cast("long"), F.lit(-(1 << 63)))})
+    df, sizes, buckets, total = bucketed(df, "__k", "__t", "__b", rows)
     before = F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = df.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(before, F.lit(0)).alias("__shift"))
+    shifts = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__shift"))
     w = Window.partitionBy("__b").orderBy("__k", *[F.col(c).asc_nulls_first() for c in ties])
     numbered = df.withColumn("__i", F.row_number().over(w).cast("long") - 1).join(small(shifts, buckets), "__b")
-    return numbered.withColumn(out, F.col("__i") + F.col("__shift")).drop("__b", "__k", "__i", "__shift"), total
+    return numbered.withColumn(out, F.col("__i") + F.col("__shift")).drop("__b", "__k", "__t", "__i", "__shift"), total
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, parts: int = 1000) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has one row each, with the number ``n`` of its rows in ``left``.
+
+    Keys of more than a thousandth of all ``rows`` are under a thousand, so they are
+    broadcast, and no key's rows meet in one task.
+    """
+    hot = F.broadcast(right.where(F.col(n) > max(1000, rows // parts)))
+    rest = right.where(F.col(n) <= max(1000, rows // parts))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+#: Bytes of text that a Python worker turns into Python objects at once.
+SLICE_BYTES = 1 << 22
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a text column; a longer text is a slice of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

@@ -14,7 +14,7 @@ never; a larger one is joined by shuffle.
 
 Cases: null texts are empty; texts without a lexicon term are hashed whole, so equal texts
 (letter case A-Z aside) have equal fingerprints; documents are ordered by id (null first),
-repeated ids by text; a single document is its own next one; empty tables give empty
+repeated ids by a hash of the text; a single document is its own next one; empty tables give empty
 results.
 """
 
@@ -62,9 +62,14 @@ def known_terms(texts: DataFrame, column: str, words: DataFrame, out: str, most:
     return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
+def hashed(text: Column) -> Column:
+    """60 bits of a text's MD5, by which documents of one id are ordered."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def with_bits(found: str) -> Column:
     """Terms with the 60 bits of their hash that choose their subsets."""
-    return F.transform(found, lambda t: F.struct(t.alias("term"), F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long").alias("bits")))
+    return F.transform(found, lambda t: F.struct(t.alias("term"), hashed(t).alias("bits")))
 
 
 def in_subset(s: int) -> Callable[[Column], Column]:
@@ -93,16 +98,17 @@ def chained(docs: DataFrame, rows_of_bucket: int = BUCKET_ROWS) -> DataFrame:
     A bucket also gets the first row of the following one (the last bucket that of the
     first), marked by ``flag`` 1, so no row needs another bucket.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"))
-    rows, buckets, _ = bucketed(rows, "k", ("t",), "bucket", rows_of_bucket)
+    t, first = F.coalesce("text", F.lit("")), F.lit(-(1 << 63))
+    rows = docs.select("doc_id", t.alias("t"), F.coalesce(F.col("doc_id").cast("long"), first).alias("k"), hashed(t).alias("h"))
+    rows, _, buckets, _ = bucketed(rows, "k", "h", "bucket", rows_of_bucket)
     order = Window.orderBy("bucket")
-    heads = rows.groupBy("bucket").agg(F.min("k").alias("k"))
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("m")).select("bucket", "m.*")
     back = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(0))))
-    marked = rows.join(small(heads.select("bucket", "k", back.alias("back")), buckets), ["bucket", "k"], "left")
+    marked = rows.join(small(heads.select("bucket", "k", "h", back.alias("back")), buckets), ["bucket", "k", "h"], "left")
     place = lambda b, flag: F.struct(F.col(b).alias("bucket"), F.lit(flag).alias("flag"))
     both = F.when(F.col("back").isNotNull(), F.array(place("bucket", 0), place("back", 1))).otherwise(F.array(place("bucket", 0)))
-    rows = marked.select("doc_id", "k", "t", F.explode(both).alias("p")).select("doc_id", "k", "t", "p.*")
-    within = Window.partitionBy("bucket").orderBy("flag", "k", "t")
+    rows = marked.select("doc_id", "k", "h", "t", F.explode(both).alias("p")).select("doc_id", "k", "h", "t", "p.*")
+    within = Window.partitionBy("bucket").orderBy("flag", "k", "h", "t")
     return rows.select("doc_id", "bucket", "flag", "t", F.row_number().over(within).alias("pos"), F.coalesce(F.lead("t").over(within), F.lit("")).alias("next"))
 
 
@@ -144,8 +150,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 df AS (SELECT term, count(*) AS n FROM (SELECT unnest({words.format('t')}) AS term FROM d) WHERE term <> '' GROUP BY term),
 lex AS (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS bits FROM df, (SELECT count(*) AS c FROM d)
   WHERE n BETWEEN greatest(2, ceil({BAND[0]}::DOUBLE * c)) AND floor({BAND[1]}::DOUBLE * c)),
-o AS (SELECT *, length(t) AS n_chars, lead(t) OVER (ORDER BY doc_id NULLS FIRST, t) AS nx,
-    first_value(t) OVER (ORDER BY doc_id NULLS FIRST, t) AS f, row_number() OVER (ORDER BY doc_id NULLS FIRST, t) AS pos FROM d),
+o AS (SELECT *, length(t) AS n_chars, lead(t) OVER (ORDER BY doc_id NULLS FIRST, md5(t), t) AS nx,
+    first_value(t) OVER (ORDER BY doc_id NULLS FIRST, md5(t), t) AS f, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(t), t) AS pos FROM d),
 e AS (SELECT *, left(t, (n_chars - n_chars // 2)::BIGINT) || left(coalesce(nx, f), (n_chars // 2)::BIGINT) AS edited FROM o),
 v AS (SELECT pos, 0 AS kind, t AS x FROM e UNION ALL SELECT pos, 1, edited FROM e),
 m AS (SELECT pos, kind, list(struct_pack(term := term, bits := bits) ORDER BY term) AS found

@@ -4,11 +4,17 @@ Every source gets a target number of words. A document of a source is expected
 ``target / source_size`` times; the expected copies are prefix-summed within the source in
 order of size, one random offset is added, and a copy is emitted for each integer boundary
 the sum crosses. Ordering by size keeps the words taken within about one largest document
-of the target.
+of the target. Documents of one size are ordered by a hash of id and text.
+
+As all documents of a source are expected equally often, a prefix sum is a row number times
+that expectation; rows are numbered in buckets that keep their size however large a source
+or a size of it is. The table of sources has one row for each and is ordered by one task,
+which is meant for up to some millions of sources.
 
 Cases: null texts have size 0; a null source is a source of its own and comes last; empty
-tables give empty results; repeated rows are sampled as rows of their own; other columns
-pass through if asked for. A source without words has target 0 and takes none.
+tables give empty results; repeated rows are sampled as rows of their own, and those equal
+in id and text are interchangeable; other columns pass through if asked for. A source
+without words has target 0 and takes none.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE_WORD, written
+from docloom.llm.common import SPACE_WORD, small, with_row_numbers, written
 from docloom.session import table
 
 WEIGHTS = (5, 2, 1)
@@ -24,9 +30,6 @@ CAP = 3
 SEED = 20240
 #: Expected copies are integers of this unit, so the sums and their floors are exact.
 UNIT = 1 << 28
-#: Hash cells of one size of a source: rows of one size are numbered in so many tasks.
-CELLS = 16
-
 
 def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORD)), F.lit(0)).cast("long")
@@ -56,44 +59,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def placed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The ``keep`` columns of ``docs``, named k_ and their name, with ``size``, ``source_size``, ``target`` and ``copies``.
-
-    Rows are numbered within (source, size, hash cell). Where a cell starts comes from a
-    histogram of the same three, so rows are shuffled once and no source meets in one task.
-    """
+    """The ``keep`` columns of ``docs``, named k_ and their name, with ``size``, ``source_size``, ``target`` and ``copies``."""
+    name = F.coalesce(F.concat(F.lit("0"), F.col("doc_id").cast("string")), F.lit("1"))
     rows = docs.select(
         *[F.col(c).alias(f"k_{c}") for c in keep],
         F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("key"),
         word_count().alias("size"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("tie"),
+        _hex(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.coalesce(F.md5("text"), F.lit(""))), 15).alias("mark"),
     )
-    rows = rows.withColumn("mark", _hex(F.concat(F.lit(f"{seed}/"), F.col("tie")), 8)).withColumn("cell", F.pmod("mark", F.lit(CELLS)).cast("int"))
-    if "text" not in keep:
-        rows = written(rows, "mix")
-    cells = rows.groupBy("key", "size", "cell").agg(F.count("*").alias("n"))
-    by_size = cells.groupBy("key", "size").agg(F.sum("n").alias("n"))
-    up_to = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.withColumn("before_size", F.coalesce(F.sum("n").over(up_to), F.lit(0))).drop("n")
-    in_size = Window.partitionBy("key", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before_cell", F.coalesce(F.sum("n").over(in_size), F.lit(0))).join(by_size, ["key", "size"])
-
-    sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
-    shares = targets(sizes, weights, cap).withColumn(
+    rows = written(rows, "mix")
+    sizes = written(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
+    shares = targets(sizes.drop("n"), weights, cap).withColumn(
         "step", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("long")
     )
     shares = shares.withColumn("offset", _hex(F.concat(F.lit(f"{seed}:"), F.col("key")), 7))  # below UNIT
-    cells = cells.join(shares, "key").withColumn("start", F.col("before_size") + F.col("before_cell")).drop("n", "before_size", "before_cell")
-
-    within = Window.partitionBy("key", "size", "cell").orderBy("mark", "tie")
-    numbered = rows.withColumn("i", F.row_number().over(within).cast("long")).join(cells, ["key", "size", "cell"])
-    end = F.col("start") + F.col("i")
+    by_key = Window.orderBy("key")
+    starts = sizes.select("key", F.row_number().over(by_key).alias("rank"), (F.sum("n").over(by_key) - F.col("n")).alias("start"))
+    shares = written(shares.join(starts, "key"), "shares")
+    rows = rows.join(small(shares, shares.count()), "key")
+    # sources in turn, sizes of a source rising
+    rows = rows.withColumn("place", F.shiftleft(F.col("rank").cast("long"), 32).bitwiseOR(F.col("size")))
+    numbered, _ = with_row_numbers(rows, "place", "i", ("mark",))
+    i = F.col("i") - F.col("start")
     whole, part = F.expr(f"step div {UNIT}"), F.pmod("step", F.lit(UNIT))
 
     def crossed(i: Column) -> Column:
         """Boundaries passed up to i; whole steps apart, so nothing overflows below 2**35 rows of a source."""
         return F.floor(F.shiftright(i * part + F.col("offset"), 28))
 
-    copies = (whole + crossed(end) - crossed(end - 1)).cast("long")
+    copies = (whole + crossed(i + 1) - crossed(i)).cast("long")
     return numbered.select(*[f"k_{c}" for c in keep], "size", "source_size", "target", copies.alias("copies"))
 
 
@@ -122,9 +116,8 @@ OP1_SQL = f"""
 WITH rows_ AS (
   SELECT doc_id, coalesce('0' || source, '1') AS key,
     CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
-    coalesce(doc_id::VARCHAR, '') AS tie FROM documents),
-marked AS (SELECT *, ('0x' || substr(md5('{SEED}/' || tie), 1, 8))::BIGINT AS mark FROM rows_),
-sizes AS (SELECT key, sum(size)::BIGINT AS source_size FROM marked GROUP BY key),
+    ('0x' || substr(md5('{SEED}/' || coalesce('0' || doc_id::VARCHAR, '1') || '/' || coalesce(md5(text), '')), 1, 15))::BIGINT AS mark FROM documents),
+sizes AS (SELECT key, sum(size)::BIGINT AS source_size FROM rows_ GROUP BY key),
 ranked AS (SELECT key, source_size, {CAP} * source_size AS most,
     ([5, 2, 1])[((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS weight FROM sizes),
 levels AS (SELECT *, ((sum(source_size) OVER () - coalesce(sum(most) OVER w, 0))::DOUBLE
@@ -134,8 +127,8 @@ shares AS (SELECT key, source_size, least(weight * (SELECT max(level) FROM level
 steps AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * {UNIT} + 0.5) ELSE 0 END::BIGINT AS step,
     ('0x' || substr(md5('{SEED}:' || key), 1, 7))::BIGINT AS off FROM shares),
 placed AS (SELECT m.*, s.source_size, s.target, s.step, s.off,
-    row_number() OVER (PARTITION BY m.key ORDER BY m.size, m.mark % {CELLS}, m.mark, m.tie) AS i
-  FROM marked m JOIN steps s USING (key))
+    row_number() OVER (PARTITION BY m.key ORDER BY m.size, m.mark) AS i
+  FROM rows_ m JOIN steps s USING (key))
 SELECT doc_id, size, source_size, target,
   (size * ((i::HUGEINT * step + off) // {UNIT} - ((i - 1)::HUGEINT * step + off) // {UNIT}))::BIGINT AS taken
 FROM placed

@@ -11,7 +11,7 @@ def lower(t):
 
 def brute(rows: list[tuple], band=imatch.BAND) -> dict:
     """Fingerprints by the plain rule: (doc_id, text) -> by position in order."""
-    docs = sorted(((i, t or "") for i, t, *_ in rows), key=lambda d: (d[0] is not None, d[0] or 0, d[1].encode()))
+    docs = sorted(((i, t or "") for i, t, *_ in rows), key=lambda d: (d[0] is not None, d[0] or 0, hashlib.md5(d[1].encode()).hexdigest()))
     cut = lambda t: {w for w in re.split(imatch.WORD_BREAKS, lower(t)) if w}
     df: dict[str, int] = {}
     for _, t in docs:
@@ -75,3 +75,10 @@ def test_empty_and_single(spark, tmp_path):
     assert imatch.op5_imatch(spark, save(none(spark), tmp_path, "documents")).count() == 0
     one = imatch.prints(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_one_id_holds_many_rows(spark):
+    rows = [(None if i % 3 else i, f"text {i % 40} of {i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rows_of_bucket in (5, 20_000):
+        assert got(imatch.prints(df, rows_of_bucket=rows_of_bucket)) == sorted(brute(rows), key=repr)

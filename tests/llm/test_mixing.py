@@ -91,3 +91,20 @@ def test_all_null_sources(spark):
     df = spark.createDataFrame([(i, "a b", None) for i in range(5)], "doc_id long, text string, source string")
     rows = mixing.mix(df, ("doc_id",)).collect()
     assert all(r.copies == 1 and r.target == 10 for r in rows)
+
+
+def test_rows_without_ids_and_one_id_of_many_texts(spark, tmp_path):
+    texts = [f"{'w ' * (i % 3 + 1)}t{i}" for i in range(900)]
+    df = spark.createDataFrame([(None if i % 2 else 5, t, "en", "s" if i % 3 else None, 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = save(df, tmp_path, "documents")
+    rows = mixing.op1_mix(spark, folder).collect()
+    sizes = defaultdict(int)
+    for d in df.collect():
+        sizes[d.source] += words(d.text)
+    want = fill(sizes)
+    assert len(rows) == 900 and all(r.taken <= 3 * r["size"] for r in rows)
+    for s, target in want.items():
+        taken = sum(r.taken for r in rows if r.source_size == sizes[s])
+        assert abs(taken - target) <= 5
+    kept = lambda: sorted(r.text for r in mixing.stage(spark, df.repartition(3), "").collect())
+    assert kept() == kept()

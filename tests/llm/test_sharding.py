@@ -69,3 +69,19 @@ def test_numbers_with_small_buckets(spark):
         got = sorted((r.i, r.k) for r in numbered.collect())
         assert total == len(keys) and [i for i, _ in got] == list(range(total))
         assert [k for _, k in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+
+
+def test_buckets_keep_their_size_however_keys_lie(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.llm.common import bucketed
+
+    clustered = [*range(3000), 1 << 60]
+    one_key = [7] * 2000 + [8, 9]
+    for keys, ties in ((clustered, clustered), (one_key, range(2002)), (one_key, [1] * 2002), ([1 << i % 60 for i in range(2000)], range(2000))):
+        df = spark.createDataFrame(list(zip(keys, ties)), "k long, t long")
+        out, sizes, buckets, rows = bucketed(df, "k", "t", "b", 100)
+        got = out.groupBy("b").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.min("t").alias("first")).orderBy("b").collect()
+        assert rows == len(keys) and buckets == len(got) and max(r.n for r in got) <= 200
+        assert {(r.b, r.n) for r in got} == {(r.b, r.n) for r in sizes.collect()}
+        assert all(x.high < y.low or x.high == y.low and x["first"] <= y["first"] for x, y in zip(got, got[1:]))
