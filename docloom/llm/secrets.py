@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.common import sliced, utf8
 from docloom.session import table
 
 # Fixed values: (kind, regex, letters in either case, group whose length counts, least length).
@@ -213,12 +214,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = scanner.scan([x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
-                rows = [[{"kind": RULES[k][0], "start": a, "end": b} for a, k, b in spans] for spans in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, span)], ["doc_id", "spans"])
+        for part in sliced(batches, 1):
+            rows = [[{"kind": RULES[k][0], "start": a, "end": b} for a, k, b in spans] for spans in scanner.scan(list(utf8(part.column(1))))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, span)], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, spans array<struct<kind:string,start:long,end:long>>")
 
