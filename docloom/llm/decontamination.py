@@ -8,9 +8,10 @@ symbols in a wavelet tree. All phrases are searched backwards at once through it
 and their occurrences are located by walking to sampled suffix positions. Occurrences are
 merged into removal spans.
 
-The benchmark's phrases go to the tasks in blocks of at most ``BLOCK_WORDS`` words; more
-words mean more blocks, each searched in turn over the shard, so no broadcast outgrows its
-bound.
+The benchmark's phrases go to the tasks in blocks of about ``BLOCK_WORDS`` words, one block
+at a time: what is found with a block is written before the next one is sent. A long item is
+cut into pieces that overlap by a window less one word, so neither a broadcast nor a task's
+memory grows with the benchmark.
 
 Cases: null texts have no words; an item without words has no window; an item of fewer than
 ``WINDOW`` words is one window; items without an id mark words but are not named; repeated
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.llm.common import SCAN_TABLE, scan_words, sql_words
+from docloom.llm.common import SCAN_TABLE, WORD_BREAKS, ascii_lower, scan_words, sliced, sql_words, utf8, written
 from docloom.session import table
 
 WINDOW = 10
@@ -184,8 +185,8 @@ class Phrases:
         return phrase, place[index.locate(rows)]
 
 
-def search_shard(texts: list[bytes], blocks: list[Phrases]) -> tuple[list[int], list[list[tuple[int, int]]], list[list]]:
-    """Words, merged removal spans and named items of each document."""
+def search_shard(texts: list[bytes], block: Phrases, had: list[tuple[list, list]] | None = None) -> tuple[list[int], list[list[tuple[int, int]]], list[list]]:
+    """Words, merged removal spans and named items of each document; ``had`` are spans and items found before."""
     words = [scan_words(x) for x in texts]
     n = [len(w) for w in words]
     # one place before each document, so spans of two never touch
@@ -193,18 +194,22 @@ def search_shard(texts: list[bytes], blocks: list[Phrases]) -> tuple[list[int],
     total = int(sum(n)) + len(n)
     hit = np.zeros(total + 1, np.int32)
     named: list[set] = [set() for _ in texts]
-    for block in blocks:
-        get = block.symbol.get
-        symbols = np.zeros(total, np.int64)
-        for begin, w in zip(begins, words):
-            symbols[begin : begin + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-        phrase, start = block.search(symbols)
-        np.add.at(hit, start, 1)
-        np.add.at(hit, start + block.lengths[phrase], -1)
-        doc = np.searchsorted(begins, start, side="right") - 1
-        for pair in np.unique(doc * np.int64(len(block.items) + 1) + phrase):
-            d, p = divmod(int(pair), len(block.items) + 1)
-            named[d].update(block.items[p])
+    for d, (spans, items) in enumerate(had or []):
+        named[d].update(items)
+        for span in spans:
+            hit[begins[d] + span["start"]] += 1
+            hit[begins[d] + span["end"]] -= 1
+    get = block.symbol.get
+    symbols = np.zeros(total, np.int64)
+    for begin, w in zip(begins, words):
+        symbols[begin : begin + len(w)] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
+    phrase, start = block.search(symbols)
+    np.add.at(hit, start, 1)
+    np.add.at(hit, start + block.lengths[phrase], -1)
+    doc = np.searchsorted(begins, start, side="right") - 1
+    for pair in np.unique(doc * np.int64(len(block.items) + 1) + phrase):
+        d, p = divmod(int(pair), len(block.items) + 1)
+        named[d].update(block.items[p])
     covered = np.diff(np.concatenate([[0], (np.cumsum(hit) > 0).astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -213,12 +218,25 @@ def search_shard(texts: list[bytes], blocks: list[Phrases]) -> tuple[list[int],
     return n, spans, [sorted(x) for x in named]
 
 
-def read_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[list]:
-    """The items in blocks of about ``block_words`` words of text each, by hash of the id."""
-    letters = benchmark.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    blocks = int(letters // (2 * block_words)) + 1  # words have two characters at least, with their gap
-    part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    return [[(r[0], r[1]) for r in benchmark.where(part == i).select("item_id", "text").collect()] for i in range(blocks)]
+def pieces(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """(item_id, at, words) of the items: runs of at most ``block_words`` words and a window, which hold every window once or more."""
+    split = F.filter(F.split(ascii_lower("text"), WORD_BREAKS), lambda w: w != "")
+    items = benchmark.select("item_id", split.alias("w")).where(F.size("w") > 0)
+    starts = F.expr(f"sequence(0, greatest(0, size(w) - {window}), {block_words})")
+    each = items.select("item_id", "w", F.explode(starts).alias("at"))
+    return each.select("item_id", "at", F.slice("w", F.col("at") + 1, F.lit(block_words + window - 1)).alias("words"))
+
+
+def read_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
+    """The phrases in blocks of about ``block_words`` words, one after the other."""
+    held = written(pieces(benchmark, window, block_words), "pieces")
+    blocks = int(-(-(held.agg(F.sum(F.size("words")).alias("n")).first().n or 0) // block_words)) or 1
+    if blocks > 1:
+        held = held.withColumn("block", F.pmod(F.xxhash64("item_id", "at"), F.lit(blocks)).cast("int"))
+        held = written(held.repartitionByRange("block").sortWithinPartitions("block"), "pieces")  # a block is read alone
+    for i in range(blocks):
+        part = held.where(F.col("block") == i) if blocks > 1 else held
+        yield Phrases([(r["item_id"], " ".join(r["words"])) for r in part.select("item_id", "words").collect()], window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
@@ -227,18 +245,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     The names get ``prefix``; they take the place of columns so named.
     """
     names = [prefix + n for n in ("n_words", "spans", "items")]
-    docs = docs.drop(*names)
-    sc = docs.sparkSession.sparkContext
-    item_type = benchmark.schema["item_id"].dataType
-    blocks = [sc.broadcast(Phrases(b, window)) for b in read_blocks(benchmark, window, block_words)]
+    out, plain = None, docs.drop(*names)
+    for block in read_blocks(benchmark, window, block_words):
+        found = plain if out is None else written(out, "decontaminated")
+        out = _search(found, block, names, benchmark.schema["item_id"].dataType, shard_words)
+    return out
+
+
+def _search(docs: DataFrame, block: Phrases, names: list[str], item_type: T.DataType, shard_words: int) -> DataFrame:
+    """``docs`` with the three columns, added or completed by what a block has."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    width, again = len(docs.columns), names[0] in docs.columns
+    width -= 3 * again
     added = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), SPAN, T.ArrayType(item_type)))])
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], *added])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema.fields[:width]], *added])
     arrow = to_arrow_schema(schema)
-    text_at, width = docs.columns.index("text"), len(docs.columns)
+    text_at = docs.columns.index("text")
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [x or b"" for b in held for x in b.column(text_at).cast(pa.binary()).to_pylist()]
-        n, spans, items = search_shard(texts, [b.value for b in blocks])
+        texts = [x for b in held for x in utf8(b.column(text_at))]
+        had = [pair for b in held for pair in zip(b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist())] if again else None
+        n, spans, items = search_shard(texts, sent.value, had)
         at = 0
         for b in held:
             part = slice(at, at + b.num_rows)
@@ -248,18 +275,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
                 pa.array([[{"start": x, "end": y} for x, y in s] for s in spans[part]], arrow.field(width + 1).type),
                 pa.array(items[part], arrow.field(width + 2).type),
             ]
-            yield pa.RecordBatch.from_arrays([*[c.cast(arrow.field(i).type) for i, c in enumerate(b.columns)], *new], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*[c.cast(arrow.field(i).type) for i, c in enumerate(b.columns[:width])], *new], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                held.append(part)
-                size += part.column(text_at).nbytes // 6
-                if size >= shard_words:
-                    yield from flush(held)
-                    held, size = [], 0
+        for part in sliced(batches, text_at, 6 * max(1, shard_words // 16)):
+            held.append(part)
+            size += part.column(text_at).nbytes // 6
+            if size >= shard_words:
+                yield from flush(held)
+                held, size = [], 0
         if held:
             yield from flush(held)
 
@@ -279,6 +304,13 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """``docs`` with the removal spans cut out of their texts; the others pass as they are."""
+    cut = F.udf(lambda text, spans: remove_spans(text, spans) if spans else text, "string", useArrow=True)
+    found = scan(docs, benchmark, prefix="__", **settings)
+    return found.withColumn("text", cut("text", "__spans")).select(*docs.columns)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items of every document."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))

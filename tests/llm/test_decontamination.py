@@ -47,7 +47,7 @@ def test_shards_against_brute_force(spark):
         docs.append((i, text))
     docs.append((200, None))
     frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
-    for shard_words, block_words in ((50, 10), (D.SHARD_WORDS, D.BLOCK_WORDS)):
+    for shard_words, block_words in ((50, 40), (10_000, 7), (D.SHARD_WORDS, D.BLOCK_WORDS)):
         rows = {r.doc_id: r for r in D.scan(frame, benchmark, shard_words=shard_words, block_words=block_words).collect()}
         for doc_id, text in docs:
             n, hit, digest = D.brute_scan(text, items)
@@ -79,3 +79,23 @@ def test_empty_tables(spark, tmp_path):
     assert D.op4_decontaminate(spark, folder).count() == 0
     save(odd(spark), tmp_path, "documents")
     assert not any(r.contaminated for r in D.op4_decontaminate(spark, folder).collect())
+
+
+def test_an_item_longer_than_a_block(spark):
+    rng = random.Random(9)
+    w = [f"w{rng.randrange(50)}" for _ in range(600)]
+    benchmark = spark.createDataFrame([(1, " ".join(w)), (2, "w1 w2")], ITEMS)
+    blocks = list(D.read_blocks(benchmark, block_words=100))
+    assert len(blocks) > 1 and max(len(b.rows) for b in blocks) < 400
+    docs = [(i, " ".join([*("zz" for _ in range(i % 7)), *w[i * 9 : i * 9 + 12]])) for i in range(60)]
+    rows = {r.doc_id: r for r in D.scan(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, block_words=100).collect()}
+    for i, text in docs:
+        n, hit, _ = D.brute_scan(text, [(1, " ".join(w)), (2, "w1 w2")])
+        assert (rows[i].n_words, sum(s.end - s.start for s in rows[i].spans)) == (n, hit)
+
+
+def test_cleaned_texts_hold_no_window(spark):
+    passage = "alpha beta gamma delta one two three four five six seven"
+    docs = spark.createDataFrame([(1, f"Keep this. {passage.title()}! And that."), (2, "clean text"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in D.cleaned(docs, spark.createDataFrame([(1, passage)], ITEMS)).collect()}
+    assert out == {1: "Keep this. ! And that.", 2: "clean text", 3: None}
