@@ -1,15 +1,19 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Base kinds are found by pattern: email, ip, card (Luhn) and phone. They are the seeds. The
-word that stands before an identifier is its lexical pattern. Patterns and instances (the
-identifiers' values) form a graph, scored in turns: a pattern's confidence is the score of
-its distinct instances over their number and a smoothing constant, an instance that is no
-seed gets the greatest confidence of its patterns. After ``ROUNDS`` turns the patterns with
-enough distinct seeds and confidence discover identifiers that no base kind matches: tokens
-with ``LEAST_DIGITS`` digits or more behind such a word. They are added as kind context.
-
-Positions come from the texts between matches, as Spark's regex functions give none. The
-regexes take each run of characters once, so long runs cost no more than their length.
+Base kinds are found by pattern: email, ip, card (Luhn) and phone. They are the seeds.
+Identifiers that no base kind matches are sought among the white-space tokens with
+``LEAST_DIGITS`` digits or a leading @ that touch no base span. Each occurrence of a seed or a
+token has three lexical patterns: the word before it, the words before and after it, and the
+word before it with its shape (runs of digits and letters shortened). Patterns and instances
+(the values) form a graph, scored in turns: a pattern's confidence is the score of its distinct
+instances over their number and a smoothing constant, an instance that is no seed gets the
+greatest confidence of its patterns. So a pattern can also be learnt from instances that other
+patterns discovered. After ``ROUNDS`` turns the patterns with enough score and confidence
+discover the tokens that stand in them; these are added as kind context.
+
+Matches are exploded and placed by running sums, as Spark's regex functions give no positions;
+a text with many numbers costs no more than sorting them. The regexes take each run of
+characters once, so long runs cost no more than their length.
 
 Cases: null texts are empty; matches that fail a check are dropped without a retry; contexts
 without a letter are no pattern; repeated rows and null ids stay, as rows are told apart by
@@ -21,10 +25,10 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, written
+from docloom.llm.common import ascii_lower, split_join, written
 from docloom.session import table
 
 # Base kinds in order, as Java regexes that take runs whole (see _PLAIN for their plain form).
@@ -41,16 +45,15 @@ _PLAIN = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: White-space tokens with a digit.
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: White-space tokens with a digit or a leading @.
+_TOKEN = r"(?<![^\x09-\x0D\x20])(?:@[^\x09-\x0D\x20]++|[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+)"
 CONTEXT = "context"
 CONTEXT_CHARS = 48
 LEAST_DIGITS = 6
 ROUNDS = 3
 SMOOTHING = 2.0
-LEAST_SEEDS = 3
+LEAST_SCORE = 3.0
 CONFIDENCE = 0.5
-MOST_BROADCAST = 100_000
 
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -77,81 +80,88 @@ def _luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _word(text: Column, side: int) -> Column:
+    """The first (1) or last (-1) word of a text, its letters alone, A-Z lowered."""
+    trim, cut = (F.ltrim, F.left) if side > 0 else (F.rtrim, F.right)
+    near = trim(F.translate(cut(text, F.lit(CONTEXT_CHARS)), "\t\n\r", "   "))
+    return ascii_lower(F.regexp_replace(F.substring_index(near, " ", side), r"[^\p{L}]", ""))
+
+
 def extract(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, m_kind, g_kind, ...): matches of each kind, and the length and last word of each gap before them."""
+    """(row, doc_id, m_kind, g_kind, ...): matches of each kind, and the length, last and first word of the gaps around them."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    has = {"email": F.col("t").contains("@"), "ip": F.col("t").rlike(r"[0-9]\.[0-9]"), "card": F.col("t").rlike("[0-9]"), "phone": F.col("t").contains("+"), "token": F.col("t").rlike("[0-9]")}
+    has = {"email": F.col("t").contains("@"), "ip": F.col("t").rlike(r"[0-9]\.[0-9]"), "card": F.col("t").rlike("[0-9]"), "phone": F.col("t").contains("+"), "token": F.col("t").rlike("[0-9@]")}
     columns = []
     for name, pattern in [*_PATTERNS.items(), ("token", _TOKEN)]:
         found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
         columns.append(F.when(has[name], found).otherwise(F.array().cast("array<string>")).alias(f"m_{name}"))
-        # the last word before the match, whether white space parts them or not
-        gaps = F.transform(
-            F.split("t", pattern, -1),
-            lambda g: F.struct(
-                F.length(g).alias("n"),
-                ascii_lower(F.regexp_replace(F.substring_index(F.rtrim(F.translate(F.right(g, F.lit(CONTEXT_CHARS)), "\t\n\r", "   ")), " ", -1), r"[^\p{L}]", "")).alias("w"),
-            ),
-        )
-        columns.append(F.when(has[name], gaps).otherwise(F.array().cast("array<struct<n:int,w:string>>")).alias(f"g_{name}"))
+        gaps = F.transform(F.split("t", pattern, -1), lambda g: F.struct(F.length(g).alias("n"), _word(g, -1).alias("last"), _word(g, 1).alias("first")))
+        columns.append(F.when(has[name], gaps).otherwise(F.array().cast("array<struct<n:int,last:string,first:string>>")).alias(f"g_{name}"))
     return written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns), "pii")
 
 
-def _placed(name: str, kind: int) -> Column:
-    """Matches of one kind as structs (start, kind, end, value, word), in order; starts are sums of what stands before."""
-    item = "struct(a.at + g.n AS start, {k} AS kind, a.at + g.n + length(m) AS end, m AS value, g.w AS word)"
-    step = item.format(k=kind).replace("g.n", f"g_{name}[i].n").replace("g.w", f"g_{name}[i].w").replace("length(m)", f"length(m_{name}[i])").replace("m AS value", f"m_{name}[i] AS value")
-    empty = "CAST(array() AS array<struct<start:int,kind:int,end:int,value:string,word:string>>)"
-    return F.expr(
-        f"CASE WHEN size(m_{name}) = 0 THEN {empty} ELSE aggregate(sequence(0, size(m_{name}) - 1), struct(0 AS at, {empty} AS out), "
-        f"(a, i) -> struct(a.at + g_{name}[i].n + length(m_{name}[i]) AS at, concat(a.out, array({step})) AS out), a -> a.out) END"
-    )
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, tokens): checked base spans in order, and digit tokens that touch none of them."""
-    found = extract(docs)
-    placed = found.select("row", "doc_id", *[_placed(k, i).alias(f"p_{k}") for i, k in enumerate(KINDS)], _placed("token", len(KINDS)).alias("p_token"))
-    placed = written(placed, "pii")
-    checked = [F.filter(f"p_{k}", _checker(k)) for k in KINDS]
-    base = placed.select("row", "doc_id", "p_token", F.array_sort(F.concat(*checked)).alias("base"))
-    digits = F.expr(f"filter(p_token, t -> length(regexp_replace(t.value, '[^0-9]', '')) >= {LEAST_DIGITS} AND NOT exists(base, b -> b.start < t.end AND t.start < b.end))")
-    return written(base.withColumn("tokens", digits).drop("p_token"), "pii")
-
-
-def _checker(kind: str):
-    return lambda x: _valid(kind, x["value"])
+def hits(found: DataFrame) -> DataFrame:
+    """(row, kind, start, end, value, before, after): checked base spans, and tokens (kind 4) that touch none of them."""
+    zipped = "array<struct<value:string,gap:struct<n:int,last:string,first:string>>>"
+    kinds = [F.struct(F.lit(i).alias("kind"), F.when(F.size(f"m_{k}") > 0, F.arrays_zip(f"m_{k}", f"g_{k}").cast(zipped)).alias("z")) for i, k in enumerate((*KINDS, "token"))]
+    each = found.select("row", F.explode(F.array(*kinds)).alias("k")).select("row", "k.kind", F.posexplode("k.z").alias("i", "x"))
+    along = Window.partitionBy("row", "kind").orderBy("i")
+    size = F.coalesce(F.length("x.value"), F.lit(0))
+    placed = each.repartition("row").select(
+        "row", "kind", "x.value", F.col("x.gap.last").alias("before"), F.lead("x.gap.first").over(along).alias("after"), F.sum(F.col("x.gap.n") + size).over(along).cast("int").alias("end")
+    )  # the last gap has no match
+    placed = placed.where("value is not null").withColumn("start", F.col("end") - F.length("value"))
+    good = F.coalesce(*[F.when(F.col("kind") == i, _valid(k, F.col("value"))) for i, k in enumerate(KINDS)])
+    base = F.col("kind") < len(KINDS)
+    token = ~base & (F.col("value").startswith("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= LEAST_DIGITS))
+    kept = placed.where(F.when(base, good).otherwise(token))
+    # a token touches a base span that begins no later and ends behind its start, or that begins inside it
+    up = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = kept.withColumns({"reach": F.max(F.when(base, F.col("end"))).over(up), "next": F.min(F.when(base, F.col("start"))).over(down)})
+    free = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return written(kept.where(base | free).select("row", "kind", "start", "end", "value", "before", "after"), "pii")
+
+
+def contexts() -> Column:
+    """The patterns of an occurrence: its word before, both words, and the word before with the value's shape."""
+    shape = F.regexp_replace(F.regexp_replace("value", "[0-9]+", "9"), r"\p{L}+", "a")
+    both = F.when(F.col("after") != "", F.concat(F.lit("b "), F.col("before"), F.lit(" "), F.col("after")))
+    named = F.array(F.concat(F.lit("l "), F.col("before")), both, F.concat(F.lit("s "), F.col("before"), F.lit(" "), shape))
+    return F.when(F.col("before") != "", F.array_compact(named)).otherwise(F.array().cast("array<string>"))
 
 
 def patterns(found: DataFrame) -> DataFrame:
-    """(word, confidence, seeds) of the patterns that discover, after ROUNDS turns over the graph."""
-    each = found.select(F.explode(F.concat(F.transform("base", lambda b: F.struct(b["word"].alias("word"), b["value"].alias("value"), F.lit(1).alias("seed"))), F.transform("tokens", lambda t: F.struct(t["word"].alias("word"), t["value"].alias("value"), F.lit(0).alias("seed"))))).alias("x"))
-    edges = each.select("x.*").where("word <> ''").groupBy("word", F.xxhash64("value").alias("instance")).agg(F.max("seed").alias("seed"))
+    """(pattern, confidence, score, n) of the patterns that discover, after ROUNDS turns over the graph."""
+    seed = F.max((F.col("kind") < len(KINDS)).cast("int")).alias("seed")
+    edges = found.select("kind", "value", F.explode(contexts()).alias("pattern")).groupBy("pattern", F.xxhash64("value").alias("instance")).agg(seed)
     edges = written(edges, "pii")
+    rows = edges.count()
     # an instance that is a seed anywhere is one everywhere
-    scores = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.max("seed").alias("known"))
+    known = F.max("seed").alias("known")
+    scores = edges.groupBy("instance").agg(known).withColumn("score", F.col("known").cast("double"))
     scored = None
     for _ in range(ROUNDS):
-        scored = edges.join(scores, "instance").groupBy("word").agg(
-            (F.sum(F.round(F.col("score"), 9).cast("decimal(20,9)")).cast("double") / (F.count("*") + SMOOTHING)).alias("confidence"), F.sum("known").alias("seeds")
-        )
-        scored = written(scored, "pii")
-        best = edges.join(scored, "word").groupBy("instance").agg(F.max("seed").alias("known"), F.max("confidence").alias("best"))
-        scores = best.select("instance", F.when(F.col("known") == 1, F.lit(1.0)).otherwise(F.col("best")).alias("score"), "known")
-        scores = written(scores, "pii")
-    return scored.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("confidence") >= CONFIDENCE))
+        total = F.sum(F.round(F.col("score"), 9).cast("decimal(20,9)")).cast("double")
+        scored = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern").agg(total.alias("score"), F.count("*").alias("n"))
+        scored = written(scored.withColumn("confidence", F.col("score") / (F.col("n") + SMOOTHING)), "pii")
+        best = split_join(edges, scored.select("pattern", "confidence", "n"), "pattern", "n", rows).groupBy("instance").agg(known, F.max("confidence").alias("best"))
+        scores = written(best.select("instance", "known", F.when(F.col("known") == 1, F.lit(1.0)).otherwise(F.col("best")).alias("score")), "pii")
+    return scored.where((F.col("score") >= LEAST_SCORE) & (F.col("confidence") >= CONFIDENCE))
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, more): base spans and discovered ones of each document."""
-    found = spans(docs)
-    good = written(patterns(found), "pii").select("word")
-    if good.count() <= MOST_BROADCAST:
-        good = F.broadcast(good)
-    tokens = found.select("row", F.explode("tokens").alias("t")).withColumn("word", F.col("t.word")).join(good, "word")
-    more = tokens.groupBy("row").agg(F.array_sort(F.collect_list("t")).alias("more"))
-    empty = F.array().cast(found.schema["tokens"].dataType)
-    return found.join(more, "row", "left").select("doc_id", "base", F.coalesce("more", empty).alias("more"))
+    """(doc_id, base, more): base spans and discovered ones of each document, as (start, kind, end) in order."""
+    all_rows = extract(docs)
+    found = hits(all_rows)
+    good = written(patterns(found).select("pattern", "n"), "pii")
+    tokens = found.where(F.col("kind") == len(KINDS)).select("row", "start", "kind", "end", F.explode(contexts()).alias("pattern"))
+    more = split_join(tokens, good, "pattern", "n", tokens.count()).select("row", "start", "kind", "end").distinct()
+    every = found.where(F.col("kind") < len(KINDS)).select("row", "start", "kind", "end").unionByName(more)
+    spans = every.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    out = all_rows.select("row", "doc_id").join(spans, "row", "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    return out.select("doc_id", F.filter("spans", lambda x: x["kind"] < len(KINDS)).alias("base"), F.filter("spans", lambda x: x["kind"] == len(KINDS)).alias("more"))
 
 
 def digest(found: DataFrame) -> DataFrame:
