@@ -1,27 +1,27 @@
 """Quality classifier: random-indexing word vectors, pooled, and a small network.
 
-Every token has a sparse ternary index vector drawn from a hash of it. A word's vector is
-the sum of the index vectors of its neighbours over the sample (random indexing), for the
-words that enough sample documents share; a token's shape (letter case, digits and
-punctuation, runs shortened) has an index vector of its own. A document is the mean of its
-tokens' vectors, their spread, the norms of the mean, its length, and how far its tokens
-repeat. A two-layer network gives a logit, and a temperature fitted on rows kept apart from
-training makes it a probability.
-
-The model is fitted on a bounded sample: at most ``TRAIN_ROWS`` labelled documents, chosen
-by hash of the id among those whose CRC-32 of the id modulo 5 is not 0. Word vectors come
-from the same sample, at most ``VOCABULARY`` words. Features are computed on executors from
-whole texts; the driver gets the sample's features and the word vectors, both of bounded
-size. Every document is scored.
+Words are hashed to ``BUCKETS`` buckets, each with a sparse ternary index vector. A bucket's
+word vector is the sum of the index vectors of its words' neighbours over all documents
+(random indexing), so no word is left out and the table has one size whatever the corpus. A
+token's shape (letter case, digits and punctuation, runs shortened) has an index vector of its
+own. A document is the mean of its tokens' vectors, their spread, the norms of the mean, its
+length, and how far its tokens repeat. A two-layer network gives a logit, and a temperature
+fitted on rows kept apart from training makes it a probability.
+
+The network is fitted on a bounded sample: at most ``TRAIN_ROWS`` labelled documents, chosen
+by hash of the id among those whose CRC-32 of the id modulo 5 is not 0. Features are computed
+on executors from whole texts; the driver gets the sample's features and the table of word
+vectors, both of bounded size. Every document is scored.
 
 Cases: null and empty texts have zero features and the score that follows from them; rows
-without an id count as held out and never train; labels that are null,
-contradictory or of missing documents are left out of the fit; without both classes the
-score is the share of label 1 (0.5 without labels).
+without an id count as held out and never train; labels that are null, contradictory or of
+missing documents are left out of the fit; of repeated ids one row trains; without both
+classes the score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,23 +32,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docloom.llm.common import written
+from docloom.llm.common import sliced, utf8
 from docloom.session import table
 
 DIMS = 32
 NONZERO = 4
 CONTEXT = 2
+#: Powers of two: buckets of words and of shapes.
+BUCKETS, SHAPE_BUCKETS = 1 << 15, 1 << 12
 TRAIN_ROWS = 8000
-VOCABULARY = 20000
-MIN_DOCS = 5
 HIDDEN = 32
 EPOCHS = 60
 THRESHOLD = 0.3
 SEED = 9
-#: Distinct tokens whose vectors a task keeps; beyond that it starts anew, with equal results.
-KEPT_TOKENS = 50_000
-#: Documents whose texts and features a task holds at once, and tokens of a text.
-SLICE, PIECE = 256, 1 << 13
+#: Tokens whose codes a task keeps; beyond that it starts anew, with equal results.
+KEPT_TOKENS = 200_000
+#: Tokens that are looked up in the tables at once.
+PIECE = 1 << 16
 
 #: Mean and spread of both vectors, two norms, log length, adjacent repeats, concentration.
 FEATURES = 4 * DIMS + 5
@@ -58,66 +58,68 @@ SHAPES = bytes(
     88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256)
 )
 MARKS = bytes(c for c in range(33, 127) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
+_RUN = re.compile(rb"(.)\1+", re.S)
 
 
-def index_vector(token: bytes) -> np.ndarray:
-    """Sparse ternary vector of a token: NONZERO places get +1 or -1."""
-    out, h = np.zeros(DIMS, np.float32), zlib.crc32(token, SEED)
-    for i in range(NONZERO):
-        h = zlib.crc32(h.to_bytes(4, "little"), i + 1)
-        out[(h >> 8) % DIMS] += 1.0 if h & 1 else -1.0
+def index_vectors(rows: int, seed: int) -> np.ndarray:
+    """Sparse ternary vectors: NONZERO random places of each row get +1 or -1."""
+    rng = np.random.default_rng(seed)
+    out = np.zeros((rows, DIMS), np.int8)
+    at, sign = rng.integers(0, DIMS, (rows, NONZERO)), rng.choice(np.array([-1, 1], np.int8), (rows, NONZERO))
+    np.add.at(out, (np.arange(rows)[:, None], at), sign)
     return out
 
 
 def shape_of(token: bytes) -> bytes:
     """Character classes of a token with runs shortened to one."""
-    classes = token.translate(SHAPES)
-    return bytes(c for i, c in enumerate(classes) if i == 0 or c != classes[i - 1])[:12]
+    return _RUN.sub(rb"\1", token.translate(SHAPES))
 
 
 def word_of(token: bytes) -> bytes:
     return token.strip(MARKS).lower()
 
 
-class Vectors(dict):
-    """token -> row of a growing table of token vectors."""
-
-    def __init__(self, words: dict[bytes, np.ndarray]):
-        super().__init__()
-        self.words, self.zero = words, np.zeros(DIMS, np.float32)
-        self.rows = np.zeros((KEPT_TOKENS + PIECE + 1, 2 * DIMS), np.float32)
+class Codes(dict):
+    """token -> its own hash, its word's bucket and its shape's bucket in one integer."""
 
     def __missing__(self, token: bytes) -> int:
-        n = len(self)
-        self.rows[n, :DIMS] = self.words.get(word_of(token), self.zero)
-        self.rows[n, DIMS:] = index_vector(b"\x00" + shape_of(token))
-        self[token] = n
-        return n
-
-
-def features(text: bytes, vectors: Vectors) -> np.ndarray:
-    """Pooled features of a whole text: mean, spread and norms."""
-    tokens = text.split()
-    if len(vectors) > KEPT_TOKENS:
-        vectors.clear()
-    out = np.zeros(FEATURES, np.float32)
-    if not tokens:
+        if len(self) >= KEPT_TOKENS:
+            self.clear()
+        word, shape = zlib.crc32(word_of(token)) % BUCKETS, zlib.crc32(shape_of(token)) % SHAPE_BUCKETS
+        code = zlib.crc32(token, 1) << 28 | word << 12 | shape
+        self[token] = code
+        return code
+
+    def of(self, text: bytes) -> np.ndarray:
+        tokens = text.split()
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
+def words_of(codes: np.ndarray) -> np.ndarray:
+    return codes >> 12 & (BUCKETS - 1)
+
+
+def pooled(table: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows ``at`` of a table and of their squares, each row so many times."""
+    total, square = np.zeros(DIMS), np.zeros(DIMS)
+    for i in range(0, len(at), PIECE):
+        rows, n = table[at[i : i + PIECE]].astype(np.float64), counts[i : i + PIECE].astype(np.float64)
+        total += n @ rows
+        square += n @ np.square(rows)
+    return total, square
+
+
+def features(codes: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Pooled features of a whole text: mean, spread, norms, length and repeats."""
+    out, n = np.zeros(FEATURES, np.float32), len(codes)
+    if not n:
         return out
-    total, square, adjacent, alike = np.zeros(2 * DIMS), np.zeros(2 * DIMS), 0, 0.0
-    for at in range(0, len(tokens), PIECE):
-        ids = np.fromiter(map(vectors.__getitem__, tokens[at : at + PIECE]), np.int64)
-        rows = vectors.rows[ids]
-        total += rows.sum(axis=0)
-        square += np.einsum("ij,ij->j", rows, rows)
-        adjacent += int((ids[1:] == ids[:-1]).sum())
-        alike += float(np.square(np.unique(ids, return_counts=True)[1] / len(ids)).sum()) * len(ids)
-        if len(vectors) > KEPT_TOKENS:
-            vectors.clear()
-    mean = total / len(tokens)
-    spread = np.sqrt(np.maximum(square / len(tokens) - mean * mean, 0))
-    out[: 2 * DIMS], out[2 * DIMS : 4 * DIMS] = mean, spread
-    share = adjacent / len(tokens), np.sqrt(alike / len(tokens))
-    out[4 * DIMS :] = np.linalg.norm(mean[:DIMS]), np.linalg.norm(mean[DIMS:]), np.log1p(len(tokens)), *share
+    distinct, counts = np.unique(codes, return_counts=True)
+    sums = [pooled(words, words_of(distinct), counts), pooled(shapes, distinct & (SHAPE_BUCKETS - 1), counts)]
+    mean, square = (np.concatenate(x) / n for x in zip(*sums))
+    out[: 2 * DIMS], out[2 * DIMS : 4 * DIMS] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
+    share = (codes[1:] == codes[:-1]).mean() if n > 1 else 0, np.sqrt(np.square(counts / n).sum())
+    out[4 * DIMS :] = np.linalg.norm(mean[:DIMS]), np.linalg.norm(mean[DIMS:]), np.log1p(n), *share
     return out
 
 
@@ -165,8 +167,8 @@ def temperature(logit: np.ndarray, y: np.ndarray) -> float:
 class Model:
     """Word vectors, network and temperature."""
 
-    def __init__(self, words: dict[bytes, np.ndarray], x: np.ndarray, y: np.ndarray):
-        self.words, self.network, self.t = words, None, 1.0
+    def __init__(self, words: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.words, self.shapes, self.network, self.t = words, shape_vectors(), None, 1.0
         self.base = float(y.mean()) if len(y) else 0.5
         if len(np.unique(y)) == 2:
             apart = np.arange(len(y)) % 6 == 0
@@ -190,79 +192,73 @@ def training_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     return once.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def shape_vectors() -> np.ndarray:
+    return index_vectors(SHAPE_BUCKETS, SEED + 1).astype(np.float32)
+
 
+def contexts(ids: np.ndarray, index: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, sums) for the words low to high: of each bucket, the index vectors of all words at most CONTEXT places away.
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    column = batch.column(batch.schema.get_field_index(name))
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    Bucket ``BUCKETS`` stands between texts; its index vector is zero.
+    """
+    vectors = index[ids].astype(np.int32)
+    near = np.zeros_like(vectors)
+    for k in range(1, CONTEXT + 1):
+        near[k:] += vectors[:-k]
+        near[:-k] += vectors[k:]
+    ids, near = ids[low:high], near[low:high]
+    order = np.argsort(ids, kind="stable")
+    found, starts = np.unique(ids[order], return_index=True)
+    return found, np.add.reduceat(near[order], starts)
 
 
-def word_vectors(sample: DataFrame, vocabulary: int = VOCABULARY, least: int = MIN_DOCS) -> dict[bytes, np.ndarray]:
-    """Unit vectors of the words that most sample documents share, from their neighbours."""
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Unit vectors of the word buckets, from their neighbours in all documents; a row of them for each bucket."""
     names = [f"v{i}" for i in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: dict[bytes, np.ndarray] = {}
-        for batch in _slices(batches):
-            seen: dict[bytes, int] = {}
-            sums: dict[bytes, np.ndarray] = {}
-            for text in _texts(batch):
-                words = [word_of(t) for t in text.split()]
-                for w in set(words):
-                    seen[w] = seen.get(w, 0) + 1
-                    if w not in index:
-                        index[w] = index_vector(w)
-                if not words:
-                    continue
-                vec = np.stack([index[w] for w in words])
-                near = np.zeros_like(vec)
-                for k in range(1, CONTEXT + 1):
-                    near[k:] += vec[:-k]
-                    near[:-k] += vec[k:]
-                ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                pooled = np.zeros((len(ids), DIMS), np.float32)
-                np.add.at(pooled, [ids[w] for w in words], near)
-                for w, i in ids.items():
-                    sums[w] = sums[w] + pooled[i] if w in sums else pooled[i]
-            keys = list(seen)
-            table_ = np.stack([sums[k] for k in keys]).astype(np.int64) if keys else np.zeros((0, DIMS), np.int64)
-            out = {"word": pa.array(keys, pa.binary()), "n": pa.array([seen[k] for k in keys], pa.int64())}
-            out |= {name: pa.array(table_[:, i]) for i, name in enumerate(names)}
-            yield pa.RecordBatch.from_pydict(out)
-            if len(index) > KEPT_TOKENS:
-                index.clear()
-
-    parts = sample.select("text").mapInArrow(run, "word binary, n long, " + ", ".join(f"{n} long" for n in names))
-    summed = parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in names]).where(F.col("n") >= least)
-    kept = summed.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
-    vectors = np.stack([kept[n].to_numpy() for n in names], axis=1).astype(np.float32)
-    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-    return {bytes(w): v for w, v in zip(kept["word"].to_pylist(), vectors)}
+        codes, gap = Codes(), np.full(CONTEXT, BUCKETS)
+        index = np.concatenate([index_vectors(BUCKETS, SEED), np.zeros((1, DIMS), np.int8)])
+        sums = np.zeros((BUCKETS + 1, DIMS), np.int64)
+        for batch in sliced(batches, 0, 1 << 20):
+            ids = np.concatenate([x for t in utf8(batch.column(0)) for x in (words_of(codes.of(t)), gap)])
+            # in pieces, each with the words around it
+            for at in range(0, len(ids), PIECE):
+                low, high = max(0, at - CONTEXT), min(len(ids), at + PIECE + CONTEXT)
+                found, near = contexts(ids[low:high], index, at - low, min(len(ids), at + PIECE) - low)
+                sums[found] += near
+        sums[BUCKETS] = 0
+        kept = np.flatnonzero(sums.any(axis=1))
+        columns = [pa.array(kept), *(pa.array(np.ascontiguousarray(sums[kept, i])) for i in range(DIMS))]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", *names])
+
+    parts = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
+    summed = parts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    vectors = np.zeros((BUCKETS, DIMS), np.float32)
+    if summed.num_rows:
+        vectors[summed["bucket"].to_numpy()] = np.stack([summed[n].to_numpy() for n in names], axis=1)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from at most ``train_rows`` labelled documents."""
+    """A model from word vectors of all documents and at most ``train_rows`` labelled ones."""
     rows = F.broadcast(training_rows(labels, train_rows))  # at most train_rows rows of 12 bytes
     first = Window.partitionBy("doc_id").orderBy(F.md5("text"))
     sample = docs.select("doc_id", "text").join(rows, "doc_id").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    sample = written(sample, "quality")
-    words = docs.sparkSession.sparkContext.broadcast(word_vectors(sample))
+    words = word_vectors(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = Vectors(words.value)
-        for batch in _slices(batches):
-            x = [features(t, vectors).tolist() for t in _texts(batch)]
+        codes, shapes = Codes(), shape_vectors()
+        for batch in sliced(batches, 1):
+            x = [features(codes.of(t), sent.value, shapes).tolist() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = sample.select("doc_id", "text", F.col("y").cast("int")).mapInArrow(run, f"doc_id {id_type}, y int, x array<float>").toArrow()
     order = np.argsort([zlib.crc32(str(i).encode(), SEED) for i in found["doc_id"].to_pylist()], kind="stable")
     x = np.array(found["x"].to_pylist(), np.float64).reshape(-1, FEATURES)
-    return Model(words.value, x[order], found["y"].to_numpy().astype(np.float64)[order])
+    return Model(words, x[order], found["y"].to_numpy().astype(np.float64)[order])
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
@@ -274,11 +270,9 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        vectors = Vectors(model.words)
-        for batch in _slices(batches):
-            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
-            x = np.stack([features(t, vectors) for t in texts]).astype(np.float64)
+        model, codes = sent.value, Codes()
+        for batch in sliced(batches, at):
+            x = np.stack([features(codes.of(t), model.words, model.shapes) for t in utf8(batch.column(at))]).astype(np.float64)
             columns = [c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.score(x), pa.float64())], schema=arrow)
 
