@@ -12,7 +12,7 @@ a backslash after their first character, and backslashes are doubled, so reading
 escaping exactly. The loss mask covers the content of assistant turns.
 
 Cases: null texts are empty; a null role is empty; turns are ordered by turn (null first),
-ties by role and text; a null conversation id is one conversation; unknown part types count
+ties by role and text; each row without a conversation id is a conversation of its own; unknown part types count
 as documents; other columns are ignored.
 """
 
@@ -127,7 +127,8 @@ def loss_ranges(formatted: str, role: str = "assistant") -> list[tuple[int, int]
 def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, parts) -> a row for each conversation with formatted text, attachments and tokens."""
     result = "formatted string, attachments array<struct<n:int,type:string,ref:string,tokens:int>>, expanded_tokens long, n_turns long"
-    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "tie", "parts"))).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    ordered = turns.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "tie", "parts"))).alias("turns"))
 
     @F.pandas_udf(result)
     def formatted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -183,9 +184,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH rows_ AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
 escaped AS (SELECT *,
   regexp_replace(replace(role, '\\', '\\\\'), '(<\\||<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>)', '\\1@', 'g') AS r,
   regexp_replace(replace(text, '\\', '\\\\'), '(<\\||<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>)', '\\1@', 'g') AS t FROM rows_)
@@ -194,5 +196,5 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(r) + length(t) + 23)::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM escaped GROUP BY conv_id, alone
 """

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import utf8, written
-from docloom.session import table
+from docloom.llm.common import sliced, split_join, utf8, written
+from docloom.session import scratch, table
 
 SHINGLE = 3
 RADIUS = 3
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             fp = np.array([fingerprint(x, shingle) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -157,19 +157,21 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star links each larger neighbour to the smallest neighbour, small-star does so
     among smaller ones; both keep components and end in stars after some log(n) rounds.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("m", F.explode(F.array("u", "v")).alias("u")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (now.n, now.x) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (now.n, now.x)
+    spark, n = edges.sparkSession, F.count("*").alias("n")
+    with scratch(spark):
+        edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+        mark, rows = None, edges.count()
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
+            large = split_join(both, least, "u", "n", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"), n)
+            small = split_join(large, low, "u", "n", rows).select("m", F.explode(F.array("u", "v")).alias("u")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
+            edges = written(small, "edges")
+            now = edges.agg(n, F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+            if (now.n, now.x) == mark:
+                return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            mark, rows = (now.n, now.x), now.n
 
 
 def with_components(prints: DataFrame) -> DataFrame:

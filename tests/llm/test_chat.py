@@ -63,6 +63,12 @@ def test_query_on_odd_rows(spark, tmp_path):
     assert got == want
 
 
+def test_rows_without_a_conversation_stay_apart(spark, tmp_path):
+    folder = save(spark.createDataFrame([(None, i, "user", f"t{i}") for i in range(30)], SCHEMA), tmp_path, "conversations")
+    rows = [r for r in chat.op8_chat(spark, folder).collect() if r.conv_id is None]
+    assert [r.n_turns for r in rows] == [1] * 30 and len({r.turns_sha256 for r in rows}) == 30
+
+
 def test_empty_table(spark, tmp_path):
     rows = chat.op8_chat(spark, save(none(spark, SCHEMA), tmp_path, "conversations")).collect()
     assert [r.conv_id for r in rows] == [-1]
