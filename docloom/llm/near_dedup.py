@@ -15,9 +15,10 @@ take their place in the order from the sample and are dealt over ``SALTS`` tasks
 several texts share goes to its text; a link can be counted on that alone, so no text is read
 again.
 
-A shingle of many texts is not joined all with all. One of its texts is compared with all
-others for ``ROUNDS`` rounds, and texts that are connected by then need no further comparison.
-Afterwards all pairs that are not connected are compared.
+A shingle of many texts is not joined all with all. While that would make more than ``PAIRS``
+pairs for each row, one of its texts is compared with all others, for ``MOST_ROUNDS`` rounds at
+most, and texts that are connected by then need no further comparison. Afterwards all pairs
+that are not connected are compared.
 
 Cases: null texts are empty; empty texts are equal texts; a text of fewer than five words is
 one shingle; of a group the row with the smallest id stays (null ids come last), and among
@@ -44,8 +45,8 @@ SHINGLE = 5
 SAMPLE, FREQUENT, MOST_COMMON = 20_000, 4, 200_000
 #: Tasks over which a frequent shingle's texts are dealt.
 SALTS = 256
-#: Rounds of comparing one text of a shingle with the others.
-ROUNDS = 2
+#: Pairs for each row of the join from which on one text of a shingle is first compared with the others, and rounds of that.
+PAIRS, MOST_ROUNDS = 64, 4
 SEED = 5
 #: Bytes of text a task turns into shingles at once, and digests it remembers to skip exact copies.
 SLICE_BYTES, REMEMBERED = 1 << 20, 1 << 20
@@ -208,7 +209,13 @@ def near_links(texts: DataFrame) -> DataFrame:
     edges = simhash_links(texts)
     linked = components(edges)
     rows = written(live(with_roots(prefixes(texts), linked)), "near")
-    for turn in range(ROUNDS):
+    for turn in range(MOST_ROUNDS):
+        # while all pairs would be many more than the rows, one text of each shingle is compared with the others
+        sums = rows.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).first()
+        if not sums.rows:
+            return linked
+        if sums.pairs <= PAIRS * sums.rows:
+            break
         head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "pos", "root"))).alias("head")
         heads = rows.groupBy("h").agg(head).select("h", "head.*")
         met = rows.alias("r").join(heads.alias("o"), "h").where(F.expr("r.root <> o.root") & may_link("r", "o"))
@@ -217,14 +224,13 @@ def near_links(texts: DataFrame) -> DataFrame:
         # a head has met all of its shingle
         rest = rows.join(heads.select("h", "node"), ["h", "node"], "left_anti")
         rows = written(live(with_roots(rest, linked)), "near")
-        if rows.isEmpty():
-            return linked
     # all pairs of a shingle that are not connected: one of the two is outside its main group
     main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     others = rows.join(main, "h").where("root <> main")
     order = "(x.inner and x.size <= y.size or y.inner and y.size <= x.size)"
     met = others.alias("x").join(rows.alias("y"), "h").where(F.expr(f"x.root <> y.root and {order}") & may_link("x", "y"))
-    return components(edges.unionByName(verified(ordered_pairs(met, "x.node", "y.node"), texts)))
+    new = verified(ordered_pairs(met, "x.node", "y.node"), texts)
+    return linked if new.isEmpty() else components(edges.unionByName(new))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import sliced, split_join, utf8, written
@@ -147,31 +147,46 @@ def classes(distinct: DataFrame) -> DataFrame:
     main = rows.groupBy("g", "variant", "root").agg(F.count("*").alias("n")).groupBy("g", "variant").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     others = rows.join(main, ["g", "variant"]).where("root <> main").select("g", "variant", F.col("fp").alias("a"), F.col("root").alias("x"))
     pairs = others.join(rows.select("g", "variant", F.col("fp").alias("b"), F.col("root").alias("y")), ["g", "variant"]).where((F.col("x") != F.col("y")) & near("a", "b"))
-    more = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    more = written(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "more")
+    if more.isEmpty():
+        return linked
     return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
+#: Edges up to which the edges of a node meet in one task; beyond, those of hubs are joined by broadcast.
+WINDOWED = 1_000_000
+
+
+def _with_least(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges (u, v) with m, the least of u and its neighbours."""
+    if rows <= WINDOWED:
+        return edges.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return split_join(edges, least, "u", "n", rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge (a, b); root is the smallest node reachable.
 
     Large-star links each larger neighbour to the smallest neighbour, small-star does so
     among smaller ones; both keep components and end in stars after some log(n) rounds.
     """
-    spark, n = edges.sparkSession, F.count("*").alias("n")
-    with scratch(spark):
-        edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-        mark, rows = None, edges.count()
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        seen = Observation()
+        out = written(df.distinct().observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+        return out, (seen.get["n"], seen.get["x"])
+
+    with scratch(edges.sparkSession):
+        edges, mark = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
         while True:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
-            large = split_join(both, least, "u", "n", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            low = large.groupBy("u").agg(F.min("v").alias("m"), n)
-            small = split_join(large, low, "u", "n", rows).select("m", F.explode(F.array("u", "v")).alias("u")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
-            edges = written(small, "edges")
-            now = edges.agg(n, F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-            if (now.n, now.x) == mark:
+            large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.distinct() if mark[0] > WINDOWED else large
+            near = _with_least(large, mark[0]).select("m", F.explode(F.array("u", "v")).alias("u")).where("u <> m").select("u", F.col("m").alias("v"))
+            before, (edges, mark) = mark, kept(near)
+            if mark == before:
                 return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            mark, rows = (now.n, now.x), now.n
 
 
 def with_components(prints: DataFrame) -> DataFrame:

@@ -54,9 +54,10 @@ def test_pairs_at_the_threshold(spark):
     assert groups(spark, texts) == expected
 
 
-@pytest.mark.parametrize("share, rounds", [(0.75, 4), (0.8, 4), (0.87, 1), (0.95, 1)])
+@pytest.mark.parametrize("share, rounds", [(0.75, 4), (0.8, 4), (0.87, 1), (0.95, 1), (0.8, 0)])
 def test_near_copies_among_texts_with_one_passage(spark, monkeypatch, share, rounds):
-    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "MOST_ROUNDS", rounds)
     rng, texts = random.Random(2), []
     passage = words(rng, int(400 * share))
     own = 400 - len(passage)
@@ -67,7 +68,8 @@ def test_near_copies_among_texts_with_one_passage(spark, monkeypatch, share, rou
 
 
 def test_chains_and_rings_of_one_group(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "MOST_ROUNDS", 1)
     rng, texts = random.Random(4), []
     for edits in (2, 5, 7, 9, 11):
         base = words(rng, 200)
