@@ -10,10 +10,13 @@ shingle among its first n - ceil(4n/5) + 1, and the smaller has it among its fir
 m - ceil(8m/9) + 1. Shingles of one text alone come first in the order and meet nothing, so
 most texts have no other shingle in that prefix and end there, without ever being compared.
 
-Every shingle is shuffled once to count its texts. Those that a sample shows to be frequent
-take their place in the order from the sample and are dealt over ``SALTS`` tasks each. What
-several texts share goes to its text; a link can be counted on that alone, so no text is read
-again.
+Two passes count. The first takes one in ``RATE`` shingles, by hash, as 32 bits in packed
+rows: a text with as many of them alone as its prefix is long can't link and ends there, and
+its text is not read again. The second pass counts all shingles of the rest among these. Such
+an order, with shingles known to be alone first, is as good as any, so no link is lost.
+Shingles that a sample shows to be frequent take their place in the order from the sample and
+are dealt over ``SALTS`` tasks each. What several texts share goes to its text; a link can be
+counted on that alone.
 
 A shingle of many texts is not joined all with all. While that would make more than ``PAIRS``
 pairs for each row, one of its texts is compared with all others, for ``MOST_ROUNDS`` rounds at
@@ -50,6 +53,8 @@ PAIRS, MOST_ROUNDS = 64, 4
 SEED = 5
 #: Bytes of text a task turns into shingles at once, and digests it remembers to skip exact copies.
 SLICE_BYTES, REMEMBERED = 1 << 20, 1 << 20
+#: One in so many shingles is counted first; bytes of text for each task that counts, and parts of the hashes for each of these.
+RATE, TASK_BYTES, PARTS = 2, 100 << 20, 4
 NO_WORDS = -7046029254386353131  # stands for the shingle of a text without words
 
 
@@ -76,8 +81,14 @@ def shingled(text: bytes) -> tuple[np.ndarray, int]:
     return np.unique(np.concatenate(pieces).view(np.int64)), majority(pieces)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(nodes, texts) of about SLICE_BYTES each, without texts that the task has had already."""
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted hashes of a text's distinct five-word shingles."""
+    pieces = list(shingle_hashes(text, SHINGLE))
+    return np.unique(np.concatenate(pieces).view(np.int64)) if pieces else np.array([NO_WORDS])
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(nodes, texts) of about ``most`` bytes each, without texts that the task has had already."""
     seen: set[int] = set()
     nodes, texts, held = [], [], 0
     for batch in batches:
@@ -91,22 +102,21 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[
             nodes.append(name)
             texts.append(raw)
             held += len(raw)
-            if held >= SLICE_BYTES:
+            if held >= most:
                 yield nodes, texts
                 nodes, texts, held = [], [], 0
     if nodes:
         yield nodes, texts
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample of texts, sorted, and the number of texts of the whole that have them, by estimate."""
-    total = docs.count()
     rate = max(1, total // SAMPLE)
     sampled = keyed(docs).where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(rate)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
-            found, n = np.unique(np.concatenate([shingled(t)[0] for t in texts]), return_counts=True)
+            found, n = np.unique(np.concatenate([shingles(t) for t in texts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["h", "n"])
 
     counted = sampled.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -116,31 +126,105 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.minimum(n[order] * rate, (1 << 31) - 1)
 
 
-def incidences(docs: DataFrame) -> DataFrame:
-    """(h, node, tag): the shingles of each text.
+def among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether hashes are among sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h if len(keys) else np.zeros(len(h), bool)
+
+
+def packed(nodes: list[int], texts: list[bytes], keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(part, nodes, counts, hashes) of one in RATE shingles of texts: for each part of the hashes its runs of equal node.
+
+    One more row, of a part beyond the last, has for each node its shingles, those taken, and
+    those of them that are frequent, which are not sent.
+    """
+    sent, info = [], np.zeros((len(texts), 3), np.int32)
+    for row, text in zip(info, texts):
+        h = shingles(text)
+        taken = h[h % RATE == 0]
+        common = among(keys, taken)
+        row[:] = len(h), len(taken), np.count_nonzero(common)
+        sent.append(taken[~common])
+    h, names = np.concatenate(sent).view(np.uint64), np.array(nodes, np.int64)
+    owner = np.repeat(np.arange(len(sent)), [len(x) for x in sent])
+    part = (h >> np.uint64(40)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part, owner, h = part[order], owner[order], (h[order] >> np.uint64(4)).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.empty(0, np.int64)
+    counts = np.diff(np.append(starts, len(h))).astype(np.int32)
+    runs = np.searchsorted(part[starts], np.arange(parts + 1))
+    ends = np.append(starts, len(h))
+    for p in range(parts):
+        a, b = runs[p], runs[p + 1]
+        if a < b:
+            yield p, names[owner[starts[a:b]]].tobytes(), counts[a:b].tobytes(), h[ends[a] : ends[b]].tobytes()
+    yield parts + abs(nodes[0]) % parts, names.tobytes(), info.tobytes(), b""
+
+
+def may_have_links(docs: DataFrame, keys: np.ndarray, octets: int) -> DataFrame:
+    """(node) of the texts that are left after the first pass."""
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), octets // TASK_BYTES + 1)
+    parts, sent = PARTS * tasks, spark.sparkContext.broadcast(keys)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, texts in slices(batches, 8 * SLICE_BYTES):
+            columns = zip(*packed(nodes, texts, sent.value, parts))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "nodes", "counts", "hashes"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(nodes: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(np.ascontiguousarray(info[:, i])) for i in range(4))], ["node", "size", "taken", "common", "shared"])
+
+        keys, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for batch in batches:
+            for part, nodes, counts, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                nodes = np.frombuffer(nodes, np.int64)
+                if part >= parts:
+                    yield rows(nodes, np.pad(np.frombuffer(counts, np.int32).reshape(-1, 3), ((0, 0), (0, 1))))
+                    continue
+                keys.append(np.uint64(part) << np.uint64(32) | np.frombuffer(hashes, np.uint32).astype(np.uint64))
+                names.append(np.repeat(nodes, np.frombuffer(counts, np.int32)))
+        key, name = np.concatenate(keys), np.concatenate(names)
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))[: len(key)]
+        key, name = key[once], name[once]  # of copies of a text one is left
+        same = key[1:] == key[:-1]
+        shared = np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)]
+        found, n = np.unique(name[shared], return_counts=True)
+        yield rows(found, np.stack([0 * n, 0 * n, 0 * n, n], axis=1).astype(np.int32))
+
+    rows = keyed(docs).mapInArrow(pack, "part int, nodes binary, counts binary, hashes binary").repartition(tasks, "part")
+    counted = rows.mapInArrow(count, "node long, size int, taken int, common int, shared int").groupBy("node")
+    summed = counted.agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("common").alias("common"), F.sum("shared").alias("shared"))
+    return summed.where(f"taken - common - shared < {PREFIX}").select("node")
+
+
+def incidences(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, node, tag): the shingles of each text (node, text).
 
     ``tag`` is 0, or minus the estimated number of texts of a frequent shingle. One more row
     of each text has its SimHash as ``h`` and its number of shingles as ``tag``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = sent.value
-        for nodes, texts in slices(batches):
-            found = [shingled(t) for t in texts]
+        for nodes, part in slices(batches):
+            found = [shingled(t) for t in part]
             n = np.array([len(s) for s, _ in found])
             h = np.concatenate([s for s, _ in found])
             tag = np.zeros(len(h), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                tag = np.where(keys[at] == h, -counts[at], 0)
+                tag = np.where(keys[at] == h, -counts[at], tag)
             prints = np.array([fp for _, fp in found], np.uint64).view(np.int64)
             names = np.array(nodes, np.int64)
             columns = np.concatenate([h, prints]), np.concatenate([np.repeat(names, n), names]), np.concatenate([tag, n]).astype(np.int32)
             whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "tag"])
             yield from (whole.slice(at, 1 << 16) for at in range(0, whole.num_rows, 1 << 16))
 
-    return keyed(docs).select("node", "text").mapInArrow(run, "h long, node long, tag int")
+    return texts.mapInArrow(run, "h long, node long, tag int")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -149,7 +233,11 @@ def sets(docs: DataFrame) -> DataFrame:
     ``shared`` holds the shingles of several texts in the order, after the ``alone`` shingles
     that no other text has.
     """
-    rows = incidences(docs)
+    sums = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("octets")).first()
+    common = common_shingles(docs, sums.n)
+    left = written(may_have_links(docs, common[0], sums.octets or 0), "left")
+    left = small(left.withColumnRenamed("node", "__node"), left.count())
+    rows = incidences(keyed(docs).join(left, F.col("node") == F.col("__node"), "left_semi"), common)
     one = Window.partitionBy("h", F.expr(f"CASE WHEN tag < 0 THEN pmod(node, {SALTS}) ELSE 0 END"))
     named = F.when(F.col("tag") <= 0, F.col("node"))
     counted = rows.withColumns({"low": F.min(named).over(one), "high": F.max(named).over(one), "n": F.count(named).over(one)})
