@@ -16,7 +16,9 @@ its text is not read again. The second pass counts all shingles of the rest amon
 an order, with shingles known to be alone first, is as good as any, so no link is lost.
 Shingles that a sample shows to be frequent take their place in the order from the sample and
 are dealt over ``SALTS`` tasks each. What several texts share goes to its text; a link can be
-counted on that alone.
+counted on that alone. Before, a pair is held against the filters of such a join: by length,
+by position in the order, and by ``WORDS`` longs of bits, one for each shingle by hash, as a
+text can't share a shingle whose bit the other lacks.
 
 A shingle of many texts is not joined all with all. While that would make more than ``PAIRS``
 pairs for each row, one of its texts is compared with all others, for ``MOST_ROUNDS`` rounds at
@@ -50,6 +52,9 @@ SAMPLE, FREQUENT, MOST_COMMON = 20_000, 4, 200_000
 SALTS = 256
 #: Pairs for each row of the join from which on one text of a shingle is first compared with the others, and rounds of that.
 PAIRS, MOST_ROUNDS = 64, 4
+#: Longs of a text's bits, and texts of a shingle that meet in one task.
+WORDS, BLOCK = 16, 2000
+BITS = [f"b{i}" for i in range(WORDS)]
 SEED = 5
 #: Bytes of text a task turns into shingles at once, and digests it remembers to skip exact copies.
 SLICE_BYTES, REMEMBERED = 1 << 20, 1 << 20
@@ -171,16 +176,24 @@ def may_have_links(docs: DataFrame, keys: np.ndarray, octets: int) -> DataFrame:
             columns = zip(*packed(nodes, texts, sent.value, parts))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "nodes", "counts", "hashes"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(nodes: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(np.ascontiguousarray(info[:, i])) for i in range(4))], ["node", "size", "taken", "common", "shared"])
+    def dealt(nodes: np.ndarray, info: np.ndarray) -> pa.RecordBatch:
+        """Rows (bucket, nodes, info), one for each bucket of nodes."""
+        bucket = nodes.view(np.uint64) % np.uint64(tasks)
+        order = np.argsort(bucket, kind="stable")
+        nodes, info = nodes[order], info[order]
+        found, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts, len(nodes))[1:]
+        columns = [found.astype(np.int32), [nodes[a:b].tobytes() for a, b in zip(starts, ends)], [info[a:b].tobytes() for a, b in zip(starts, ends)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "nodes", "info"])
 
-        keys, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text its shingles, those taken and those frequent, where told, and how many taken ones another text has."""
+        keys, names, infos = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
         for batch in batches:
             for part, nodes, counts, hashes in zip(*(c.to_pylist() for c in batch.columns)):
                 nodes = np.frombuffer(nodes, np.int64)
                 if part >= parts:
-                    yield rows(nodes, np.pad(np.frombuffer(counts, np.int32).reshape(-1, 3), ((0, 0), (0, 1))))
+                    infos.append((nodes, np.pad(np.frombuffer(counts, np.int32).reshape(-1, 3), ((0, 0), (0, 1)))))
                     continue
                 keys.append(np.uint64(part) << np.uint64(32) | np.frombuffer(hashes, np.uint32).astype(np.uint64))
                 names.append(np.repeat(nodes, np.frombuffer(counts, np.int32)))
@@ -192,12 +205,37 @@ def may_have_links(docs: DataFrame, keys: np.ndarray, octets: int) -> DataFrame:
         same = key[1:] == key[:-1]
         shared = np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)]
         found, n = np.unique(name[shared], return_counts=True)
-        yield rows(found, np.stack([0 * n, 0 * n, 0 * n, n], axis=1).astype(np.int32))
+        infos.append((found, np.pad(n.astype(np.int32)[:, None], ((0, 0), (3, 0)))))
+        yield dealt(np.concatenate([x for x, _ in infos]), np.concatenate([x for _, x in infos]))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts whose taken shingles that stand alone are fewer than their prefix."""
+        nodes, info = np.empty(0, np.int64), np.empty((0, 4), np.int32)
+
+        def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            names, values = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            order = np.argsort(names, kind="stable")
+            found, starts = np.unique(names[order], return_index=True)
+            if not len(found):
+                return found, values
+            most = np.maximum.reduceat(values[order][:, :3], starts)  # equal in all copies
+            return found, np.concatenate([most, np.add.reduceat(values[order][:, 3:], starts)], axis=1)
+
+        held, size = [(nodes, info)], 0
+        for batch in batches:
+            for _, names, values in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append((np.frombuffer(names, np.int64), np.frombuffer(values, np.int32).reshape(-1, 4)))
+                size += len(names)
+                if size >= 16 * SLICE_BYTES:
+                    held, size = [merged(held)], 0
+        nodes, info = merged(held)
+        n, taken, common, shared = info.T.astype(np.int64)
+        prefix = n - (4 * n + 4) // 5 + 1
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[taken - common - shared < prefix])], ["node"])
 
     rows = keyed(docs).mapInArrow(pack, "part int, nodes binary, counts binary, hashes binary").repartition(tasks, "part")
-    counted = rows.mapInArrow(count, "node long, size int, taken int, common int, shared int").groupBy("node")
-    summed = counted.agg(F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("common").alias("common"), F.sum("shared").alias("shared"))
-    return summed.where(f"taken - common - shared < {PREFIX}").select("node")
+    counted = rows.mapInArrow(count, "bucket int, nodes binary, info binary").repartition(tasks, "bucket")
+    return counted.mapInArrow(left, "node long")
 
 
 def incidences(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -253,9 +291,34 @@ PREFIX, INNER = "(size - (4 * size + 4) div 5 + 1)", "(size - (8 * size + 8) div
 
 
 def prefixes(texts: DataFrame) -> DataFrame:
-    """(node, size, h, pos, inner): shared shingles in the prefix of each text, and whether they are in the inner one."""
-    first = texts.select("node", "size", "alone", F.posexplode(F.expr(f"slice(shared, 1, {PREFIX} - alone)")).alias("i", "h"))
-    return first.select("node", "size", "h", (F.col("alone") + F.col("i")).alias("pos"), F.expr(f"alone + i < {INNER}").alias("inner"))
+    """(node, size, alone, h, pos, inner, b0, b1, ...): shared shingles in the prefix of each text, and whether they are in the inner one.
+
+    The b columns are the bits that the text's shared shingles set, each one by its hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                yield from rows(batch.slice(at, 1024))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+        for name, n, alone, shared in zip(*(c.to_pylist() for c in batch.select(["node", "size", "alone"]).columns), batch.column("shared")):
+            h = shared.values.to_numpy()
+            bits = np.zeros(WORDS, np.uint64)
+            place = h.view(np.uint64) >> np.uint64(8)
+            np.bitwise_or.at(bits, (place >> np.uint64(6)) % np.uint64(WORDS), np.uint64(1) << (place & np.uint64(63)))
+            first = h[: max(0, n - (4 * n + 4) // 5 + 1 - alone)]
+            pos = alone + np.arange(len(first))
+            same = lambda x: np.full(len(first), x)
+            out.append([same(name), same(n), same(alone), first, pos, pos < n - (8 * n + 8) // 9 + 1, *map(same, bits.view(np.int64))])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*out), kinds)], names)
+
+    names = ["node", "size", "alone", "h", "pos", "inner", *BITS]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), *(pa.int64() for _ in BITS)]
+    schema = "node long, size int, alone int, h long, pos int, inner boolean, " + ", ".join(f"{b} long" for b in BITS)
+    return texts.select("node", "size", "alone", "shared").mapInArrow(run, schema)
 
 
 def ordered_pairs(met: DataFrame, left: str, right: str) -> DataFrame:
@@ -270,8 +333,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def may_link(x: str, y: str) -> Column:
-    """Length and positional filter of two rows that meet on their first shared shingle."""
-    return F.expr(f"9L * least({x}.size - {x}.pos, {y}.size - {y}.pos) >= 4L * ({x}.size + {y}.size)")
+    """Filters of two rows that meet on their first shared shingle: what is left of either order, and of either set without the bits the other lacks."""
+    need = f"4L * ({x}.size + {y}.size)"
+    lacks = lambda p, q: " + ".join(f"bit_count({p}.{b} & ~{q}.{b})" for b in BITS)
+    return F.expr(
+        f"9L * least({x}.size - {x}.pos, {y}.size - {y}.pos) >= {need} AND 9L * ({x}.size - {x}.alone - ({lacks(x, y)})) >= {need} AND 9L * ({y}.size - {y}.alone - ({lacks(y, x)})) >= {need}"
+    )
 
 
 def with_roots(rows: DataFrame, linked: DataFrame) -> DataFrame:
@@ -304,7 +371,7 @@ def near_links(texts: DataFrame) -> DataFrame:
             return linked
         if sums.pairs <= PAIRS * sums.rows:
             break
-        head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "pos", "root"))).alias("head")
+        head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "alone", "pos", "root", *BITS))).alias("head")
         heads = rows.groupBy("h").agg(head).select("h", "head.*")
         met = rows.alias("r").join(heads.alias("o"), "h").where(F.expr("r.root <> o.root") & may_link("r", "o"))
         edges = edges.unionByName(verified(ordered_pairs(met, "r.node", "o.node"), texts))
@@ -312,11 +379,14 @@ def near_links(texts: DataFrame) -> DataFrame:
         # a head has met all of its shingle
         rest = rows.join(heads.select("h", "node"), ["h", "node"], "left_anti")
         rows = written(live(with_roots(rest, linked)), "near")
-    # all pairs of a shingle that are not connected: one of the two is outside its main group
-    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    others = rows.join(main, "h").where("root <> main")
+    # all pairs of a shingle that are not connected: one of the two is outside its main group; a large shingle meets in pairs of blocks
+    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = written(rows.join(main, "h"), "dealt")
+    left = dealt.where("root <> main").withColumns({"i": own, "j": F.explode(every)})
+    right = dealt.withColumns({"j": own, "i": F.explode(every)})
     order = "(x.inner and x.size <= y.size or y.inner and y.size <= x.size)"
-    met = others.alias("x").join(rows.alias("y"), "h").where(F.expr(f"x.root <> y.root and {order}") & may_link("x", "y"))
+    met = left.alias("x").join(right.alias("y"), ["h", "i", "j"]).where(F.expr(f"x.root <> y.root and {order}") & may_link("x", "y"))
     new = verified(ordered_pairs(met, "x.node", "y.node"), texts)
     return linked if new.isEmpty() else components(edges.unionByName(new))
 

@@ -203,3 +203,49 @@ def brute_base(text: str | None) -> list[tuple[int, int, int]]:
 
 def brute_digest(text: str | None) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in brute_base(text)).encode()).hexdigest()
+
+
+def _sql() -> str:
+    """Matches by string_split_regex and regexp_extract_all, placed by running sums; the turns over the graph one by one."""
+    space = "[\\x09-\\x0D\\x20]"
+    plain = {k: v.replace("(", "(?:").replace("(?:?:", "(?:").replace("().", "().") for k, v in _PLAIN.items()}
+    plain["phone"] = _PLAIN["phone"]  # its parentheses are characters
+    parts = [
+        f"SELECT r, {i} AS kind, regexp_extract_all(t, '{plain[k]}') AS m, string_split_regex(t, '{plain[k]}') AS g FROM d" for i, k in enumerate(KINDS)
+    ]
+    parts.append(f"SELECT r, 4, regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+'), string_split_regex(t, '[^\\x09-\\x0D\\x20]+') FROM d")
+    last = f"translate(regexp_replace(regexp_extract(rtrim(translate(right(gap, {CONTEXT_CHARS}), chr(9) || chr(10) || chr(13), '   '), ' '), '[^ ]*$'), '[^\\p{{L}}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    first = f"translate(regexp_replace(regexp_extract(ltrim(translate(left(after, {CONTEXT_CHARS}), chr(9) || chr(10) || chr(13), '   '), ' '), '^[^ ]*'), '[^\\p{{L}}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    padded = f"lpad({digits}, 20, '0')"
+    luhn = f"list_sum(list_transform(range(0, 20), lambda i: CASE WHEN i % 2 = 1 THEN {padded}[i + 1]::INT WHEN {padded}[i + 1]::INT > 4 THEN 2 * {padded}[i + 1]::INT - 9 ELSE 2 * {padded}[i + 1]::INT END)) % 10 = 0"
+    turns = []
+    for t in range(ROUNDS):
+        turns.append(f"p{t} AS (SELECT pattern, sum(round(score, 9)::DECIMAL(20, 9))::DOUBLE AS score, count(*) AS n FROM edges JOIN s{t} USING (value) GROUP BY pattern)")
+        turns.append(f"c{t} AS (SELECT *, score / (n + {SMOOTHING}) AS confidence FROM p{t})")
+        turns.append(f"s{t + 1} AS (SELECT value, CASE WHEN max(seed) = 1 THEN 1.0::DOUBLE ELSE max(confidence) END AS score FROM edges JOIN c{t} USING (pattern) GROUP BY value)")
+    names = [*KINDS, CONTEXT]
+    listed = f"({names})[kind + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({' UNION ALL '.join(parts)}),
+e AS (SELECT r, kind, unnest(m) AS value, unnest(g[1:len(m)]) AS gap, unnest(g[2:len(m) + 1]) AS after, unnest(range(0, len(m))) AS i FROM k WHERE len(m) > 0),
+a AS (SELECT *, sum(length(gap) + length(value)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM e),
+w AS (SELECT r, kind, value, {last} AS before, {first} AS behind, stop::BIGINT AS stop, (stop - length(value))::BIGINT AS start FROM a
+  WHERE kind < 4 OR starts_with(value, '@') AND length(value) > 1 OR length({digits}) > 0),
+b AS (SELECT * FROM w WHERE kind = 0 OR kind = 1 AND len(list_filter(string_split(value, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT) > 255, true))) = 0
+  OR kind = 2 AND length({digits}) BETWEEN 14 AND 19 AND {luhn} OR kind = 3 AND length({digits}) BETWEEN 10 AND 15),
+q AS (SELECT * FROM w WHERE kind = 4 AND (starts_with(value, '@') OR length({digits}) >= {LEAST_DIGITS}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = w.r AND b.start < w.stop AND w.start < b.stop)),
+x AS (SELECT * FROM b UNION ALL SELECT * FROM q),
+y AS (SELECT *, unnest(['l ' || before, CASE WHEN behind <> '' THEN 'b ' || before || ' ' || behind END, 's ' || before || ' ' || regexp_replace(regexp_replace(value, '[0-9]+', '9', 'g'), '\\p{{L}}+', 'a', 'g')]) AS pattern FROM x WHERE before <> ''),
+edges AS (SELECT pattern, value, max((kind < 4)::INT) AS seed FROM y WHERE pattern IS NOT NULL GROUP BY pattern, value),
+s0 AS (SELECT value, max(seed)::DOUBLE AS score FROM edges GROUP BY value),
+{', '.join(turns)},
+good AS (SELECT pattern FROM c{ROUNDS - 1} WHERE score >= {LEAST_SCORE} AND confidence >= {CONFIDENCE}),
+z AS (SELECT r, kind, start, stop FROM b UNION ALL SELECT DISTINCT r, kind, start, stop FROM y JOIN good USING (pattern) WHERE kind = 4),
+f AS (SELECT r, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{n}" for i, n in enumerate(KINDS))}, string_agg({listed}, ',' ORDER BY start, kind, stop) FILTER (kind < 4) AS base, string_agg({listed}, ',' ORDER BY start, kind, stop) AS spans FROM z GROUP BY r)
+SELECT doc_id, {', '.join(f"coalesce(n_{n}, 0) AS n_{n}" for n in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)
+"""
+
+
+OP6_SQL = _sql()

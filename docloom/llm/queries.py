@@ -23,5 +23,7 @@ ORACLES = {
     "op3_licenses": licenses.OP3_SQL,
     "op4_decontaminate": decontamination.OP4_SQL,
     "op5_imatch": imatch.OP5_SQL,
+    "op6_pii": pii.OP6_SQL,
+    "op7_shard": sharding.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
 }

@@ -120,3 +120,36 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with its shard and slot."""
     marked = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit(""))))
     return shard_rows(marked, "doc_id", ("__crc",)).drop("__crc")
+
+
+def _sql() -> str:
+    """CRC-32 by half bytes, row numbers, and the permutation walked until no number lies outside."""
+    table = [0]
+    for i in range(1, 16):
+        c = i
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = "xor({t}[(xor({c}, {b}) & 15) + 1], {c} >> 4)"
+    half = step.format(t="T", c="c", b="b")
+    whole = step.format(t="T", c=f"({half})", b="(b >> 4)").replace("T", f"({table})")
+    rounds, left, right = [], "l0", "r0"
+    for i, (a, b) in enumerate(round_keys()):
+        x = f"(({right} % {PRIME}) * {a} + {b}) % {PRIME}"
+        rounds.append(f"f{i} AS (SELECT *, {right} AS l{i + 1}, xor({left}, xor({x}, ({x}) >> 15) & mask) AS r{i + 1} FROM {'s' if not i else f'f{i - 1}'})")
+        left, right = f"l{i + 1}", f"r{i + 1}"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    list_filter(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' '), lambda x: x <> '') AS bytes FROM documents),
+e AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: ('0x' || x)::BIGINT)), lambda c, b: {whole})) AS text_crc32 FROM d),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS i, count(*) OVER () AS n FROM e),
+h AS (SELECT i, n, greatest(1, ceil(log2(n) / 2))::BIGINT AS bits FROM o),
+walk AS (SELECT i, n, bits, i AS x, 0 AS steps FROM h UNION ALL
+  (WITH s AS (SELECT i, n, bits, steps, (1 << bits) - 1 AS mask, x >> bits AS l0, x & ((1 << bits) - 1) AS r0 FROM walk WHERE steps = 0 OR x >= n),
+  {', '.join(rounds)} SELECT i, n, bits, ({left} << bits) | {right}, steps + 1 FROM f{len(round_keys()) - 1})),
+p AS (SELECT i, x FROM walk WHERE steps > 0 AND x < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {SHARDS})::INT AS shard, x // {SHARDS} AS slot, NULL::INT AS grown_shard FROM o JOIN p USING (i)
+"""
+
+
+OP7_SQL = _sql()
