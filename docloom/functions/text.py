@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,14 +12,21 @@ from pyspark.sql import types as T
 
 # Words that carry no search intent.
 STOPWORDS = (
-    "a about above after again against all am an and any are aren't as at be because been before being below between both but by can could did didn't do does doesn't doing don't "
-    "down during each few for from further get got had has have having he her here hers herself him himself his how i if in into is it its itself just let me more most my myself "
-    "no nor not of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this "
-    "those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves also use used using can't "
-    "won't shall may might must need vs best better good well many much several won don doesn didn shouldn couldn wouldn isn aren hasn weren via based"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "can", "could", "did", "didn't", "do", "does", "doesn't", "doing", "don't", "down", "during",
+    "each", "few", "for", "from", "further", "get", "got", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself",
+    "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "let", "me", "more", "most", "my", "myself", "no", "nor", "not", "of",
+    "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than",
+    "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until",
+    "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your", "yours",
+    "yourself", "yourselves", "also", "use", "used", "using", "can't", "won't", "shall", "may", "might", "must", "need", "vs", "best", "better", "good",
+    "well", "many", "much", "several", "won", "don", "doesn", "didn", "shouldn", "couldn", "wouldn", "isn", "aren", "hasn", "weren", "via", "based",
+)
 # Function words that do not count when titles are compared.
-TITLE_STOPWORDS = "a an the of in on at to for and or is are was were be by with from as its this that not but no via using based".split()
+TITLE_STOPWORDS = (
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "is", "are", "was", "were", "be", "by", "with", "from", "as", "its", "this",
+    "that", "not", "but", "no", "via", "using", "based",
+)
 
 WORD = r"[\p{L}\p{N}]+"
 #: Control characters that are removed from extracted strings.
@@ -26,14 +34,37 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 _EDGE_MARKS = ".,;:!?()[]{}\"'"
 
 
+def _folds() -> tuple[str, str]:
+    """Lower-case Latin letters with one accent, and the letters without it."""
+    blocks = (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in blocks if chr(c).islower()]
+    pairs = [(c, parts[0]) for c, parts in pairs if len(parts) == 2 and parts[0].isascii()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+ACCENTED, PLAIN = _folds()
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+#: Combining accents, which folding drops.
+_ACCENTS = "[\u0300-\u0331]"
+
+
 def tokens(text: Column | str, fold: bool = False) -> Column:
-    """Lower-cased runs of letters and digits; ``fold`` removes accents of common Latin letters."""
+    """Lower-cased runs of letters and digits; ``fold`` removes accents of Latin letters."""
     text = F.lower(text)
     if fold:
-        text = F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+        text = F.translate(F.regexp_replace(text, _ACCENTS, ""), ACCENTED, PLAIN)
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def query_tokens(text: str, stem_words: bool, fold: bool) -> list[str]:
+    """The tokens of a query's string, as those of a text."""
+    text = text.lower()
+    if fold:
+        text = re.sub(_ACCENTS, "", text).translate(_FOLD)
+    words = re.findall(r"[^\W_]+", text)
+    return [stem(w) for w in words] if stem_words else words
+
+
 def content_hash(text: Column | str) -> Column:
     """First 16 hex digits of the text's SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 16)
@@ -75,7 +106,7 @@ def keywords(queries: DataFrame, most: int = 5) -> DataFrame:
     )
     found = F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_\-.]*[\p{L}\p{N}_]|[\p{L}\p{N}_]"), F.lit(0))
     each = queries.select("query_id", alone.alias("alone"), F.posexplode(found).alias("pos", "keyword"))
-    kept = each.where(~F.col("keyword").isin(STOPWORDS) & ((F.length("keyword") > 1) | F.array_contains("alone", F.col("keyword"))))
+    kept = each.where(~F.col("keyword").isin(list(STOPWORDS)) & ((F.length("keyword") > 1) | F.array_contains("alone", F.col("keyword"))))
     scored = kept.groupBy("query_id", "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     scored = scored.withColumn("score", F.col("n") + F.when(F.col("keyword").rlike(r"[-.]"), 0.5).otherwise(0.0))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first"))
@@ -91,7 +122,7 @@ def match_query(ranked: DataFrame) -> DataFrame:
 
 # --- Porter stemming -------------------------------------------------------------------
 
-_SHORT = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_SHORT = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "logi": "log", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _NEXT = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _LAST = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
@@ -121,10 +152,16 @@ def _by_table(word: str, table: dict[str, str]) -> str:
 
 
 def stem(word: str) -> str:
-    """Porter stem of a lower-case English word."""
-    if len(word) <= 2 or not word.isascii() or not word.isalpha():
+    """Porter stem of a lower-case English word; the bytes of other letters count as consonants."""
+    if not word.isascii():
+        return _stem(word.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
+    return _stem(word)
+
+
+def _stem(word: str) -> str:
+    if not 3 <= len(word) <= 64:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if word.endswith("sses") and len(word) > 4 or word.endswith("ies") and len(word) > 3:
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
@@ -157,7 +194,27 @@ def stem(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word[:-1]) > 1 else word
 
 
-@F.pandas_udf(T.StringType())
-def stemmed(words: pd.Series) -> pd.Series:
-    """Porter stems; apply it to distinct words."""
-    return words.map(lambda w: None if w is None else stem(w))
+class _Stems(dict):
+    """Stems of the words met so far; beyond KEPT_STEMS it starts anew."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KEPT_STEMS:
+            self.clear()
+        self[word] = out = stem(word)
+        return out
+
+
+KEPT_STEMS = 200_000
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems(words: pd.Series) -> pd.Series:
+    """Porter stems of the words of arrays."""
+    known = _Stems()
+    return words.map(lambda ws: None if ws is None else [known[w] for w in ws])
+
+
+def terms(text: Column | str, stem_words: bool = False, fold: bool = False) -> Column:
+    """The search terms of a text, in order."""
+    found = tokens(text, fold)
+    return stems(found) if stem_words else found

@@ -1,47 +1,96 @@
-"""Search indexes as tables: impacts by term, vectors as they are.
+"""Search indexes as tables: postings with positions by term, lengths of chunks, vectors as they are.
 
-The index is built once and read by every search. Each posting holds its BM25 impact, so a
-search filters the query's terms and sums. Postings are ordered by term, so Parquet
-statistics leave all but a few row groups unread.
+The index is built once and read by every search. A search reads the postings of its words
+alone: they are ordered by term, so Parquet statistics leave all but a few row groups unread.
+How many chunks a word is in is counted among those, and only the number and length of all
+chunks come from the lengths, so adding chunks means adding rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.functions.text import terms, tokens
+from docloom.operators.lexical import Node, Phrase, impact, phrases, top
+
+
+_LISTS = T.ArrayType(T.StructType().add("term", T.StringType()).add("positions", T.ArrayType(T.IntegerType())))
+
+
+@F.pandas_udf(_LISTS)
+def _grouped(words: pd.Series) -> pd.Series:
+    """The distinct words of an array, each with its positions."""
+
+    def one(ws: list | None) -> list[dict]:
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate([] if ws is None else ws):
+            places.setdefault(w, []).append(i)
+        return [{"term": w, "positions": p} for w, p in places.items()]
+
+    return words.map(one)
+
+
+def posting_lists(chunks: DataFrame, key: str, text: str, stem: bool = True, fold: bool = True) -> DataFrame:
+    """(term, key, positions) of chunks; no shuffle, as a chunk's words are together."""
+    return chunks.select(key, F.explode(_grouped(terms(F.col(text), stem, fold))).alias("p")).select("p.term", key, "p.positions")
+
+
+def lengths(chunks: DataFrame, key: str, text: str, fold: bool = True) -> DataFrame:
+    """(key, len): words of each chunk."""
+    return chunks.select(key, F.greatest(F.coalesce(F.size(tokens(F.col(text), fold)), F.lit(0)), F.lit(0)).alias("len"))
 
-from docloom.operators.lexical import impact, occurrences, postings, top
-from docloom.operators.retrieval import RRF_K, fuse, nearest
-from docloom.session import written
 
+@dataclass
+class Index:
+    """Postings (term, key, positions) and lengths (key, len) of chunks; keys without a length are gone."""
 
-def impacts(chunks: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
-    """(term, key, impact): BM25 contributions of every posting."""
-    hits = written(postings(occurrences(chunks, key, text, stem), key), "postings")
-    lengths = hits.groupBy(key).agg(F.sum("tf").alias("len"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    whole = F.broadcast(chunks.agg(F.count("*").alias("n")).crossJoin(hits.agg(F.sum("tf").alias("words"))))  # one row
-    return hits.join(df, "term").join(lengths, key).crossJoin(whole).select("term", key, impact().alias("impact"))
+    postings: DataFrame
+    lengths: DataFrame
+    key: str
+    stem: bool = True
+    fold: bool = True
 
+    @classmethod
+    def of(cls, chunks: DataFrame, key: str, text: str = "content", stem: bool = True, fold: bool = True) -> Index:
+        """An index that is computed when it is read."""
+        return cls(posting_lists(chunks, key, text, stem, fold), lengths(chunks, key, text, fold), key, stem, fold)
 
-def build(chunks: DataFrame, key: str, text: str, path: str, stem: bool = False) -> None:
-    """Writes the impacts ordered by term."""
-    spark = chunks.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    impacts(chunks, key, text, stem).repartitionByRange(parts, "term").sortWithinPartitions("term", key).write.option("parquet.block.size", 8 << 20).parquet(path)
+    def save(self, path: str) -> None:
+        """Writes the index; postings are ordered by term, and those of a frequent term lie in several files."""
+        parts = int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = self.postings.repartitionByRange(parts, "term", self.key).sortWithinPartitions("term", self.key)
+        ordered.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        self.lengths.write.parquet(f"{path}/lengths")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, key: str, stem: bool = True, fold: bool = True) -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), key, stem, fold)
 
-def lexical_top(index: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    """(query_id, key, score, rank) of queries' distinct terms (query_id, term); few terms become a pushed-down filter."""
-    wanted = queries.select("query_id", "term").distinct()
-    known = [r.term for r in wanted.select("term").distinct().limit(201).collect()]
-    if len(known) <= 200:
-        index = index.where(F.col("term").isin(known))
-    scored = index.join(wanted, "term").groupBy("query_id", key).agg(F.sum("impact").alias("score"))
-    return top(scored, key, k)
+    def words(self, tree: Phrase | Node) -> DataFrame:
+        """(key, pos, term): where the words of a query stand in chunks that are there."""
+        asked = phrases(tree)
+        whole = {w for p in asked for w in (p.words[:-1] if p.prefix else p.words)}
+        found = F.col("term").isin(sorted(whole)) if whole else F.lit(False)
+        for start in {p.words[-1] for p in asked if p.prefix and p.words}:
+            found = found | F.col("term").startswith(start)
+        kept = self.postings.where(found).join(self.lengths.select(self.key), self.key, "left_semi")
+        return kept.select(self.key, F.explode("positions").alias("pos"), "term")
 
+    def best(self, queries: DataFrame, k: int, most: int = 200) -> DataFrame:
+        """(query_id, key, score, rank): the k best chunks by BM25 for the words (query_id, term) of any number of queries.
 
-def hybrid(index: DataFrame, vectors: DataFrame, terms: DataFrame, qvecs: DataFrame, key: str, k: int = 10, fetch: int = 30, rrf_k: int = RRF_K) -> DataFrame:
-    """(query_id, key, score, place): fused ranks of any number of queries in one pass."""
-    fused = fuse(lexical_top(index, terms, key, fetch), nearest(qvecs, vectors, key, fetch), key, rrf_k)
-    return fused.where(F.col("place") <= k)
+        Few words become a filter that the scan takes; more are joined.
+        """
+        wanted = queries.select("query_id", F.explode(terms("term", self.stem, self.fold)).alias("term")).distinct()
+        known = [r.term for r in wanted.select("term").distinct().limit(most + 1).collect()]
+        hits = self.postings.where(F.col("term").isin(known)) if len(known) <= most else self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+        hits = hits.select("term", self.key, F.size("positions").alias("tf")).join(self.lengths, self.key)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
+        whole = F.broadcast(self.lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")))  # one row
+        scored = hits.join(df, "term").crossJoin(whole).select("term", self.key, impact().alias("impact")).join(wanted, "term")
+        return top(scored.groupBy("query_id", self.key).agg(F.sum("impact").alias("score")), self.key, k)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import stemmed, tokens
+from docloom.functions.text import query_tokens, terms
 from docloom.session import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -18,12 +18,7 @@ MOST_TERMS = 5000
 
 def occurrences(chunks: DataFrame, key: str, text: str, stem: bool = False, fold: bool = False) -> DataFrame:
     """(key, pos, term): every word of every chunk."""
-    found = chunks.select(key, F.posexplode(tokens(F.col(text), fold)).alias("pos", "term"))
-    if not stem:
-        return found
-    # stems of the distinct words alone go through Python
-    stems = found.select("term").distinct().withColumn("stem", stemmed("term"))
-    return found.join(stems, "term").select(key, "pos", F.col("stem").alias("term"))
+    return chunks.select(key, F.posexplode(terms(F.col(text), stem, fold)).alias("pos", "term"))
 
 
 def postings(words: DataFrame, key: str) -> DataFrame:
@@ -31,33 +26,23 @@ def postings(words: DataFrame, key: str) -> DataFrame:
     return words.groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str = "content", stem: bool = False, most: int = MOST_TERMS) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str = "content", stem: bool = False, fold: bool = False, most: int = MOST_TERMS) -> DataFrame:
     """(query_id, key, score): BM25 of chunks for the distinct words of each query, higher is better.
 
-    ``queries`` has (query_id, term). Frequencies and lengths come from all chunks, also where
-    a filter follows. The text is read once: of each chunk its length and those words remain
-    that the queries ask for; up to ``most`` words are a set in that filter, more are kept whole
-    and joined.
+    ``queries`` has (query_id, term); their words are stemmed and folded as the texts' are.
+    Frequencies and lengths come from all chunks, also where a filter follows. The text is
+    read once: of each chunk its length and those words remain that the queries ask for; up to
+    ``most`` words are a set in that filter, more are joined.
     """
-    wanted = queries.select("query_id", "term").distinct()
+    wanted = queries.select("query_id", F.explode(terms("term", stem, fold)).alias("term")).distinct()
     asked = [r.term for r in wanted.select("term").distinct().limit(most + 1).collect()]
-    forms = {t: t for t in asked}
-    if stem and len(asked) <= most:
-        # the words whose stem is asked for, among the distinct words of the chunks
-        words = chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("word")).distinct().withColumn("stem", stemmed("word"))
-        forms = {r.word: r.stem for r in words.where(F.col("stem").isin(asked)).limit(most + 1).collect()}
-    narrow = chunks.select(F.col(key), tokens(F.col(text)).alias("all"))
-    if len(asked) <= most and len(forms) <= most:
-        kept = F.filter("all", lambda w: w.isin(list(forms)) if forms else F.lit(False))
+    narrow = chunks.select(F.col(key), terms(F.col(text), stem, fold).alias("all"))
+    if len(asked) <= most:
+        kept = F.filter("all", lambda w: w.isin(asked) if asked else F.lit(False))
         narrow = written(narrow.select(key, F.size("all").alias("len"), kept.alias("found")), "bm25")
-        each = narrow.select(key, "len", F.explode("found").alias("word"))
-        if stem:
-            pairs = chunks.sparkSession.createDataFrame(list(forms.items()) or [("", "")], "word string, term string")
-            each = each.join(F.broadcast(pairs), "word")  # at most ``most`` words
-        else:
-            each = each.withColumnRenamed("word", "term")
+        each = narrow.select(key, "len", F.explode("found").alias("term"))
     else:
-        each = occurrences(chunks, key, text, stem).join(wanted.select("term").distinct(), "term", "left_semi")
+        each = occurrences(chunks, key, text, stem, fold).join(wanted.select("term").distinct(), "term", "left_semi")
         narrow = written(narrow.select(key, F.size("all").alias("len")), "bm25")
         each = each.join(narrow, key)
     hits = each.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
@@ -217,9 +202,37 @@ def matching(words: DataFrame, key: str, query: str | Phrase | Node) -> DataFram
     return out
 
 
-def query_terms(tree: Phrase | Node) -> list[str]:
-    """Words that score; those after NOT do not."""
+def normal(tree: Phrase | Node, stem: bool, fold: bool) -> Phrase | Node:
+    """A query with its words as the index has them."""
+    if isinstance(tree, Phrase):
+        return Phrase([t for w in tree.words for t in query_tokens(w, stem, fold)], tree.prefix)
+    return Node(tree.op, [normal(p, stem, fold) for p in tree.parts], tree.distance)
+
+
+def phrases(tree: Phrase | Node, scoring: bool = False) -> list[Phrase]:
+    """The phrases of a query, repeats included; those after NOT don't score."""
     if isinstance(tree, Phrase):
-        return tree.words
-    parts = tree.parts[:1] if tree.op == "not" else tree.parts
-    return sorted({w for p in parts for w in query_terms(p)})
+        return [tree]
+    parts = tree.parts[:1] if scoring and tree.op == "not" else tree.parts
+    return [p for part in parts for p in phrases(part, scoring)]
+
+
+def phrase_scores(words: DataFrame, key: str, tree: Phrase | Node, lengths: DataFrame) -> DataFrame:
+    """(query_id, key, score): BM25 over the phrases of a query; a phrase's frequency in a chunk is how often it stands there.
+
+    ``lengths`` has (key, len) of all chunks.
+    """
+    asked: dict[tuple, int] = {}
+    for p in phrases(tree, True):
+        if p.words:
+            asked[tuple(p.words), p.prefix] = asked.get((tuple(p.words), p.prefix), 0) + 1
+    hits = None
+    for i, ((ws, prefix), times) in enumerate(asked.items()):
+        one = _phrase_spans(words, key, Phrase(list(ws), prefix)).groupBy(key).agg(F.count("*").alias("tf")).select(F.lit(i).alias("phrase"), F.lit(times).alias("times"), key, "tf")
+        hits = one if hits is None else hits.unionByName(one)
+    if hits is None:
+        return lengths.select(F.lit(0).alias("query_id"), key, F.lit(0.0).alias("score")).where(F.lit(False))
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each phrase of the query
+    whole = F.broadcast(lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")))  # one row
+    scored = hits.join(F.broadcast(df), "phrase").join(lengths, key).crossJoin(whole)
+    return scored.groupBy(key).agg(F.sum(F.col("times") * impact()).alias("score")).select(F.lit(0).alias("query_id"), key, "score")

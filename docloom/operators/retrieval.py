@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import keywords, match_query
 from docloom.functions.vectors import cosine, l2
-from docloom.operators.lexical import QueryError, bm25, matching, occurrences, parse, query_terms, top
+from docloom.operators.index import Index
+from docloom.operators.lexical import QueryError, matching, normal, parse, phrase_scores, top
+from docloom.session import written
 
+# The constant of rank fusion, how many candidates each step takes, and the boost of near folders.
 RRF_K = 60
 OVERFETCH, OVERFETCH_FILTERED = 3, 15
 WINDOW_FACTOR = 2
@@ -87,32 +93,46 @@ def validate(mode: str, top_k: int, source_type: str | None = None, chunk_strate
         raise ValueError("chunk_strategy must be mechanical or semantic")
 
 
-def lexical_leg(chunks: DataFrame, key: str, query: str, limit: int, chunk_strategy: str | None = None, stem: bool = False) -> DataFrame:
-    """Ranked matches of a boolean query; a query that can't be parsed finds nothing."""
-    spark = chunks.sparkSession
-    words = occurrences(chunks, key, "content", stem)
+def hybrid(index: Index, vectors: DataFrame, terms: DataFrame, qvecs: DataFrame, k: int = 10, fetch: int = 30, rrf_k: int = RRF_K) -> DataFrame:
+    """(query_id, key, score, place): fused ranks of any number of queries in one pass."""
+    fused = fuse(index.best(terms, fetch), nearest(qvecs, vectors, index.key, fetch), index.key, rrf_k)
+    return fused.where(F.col("place") <= k)
+
+
+def lexical_leg(index: Index, query: str, limit: int, among: DataFrame | None = None) -> DataFrame:
+    """Ranked matches of a boolean query, of those in ``among``; a query that can't be parsed finds nothing."""
+    key = index.key
     try:
-        tree = parse(query)
-        found = matching(words, key, tree)
+        tree = normal(parse(query), index.stem, index.fold)
+        words = written(index.words(tree), "words")
+        scored = phrase_scores(words, key, tree, index.lengths).join(matching(words, key, tree), key, "left_semi")
     except QueryError:
-        return spark.createDataFrame([], f"query_id int, {key} long, score double, rank int")
-    terms = spark.createDataFrame([(0, t) for t in query_terms(tree)], "query_id int, term string")
-    scored = bm25(terms, chunks, key, "content", stem).join(found, key, "left_semi")
-    if chunk_strategy:
-        scored = scored.join(chunks.where(F.col("chunk_strategy") == chunk_strategy), key, "left_semi")
+        scored = index.lengths.select(F.lit(0).alias("query_id"), key, F.lit(0.0).alias("score")).where(F.lit(False))
+    if among is not None:
+        scored = scored.join(among.select(key), key, "left_semi")
     return top(scored, key, limit)
 
 
+def intent(query: str, spark: SparkSession) -> str:
+    """The intent words of a query, joined by OR; empty without any."""
+    found = match_query(keywords(spark.createDataFrame([(0, query)], "query_id int, query string"))).first()
+    return found.match if found else ""
+
+
 def search(
     chunks: DataFrame, query: str, qvec: list[float] | None = None, vectors: DataFrame | None = None, folders: DataFrame | None = None,
     top_k: int = 10, mode: str = "hybrid", source_type: str | None = None, chunk_strategy: str | None = None,
     rerank: Callable[[DataFrame], DataFrame] | None = None, rerank_top: int = RERANK_TOP, prefilter: bool = False,
+    index: Index | None = None, keyword_prefilter: bool = False,
 ) -> DataFrame:
     """The whole search: legs, fusion, boost, rerank, cut, hydration.
 
-    ``source_type`` filters after the cut, so fewer than ``top_k`` rows may come back, unless
-    ``prefilter``. ``match_type`` is hybrid if both legs found something; reranked rows say so.
-    ``rerank`` takes (chunk_id, content) and returns (chunk_id, rerank_score).
+    Words are found by stem and without accents, in ``index`` or else in the texts. With
+    ``keyword_prefilter`` the lexical leg takes the query's intent words alone. ``source_type``
+    filters after the cut, so fewer than ``top_k`` rows may come back, unless ``prefilter``.
+    ``match_type`` is hybrid if both legs found something; reranked rows say so. ``rerank``
+    takes (chunk_id, content) and returns (chunk_id, rerank_score); if it fails, the fused
+    order stays.
     """
     validate(mode, top_k, source_type, chunk_strategy)
     key, spark = "chunk_id", chunks.sparkSession
@@ -120,11 +140,17 @@ def search(
         chunks = chunks.where(F.col("source_type") == source_type)
     limit = top_k * (OVERFETCH_FILTERED if chunk_strategy else OVERFETCH)
     none = spark.createDataFrame([], f"query_id int, {key} long, rank int")
-    lexical = lexical_leg(chunks, key, query, limit, chunk_strategy) if mode != "vec" else none
-    vector, queries = none, None
+    index = index or Index.of(chunks, key)
+    asked = intent(query, spark) if keyword_prefilter and mode != "vec" else query
+    among = chunks.where(F.col("chunk_strategy") == chunk_strategy) if chunk_strategy else chunks if prefilter and source_type else None
+    lexical = lexical_leg(index, asked, limit, among) if mode != "vec" and asked.strip() else none
+    lexical, vector, queries = written(lexical.select("query_id", key, "rank"), "leg"), none, None
     if mode != "fts" and qvec is not None and vectors is not None:
         queries = spark.createDataFrame([(0, [float(x) for x in qvec])], "query_id int, qvec array<double>")
         vector = nearest(queries, vectors, key, limit)
+        if prefilter and source_type:
+            vector = nearest(queries, vectors.join(chunks.select(key), key, "left_semi"), key, limit)
+        vector = written(vector.select("query_id", key, "rank"), "leg")
         if chunk_strategy:
             vector = vector.join(chunks.where(F.col("chunk_strategy") == chunk_strategy), key, "left_semi")
             vector = vector.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
@@ -143,7 +169,12 @@ def search(
             pool = pool.where(F.col("source_type") == source_type)
         if chunk_strategy:
             pool = pool.where(F.col("chunk_strategy") == chunk_strategy)
-        scored = rerank(pool.orderBy("place").limit(rerank_top).select(key, "content"))
+        pool = pool.orderBy("place").limit(rerank_top).select(key, "content")
+        try:
+            scored = spark.createDataFrame(rerank(pool).collect(), f"{key} {chunks.schema[key].dataType.simpleString()}, rerank_score double")  # rerank_top rows
+        except (PySparkException, ImportError, RuntimeError, ValueError, OSError) as e:
+            logging.getLogger(__name__).warning("the reranker failed, the fused order stays: %s", e)
+            scored = pool.select(key, F.lit(None).cast("double").alias("rerank_score")).where(F.lit(False))
         ranked = ranked.join(scored, key, "left").select("query_id", key, F.coalesce("rerank_score", "score").alias("score"), "place", F.when(F.col("rerank_score").isNotNull(), "reranked").otherwise(F.col("match_type")).alias("match_type"))
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     details = chunks.select(key, "content", "source_type", "source_uri", "chunk_index", "chunk_strategy")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as text_functions
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import index, ingest, lexical, retrieval
+from docloom.operators import ingest, lexical, retrieval
+from docloom.operators.index import Index
 from docloom.plans import views
 from docloom.plans.views import CHUNKS_SQL, WORDS_SQL
 from docloom.session import shared_dir, table
@@ -54,7 +57,7 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf: str, stem: bool = False) -> DataFrame:
     docs = views.whole_chunks(spark, sf)
-    return lexical.bm25(_terms(spark), docs, "chunk_id", "content", stem)
+    return lexical.bm25(_terms(spark), docs, "chunk_id", "content", stem, stem)
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,20 +132,20 @@ g AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, first)::INT A
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
-def _index(spark: SparkSession, sf: str) -> DataFrame:
-    """The impacts of all documents, built at the first use of a table in a session."""
+def _index(spark: SparkSession, sf: str) -> Index:
+    """The index of all documents by their plain words, built at the first use of a table in a session."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _INDEXES:
-        path = f"{shared_dir(spark)}/impacts-{len(_INDEXES)}"
-        index.build(views.whole_chunks(spark, sf), "chunk_id", "content", path)
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        Index.of(views.whole_chunks(spark, sf), "chunk_id", stem=False, fold=False).save(path)
         _INDEXES[at] = path
-    return spark.read.parquet(_INDEXES[at])
+    return Index.read(spark, _INDEXES[at], "chunk_id", False, False)
 
 
 def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship search from a built index."""
     terms = _terms(spark).where("query_id = 0")
-    found = index.hybrid(_index(spark, sf), views.vectors(spark, sf), terms, views.query_vectors(spark, sf, (0,)), "chunk_id")
+    found = retrieval.hybrid(_index(spark, sf), views.vectors(spark, sf), terms, views.query_vectors(spark, sf, (0,)))
     return found.select("chunk_id", F.round("score", 6).alias("score"), "place")
 
 
@@ -152,7 +155,7 @@ def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     count = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("query_id"))
     vectors = views.vectors(spark, sf)
     qvecs = count.join(vectors, F.col("query_id") == F.col("chunk_id")).select("query_id", F.col("embedding").alias("qvec"))
-    return index.hybrid(_index(spark, sf), vectors, terms, qvecs, "chunk_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+    return retrieval.hybrid(_index(spark, sf), vectors, terms, qvecs).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 
 
 def single_leg(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,12 +197,18 @@ def strategy_filtered_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole search with boost and rerank."""
+    """The whole search by plain words, reranked."""
     from docloom.sources.providers import OverlapReranker, reranked
 
     qvec = views.query_vectors(spark, sf, (0,)).first().qvec
-    uris = views.whole_chunks(spark, sf)
-    return retrieval.search(uris, "the OR of OR and", list(qvec), views.vectors(spark, sf), None, top_k=10, rerank=reranked("the of and", OverlapReranker())).drop("content")
+    found = retrieval.search(views.whole_chunks(spark, sf), "the OR of OR and", list(qvec), views.vectors(spark, sf), None, top_k=10, rerank=reranked("the of and", OverlapReranker()), index=_index(spark, sf))
+    return found.drop("content")
+
+
+def stemmed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexical search by stems: phrases, prefixes and intent words."""
+    found = retrieval.search(views.whole_chunks(spark, sf), "Where are the things of sands and \"the thing\"?", mode="fts", top_k=20, keyword_prefilter=True)
+    return found.drop("content")
 
 
 def keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,7 +217,16 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
     return text_functions.keywords(queries)
 
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text_functions.STOPWORDS)
+# The words without intent, written out.
+_STOP = """'a', 'about', 'above', 'after', 'again', 'against', 'all', 'am', 'an', 'and', 'any', 'are', 'aren''t', 'as', 'at', 'be', 'because', 'been', 'before',
+'being', 'below', 'between', 'both', 'but', 'by', 'can', 'could', 'did', 'didn''t', 'do', 'does', 'doesn''t', 'doing', 'don''t', 'down', 'during',
+'each', 'few', 'for', 'from', 'further', 'get', 'got', 'had', 'has', 'have', 'having', 'he', 'her', 'here', 'hers', 'herself', 'him', 'himself',
+'his', 'how', 'i', 'if', 'in', 'into', 'is', 'it', 'its', 'itself', 'just', 'let', 'me', 'more', 'most', 'my', 'myself', 'no', 'nor', 'not', 'of',
+'off', 'on', 'once', 'only', 'or', 'other', 'our', 'ours', 'ourselves', 'out', 'over', 'own', 'same', 'she', 'should', 'so', 'some', 'such', 'than',
+'that', 'the', 'their', 'theirs', 'them', 'themselves', 'then', 'there', 'these', 'they', 'this', 'those', 'through', 'to', 'too', 'under', 'until',
+'up', 'very', 'was', 'we', 'were', 'what', 'when', 'where', 'which', 'while', 'who', 'whom', 'why', 'will', 'with', 'would', 'you', 'your', 'yours',
+'yourself', 'yourselves', 'also', 'use', 'used', 'using', 'can''t', 'won''t', 'shall', 'may', 'might', 'must', 'need', 'vs', 'best', 'better', 'good',
+'well', 'many', 'much', 'several', 'won', 'don', 'doesn', 'didn', 'shouldn', 'couldn', 'wouldn', 'isn', 'aren', 'hasn', 'weren', 'via', 'based'"""
 _KEYWORDS_SQL = f"""WITH t AS (SELECT item_id AS query_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_\\-.]*[\\p{{L}}\\p{{N}}_]|[\\p{{L}}\\p{{N}}_]') AS w FROM benchmark),
 u AS (SELECT query_id, text, unnest(w) AS keyword, generate_subscripts(w, 1) AS pos FROM t),
 k AS (SELECT query_id, keyword, count(*) + CASE WHEN contains(keyword, '-') OR contains(keyword, '.') THEN 0.5 ELSE 0 END AS score, min(pos) AS first FROM u
@@ -224,7 +242,7 @@ QUERIES = {
     "chunk_text": chunk_text, "content_dedup": content_dedup, "token_stats": token_stats, "bm25_topk": bm25_topk, "bm25_stemmed": bm25_stemmed,
     "boolean_match": boolean_match, "l2_topk": l2_topk, "cosine_topk": cosine_topk, "matryoshka_topk": matryoshka_topk, "int8_topk": int8_topk,
     "rrf_hybrid": rrf_hybrid, "indexed_search": indexed_search, "batch_search": batch_search, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
-    "full_search": full_search, "keywords": keywords, "match_query": match_query,
+    "full_search": full_search, "stemmed_search": stemmed_search, "keywords": keywords, "match_query": match_query,
 }
 ORACLES = {
     "chunk_text": f"WITH {CHUNKS_SQL} SELECT source_uri, chunk_index, content_hash, length(content) AS n_chars FROM chunks",
@@ -244,6 +262,8 @@ sv AS (SELECT q.vec_id::INT AS query_id, e.vec_id AS chunk_id, round({_l2('e.emb
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM sv QUALIFY rank <= 30),
 f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 + rank) AS first FROM (SELECT query_id, chunk_id, rank, 0 AS leg FROM lex UNION ALL SELECT query_id, chunk_id, rank, 1 FROM vec) GROUP BY ALL)
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first)::INT AS place FROM f QUALIFY place <= 10""",
+    "full_search": f"""WITH {_FUSED}, r AS (SELECT g.chunk_id, source, place, 1 / (1 + exp(-(8.0::DOUBLE * len(list_filter(['the', 'of', 'and'], lambda w: list_contains(string_split_regex(lower(text), '\\s+'), w))) / 3 - 4))) AS s FROM g JOIN documents ON doc_id = chunk_id WHERE place <= 20)
+SELECT chunk_id, 'markdown' AS source_type, '/' || source || '/' || chunk_id || '.md' AS source_uri, 0 AS chunk_index, round(s, 6) AS score, 'reranked' AS match_type, p AS place FROM (SELECT *, (row_number() OVER (ORDER BY round(s, 12) DESC, place))::INT AS p FROM r) WHERE p <= 10""",
     "single_leg": f"WITH k AS ({_knn_sql()}) SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS score, rank AS place FROM k",
     "folder_boost": _FOLDER_SQL,
     "strategy_filtered_search": f"""WITH {_LEGS},

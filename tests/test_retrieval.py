@@ -3,7 +3,10 @@ from pyspark.sql import functions as F
 
 from docloom.operators import lexical as L
 from docloom.operators import retrieval as R
+from docloom.operators.index import Index
 from docloom.sources.providers import HashEmbedder, OverlapReranker, embedded, reranked
+from tests.conftest import SF
+from tests.test_text import fts
 
 TEXTS = ["the quick brown fox", "the lazy dog", "a fox and a dog", "brown bread with butter", "quick quick fox trot", "running dogs"]
 
@@ -34,12 +37,29 @@ def test_boolean_queries(chunks, query, want):
 def test_bad_queries_find_nothing(chunks, query):
     with pytest.raises(L.QueryError):
         L.parse(query)
-    assert R.lexical_leg(chunks, "chunk_id", query, 5).count() == 0
+    assert R.lexical_leg(Index.of(chunks, "chunk_id"), query, 5).count() == 0
 
 
 def test_stems_match(spark, chunks):
     words = L.occurrences(chunks, "chunk_id", "content", stem=True)
     assert ids(L.matching(words, "chunk_id", "dog")) == [1, 2, 5]
+    index = Index.of(chunks, "chunk_id")
+    assert ids(R.lexical_leg(index, "DOGS", 9)) == [1, 2, 5] and ids(R.lexical_leg(index, "run", 9)) == [5]
+
+
+@pytest.mark.parametrize("query", ["und", '"of the" OR und', "the AND of NOT was", "sand* OR things", "NEAR(the of, 3)", "the the of", '"la de" + la'])
+def test_ranks_are_those_of_a_full_text_engine(spark, query, tmp_path):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()]
+    con = fts("porter unicode61")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", docs)
+    want = {i: -s for i, s in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (query,))}
+    index = Index.of(spark.createDataFrame(docs, "chunk_id long, content string"), "chunk_id")
+    index.save(f"{tmp_path}/index")
+    for found in (index, Index.read(spark, f"{tmp_path}/index", "chunk_id")):
+        got = {r.chunk_id: r.score for r in R.lexical_leg(found, query, 10**6).collect()}
+        assert got.keys() == want.keys()
+        if "NEAR" not in query:
+            assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
 
 
 def legs(spark, lexical, vector):

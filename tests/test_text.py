@@ -1,8 +1,11 @@
+import sqlite3
+
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
+from tests.conftest import SF
 
 
 def words(spark, query, most=5):
@@ -31,11 +34,36 @@ def test_match_query_quotes_everything(spark):
     assert T.match_query(ranked).first().match == '"a""b" OR "NOT"'
 
 
-@pytest.mark.parametrize("word, stem", [w.split(":") for w in "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall happy:happi sky:sky relational:relat triplicate:triplic electricity:electr adjustment:adjust adoption:adopt rate:rate controll:control roll:roll be:be naïve:naïve generalizations:gener".split()])
+@pytest.mark.parametrize("word, stem", [w.split(":") for w in "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall happy:happi sky:sky relational:relat triplicate:triplic electricity:electr adjustment:adjust adoption:adopt rate:rate controll:control roll:roll be:be generalizations:gener".split()])
 def test_porter(word, stem):
     assert T.stem(word) == stem
 
 
+def fts(tokenizer):
+    """A full-text table of SQLite, where it has one."""
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute(f"CREATE VIRTUAL TABLE t USING fts5(x, tokenize='{tokenizer}')")
+    except sqlite3.OperationalError:
+        pytest.skip("SQLite without FTS5")
+    return con
+
+
+def test_terms_are_those_of_a_full_text_engine(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()]
+    hard = "possibly archeology naïve running mp3s Straßes caféS ÀÉÎ ộ Ünïcödé e\u0301te\u0301 conditional rationally hopping hoped foo_bar a-b C++ 12.5"
+    con = fts("porter unicode61")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", list(enumerate([hard, *docs[:150]], 1)))
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    want = {}
+    for doc, term in con.execute("SELECT doc, term FROM v ORDER BY doc, offset"):
+        want.setdefault(doc, []).append(term)
+    df = spark.createDataFrame(list(enumerate([hard, *docs[:150]], 1)), "i int, x string")
+    for r in df.select("i", T.terms("x", True, True).alias("w")).collect():
+        assert r.w == want.get(r.i, [])
+    assert T.query_tokens(hard, True, True) == want[1]
+
+
 def test_names_and_hashes(spark):
     df = spark.createDataFrame([("Vaswani, Ashish", " Some Query\n"), ("Ann B. Lee", "x")], "a string, q string")
     rows = df.select(T.surname(F.col("a")).alias("s"), T.normal_query("q").alias("q"), T.content_hash("q").alias("h")).collect()
