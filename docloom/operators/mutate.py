@@ -164,10 +164,11 @@ def active_space(spaces: DataFrame) -> DataFrame:
 
 
 def job_submitted(jobs: DataFrame, new: DataFrame) -> DataFrame:
-    """Jobs with new ones, but for those of which an equal one waits or runs."""
+    """Jobs with new ones, but for those of which an equal one waits or runs; of equal new ones the one with the smallest id."""
     keys = ["paper_id", "job_type", "params"]
     live = jobs.where(F.col("status").isin("pending", "running"))
-    fresh = new.dropDuplicates(keys)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    fresh = new.withColumn("__n", first).where("__n = 1").drop("__n")
     return jobs.unionByName(fresh.join(live, [fresh[k].eqNullSafe(live[k]) for k in keys], "left_anti"), allowMissingColumns=True)
 
 

@@ -86,9 +86,13 @@ def new_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.new_chunks(views.chunks(spark, sf), ingest.documents_to_chunks(said)).select("source_uri", "chunk_index", "content_hash")
 
 
+_EXTENSIONS = (".pdf", ".PDF", ".md", ".txt", ".typ", ".rst", ".py", ".rs", ".cpp", ".c", ".h", ".hpp", ".toml", ".yaml", ".yml", ".json", ".JSON", ".html", ".htm", ".js", ".ts", ".go", ".java", ".rb", ".sh", "", ".tar.gz")
+
+
 def source_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Types and strategies by file name: pages as .html, documents as .md or .pdf."""
-    paths = table(spark, sf, "pages").selectExpr("concat('/web/', page_id, '.HTML') AS path").unionByName(table(spark, sf, "documents").selectExpr("concat('/', source, '/', doc_id, if(doc_id % 3 = 0, '.pdf', if(doc_id % 3 = 1, '.py', '.md'))) AS path"))
+    """Types and strategies by file name: pages and documents with all sorts of extensions."""
+    names = ", ".join(f"'{x}'" for x in _EXTENSIONS)
+    paths = table(spark, sf, "pages").selectExpr("concat('/web/', page_id, '.HTML') AS path").unionByName(table(spark, sf, "documents").selectExpr(f"concat('/', source, '/', doc_id, element_at(array({names}), cast(doc_id % {len(_EXTENSIONS)} + 1 AS int))) AS path"))
     typed = paths.select("path", files.source_type("path").alias("source_type"))
     return typed.withColumn("chunk_strategy", ingest.strategy())
 
@@ -133,60 +137,61 @@ def relationships_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS id", "conv_id", "turn")
+    turns = table(spark, sf, "conversations").selectExpr("conv_id * 1000000 + turn AS id", "conv_id", "turn")
     return turns.select("id", F.lead("id").over(Window.partitionBy("conv_id").orderBy("turn")).alias("superseded_by"))
 
 
 def supersession_chain(spark: SparkSession, sf: str) -> DataFrame:
     links = _links(spark, sf)
-    return graph.chains(links, links.where("id % 1000 = 0")).selectExpr("start", "id", "cast(depth AS int) AS depth")
+    return graph.chains(links, links.select("id").join(links.selectExpr("superseded_by AS id"), "id", "left_anti"))
 
 
 def chain_with_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, None)], "id long, superseded_by long")
-    return graph.chains(links, links.select("id"), "docloom_cycle").selectExpr("start", "id", "cast(depth AS int) AS depth")
-
-
-_TEXTS = (
-    (1, "See 10.1234/abc-9 and 10.5555/none. As (Vaswani et al., 2017) and Smith (2019) show, (Lee & Park, 2020) agree."),
-    (2, "Deep graph networks for retrieval are good; 10.7777/own and 10.1234/abc-9"),
-    (3, "Nothing of note (smith, 2019) here but Jones et al. (2018)."),
-)
-_PAPERS = (
-    (1, "First work on sparse things", ["Ann Lee"], 2016, None),
-    (2, "Deep graph networks for retrieval", ["Vaswani, Ashish", "Noam Shazeer"], 2017, "10.7777/own"),
-    (3, "Sparse retrieval of deep things", ["John Smith"], 2019, "10.1234/abc-9"),
-    (4, "On it", ["Lee, Kim"], 2020, None),
-    (5, "Networks of agreement show retrieval", ["Jones, A."], 2018, None),
-)
-
-
-def _literature(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    texts = spark.createDataFrame(_TEXTS, "paper_id long, content string")
-    papers = spark.createDataFrame(_PAPERS, "paper_id long, title string, authors array<string>, year int, doi string")
-    edges = spark.createDataFrame([(1, 4, "cites")], "source_paper_id long, target_paper_id long, relation_type string")
+    """Customers linked by the remainder of a square, which makes cycles and ends."""
+    links = table(spark, sf, "customer").selectExpr("c_custkey AS id", "if(c_custkey % 11 = 0, null, (c_custkey * c_custkey + 1) % 97 + 1) AS superseded_by")
+    return graph.chains(links, links.select("id"))
+
+
+def _literature(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents that each name one part, its DOI or a strange one, and an author; parts as papers; some edges."""
+    part = table(spark, sf, "part")
+    papers = part.selectExpr("p_partkey AS paper_id", "p_name AS title", "array(concat(substring('ABCDE', 1 + cast(p_partkey % 5 AS int), 1), 'author, K.'), p_brand) AS authors", "cast(1990 + p_size % 3 AS int) AS year", "concat('10.5555/p', p_partkey) AS doi")
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "text", "doc_id % 97 + 1 AS p_partkey")
+    content = "concat(coalesce(text, ''), ' see ', p_name, ', 10.5555/p', doc_id % 150, if(doc_id % 4 = 0, ' (Bauthor et al., 1991)', ' and Cauthor (1992) too'))"
+    texts = docs.join(part.select("p_partkey", "p_name"), "p_partkey").selectExpr("doc_id AS paper_id", f"{content} AS content")
+    edges = papers.selectExpr("paper_id + 1 AS source_paper_id", "paper_id AS target_paper_id", "'cites' AS relation_type")
     return texts, papers, edges
 
 
-def _values(rows: tuple) -> str:
-    def lit(x: object) -> str:
-        if isinstance(x, str):
-            return "'" + x.replace("'", "''") + "'"
-        return "NULL" if x is None else "[" + ", ".join(map(lit, x)) + "]" if isinstance(x, (list, tuple)) else str(x)
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+_LIT = """papers AS (SELECT p_partkey AS paper_id, p_name AS title, [substr('ABCDE', 1 + (p_partkey % 5)::INT, 1) || 'author, K.', p_brand] AS authors, (1990 + p_size % 3)::INT AS year, '10.5555/p' || p_partkey AS doi FROM part),
+texts AS (SELECT doc_id AS paper_id, coalesce(text, '') || ' see ' || p_name || ', 10.5555/p' || (doc_id % 150) || CASE WHEN doc_id % 4 = 0 THEN ' (Bauthor et al., 1991)' ELSE ' and Cauthor (1992) too' END AS content FROM documents JOIN part ON p_partkey = doc_id % 97 + 1),
+dois AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(content, '10\\.\\d{4,}/[^\\s,;}\\])\"'']+')) AS doi FROM texts),
+by_doi AS (SELECT d.doi, d.paper_id, p.paper_id AS target_paper_id FROM dois d LEFT JOIN papers p ON p.doi = d.doi LEFT JOIN papers o ON o.paper_id = d.paper_id WHERE o.doi IS NULL OR o.doi <> d.doi),
+cited AS (SELECT paper_id, unnest(regexp_extract_all(content, '\\(([A-Z][a-zA-Z''\\-]+)(?:\\s+(?:et\\s+al\\.|&\\s+[A-Z][a-zA-Z''\\-]+))?,\\s*((?:19|20)\\d{2})\\)')) AS m FROM texts
+UNION ALL SELECT paper_id, unnest(regexp_extract_all(content, '([A-Z][a-zA-Z''\\-]+)(?:\\s+et\\s+al\\.)?\\s+\\(((?:19|20)\\d{2})\\)')) FROM texts),
+named AS (SELECT DISTINCT paper_id, lower(regexp_extract(m, '[A-Z][a-zA-Z''\\-]+')) AS surname, regexp_extract(m, '(?:19|20)\\d{2}')::INT AS year FROM cited),
+author AS (SELECT paper_id, year, unnest(authors) AS a FROM papers),
+surnames AS (SELECT DISTINCT paper_id, year, lower(CASE WHEN contains(a, ',') THEN trim(split_part(a, ',', 1)) ELSE split_part(trim(a), ' ', -1) END) AS surname FROM author),
+by_author AS (SELECT c.paper_id, n.paper_id AS target_paper_id, c.surname, c.year FROM named c JOIN surnames n ON n.surname = c.surname AND n.year = c.year WHERE c.paper_id <> n.paper_id)"""
+# The 29 words that do not count in titles, written out.
+_TITLE_STOP = "'a', 'an', 'the', 'of', 'in', 'on', 'at', 'to', 'for', 'and', 'or', 'is', 'are', 'was', 'were', 'be', 'by', 'with', 'from', 'as', 'its', 'this', 'that', 'not', 'but', 'no', 'via', 'using', 'based'"
 
 
-_LIT = f"texts(paper_id, content) AS {_values(_TEXTS)}, papers(paper_id, title, authors, year, doi) AS {_values(_PAPERS)}"
+def _ratio_sql(titles: str, texts: str) -> str:
+    """Shares of the words of titles (t, title) in texts (paper_id, content)."""
+    return f"""s AS (SELECT t, string_split_regex(trim(title, ' '), '\\s+') AS w FROM ({titles})), w AS (SELECT t, lower(unnest(w)) AS word FROM s WHERE len(w) >= 3),
+k AS (SELECT * FROM w WHERE length(word) > 2 AND word NOT IN ({_TITLE_STOP})), n AS (SELECT t, count(*) AS n FROM k GROUP BY t HAVING count(*) >= 2),
+x AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM ({texts})), h AS (SELECT paper_id, t, count(*) AS c FROM k JOIN x USING (word) GROUP BY ALL),
+ratios AS (SELECT paper_id, t AS target_paper_id, c::DOUBLE / n AS ratio FROM h JOIN n USING (t) WHERE c::DOUBLE / n >= 0.6 AND paper_id <> t)"""
 
 
 def doi_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    texts, papers, _ = _literature(spark)
+    texts, papers, _ = _literature(spark, sf)
     return graph.doi_matches(texts, papers)
 
 
 def author_year_citations(spark: SparkSession, sf: str) -> DataFrame:
-    texts, papers, _ = _literature(spark)
+    texts, papers, _ = _literature(spark, sf)
     return graph.author_year_matches(texts, papers)
 
 
@@ -194,11 +199,11 @@ def title_word_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of the benchmark texts' words, as titles, that each document has."""
     titles = table(spark, sf, "benchmark").selectExpr("-1 - item_id AS paper_id", "text AS title")
     texts = table(spark, sf, "documents").selectExpr("doc_id AS paper_id", "text AS content")
-    return graph.title_ratios(texts, titles).where("ratio >= 0.6").withColumn("ratio", F.round("ratio", 6))
+    return graph.title_ratios(texts, titles).withColumn("ratio", F.round("ratio", 6))
 
 
 def suggest_relationships(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.suggest(*_literature(spark))
+    return graph.suggest(*_literature(spark, sf))
 
 
 def bibtex_key_suffix(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,20 +259,21 @@ z AS (SELECT query_id, coalesce(c, 0)::DOUBLE / least(10, na, nb) AS overlap, co
 
 
 def storage_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    spaces = spark.createDataFrame([("full", 1024, "float32"), ("short", 512, "float32"), ("small", 1024, "int8")], "name string, dim int, element_type string")
-    return stats.storage_ratio(spaces)
+    """Every label of the vectors as a space, some truncated, some of bytes."""
+    dims = table(spark, sf, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).alias("d"))
+    return stats.storage_ratio(dims.selectExpr("concat('s', label) AS name", "cast(d div (1 + label % 3) AS int) AS dim", "if(label % 2 = 0, 'float32', 'int8') AS element_type"))
 
 
 def _fact_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Parts as datasets of papers, nations as methods, order lines as metrics, suppliers as papers."""
     datasets = table(spark, sf, "part").selectExpr("p_partkey AS id", "concat(p_brand, ' ', p_type) AS name", "p_partkey % 40 AS paper_id")
     methods = table(spark, sf, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
-    metrics = table(spark, sf, "lineitem").where("l_linenumber = 1").selectExpr("l_returnflag AS name", "l_extendedprice AS value", "'usd' AS unit", "l_partkey AS dataset_id", "cast(if(l_orderkey % 7 = 0, null, l_orderkey % 25) AS int) AS method_id", "l_suppkey AS paper_id", "l_orderkey AS id")
+    metrics = table(spark, sf, "lineitem").selectExpr("l_returnflag AS name", "l_extendedprice AS value", "'usd' AS unit", "l_partkey AS dataset_id", "cast(if(l_orderkey % 7 = 0, null, l_orderkey % 25) AS int) AS method_id", "l_suppkey AS paper_id", "l_orderkey * 10 + l_linenumber AS id")
     return metrics, datasets, methods, table(spark, sf, "supplier").selectExpr("s_suppkey AS paper_id", "s_name AS title")
 
 
 _FACTS = """ds AS (SELECT p_partkey AS id, p_brand || ' ' || p_type AS name, p_partkey % 40 AS paper_id FROM part),
-me AS (SELECT l_returnflag AS name, l_extendedprice AS value, l_partkey AS dataset_id, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_orderkey % 25 END AS method_id, l_suppkey AS paper_id, l_orderkey AS id FROM lineitem WHERE l_linenumber = 1)"""
+me AS (SELECT l_returnflag AS name, l_extendedprice AS value, l_partkey AS dataset_id, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_orderkey % 25 END AS method_id, l_suppkey AS paper_id, l_orderkey * 10 + l_linenumber AS id FROM lineitem)"""
 
 
 def shared_datasets(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,37 +286,37 @@ def metrics_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metric_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """The best value of each metric on each shared dataset."""
+    """The values of each metric on each shared dataset, best first."""
     metrics, datasets, methods, papers = _fact_tables(spark, sf)
-    found = facts.compare_papers(metrics, datasets, methods, papers)
-    return found.groupBy("dataset", "metric").agg(F.max("value").alias("best"), F.count("*").alias("n"), F.count("method").alias("n_methods"))
+    return facts.compare_papers(metrics, datasets, methods, papers)
 
 
-_EXTRACTED = (
-    (1, 10, "method", " BERT ", "first", ["BERT", "bert-base"]),
-    (1, 11, "method", "bert", "", ["Bert"]),
-    (1, 12, "dataset", "SQuAD", "reading", None),
-    (1, 13, "method", "Bert", "last", ["BERT"]),
-    (2, 20, "dataset", "squad", None, ["SQuAD 2"]),
-    (2, 21, "metric", "F1", None, None),
-    (2, 22, "method", "   ", "blank", None),
-)
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as facts of papers: types as methods and brands as datasets in several spellings, some blank, some metrics."""
+    kind = "CASE WHEN p_partkey % 10 = 9 THEN 'metric' WHEN p_partkey % 2 = 0 THEN 'method' ELSE 'dataset' END AS kind"
+    name = "CASE WHEN p_partkey % 17 = 0 THEN '  ' WHEN p_partkey % 3 = 0 THEN concat(' ', upper(p_type), ' ') WHEN p_partkey % 3 = 1 THEN lower(p_brand) ELSE p_type END AS name"
+    told = "CASE WHEN p_size % 4 = 0 THEN null WHEN p_size % 4 = 1 THEN '' ELSE p_type END AS description"
+    forms = "if(p_partkey % 4 = 0, null, array(p_brand, p_name)) AS surface_forms"
+    return table(spark, sf, "part").selectExpr("p_partkey % 40 AS paper_id", "p_partkey AS chunk_id", kind, name, told, forms)
 
 
-def _facts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_EXTRACTED, "paper_id long, chunk_id long, kind string, name string, description string, surface_forms array<string>")
+def _fact_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands and what they are called."""
+    return table(spark, sf, "part").selectExpr("'dataset' AS kind", "p_brand AS surface", "concat('M', p_brand) AS canonical_name").distinct()
 
 
 def entity_mentions_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.mentions(_facts(spark)).withColumn("surface_forms", F.array_join("surface_forms", "|"))
+    return facts.mentions(_facts(spark, sf)).withColumn("surface_forms", F.array_join("surface_forms", "|"))
 
 
 def canonical_entities(spark: SparkSession, sf: str) -> DataFrame:
-    groups = spark.createDataFrame([("method", "bert", "BERT"), ("dataset", "squad", "SQuAD")], "kind string, surface string, canonical_name string")
-    return facts.canonical(_facts(spark), groups).withColumn("surface_forms", F.array_join("surface_forms", "|"))
+    return facts.canonical(_facts(spark, sf), _fact_groups(spark, sf)).withColumn("surface_forms", F.array_join("surface_forms", "|"))
 
 
-_EX = f"f(paper_id, chunk_id, kind, name, description, forms) AS {_values(_EXTRACTED)}, g AS (SELECT *, lower(trim(name)) AS key, coalesce(forms, [name]) AS ff FROM f WHERE kind <> 'metric' AND trim(name) <> '')"
+_EX = """f AS (SELECT p_partkey % 40 AS paper_id, p_partkey AS chunk_id, CASE WHEN p_partkey % 10 = 9 THEN 'metric' WHEN p_partkey % 2 = 0 THEN 'method' ELSE 'dataset' END AS kind,
+CASE WHEN p_partkey % 17 = 0 THEN '  ' WHEN p_partkey % 3 = 0 THEN ' ' || upper(p_type) || ' ' WHEN p_partkey % 3 = 1 THEN lower(p_brand) ELSE p_type END AS name,
+CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN '' ELSE p_type END AS description, CASE WHEN p_partkey % 4 <> 0 THEN [p_brand, p_name] END AS forms FROM part),
+g AS (SELECT *, lower(trim(name)) AS key, coalesce(forms, [name]) AS ff FROM f WHERE kind <> 'metric' AND trim(name) <> '')"""
 
 
 def extraction_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -328,29 +334,27 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return mutate.upserted(old, events.where("event_type = 'purchase'"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "value")
 
 
-_CONCLUSIONS = ((1, "Cats purr", 0.9, [1, 2], 2), (2, "Cats purr a lot", 0.7, [3], None), (3, "Dogs bark", 0.4, [2, 4], None), (4, "100% sure", 0.8, [], None), (5, "Birds", 0.6, [5, 3], 2))
-
-
-def _conclusions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CONCLUSIONS, "id long, claim string, confidence double, source_chunk_ids array<long>, superseded_by long")
-
-
 def conclusions_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return mutate.get_conclusions(_conclusions(spark), "cat", 0.5).select("id", "claim", "confidence")
+    """Documents as claims, some superseded by the next."""
+    claims = table(spark, sf, "documents").selectExpr("doc_id AS id", "text AS claim", "cast(doc_id % 10 AS double) / 10 AS confidence", "if(doc_id % 4 = 0, doc_id + 1, null) AS superseded_by")
+    return mutate.get_conclusions(claims, "Und", 0.5).select("id", "claim", "confidence")
 
 
 def json_reference_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    gone = spark.createDataFrame([(3,), (2,)], "chunk_id long")
-    return mutate.cleaned_conclusions(_conclusions(spark), gone).select("id", F.array_join(F.array_sort("source_chunk_ids"), ",").alias("chunk_ids"), "superseded_by")
-
-
-_JOBS = ((1, 1, "scan", "{}", "running"), (2, 2, "scan", "{}", "completed"), (3, 3, "scan", None, "pending"))
-_NEW_JOBS = ((11, 1, "scan", "{}", "pending"), (12, 2, "scan", "{}", "pending"), (13, 3, "scan", None, "pending"), (14, 4, "extract", "{}", "pending"))
+    """Orders as conclusions from their parts, when most parts go; each tenth has no evidence."""
+    parts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey AS id", "if(o_orderkey % 3 = 0, o_orderkey + 1, null) AS superseded_by")
+    none = F.array().cast("array<long>")
+    conclusions = orders.join(parts, "id", "left").withColumn("source_chunk_ids", F.when(F.col("id") % 10 == 0, none).otherwise(F.coalesce(F.col("parts").cast("array<long>"), none))).drop("parts")
+    gone = table(spark, sf, "part").where("p_size <= 40").selectExpr("p_partkey AS chunk_id")
+    return mutate.cleaned_conclusions(conclusions, gone).select("id", F.array_join(F.array_sort("source_chunk_ids"), ",").alias("chunk_ids"), "superseded_by")
 
 
 def job_queue(spark: SparkSession, sf: str) -> DataFrame:
-    schema = "id long, paper_id long, job_type string, params string, status string"
-    return mutate.job_submitted(spark.createDataFrame(_JOBS, schema), spark.createDataFrame(_NEW_JOBS, schema)).select("id", "paper_id", "status")
+    """Events as jobs; purchases come again as new ones."""
+    jobs = table(spark, sf, "events").selectExpr("event_id AS id", "user_id AS paper_id", "event_type AS job_type", "if(event_id % 5 = 0, null, '{}') AS params", "element_at(array('pending', 'running', 'completed', 'failed'), cast(event_id % 4 + 1 AS int)) AS status")
+    new = jobs.where("job_type = 'purchase'").selectExpr("id + 100000000 AS id", "paper_id", "job_type", "params", "'pending' AS status")
+    return mutate.job_submitted(jobs, new).select("id", "paper_id", "status")
 
 
 def space_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,19 +401,18 @@ def figure_pages(spark: SparkSession, sf: str) -> DataFrame:
     return figures.figure_pages(pages)
 
 
-_CAPTIONED = ((1, "/a.pdf", "intro\n![x](img/a.png)\n\nFigure 1 shows\nmore", ["a.png"], [3, 4]), (2, "/a.pdf", "![x](a.png)\ntable 2: late\n![y](b.png)", ["a.png", "b.png"], [2]), (3, "/b.pdf", "![z](c.png)\n1\n2\n3\n4\nFig. 9 far", ["c.png"], []))
-
-
-def _captioned(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CAPTIONED, "chunk_id long, source_uri string, content string, images array<string>, pages array<int>")
+def _captioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents behind an image and, some lines below, a caption; sources as files."""
+    content = "concat('intro\\n![x](img/', doc_id % 50, '.png)\\n', repeat('line\\n', cast(doc_id % 6 AS int)), if(doc_id % 7 = 0, 'no caption', concat('Figure ', doc_id, ' shows')), '\\n', coalesce(text, ''))"
+    return table(spark, sf, "documents").selectExpr("doc_id AS chunk_id", "concat('/', source, '.pdf') AS source_uri", f"{content} AS content", "array(concat(doc_id % 50, '.png'), concat(doc_id % 3, '.gif')) AS images", "if(doc_id % 5 = 0, cast(array() AS array<int>), array(cast(doc_id % 9 + 2 AS int), 30)) AS pages")
 
 
 def image_captions(spark: SparkSession, sf: str) -> DataFrame:
-    return figures.image_captions(_captioned(spark))
+    return figures.image_captions(_captioned(spark, sf))
 
 
 def image_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return figures.image_pages(_captioned(spark))
+    return figures.image_pages(_captioned(spark, sf))
 
 
 def page_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,14 +446,16 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def python_source(spark: SparkSession, sf: str) -> DataFrame:
-    source = "import os\n\n\ndef f(x):\n    return x\n\n\nclass A:\n    y = 1\n\n\nz = f(2)\n"
-    return chunk_structured(spark.createDataFrame([(1, source), (2, "def (")], "id int, source string"), "id", "source", python_chunks)
+    """A module for each part; each ninth can't be parsed."""
+    source = "concat('import os\\n\\n\\ndef f', p_partkey, '(x):\\n    return x\\n\\n\\nclass A', p_partkey, ':\\n    y = 1\\n\\n\\nz = 2\\n', if(p_partkey % 9 = 0, 'def (', ''))"
+    return chunk_structured(table(spark, sf, "part").selectExpr("p_partkey AS id", f"{source} AS source"), "id", "source", python_chunks)
 
 
 def text_cleaning(spark: SparkSession, sf: str) -> DataFrame:
-    """Heading level, short image references and clean strings of small texts."""
-    rows = spark.createDataFrame([(1, "## A\nb ![x](d/e.png)\x01"), (2, "no # head"), (3, "####### seven")], "id int, t string")
-    return rows.select("id", heading_level_of("t").alias("level"), short_image_refs_of("t").alias("refs"), clean_string(F.col("t"), 6).alias("clean"))
+    """Heading level, short image references and clean strings of documents with such marks."""
+    t = "concat(repeat('#', cast(doc_id % 9 AS int)), ' A', chr(doc_id % 31 + 1), 'b ![x](d/e', doc_id, '.png)', chr(127), ' ', coalesce(text, ''))"
+    rows = table(spark, sf, "documents").selectExpr("doc_id AS id", f"{t} AS t")
+    return rows.select("id", heading_level_of("t").alias("level"), F.sha2(short_image_refs_of("t"), 256).alias("refs"), clean_string(F.col("t"), 200).alias("clean"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -461,7 +466,6 @@ QUERIES = {f.__name__: f for f in (
     space_progress, miss_log_hourly, miss_detection, gap_clusters, figure_pages, image_captions, image_pages, page_documents, page_images, python_source, text_cleaning,
 )} | {"markdown_chunks": markdown, "section_chunks": sections}
 
-_CONC = f"c(id, claim, confidence, ids, sup) AS {_values(_CONCLUSIONS)}"
 ORACLES = {
     "folder_hash": f"WITH {CHUNKS_SQL} SELECT regexp_replace(source_uri, '/[^/]*$', '') AS folder_path, substr(sha256(string_agg(DISTINCT content_hash, '|' ORDER BY content_hash)), 1, 16) AS content_hash FROM chunks GROUP BY 1",
     "folder_summary": f"WITH {CHUNKS_SQL}, f AS (SELECT source_uri, regexp_replace(source_uri, '/[^/]*$', '') AS folder_path, replace(substr(content, 1, 200), chr(10), ' ') AS s FROM chunks QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY chunk_index) = 1) SELECT folder_path, string_agg(split_part(source_uri, '/', -1) || ': ' || s, chr(10) ORDER BY source_uri) AS summary FROM f GROUP BY 1",
@@ -475,45 +479,56 @@ ORACLES = {
     "backfill_anti_join": "SELECT doc_id AS chunk_id, '/' || source || '/' || doc_id || '.md' AS source_uri FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "duplicate_files": "SELECT '/' || source || '/' || doc_id || '.md' AS source_uri, first AS duplicate_of_paper_id FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first",
     "new_chunks": f"WITH {CHUNKS_SQL}, v AS (SELECT '/chat/' || conv_id || '-' || turn AS source_uri, text, unnest(range(0, CASE WHEN length(text) <= 1000 THEN 1 ELSE ceil((length(text) - 1000) / 800.0)::BIGINT + 1 END)) AS w FROM conversations WHERE text IS NOT NULL), x AS (SELECT source_uri, w, substr(text, w * 800 + 1, 1000) AS content FROM v), y AS (SELECT source_uri, (row_number() OVER (PARTITION BY source_uri ORDER BY w) - 1)::INT AS chunk_index, substr(sha256(content), 1, 16) AS content_hash FROM x WHERE regexp_matches(content, '\\S')) SELECT * FROM y WHERE content_hash NOT IN (SELECT content_hash FROM chunks) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY source_uri, chunk_index) = 1",
-    "source_types": "WITH p AS (SELECT '/web/' || page_id || '.HTML' AS path, 'web' AS source_type FROM pages UNION ALL SELECT '/' || source || '/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.py' ELSE '.md' END, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'code' ELSE 'markdown' END FROM documents) SELECT *, CASE WHEN source_type = 'pdf' THEN 'semantic' ELSE 'mechanical' END AS chunk_strategy FROM p",
+    "source_types": f"WITH n AS (SELECT '/web/' || page_id || '.HTML' AS path FROM pages UNION ALL SELECT '/' || source || '/' || doc_id || ({list(_EXTENSIONS)})[doc_id % {len(_EXTENSIONS)} + 1] FROM documents), p AS (SELECT path, CASE WHEN path ILIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(path), '[.](py|rs|cpp|c|h|hpp|toml|yaml|yml|json)$') THEN 'code' ELSE 'markdown' END AS source_type FROM n) SELECT *, CASE WHEN source_type = 'pdf' THEN 'semantic' ELSE 'mechanical' END AS chunk_strategy FROM p",
     "pair_similarity": f"WITH {_PAIRS} SELECT paper_a, paper_b, round(score, 6) AS score, evidence_chunk_id, n FROM pairs",
     "similar_edges": f"WITH {_PAIRS} SELECT paper_a AS source_paper_id, paper_b AS target_paper_id, 'similar' AS relation_type, round(least(score, 1.0), 6) AS confidence, evidence_chunk_id FROM pairs WHERE score >= 0.3",
     "edge_both_directions": f"WITH {_TRADE} SELECT source_paper_id AS paper_id, target_paper_id AS other_paper_id, 'out' AS direction, relation_type, confidence FROM e UNION ALL SELECT target_paper_id, source_paper_id, 'in', relation_type, confidence FROM e",
     "relationships_titles": f"WITH {_TRADE} SELECT source_paper_id, target_paper_id, s.n_name AS source_title, t.n_name AS target_title, confidence FROM e JOIN nation s ON s.n_nationkey = source_paper_id JOIN nation t ON t.n_nationkey = target_paper_id",
-    "supersession_chain": "WITH RECURSIVE l AS (SELECT conv_id * 1000 + turn AS id, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations), w AS (SELECT id AS start, id, 0 AS depth FROM l WHERE id % 1000 = 0 UNION ALL SELECT w.start, l.nx, w.depth + 1 FROM w JOIN l ON l.id = w.id WHERE l.nx IS NOT NULL) SELECT start, id, depth FROM w",
-    "chain_with_cycle": "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (2, 1, 2), (3, 3, 0), (3, 1, 1), (3, 2, 2), (4, 4, 0), (4, 5, 1), (5, 5, 0)) t(start, id, depth)",
-    "doi_unmatched": f"WITH {_LIT}, d AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(content, '10\\.\\d{{4,}}/[^\\s,;}}\\])\"'']+')) AS doi FROM texts) SELECT d.doi, d.paper_id::BIGINT AS paper_id, p.paper_id::BIGINT AS target_paper_id FROM d LEFT JOIN papers p ON p.doi = d.doi JOIN papers o ON o.paper_id = d.paper_id WHERE o.doi IS NULL OR o.doi <> d.doi",
-    "author_year_citations": f"""WITH {_LIT}, c AS (
-SELECT paper_id, content, unnest(regexp_extract_all(content, '\\(([A-Z][a-zA-Z''\\-]+)(?:\\s+(?:et\\s+al\\.|&\\s+[A-Z][a-zA-Z''\\-]+))?,\\s*((?:19|20)\\d{{2}})\\)')) AS m FROM texts
-UNION ALL SELECT paper_id, content, unnest(regexp_extract_all(content, '([A-Z][a-zA-Z''\\-]+)(?:\\s+et\\s+al\\.)?\\s+\\(((?:19|20)\\d{{2}})\\)')) FROM texts),
-s AS (SELECT DISTINCT paper_id, lower(regexp_extract(m, '[A-Z][a-zA-Z''\\-]+')) AS surname, regexp_extract(m, '(?:19|20)\\d{{2}}')::INT AS year FROM c),
-a AS (SELECT paper_id, year, unnest(authors) AS a FROM papers),
-n AS (SELECT DISTINCT paper_id, year, lower(CASE WHEN contains(a, ',') THEN trim(split_part(a, ',', 1)) ELSE split_part(trim(a), ' ', -1) END) AS surname FROM a)
-SELECT s.paper_id::BIGINT AS paper_id, n.paper_id::BIGINT AS target_paper_id, s.surname, s.year FROM s JOIN n ON n.surname = s.surname AND n.year = s.year WHERE s.paper_id <> n.paper_id""",
-    "title_word_ratio": "WITH s AS (SELECT -1 - item_id AS t, string_split_regex(trim(text, ' '), '\\s+') AS w FROM benchmark), w AS (SELECT t, lower(unnest(w)) AS word FROM s WHERE len(w) >= 3), k AS (SELECT * FROM w WHERE length(word) > 2 AND word NOT IN (" + ", ".join("'" + x.replace("'", "''") + "'" for x in graph.STOPWORDS) + ")), n AS (SELECT t, count(*) AS n FROM k GROUP BY t HAVING count(*) >= 2), x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents), h AS (SELECT doc_id, t, count(*) AS c FROM k JOIN x USING (word) GROUP BY ALL) SELECT doc_id AS paper_id, t AS target_paper_id, round(c::DOUBLE / n, 6) AS ratio FROM h JOIN n USING (t) WHERE c::DOUBLE / n >= 0.6",
-    "suggest_relationships": "SELECT * FROM (VALUES (1::BIGINT, 3::BIGINT, 'doi', 0.9::DOUBLE), (2, 3, 'doi', 0.9), (1, 2, 'author_year', 0.4), (3, 5, 'author_year', 0.4)) t(paper_id, target_paper_id, match_method, confidence)",
+    "supersession_chain": "WITH RECURSIVE l AS (SELECT conv_id * 1000000 + turn AS id, lead(conv_id * 1000000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), w AS (SELECT id AS start, id, 0 AS depth FROM l WHERE n = 1 UNION ALL SELECT w.start, l.nx, w.depth + 1 FROM w JOIN l ON l.id = w.id WHERE l.nx IS NOT NULL) SELECT start, id, depth FROM w",
+    "chain_with_cycle": "WITH RECURSIVE l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey * c_custkey + 1) % 97 + 1 END AS nx FROM customer), w AS (SELECT id AS start, id, 0 AS depth, [id] AS seen FROM l UNION ALL SELECT w.start, l.nx, w.depth + 1, list_append(w.seen, l.nx) FROM w JOIN l ON l.id = w.id WHERE l.nx IS NOT NULL AND NOT list_contains(w.seen, l.nx)) SELECT start, id, depth FROM w",
+    "doi_unmatched": f"WITH {_LIT} SELECT doi, paper_id, target_paper_id FROM by_doi",
+    "author_year_citations": f"WITH {_LIT} SELECT * FROM by_author",
+    "title_word_ratio": "WITH " + _ratio_sql("SELECT -1 - item_id AS t, text AS title FROM benchmark", "SELECT doc_id AS paper_id, text AS content FROM documents") + " SELECT paper_id, target_paper_id, round(ratio, 6) AS ratio FROM ratios",
+    "suggest_relationships": f"WITH {_LIT}, " + _ratio_sql("SELECT paper_id AS t, title FROM papers", "SELECT * FROM texts") + """, every AS (SELECT paper_id, target_paper_id, 'doi' AS match_method, 0.9::DOUBLE AS confidence, 0 AS o FROM by_doi WHERE target_paper_id IS NOT NULL
+UNION ALL SELECT paper_id, target_paper_id, 'title_words', round_even(0.3 + (ratio - 0.6) * 0.75, 2), 1 FROM ratios UNION ALL SELECT DISTINCT paper_id, target_paper_id, 'author_year', 0.4, 2 FROM by_author)
+SELECT paper_id, target_paper_id, match_method, confidence FROM every WHERE paper_id <> target_paper_id AND NOT EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = every.target_paper_id AND every.paper_id = p.paper_id + 1)
+QUALIFY row_number() OVER (PARTITION BY paper_id, target_paper_id ORDER BY o) = 1""",
     "bibtex_key_suffix": f"WITH {_KEYS_SQL} SELECT paper_id, key FROM k",
     "bibtex_entries": f"WITH {_KEYS_SQL} SELECT paper_id, key, '% docloom-paper: ' || paper_id || chr(10) || '@article{{' || key || ',' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  author = {{' || a1 || ' and ' || title || '}},' || chr(10) || '  year = {{' || year || '}},' || chr(10) || '  journal = {{' || venue || '}},' || chr(10) || '}}' AS entry FROM k".replace("{{", "{").replace("}}", "}"),
     "space_overlap": f"WITH {_COMPARED} SELECT query_id, round(overlap, 6) AS overlap, round(jaccard, 6) AS jaccard, round(rho, 6) AS rho FROM z",
     "batch_space_stats": f"WITH {_COMPARED}, l AS (SELECT 'overlap' AS measure, overlap AS x FROM z UNION ALL SELECT 'jaccard', jaccard FROM z UNION ALL SELECT 'rho', rho FROM z) SELECT measure, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x), 0), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, count(*) AS n FROM l WHERE x IS NOT NULL GROUP BY measure",
-    "storage_ratio": "SELECT * FROM (VALUES ('full', 4096, 1.0::DOUBLE), ('short', 2048, 0.5), ('small', 1024, 0.25)) t(name, bytes, ratio)",
+    "storage_ratio": "WITH d AS (SELECT label, max(len(embedding)) // (1 + label % 3) * CASE WHEN label % 2 = 0 THEN 4 ELSE 1 END AS bytes FROM embeddings GROUP BY label) SELECT 's' || label AS name, bytes, bytes::DOUBLE / max(bytes) OVER () AS ratio FROM d",
     "shared_datasets": f"WITH {_FACTS} SELECT name, count(DISTINCT paper_id) AS n_papers FROM ds GROUP BY name HAVING count(DISTINCT paper_id) >= 2",
     "metrics_view": f"WITH {_FACTS} SELECT me.id, me.name AS metric, value, ds.name AS dataset, n_name AS method FROM me LEFT JOIN ds ON ds.id = dataset_id LEFT JOIN nation ON n_nationkey = method_id",
-    "metric_comparison": f"WITH {_FACTS}, s AS (SELECT name FROM ds GROUP BY name HAVING count(DISTINCT paper_id) >= 2) SELECT ds.name AS dataset, me.name AS metric, max(value) AS best, count(*) AS n, count(n_name) AS n_methods FROM me JOIN ds ON ds.id = dataset_id JOIN s ON s.name = ds.name JOIN supplier ON s_suppkey = me.paper_id LEFT JOIN nation ON n_nationkey = method_id GROUP BY ALL",
-    "entity_mentions_fold": f"WITH {_EX}, n AS (SELECT paper_id, kind, key, min_by(name, chunk_id) AS name FROM g GROUP BY ALL), u AS (SELECT DISTINCT paper_id, kind, key, unnest(ff) AS s FROM g) SELECT paper_id::BIGINT AS paper_id, kind, key, name, string_agg(s, '|' ORDER BY s) AS surface_forms FROM n JOIN u USING (paper_id, kind, key) GROUP BY ALL",
-    "canonical_entities": f"WITH {_EX}, h AS (SELECT *, CASE WHEN kind = 'method' AND key = 'bert' THEN 'BERT' WHEN kind = 'dataset' AND key = 'squad' THEN 'SQuAD' ELSE trim(name) END AS canonical_name FROM g), n AS (SELECT paper_id, kind, canonical_name, max_by(description, chunk_id) FILTER (coalesce(description, '') <> '') AS description, max(chunk_id) FILTER (coalesce(description, '') <> '')::BIGINT AS chunk_id FROM h GROUP BY ALL), u AS (SELECT DISTINCT paper_id, kind, canonical_name, unnest(ff) AS s FROM h) SELECT paper_id::BIGINT AS paper_id, kind, canonical_name, description, chunk_id, string_agg(s, '|' ORDER BY s) AS surface_forms FROM n JOIN u USING (paper_id, kind, canonical_name) GROUP BY ALL",
+    "metric_comparison": f"WITH {_FACTS}, s AS (SELECT name FROM ds GROUP BY name HAVING count(DISTINCT paper_id) >= 2) SELECT ds.name AS dataset, me.name AS metric, value, 'usd' AS unit, n_name AS method, me.paper_id, s_name AS title, (row_number() OVER (PARTITION BY ds.name, me.name ORDER BY value DESC, me.paper_id, me.id))::INT AS place FROM me JOIN ds ON ds.id = dataset_id JOIN s ON s.name = ds.name JOIN supplier ON s_suppkey = me.paper_id LEFT JOIN nation ON n_nationkey = method_id",
+    "entity_mentions_fold": f"WITH {_EX}, n AS (SELECT paper_id, kind, key, min_by(name, chunk_id) AS name FROM g GROUP BY ALL), u AS (SELECT DISTINCT paper_id, kind, key, unnest(ff) AS s FROM g) SELECT paper_id, kind, key, name, string_agg(s, '|' ORDER BY s) AS surface_forms FROM n JOIN u USING (paper_id, kind, key) GROUP BY ALL",
+    "canonical_entities": f"WITH {_EX}, m AS (SELECT DISTINCT lower(p_brand) AS key, 'M' || p_brand AS canon FROM part), h AS (SELECT g.*, CASE WHEN kind = 'dataset' AND canon IS NOT NULL THEN canon ELSE trim(name) END AS canonical_name FROM g LEFT JOIN m USING (key)), n AS (SELECT paper_id, kind, canonical_name, max_by(description, chunk_id) FILTER (coalesce(description, '') <> '') AS description, max(chunk_id) FILTER (coalesce(description, '') <> '') AS chunk_id FROM h GROUP BY ALL), u AS (SELECT DISTINCT paper_id, kind, canonical_name, unnest(ff) AS s FROM h) SELECT paper_id, kind, canonical_name, description, chunk_id, string_agg(s, '|' ORDER BY s) AS surface_forms FROM n JOIN u USING (paper_id, kind, canonical_name) GROUP BY ALL",
     "extraction_estimate": f"WITH {CHUNKS_SQL} SELECT source_uri AS paper_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars, sum(length(content)) <= 8000 AS single_pass, count(*) * 4 AS seconds FROM chunks GROUP BY 1",
     "upsert_latest": "WITH o AS (SELECT user_id, event_type, min_by(value, event_id) AS value FROM events GROUP BY ALL), n AS (SELECT user_id, event_type, max_by(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT * FROM n UNION ALL SELECT * FROM o ANTI JOIN n USING (user_id, event_type)",
-    "conclusions_filter": f"WITH {_CONC} SELECT id::BIGINT AS id, claim, confidence::DOUBLE AS confidence FROM c WHERE contains(lower(claim), 'cat') AND confidence >= 0.5 AND sup IS NULL",
-    "json_reference_cleanup": "SELECT * FROM (VALUES (1::BIGINT, '1', NULL::BIGINT), (3, '4', NULL), (4, '', NULL), (5, '5', NULL)) t(id, chunk_ids, superseded_by)",
-    "job_queue": "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 'running'), (2, 2, 'completed'), (3, 3, 'pending'), (12, 2, 'pending'), (14, 4, 'pending')) t(id, paper_id, status)",
+    "conclusions_filter": "SELECT doc_id AS id, text AS claim, (doc_id % 10)::DOUBLE / 10 AS confidence FROM documents WHERE contains(lower(text), 'und') AND doc_id % 10 >= 5 AND doc_id % 4 <> 0",
+    "json_reference_cleanup": """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS sup, CASE WHEN o_orderkey % 10 = 0 THEN [] ELSE coalesce((SELECT list(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey), []) END AS ids FROM orders),
+z AS (SELECT list(p_partkey) AS lost FROM part WHERE p_size <= 40), k AS (SELECT id, sup, ids, list_filter(ids, lambda x: NOT list_contains(lost, x)) AS kept FROM c, z), e AS (SELECT id FROM k WHERE len(ids) > 0 AND len(kept) = 0)
+SELECT id, array_to_string(list_sort(kept), ',') AS chunk_ids, CASE WHEN sup NOT IN (SELECT id FROM e) THEN sup END AS superseded_by FROM k WHERE id NOT IN (SELECT id FROM e)""",
+    "job_queue": """WITH j AS (SELECT event_id AS id, user_id AS paper_id, event_type AS job_type, CASE WHEN event_id % 5 <> 0 THEN '{}' END AS params, (['pending', 'running', 'completed', 'failed'])[event_id % 4 + 1] AS status FROM events),
+n AS (SELECT min(id) + 100000000 AS id, paper_id, job_type, params FROM j WHERE job_type = 'purchase' GROUP BY paper_id, job_type, params)
+SELECT id, paper_id, status FROM j UNION ALL SELECT id, paper_id, 'pending' FROM n WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.paper_id = n.paper_id AND j.job_type = n.job_type AND j.params IS NOT DISTINCT FROM n.params AND j.status IN ('pending', 'running'))""",
     "space_progress": "SELECT 'default' AS name, 'populating' AS status, (SELECT count(DISTINCT vec_id) FROM embeddings) AS chunk_count, (SELECT count(*) FROM documents) AS total_chunks UNION ALL SELECT 'empty', 'populating', 0, (SELECT count(*) FROM documents)",
     "miss_log_hourly": "WITH RECURSIVE e AS (SELECT DISTINCT user_id, date_trunc('second', ts) AS t FROM events WHERE event_type = 'error'), k AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = k.user_id AND e.t >= k.t + INTERVAL 1 HOUR) FROM k WHERE k.t IS NOT NULL) SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS detected_at FROM k WHERE t IS NOT NULL",
     "miss_detection": "WITH o AS (SELECT 'query ' || (user_id % 50) AS query, CASE WHEN event_id % 4 = 0 THEN 'no_results' WHEN event_id % 3 <> 0 AND value / 1000 < 0.025 THEN 'low_confidence' END AS error_type FROM events) SELECT query, sha256(query) AS query_hash, error_type, count(*) AS n, count(*) FILTER (error_type = 'low_confidence') AS n_scores FROM o WHERE error_type IS NOT NULL GROUP BY ALL",
     "gap_clusters": f"WITH {_GAPS} SELECT page, CASE WHEN n < 2 THEN 0.0 ELSE x1 END AS x1, CASE WHEN n < 2 THEN 0.0 ELSE y1 END AS y1, CASE WHEN n < 2 THEN 1.0 ELSE x2 END AS x2, CASE WHEN n < 2 THEN 1.0 ELSE y2 END AS y2 FROM h",
     "figure_pages": "WITH p AS (SELECT source AS source_uri, doc_id AS page, avg(length(text)) OVER (PARTITION BY source) AS m, length(text) AS l, text, doc_id FROM documents) SELECT source_uri, page FROM p WHERE doc_id % 97 = 0 OR doc_id % 23 > 10 OR m > 0 AND l < m * 0.5 OR contains(text, 'License')",
-    "image_captions": "SELECT * FROM (VALUES ('/a.pdf', 'a.png', 'Figure 1 shows'), ('/a.pdf', 'b.png', 'table 2: late')) t(source_uri, image, caption)",
-    "image_pages": "SELECT * FROM (VALUES ('/a.pdf', 'a.png', 2), ('/a.pdf', 'b.png', 2), ('/b.pdf', 'c.png', 1)) t(source_uri, image, page)",
+    "image_captions": """WITH c AS (SELECT doc_id AS chunk_id, '/' || source || '.pdf' AS source_uri, string_split('intro' || chr(10) || '![x](img/' || (doc_id % 50) || '.png)' || chr(10) || repeat('line' || chr(10), (doc_id % 6)::INT) || CASE WHEN doc_id % 7 = 0 THEN 'no caption' ELSE 'Figure ' || doc_id || ' shows' END || chr(10) || coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT chunk_id, source_uri, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM c),
+i AS (SELECT chunk_id, source_uri, line AS spot, split_part(unnest(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)), '/', -1) AS image FROM l),
+k AS (SELECT chunk_id, source_uri, line, trim(text) AS caption FROM l WHERE regexp_matches(text, '(?i)(?:Figure|Fig\\.|Table)\\s+\\d+'))
+SELECT source_uri, image, caption FROM i JOIN k USING (chunk_id, source_uri) WHERE line <> spot AND abs(line - spot) <= 3 QUALIFY row_number() OVER (PARTITION BY source_uri, image ORDER BY chunk_id, spot, line) = 1""",
+    "image_pages": "WITH i AS (SELECT '/' || source || '.pdf' AS source_uri, unnest([(doc_id % 50) || '.png', (doc_id % 3) || '.gif']) AS image, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE (doc_id % 9 + 2)::INT END AS page FROM documents) SELECT source_uri, image, min(page) AS page FROM i GROUP BY ALL",
     "page_documents": f"WITH t AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS source_uri, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, {_TEXT_SQL} AS text FROM pages), l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY page_id DESC) = 1) SELECT source_uri, title, substr(sha256(text), 1, 16) AS text_hash, length(text) AS n_chars FROM l WHERE length(text) >= 1",
-    "text_cleaning": "SELECT 1 AS id, 2 AS level, '## A' || chr(10) || 'b ![x](e.png)' || chr(1) AS refs, '## A' || chr(10) || 'b' AS clean UNION ALL SELECT 2, NULL, 'no # head', 'no # h' UNION ALL SELECT 3, NULL, '####### seven', '######'",
+    "python_source": """WITH p AS (SELECT p_partkey AS id, p_partkey::VARCHAR AS k FROM part WHERE p_partkey % 9 <> 0)
+SELECT id, 0 AS chunk_index, 'import os' || repeat(chr(10), 7) || 'z = 2' AS text, '<module>' AS name, 'module' AS type, 1 AS start_line, 12 AS end_line FROM p
+UNION ALL SELECT id, 1, 'def f' || k || '(x):' || chr(10) || '    return x', 'f' || k, 'function', 4, 5 FROM p
+UNION ALL SELECT id, 2, 'class A' || k || ':' || chr(10) || '    y = 1', 'A' || k, 'class', 8, 9 FROM p""",
+    "text_cleaning": """WITH r AS (SELECT doc_id AS id, repeat('#', (doc_id % 9)::INT) AS h, ' A' || chr((doc_id % 31 + 1)::INT) AS a, doc_id, coalesce(text, '') AS text FROM documents)
+SELECT id, CASE WHEN length(h) BETWEEN 1 AND 6 THEN length(h)::INT END AS level, sha256(h || a || 'b ![x](e' || doc_id || '.png)' || chr(127) || ' ' || regexp_replace(text, '!\\[([^\\]]*)\\]\\((?:[^)]*/)?([^)/]+)\\)', '![\\1](\\2)', 'g')) AS refs,
+  substr(regexp_replace(h || a || 'b ![x](d/e' || doc_id || '.png) ' || text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 1, 200) AS clean FROM r""",
 }

@@ -11,8 +11,7 @@ EXTENSIONS = ("pdf", "md", "txt", "typ", "rst")
 # Source types by extension; others are markdown.
 TYPES = {
     "pdf": ("pdf",),
-    "code": ("py", "js", "ts", "go", "rs", "java", "c", "cpp", "h", "hpp", "rb", "sh"),
-    "web": ("html", "htm"),
+    "code": ("py", "rs", "cpp", "c", "h", "hpp", "toml", "yaml", "yml", "json"),
 }
 
 
@@ -46,6 +45,22 @@ def text_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (
     return found.select(F.col("path").alias("source_uri"), decoded("content").alias("text"), "file_hash", "source_type")
 
 
+def pdf_documents(spark: SparkSession, folder: str, reader) -> DataFrame:
+    """(source_uri, text, pages, file_hash, source_type) of PDFs by a reader of pages; ``pages`` maps offsets in the text to page numbers from 1."""
+
+    @F.pandas_udf("text string, pages map<int,int>")
+    def read(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in content:
+            parts = reader.pages(bytes(raw))
+            starts = [sum(len(p) + 2 for p in parts[:i]) for i in range(len(parts))]
+            rows.append(("\n\n".join(parts), {at: i + 1 for i, at in enumerate(starts)}))
+        return pd.DataFrame(rows, columns=["text", "pages"])
+
+    found = scan_directory(spark, folder, ("pdf",)).withColumn("r", read("content"))
+    return found.select(F.col("path").alias("source_uri"), "r.text", "r.pages", "file_hash", "source_type")
+
+
 def image_dir(path: Column | str, file_hash: Column | str) -> Column:
     """Folder name of a file's images: its stem, made safe and cut to 64 characters, and its hash."""
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
