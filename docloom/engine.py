@@ -1,49 +1,78 @@
 """The engine as one object: tables in a store, and the operations a user calls.
 
-Every change reads current tables, builds the next version and writes it; nothing is
-updated in place. Results are DataFrames.
+Every change makes the next version of its tables; nothing is updated in place. Added rows
+are written by themselves, and removed ones only with the folders that held them. Results are
+DataFrames.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from dataclasses import fields
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import schemas
 from docloom.functions import html
-from docloom.functions.chunking import chunk_structured, chunk_windows, markdown_chunks, python_chunks, section_chunks
+from docloom.functions.chunking import chunk_structured, chunk_windows, paged_markdown_chunks, paged_section_chunks, python_chunks
 from docloom.functions.text import content_hash
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import facts, graph, ingest, mutate, retrieval, stats
+from docloom.operators import facts, figures, graph, ingest, mutate, retrieval, stats
+from docloom.operators.index import Index, lengths, posting_lists
+from docloom.session import written
 from docloom.settings import Settings
 from docloom.sources import bibtex, files
-from docloom.sources.providers import Embedder, HashEmbedder, OverlapReranker, Reranker, embedded, reranked
+from docloom.sources.providers import Describer, Embedder, HashEmbedder, OverlapReranker, PdfReader, Recogniser, Reranker, described, embedded, recognised, reranked
 from docloom.sources.snapshots import Store
 from docloom.streaming import misses
 
 DEFAULT_SPACE = "default"
+TEXT_FILES = ("md", "txt", "typ", "rst", *files.TYPES["code"])
+FACTS = ("methods", "datasets", "metrics")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, model: Callable[[str], str] | None = None):
-        self.spark, self.store, self.settings = spark, Store(spark, folder), settings or Settings()
+    def __init__(
+        self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None,
+        model: Callable[[str], str] | None = None, describer: Describer | None = None, recogniser: Recogniser | None = None, pdf_reader: PdfReader | None = None,
+    ):
+        self.spark, self.store = spark, Store(spark, folder)
+        self.settings = (settings or Settings()).changed(**{r.key: r.value for r in self.table("config").collect()})  # a row for each setting
         self.embedder, self.reranker, self.model = embedder or HashEmbedder(self.settings.embed_dim), reranker or OverlapReranker(), model
+        self.describer, self.recogniser, self.pdf_reader = describer, recogniser, pdf_reader
         if self.store.current("embed_spaces") is None:
             spaces = mutate.space_created(self.table("embed_spaces"), DEFAULT_SPACE, self.settings.embed_model, self.settings.embed_provider, self.embedder.dim)
             self.save("embed_spaces", spaces.withColumn("status", F.lit("active")))
 
     # --- tables ---
 
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` with the columns of a table; those it lacks are null."""
+        target = T.StructType.fromDDL(schemas.TABLES[name])
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
+
     def table(self, name: str) -> DataFrame:
-        return self.store.read(name) if self.store.current(name) is not None else self.spark.createDataFrame([], schemas.TABLES[name])
+        """A table as it is now; columns that an older version lacks are null."""
+        if self.store.current(name) is None:
+            return self.spark.createDataFrame([], schemas.TABLES[name])
+        return self._shaped(name, self.store.read(name))
 
     def save(self, name: str, df: DataFrame) -> None:
-        target = self.spark.createDataFrame([], schemas.TABLES[name]).schema
-        columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target]
-        self.store.write(name, df.select(*columns))
+        self.store.write(name, self._shaped(name, df))
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows; only they are written."""
+        self.store.append(name, self._shaped(name, df))
+
+    def schema(self) -> DataFrame:
+        """(table, column, type) of all tables."""
+        rows = [(t, f.name, f.dataType.simpleString()) for t, ddl in schemas.TABLES.items() for f in T.StructType.fromDDL(ddl)]
+        return self.spark.createDataFrame(rows, "table string, column string, type string")
 
     def next_id(self, name: str, column: str = "id") -> int:
         return (self.table(name).agg(F.max(column).alias("m")).first().m or 0) + 1
@@ -56,44 +85,88 @@ class Engine:
         df = self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {types[k]}" for k in row))
         if "created_at" in types:
             df = df.withColumn("created_at", F.current_timestamp())
-        self.save(name, self.table(name).unionByName(df, allowMissingColumns=True))
+        self.append(name, df)
         return id_
 
+    # --- settings ---
+
+    def configure(self, **changes) -> Settings:
+        """Changes settings and keeps them in the store."""
+        self.settings = self.settings.changed(**changes)
+        rows = self.spark.createDataFrame([(k, str(v)) for k, v in changes.items()], "key string, value string")
+        self.save("config", mutate.upserted(self.table("config"), rows, ["key"]))
+        return self.settings
+
+    def config(self) -> DataFrame:
+        """(key, value, stored) of all settings."""
+        stored = {r.key for r in self.table("config").collect()}  # a row for each setting
+        return self.spark.createDataFrame([(f.name, str(getattr(self.settings, f.name)), f.name in stored) for f in fields(Settings)], "key string, value string, stored boolean")
+
     # --- ingest ---
 
     def _chunked(self, docs: DataFrame) -> DataFrame:
-        """(source_uri, source_type, text) -> chunks without keys; code by its structure, markdown by sections, the rest by windows."""
-        semantic = self.settings.chunk_strategy == "semantic"
-        kind = lambda *k: docs.where(F.col("source_type").isin(*k))
+        """(source_uri, source_type, text, pages) -> chunks without keys; code by its structure, markdown by sections, the rest by windows."""
+        semantic = F.lit(self.settings.chunk_strategy == "semantic")
         code = docs.where(F.col("source_uri").endswith(".py"))
         parsed = chunk_structured(code, "source_uri", "text", python_chunks).select("source_uri", "chunk_index", F.col("text").alias("content"), F.to_json(F.struct("name", "type", "start_line", "end_line")).alias("metadata"))
-        unparsed = kind("code", "web", "note").join(parsed.select("source_uri"), "source_uri", "left_anti")
+        unparsed = docs.where(F.col("source_type").isin("code", "web", "note")).join(parsed.select("source_uri"), "source_uri", "left_anti")
         windows = chunk_windows(unparsed, "source_uri").withColumn("metadata", F.lit("{}"))
-        marked = kind("markdown", "pdf")
-        sections = chunk_structured(marked.where(F.lit(semantic) & (F.col("source_type") == "pdf")), "source_uri", "text", section_chunks)
-        plain = chunk_structured(marked.where(~(F.lit(semantic) & (F.col("source_type") == "pdf"))), "source_uri", "text", markdown_chunks)
-        paged = sections.unionByName(plain).select("source_uri", "chunk_index", F.col("text").alias("content"), F.to_json(F.struct(F.when(F.size("pages") > 0, F.col("pages")).alias("pages"))).alias("metadata"))
+        marked = docs.where(F.col("source_type").isin("markdown", "pdf"))
+        sections = chunk_structured(marked.where(semantic & (F.col("source_type") == "pdf")), "source_uri", "text", paged_section_chunks, "pages")
+        plain = chunk_structured(marked.where(~(semantic & (F.col("source_type") == "pdf"))), "source_uri", "text", paged_markdown_chunks, "pages")
+        names = F.transform(F.regexp_extract_all("text", F.lit(figures.IMAGE_REF), F.lit(1)), lambda x: F.substring_index(x, "/", -1))
+        paged = sections.unionByName(plain).withColumn("images", F.array_distinct(names))
+        paged = paged.select("source_uri", "chunk_index", F.col("text").alias("content"), ingest.chunk_metadata().alias("metadata"))
         every = parsed.unionByName(windows).unionByName(paged)
         typed = every.join(docs.select("source_uri", "source_type"), "source_uri")
         return typed.select("source_uri", "source_type", "chunk_index", "content", content_hash("content").alias("content_hash"), ingest.strategy(asked=self.settings.chunk_strategy).alias("chunk_strategy"), "metadata", F.current_timestamp().alias("created_at"))
 
-    def ingest_documents(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:
-        """Adds (source_uri, source_type, text): chunks that are new, their vectors, session links, folder summaries. Returns the new chunks."""
+    def _add_chunks(self, new: DataFrame, order: list[str]) -> DataFrame:
+        """Gives chunks their keys and adds them with their postings, lengths and vectors; returns them."""
+        new = written(self._shaped("chunks", ingest.numbered(new, order, self.next_id("chunks", "chunk_id"))), "chunks")
+        if new.isEmpty():
+            return new
+        self.append("chunks", new)
+        self.append("postings", posting_lists(new, "chunk_id", "content").sortWithinPartitions("term", "chunk_id"))
+        self.append("chunk_lengths", lengths(new, "chunk_id", "content"))
+        self.backfill_embed_space(self.active_space().name, new)
+        return new
+
+    def _ingested(self, docs: DataFrame, session_id: str | None) -> tuple[DataFrame, DataFrame]:
         session_id = session_id or uuid.uuid4().hex
-        old = self.table("chunks")
-        new = ingest.numbered(ingest.new_chunks(old, self._chunked(docs)), ["source_uri", "chunk_index"], self.next_id("chunks", "chunk_id"))
-        self.save("chunks", old.unionByName(new, allowMissingColumns=True))
-        new = self.table("chunks").join(new.select("chunk_id"), "chunk_id", "left_semi")
-        links = new.select("chunk_id").withColumn("session_id", F.lit(session_id))
-        self.save("chunk_sessions", mutate.inserted(self.table("chunk_sessions"), links, ["chunk_id", "session_id"]))
-        self.backfill_embed_space(self.active_space().name)
+        if "pages" not in docs.columns:
+            docs = docs.withColumn("pages", F.lit(None).cast("map<int,int>"))
+        if "file_hash" not in docs.columns:
+            docs = docs.withColumn("file_hash", content_hash("text"))
+        chunked, old = written(self._chunked(docs), "chunks"), self.table("chunks")
+        new = self._add_chunks(ingest.new_chunks(old, chunked), ["source_uri", "chunk_index"])
+        # the session holds for known chunks of the same content too
+        known = old.select("chunk_id", "content_hash").join(chunked.select("content_hash"), "content_hash", "left_semi")
+        links = new.select("chunk_id").unionByName(known.select("chunk_id")).withColumn("session_id", F.lit(session_id))
+        links = written(links.join(self.table("chunk_sessions"), ["chunk_id", "session_id"], "left_anti"), "links")
+        if not links.isEmpty():
+            self.append("chunk_sessions", links)
+        self.append("sources", docs.select("source_uri", "file_hash", F.current_timestamp().alias("ingested_at")))
         self.update_folder_summaries()
-        return new
+        return new, chunked
+
+    def ingest_documents(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:
+        """Adds (source_uri, source_type, text): chunks that are new, their postings, vectors, session links, folder summaries. Returns the new chunks."""
+        return self._ingested(docs, session_id)[0]
+
+    def file_hashes(self) -> DataFrame:
+        """(source_uri, content_hash): the hash of each document as it was ingested last."""
+        return self.table("sources").groupBy("source_uri").agg(F.max_by("file_hash", "ingested_at").alias("content_hash"))
 
     def ingest(self, folder: str, session_id: str | None = None) -> DataFrame:
-        """Text files below a folder."""
-        found = files.text_files(self.spark, folder, ("md", "txt", "typ", "rst", "py"))
-        return self.ingest_documents(found.select("source_uri", "source_type", "text"), session_id)
+        """Text files below a folder, and PDFs if there is a reader; (source_uri, chunks_added, chunks_skipped, duplicate_of_paper_id)."""
+        found = files.text_files(self.spark, folder, TEXT_FILES).withColumn("pages", F.lit(None).cast("map<int,int>"))
+        if self.pdf_reader is not None:
+            pdfs = files.pdf_documents(self.spark, folder, self.pdf_reader)
+            found = found.unionByName(pdfs.select(found.columns))
+        found = written(found, "files")
+        new, chunked = self._ingested(found, session_id)
+        return ingest.ingest_report(chunked, new, found.select("source_uri", F.col("file_hash").alias("content_hash")), self.table("paper_paths"))
 
     def ingest_pages(self, pages: DataFrame, session_id: str | None = None) -> DataFrame:
         """Web pages (page_id, url, html)."""
@@ -101,38 +174,67 @@ class Engine:
         return self.ingest_documents(docs, session_id)
 
     def reingest(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:
-        """Documents in place of their earlier chunks; sessions stay, references are repaired, similar edges are found anew."""
+        """Documents in place of their earlier chunks; sessions stay, references are linked anew by name, similar edges of their papers are found anew."""
         uris = docs.select("source_uri").distinct()
-        old = self.table("chunks")
-        gone = old.join(uris, "source_uri", "left_semi")
-        sessions = self.table("chunk_sessions").join(gone.select("chunk_id", "source_uri"), "chunk_id").select("source_uri", "session_id").distinct()
-        kept = ingest.written(sessions, "sessions")
-        gone = ingest.written(gone, "gone")
-        self.save("chunks", mutate.without(old, gone, "chunk_id"))
+        gone = written(self.table("chunks").join(uris, "source_uri", "left_semi"), "gone")
+        at = gone.select("chunk_id", "source_uri")
+        kept = written(self.table("chunk_sessions").join(at, "chunk_id", "left_semi"), "sessions")
+        papers = written(self.table("papers").join(at, F.col("abstract_chunk_id") == F.col("chunk_id")).select("paper_id", "source_uri"), "papers")
+        named = {t: written(self.table(t).join(at, "chunk_id").select("id", "name", "source_uri"), "named") for t in FACTS}
         self.drop_chunks(gone)
         new = self.ingest_documents(docs, session_id)
-        links = new.select("chunk_id", "source_uri").join(kept, "source_uri").select("chunk_id", "session_id")
-        self.save("chunk_sessions", mutate.inserted(self.table("chunk_sessions"), links, ["chunk_id", "session_id"]))
-        self.scan_relationships()
+        links = ingest.preserved_sessions(at, new, kept).join(self.table("chunk_sessions"), ["chunk_id", "session_id"], "left_anti")
+        self.append("chunk_sessions", links)
+        first = new.groupBy("source_uri").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))
+        self._link("papers", "paper_id", "abstract_chunk_id", papers.join(first, "source_uri").select(F.col("paper_id").alias("id"), "chunk_id"))
+        for t in FACTS:
+            self._link(t, "id", "chunk_id", ingest.relinked(named[t], new))
+        paths = self.table("paper_paths")
+        hashes = self.file_hashes().join(uris, "source_uri", "left_semi").select(F.col("source_uri").alias("path"), F.col("content_hash").alias("now"))
+        if not paths.join(hashes, "path", "left_semi").isEmpty():
+            self.save("paper_paths", paths.join(hashes, "path", "left").withColumn("content_hash", F.coalesce("now", "content_hash")))
+        changed = written(self.table("paper_paths").join(uris, F.col("path") == F.col("source_uri"), "left_semi").select("paper_id").distinct(), "papers")
+        if not changed.isEmpty():
+            self.relate(changed)
         return new
 
+    def _link(self, name: str, key: str, column: str, found: DataFrame) -> None:
+        """Sets a reference where ``found`` (id, chunk_id) has one."""
+        found = written(found.select(F.col("id").alias("__id"), F.col("chunk_id").alias("__new")), "found")
+        if not found.isEmpty():
+            table = self.table(name)
+            self.save(name, table.join(found, table[key] == F.col("__id"), "left").withColumn(column, F.coalesce("__new", column)))
+
     def drop_chunks(self, gone: DataFrame) -> None:
-        """Removes what hangs on chunks that are gone."""
-        self.save("chunk_vec", mutate.without(self.table("chunk_vec"), gone, "chunk_id"))
-        self.save("chunk_sessions", mutate.without(self.table("chunk_sessions"), gone, "chunk_id"))
-        self.save("entity_mentions", mutate.without(self.table("entity_mentions"), gone, "chunk_id"))
-        self.save("papers", mutate.nulled(self.table("papers"), "abstract_chunk_id", gone, "chunk_id"))
-        self.save("relationships", mutate.nulled(self.table("relationships"), "evidence_chunk_id", gone, "chunk_id"))
-        for name in ("methods", "datasets", "metrics"):
-            self.save(name, mutate.nulled(self.table(name), "chunk_id", gone, "chunk_id"))
-        self.save("conclusions", mutate.cleaned_conclusions(self.table("conclusions"), gone))
+        """Removes chunks and what hangs on them; only folders and tables that name one are written anew."""
+        for name in ("chunks", "chunk_vec", "chunk_sessions", "chunk_lengths", "entity_mentions"):
+            self.store.delete(name, gone, "chunk_id")
+        for name, column in (("papers", "abstract_chunk_id"), ("relationships", "evidence_chunk_id"), *((t, "chunk_id") for t in FACTS)):
+            table = self.table(name)
+            if not table.join(gone.select(F.col("chunk_id").alias(column)), column, "left_semi").isEmpty():
+                self.save(name, mutate.nulled(table, column, gone, "chunk_id"))
+        if self.store.current("conclusions") is not None:
+            self.save("conclusions", mutate.cleaned_conclusions(self.table("conclusions"), gone))
+
+    def compact_index(self) -> None:
+        """Writes the postings of chunks that are there in one folder, ordered by term."""
+        live = self.table("postings").join(self.table("chunk_lengths").select("chunk_id"), "chunk_id", "left_semi")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.save("postings", live.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+
+    def list_chunks(self, after: int = 0, limit: int = 100, source_uri: str | None = None) -> DataFrame:
+        """The next chunks by key, behind the last one that was read."""
+        rows = self.table("chunks").where(F.col("chunk_id") > after)
+        return (rows.where(F.col("source_uri") == source_uri) if source_uri else rows).orderBy("chunk_id").limit(limit)
 
     def update_folder_summaries(self) -> DataFrame:
         """Refreshes folders whose content changed and drops empty ones; returns what was done."""
         chunks, stored = self.table("chunks"), self.table("folder_summaries")
         now = ingest.folder_hash(chunks)
-        todo = ingest.written(ingest.stale_folders(now, stored), "folders")
-        fresh = ingest.folder_summary(chunks).join(now, "folder_path").join(todo.where("action = 'refresh'"), "folder_path", "left_semi")
+        todo = written(ingest.stale_folders(now, stored), "folders")
+        if todo.isEmpty():
+            return todo
+        fresh = ingest.folder_summary(chunks.join(todo.where("action = 'refresh'").select("folder_path"), retrieval.parent_folder() == F.col("folder_path"), "left_semi")).join(now, "folder_path")
         fresh = embedded(fresh, "summary", self.embedder).withColumn("updated_at", F.current_timestamp())
         self.save("folder_summaries", mutate.without(stored, todo, "folder_path").unionByName(fresh, allowMissingColumns=True))
         return todo
@@ -148,13 +250,19 @@ class Engine:
         shaped = truncated("v", space.dim) if space.matryoshka_base_dim else normalised("v")
         return [float(x) for x in df.select((int8(shaped) if space.element_type == "int8" else shaped).alias("v")).first().v or [0.0] * space.dim]
 
-    def search_index(self, query: str, top_k: int = 10, mode: str = "hybrid", source_type: str | None = None, chunk_strategy: str | None = None, rerank: bool = False, space: str | None = None, log: bool = True) -> DataFrame:
-        """The best chunks; a miss is logged."""
+    def index(self) -> Index:
+        return Index(self.table("postings"), self.table("chunk_lengths"), "chunk_id")
+
+    def search_index(
+        self, query: str, top_k: int = 10, mode: str = "hybrid", source_type: str | None = None, chunk_strategy: str | None = None, rerank: bool = False,
+        space: str | None = None, log: bool = True, keyword_prefilter: bool = False, rerank_top: int = retrieval.RERANK_TOP,
+    ) -> DataFrame:
+        """The best chunks, words by the kept index; a miss is logged."""
         row = self.space(space) if space else self.active_space()
         folders = self.table("folder_summaries").where("embedding is not null") if row.status == "active" and not row.matryoshka_base_dim and row.element_type == "float32" else None
         scorer = reranked(query, self.reranker) if rerank else None
-        found = retrieval.search(self.table("chunks"), query, self._query_vector(query, row) if mode != "fts" else None, self.vectors(row.name), folders, top_k, mode, source_type, chunk_strategy, scorer)
-        found = ingest.written(found, "found").orderBy("place")
+        found = retrieval.search(self.table("chunks"), query, self._query_vector(query, row) if mode != "fts" else None, self.vectors(row.name), folders, top_k, mode, source_type, chunk_strategy, scorer, rerank_top, index=self.index(), keyword_prefilter=keyword_prefilter)
+        found = written(found, "found").orderBy("place")
         if log:
             self.log_miss(query, mode, found, source_type)
         return found
@@ -179,7 +287,10 @@ class Engine:
         return stats.cooccurrence(self.table("chunk_sessions"), self.table("chunks"), least).orderBy(F.desc("co_sessions"), "uri_a", "uri_b")
 
     def status(self) -> DataFrame:
-        return stats.index_status({name: self.table(name) for name in schemas.TABLES})
+        """(name, value, n): rows of each table, and chunks by type and strategy."""
+        counts = stats.index_status({name: self.table(name) for name in schemas.TABLES}).select("name", F.lit(None).cast("string").alias("value"), "n")
+        chunks = self.table("chunks")
+        return counts.unionByName(stats.group_counts(chunks, "source_type")).unionByName(stats.group_counts(chunks, "chunk_strategy"))
 
     def recent_sources(self) -> DataFrame:
         return stats.recent_sources(self.table("chunks"))
@@ -190,15 +301,26 @@ class Engine:
         papers, id_ = self.table("papers"), self.next_id("papers", "paper_id")
         if doi and not papers.where(F.col("doi") == doi).isEmpty():
             raise ValueError(f"a paper with DOI {doi} is there")
-        first = self.table("chunks").where(F.col("source_uri") == (path or "")).orderBy("chunk_index").select("chunk_id", "content_hash").first()
+        first = self.table("chunks").where(F.col("source_uri") == (path or "")).orderBy("chunk_index").select("chunk_id").first()
         row = self.spark.createDataFrame([(id_, title, authors or [], year, venue, doi, bib, first.chunk_id if first else None)], ", ".join(schemas.TABLES["papers"].split(", ")[:-1]))
-        self.save("papers", papers.unionByName(row.withColumn("added_at", F.current_timestamp()), allowMissingColumns=True))
+        self.append("papers", row.withColumn("added_at", F.current_timestamp()))
         if path:
-            paths, owner = mutate.registered(papers, self.table("paper_paths"), id_, path, first.content_hash if first else "")
+            known = self.file_hashes().where(F.col("source_uri") == path).first()
+            paths, owner = mutate.registered(papers, self.table("paper_paths"), id_, path, known.content_hash if known else "")
             if owner is None:
                 self.save("paper_paths", paths)
+        self.submit_job(id_, "auto_relate")
         return id_
 
+    def backfill_paths(self) -> int:
+        """Paths of papers that have none, from their abstract's document; returns how many."""
+        found = written(mutate.backfilled_paths(self.table("papers"), self.table("chunks"), self.table("paper_paths")), "paths")
+        rows = found.join(self.file_hashes().withColumnRenamed("source_uri", "path"), "path", "left").withColumns({"is_primary": F.lit(True), "added_at": F.current_timestamp()})
+        n = found.count()
+        if n:
+            self.append("paper_paths", rows)
+        return n
+
     def get_paper(self, paper_id: int | None = None, title: str | None = None, doi: str | None = None) -> DataFrame:
         found = mutate.paper_view(self.table("papers"), self.table("paper_paths"), self.table("relationships"))
         if paper_id is not None:
@@ -232,13 +354,24 @@ class Engine:
         found = found.where(F.col("relation_type") == relation_type) if relation_type else found
         return found if direction == "both" else found.where(F.col("direction") == direction)
 
+    def _paper_vectors(self) -> DataFrame:
+        return self.paper_chunks().join(self.vectors(), "chunk_id").select("paper_id", "chunk_id", "embedding")
+
     def scan_relationships(self) -> DataFrame:
         """Similar edges between all papers, found anew."""
-        vectors = self.paper_chunks().join(self.vectors(), "chunk_id").select("paper_id", "chunk_id", "embedding")
-        pairs = ingest.written(graph.pair_similarity(vectors), "pairs")
+        pairs = written(graph.pair_similarity(self._paper_vectors()), "pairs")
+        self.save("relationships", graph.refreshed_edges(self.table("relationships"), pairs, self.settings.auto_relate_propose_threshold))
+        return graph.similar_edges(pairs, self.settings.auto_relate_propose_threshold)
+
+    def relate(self, papers: DataFrame) -> DataFrame:
+        """Similar edges between these papers (paper_id) and all others, found anew."""
+        pairs = written(graph.pair_similarity(self._paper_vectors(), of=papers), "pairs")
         self.save("relationships", graph.refreshed_edges(self.table("relationships"), pairs, self.settings.auto_relate_propose_threshold))
         return graph.similar_edges(pairs, self.settings.auto_relate_propose_threshold)
 
+    def auto_relate(self, paper_id: int) -> DataFrame:
+        return self.relate(self.spark.createDataFrame([(paper_id,)], "paper_id long"))
+
     def suggest_relationships(self, paper_id: int | None = None) -> DataFrame:
         texts = self.paper_chunks()
         texts = texts if paper_id is None else texts.where(F.col("paper_id") == paper_id)
@@ -311,9 +444,11 @@ class Engine:
         """Methods, datasets, metrics and entities of a paper by the model; earlier extracted ones go, a user's stay."""
         if self.model is None:
             raise ValueError("no model is set")
-        found = ingest.written(facts.extract(self.paper_chunks().where(F.col("paper_id") == paper_id), self.model), "facts")
-        resolved = facts.canonical(found, self.spark.createDataFrame([], "kind string, surface string, canonical_name string"))
-        resolved = ingest.written(resolved, "facts")
+        chunks = facts.whole_papers(self.paper_chunks().where(F.col("paper_id") == paper_id))
+        found = written(facts.extract(chunks, self.model), "facts")
+        several = found.select("chunk_id").distinct().count() > 1  # a text read at once names each thing once
+        groups = facts.resolved_groups(found, self.model) if several else self.spark.createDataFrame([], "kind string, surface string, canonical_name string")
+        resolved = written(facts.canonical(found, groups), "facts")
         for name, kind in (("methods", "method"), ("datasets", "dataset")):
             old = facts.cleared(self.table(name), paper_id)
             new = resolved.where(F.col("kind") == kind).select(F.col("canonical_name").alias("name"), "paper_id", "description", "chunk_id", F.lit("extracted").alias("source"))
@@ -333,10 +468,56 @@ class Engine:
         self.save("entity_mentions", mutate.inserted(live, seen, ["entity_id", "surface_form", "chunk_id"]))
         return resolved
 
+    def get_methods(self, paper_id: int) -> DataFrame:
+        return self.table("methods").where(F.col("paper_id") == paper_id).orderBy("id")
+
+    def get_datasets(self, paper_id: int) -> DataFrame:
+        return self.table("datasets").where(F.col("paper_id") == paper_id).orderBy("id")
+
+    def get_metrics(self, paper_id: int) -> DataFrame:
+        """Metrics of a paper with the names of their method and dataset."""
+        rows = self.table("metrics").where(F.col("paper_id") == paper_id)
+        return facts.metrics_view(rows, self.table("methods"), self.table("datasets")).select("id", "name", "value", "unit", "method", "dataset", "chunk_id", "source").orderBy("id")
+
+    def extraction_estimate(self, paper_id: int) -> DataFrame:
+        return facts.extraction_estimate(self.paper_chunks().where(F.col("paper_id") == paper_id))
+
     def get_entities(self, paper_id: int) -> DataFrame:
         seen = self.table("entity_mentions").groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("surface_form", "chunk_id"))).alias("mentions"))
         return self.table("entities").where(F.col("paper_id") == paper_id).join(seen, "id", "left")
 
+    # --- figures ---
+
+    def extract_figures(self, paper_id: int, folder: str, pages: list[int] | None = None) -> DataFrame:
+        """Figures of a paper's images below a folder, described and read, as chunks of their own.
+
+        Earlier figures of the paper, or of the given pages, go. An image's page is the
+        earliest that its document's chunks name; captions stand near its reference.
+        """
+        if self.describer is None:
+            raise ValueError("no describer is set")
+        source = self.get_paper_paths(paper_id).first()
+        if source is None:
+            raise ValueError(f"paper {paper_id} has no file")
+        chunks = self.table("chunks").where((F.col("source_uri") == source.path) & (F.col("source_type") != "figure"))
+        meta = F.from_json("metadata", "pages array<int>, images array<string>")
+        named = written(chunks.select("chunk_id", "source_uri", "content", F.coalesce(meta["images"], F.array().cast("array<string>")).alias("images"), F.coalesce(meta["pages"], F.array().cast("array<int>")).alias("pages")), "named")
+        at = figures.image_pages(named).select("image", "page")
+        at = at.where(F.col("page").isin(pages)) if pages else at
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.col("content").alias("image"))
+        images = written(raw.join(at.select(F.col("image").alias("name")), "name", "left_semi"), "images")
+        told = described(images, self.describer).withColumnRenamed("name", "image")
+        ocr = figures.ocr_text(recognised(images, self.recogniser), "name").withColumnRenamed("name", "image")
+        found = figures.figure_texts(at, figures.image_captions(named), told, ocr)
+        new = found.withColumns({"p": F.array("page"), "i": F.array("image")}).select(
+            F.lit(source.path).alias("source_uri"), F.lit("figure").alias("source_type"), ingest.figure_index("page", "figure").alias("chunk_index"), F.col("text").alias("content"), content_hash("text").alias("content_hash"),
+            F.lit("mechanical").alias("chunk_strategy"), ingest.chunk_metadata("p", "i").alias("metadata"), F.current_timestamp().alias("created_at"),
+        )
+        new = written(new, "figures")
+        old = self.table("chunks").where((F.col("source_uri") == source.path) & (F.col("source_type") == "figure"))
+        self.drop_chunks(written(old.where(figures.in_pages("chunk_index", pages)) if pages else old, "old"))
+        return self._add_chunks(new, ["chunk_index"])
+
     # --- embedding spaces ---
 
     def space(self, name: str):
@@ -355,15 +536,17 @@ class Engine:
     def create_embed_space(self, name: str, dim: int | None = None, strategy: str = "mechanical", element_type: str = "float32", base_dim: int | None = None) -> None:
         self.save("embed_spaces", mutate.space_created(self.table("embed_spaces"), name, self.settings.embed_model, self.settings.embed_provider, dim or self.embedder.dim, strategy, element_type, base_dim))
 
-    def backfill_embed_space(self, name: str) -> None:
+    def backfill_embed_space(self, name: str, chunks: DataFrame | None = None) -> None:
         """Vectors for the chunks of the space's strategy that have none; truncated or quantised as the space asks."""
         space = self.space(name)
-        todo = self.table("chunks").where(F.col("chunk_strategy") == space.chunk_strategy)
+        if self.embedder.dim != (space.matryoshka_base_dim or space.dim):
+            raise ValueError(f"space {name} has {space.matryoshka_base_dim or space.dim} dimensions, the embedder {self.embedder.dim}; re-embed or use the space's embedder")
+        todo = (self.table("chunks") if chunks is None else chunks).where(F.col("chunk_strategy") == space.chunk_strategy)
         made = embedded(ingest.missing_vectors(todo, self.table("chunk_vec"), name).select("chunk_id", "content"), "content", self.embedder)
         shaped = truncated("embedding", space.dim) if space.matryoshka_base_dim else normalised("embedding")
         vector = (int8(shaped) if space.element_type == "int8" else shaped).cast("array<float>")
         made = made.select(F.lit(name).alias("space"), "chunk_id", vector.alias("embedding")).where("embedding is not null")
-        self.save("chunk_vec", self.table("chunk_vec").unionByName(made))
+        self.append("chunk_vec", made)
 
     def promote_embed_space(self, name: str) -> None:
         """A complete space becomes active; similar edges and folder vectors are made anew."""
@@ -400,6 +583,25 @@ class Engine:
     def batch_compare_spaces(self, queries: list[str], a: str, b: str, top_k: int = 10) -> DataFrame:
         return stats.batch_stats(self.compare_spaces(queries, a, b, top_k))
 
+    def benchmark_spaces(self, baseline: str | None = None, sample_queries: int = 50, top_k: int = 10, seed: int = 0) -> DataFrame:
+        """Every other space that is not deprecated against a baseline, the active one if none is named, with chunks as queries.
+
+        (space, element_type, dim, status, chunk_count, storage_ratio, overlap, jaccard, rho, error).
+        """
+        base = self.space(baseline) if baseline else self.active_space()
+        queries = [r.content for r in stats.sampled(self.table("chunks"), sample_queries, seed, "chunk_id").collect()]  # sample_queries rows
+        sizes = {r.name: r for r in stats.storage_ratio(self.table("embed_spaces")).collect()}  # a row for each space
+        counts = {r.name: r.chunk_count for r in self.list_embed_spaces().collect()}
+        rows = []
+        for space in self.table("embed_spaces").where((F.col("name") != base.name) & (F.col("status") != "deprecated")).orderBy("name").collect():
+            row = (space.name, space.element_type, space.dim, space.status, counts[space.name], round(sizes[space.name].bytes / sizes[base.name].bytes, 4))
+            try:
+                found = {r.measure: r["mean"] for r in self.batch_compare_spaces(queries, base.name, space.name, top_k).collect()}
+                rows.append((*row, found.get("overlap"), found.get("jaccard"), found.get("rho"), None))
+            except (PySparkException, ValueError, RuntimeError) as e:
+                rows.append((*row, None, None, None, str(e)))
+        return self.spark.createDataFrame(rows, "space string, element_type string, dim int, status string, chunk_count long, storage_ratio double, overlap double, jaccard double, rho double, error string")
+
     # --- jobs ---
 
     def submit_job(self, paper_id: int, job_type: str, params: str = "{}") -> None:
@@ -408,9 +610,24 @@ class Engine:
         row = self.spark.createDataFrame([(self.next_id("jobs"), paper_id, job_type, params, "pending")], "id long, paper_id long, job_type string, params string, status string")
         self.save("jobs", mutate.job_submitted(self.table("jobs"), row.withColumn("created_at", F.current_timestamp())))
 
+    def recover_jobs(self) -> None:
+        """Jobs that ran when a session ended wait again."""
+        self.save("jobs", mutate.jobs_recovered(self.table("jobs")))
+
+    def get_job_status(self, id_: int):
+        """A job's row."""
+        job = self.table("jobs").where(F.col("id") == id_).first()
+        if job is None:
+            raise ValueError(f"no job {id_}")
+        return job
+
     def run_jobs(self) -> int:
         """Runs waiting jobs, oldest first; returns how many."""
-        run = {"auto_relate": lambda job: self.scan_relationships().count(), "extract_structure": lambda job: self.extract_structure(job.paper_id).count()}
+        run = {
+            "auto_relate": lambda job: self.auto_relate(job.paper_id).count(),
+            "extract_structure": lambda job: self.extract_structure(job.paper_id).count(),
+            "extract_figures": lambda job: self.extract_figures(job.paper_id, **json.loads(job.params)).count(),
+        }
         done = 0
         while True:
             jobs = mutate.job_claimed(self.table("jobs"))
@@ -420,7 +637,7 @@ class Engine:
             self.save("jobs", jobs)
             try:
                 status, result, error = "completed", str(run[job.job_type](job)), None
-            except (KeyError, ValueError) as e:
+            except (KeyError, TypeError, ValueError, RuntimeError, PySparkException) as e:
                 status, result, error = "failed", None, str(e)
             mine = F.col("id") == job.id
             table = self.table("jobs")

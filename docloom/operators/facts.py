@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -19,6 +20,8 @@ SINGLE_PASS_CHARS, SECONDS_PER_CHUNK = 8000, 4
 _CONTROL = re.compile(CONTROL)
 _THOUGHT = re.compile(r"<(think|thinking|thought)>.*?</\1>", re.S | re.I)
 
+RESOLVE = "Group the names that mean the same thing. Answer {\"groups\": [{\"canonical\": name, \"type\": method or dataset, \"members\": [names]}]}.\n"
+
 EXTRACTED = "paper_id long, chunk_id long, kind string, name string, description string, surface_forms array<string>, value double, unit string, method string, dataset string"
 
 
@@ -74,6 +77,44 @@ def _metric(item: object) -> dict | None:
     return {"name": _clean(item["metric"].strip(), NAME_LENGTH), "value": value, "chunk_id": item.get("chunk_id")} | {k: _clean(item.get(k), NAME_LENGTH) for k in ("unit", "method", "dataset")}
 
 
+def resolution(answer: str) -> list[tuple[str, str, str]]:
+    """(kind, surface, canonical_name) of a model's answer {"groups": [{"canonical", "type", "members"}]}; odd groups go."""
+    data = model_json(answer)
+    groups = data.get("groups") if isinstance(data, dict) else None
+    out = {}
+    for g in groups if isinstance(groups, list) else []:
+        name = _clean(g.get("canonical"), NAME_LENGTH) if isinstance(g, dict) else None
+        members = g.get("members") if name else None
+        for m in members if isinstance(members, list) else []:
+            if isinstance(m, str) and m.strip():
+                out[g.get("type") if g.get("type") in ("method", "dataset") else "method", m.strip().lower()] = name
+    return [(kind, surface, name) for (kind, surface), name in out.items()]
+
+
+def resolved_groups(found: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(kind, surface, canonical_name): one call of the model about all mentions of a paper; without an answer that can be read, none.
+
+    A paper has at most MOST_ENTITIES names of a kind for each chunk.
+    """
+    spark = found.sparkSession
+    schema = "kind string, surface string, canonical_name string"
+    names = [{"name": r.name, "type": r.kind, "surface_forms": r.surface_forms} for r in mentions(found).orderBy("kind", "key").collect()]
+    try:
+        rows = resolution(model(RESOLVE + json.dumps(names))) if names else []
+    except Exception as e:  # the model is the user's; what was extracted stays as it is
+        logging.getLogger(__name__).warning("no resolution: %s", e)
+        rows = []
+    return spark.createDataFrame(rows, schema)
+
+
+def whole_papers(chunks: DataFrame) -> DataFrame:
+    """Papers of up to SINGLE_PASS_CHARS as one text, under their first chunk; the others by chunk."""
+    sized = chunks.groupBy("paper_id").agg(F.sum(F.length("content")).alias("n"), F.array_sort(F.collect_list(F.when(F.length("content") <= SINGLE_PASS_CHARS, F.struct("chunk_index", "chunk_id", "content")))).alias("c"))
+    short = sized.where(F.col("n") <= SINGLE_PASS_CHARS)
+    whole = short.select("paper_id", F.col("c")[0]["chunk_id"].alias("chunk_id"), F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("content"))
+    return whole.unionByName(chunks.join(short.select("paper_id"), "paper_id", "left_anti").select("paper_id", "chunk_id", "content"))
+
+
 def extract(chunks: DataFrame, model: Callable[[str], str]) -> DataFrame:
     """Facts of (paper_id, chunk_id, content) by a model that answers JSON; a chunk whose answer can't be read gives none."""
 
@@ -148,7 +189,7 @@ def compare_papers(metrics: DataFrame, datasets: DataFrame, methods: DataFrame,
     p = papers.select("paper_id", "title")
     rows = metrics if ids is None else metrics.where(F.col("paper_id").isin(ids))
     out = rows.join(d, "dataset_id").join(m, "method_id", "left").join(p, "paper_id")
-    place = F.row_number().over(Window.partitionBy("dataset", "name").orderBy(F.desc("value"), "paper_id"))
+    place = F.row_number().over(Window.partitionBy("dataset", "name").orderBy(F.desc("value"), "paper_id", "id"))
     return out.select("dataset", F.col("name").alias("metric"), "value", "unit", "method", "paper_id", "title", place.alias("place"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Caption lines and image references of extracted markdown.
 CAPTION = r"(?i)(?:Figure|Fig\.|Table)\s+\d+"
 IMAGE_REF = r"!\[[^\]]*\]\(([^)]+)\)"
 CAPTION_LINES, OCR_CHARS, DRAWINGS = 3, 500, 10
@@ -30,6 +31,39 @@ def regions(boxes: DataFrame, gap: float = GAP) -> DataFrame:
     return found.withColumn("alone", alone).select("page", *[F.when(F.col("alone"), F.lit(v)).otherwise(F.col(c)).alias(c) for c, v in whole.items()])
 
 
+#: Least gap between elements of two figures of a picture, and the margin of a cut-out figure.
+ELEMENT_GAP, MARGIN = 0.08, 0.02
+
+
+def padded(regions_: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Regions with a margin of a share of their sides, within the page."""
+    grown = lambda low, high, sign: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(high if sign > 0 else low) + sign * margin * (F.col(high) - F.col(low))))
+    return regions_.select("page", grown("x1", "x2", -1).alias("x1"), grown("y1", "y2", -1).alias("y1"), grown("x1", "x2", 1).alias("x2"), grown("y1", "y2", 1).alias("y2"))
+
+
+def figure_texts(images: DataFrame, captions: DataFrame, descriptions: DataFrame, ocr: DataFrame) -> DataFrame:
+    """(image, page, figure, text): one figure for each description of an image, or one for an image with a caption or texts only.
+
+    ``images`` has (image, page), ``captions`` (image, caption), ``descriptions`` (image, n,
+    description) and ``ocr`` (image, ocr). Figures are numbered within their page, by image.
+    """
+    each = images.select("image", "page").join(descriptions, "image", "left").join(captions.select("image", "caption"), "image", "left").join(ocr, "image", "left")
+    told = each.withColumn("text", assembled("caption", "description", "ocr")).where("text <> ''")
+    order = F.row_number().over(Window.partitionBy("page").orderBy("image", "n")) - 1
+    return told.select("image", "page", order.alias("figure"), "text")
+
+
+def in_pages(index: str, pages: list[int]) -> Column:
+    """Whether a chunk index is that of a figure of one of the pages: one range for each."""
+    from docloom.operators.ingest import FIGURE_BASE, FIGURES_PER_PAGE  # ingest imports search, which is not needed here
+
+    out = F.lit(False)
+    for page in pages:
+        first = FIGURE_BASE + page * FIGURES_PER_PAGE
+        out = out | F.col(index).between(first, first + FIGURES_PER_PAGE - 1)
+    return out
+
+
 def elements_in(elements: DataFrame, regions_: DataFrame) -> DataFrame:
     """Elements whose centre lies in a region of their page."""
     r = regions_.select("page", F.col("x1").alias("rx1"), F.col("y1").alias("ry1"), F.col("x2").alias("rx2"), F.col("y2").alias("ry2"))

@@ -110,21 +110,38 @@ def replaced(old: DataFrame, incoming: DataFrame, uri: str) -> DataFrame:
     return kept.unionByName(new_chunks(kept, incoming.where(F.col("source_uri") == uri)), allowMissingColumns=True)
 
 
-def preserved_sessions(links: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """(chunk_id, session_id): every session of the replaced chunks holds for all new chunks."""
-    sessions = links.join(old.select("chunk_id"), "chunk_id", "left_semi").select("session_id").distinct()
-    kept = links.join(old.select("chunk_id"), "chunk_id", "left_anti")
-    return kept.unionByName(new.select("chunk_id").crossJoin(F.broadcast(sessions))).distinct()
+def ingest_report(incoming: DataFrame, new: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source_uri, chunks_added, chunks_skipped, duplicate_of_paper_id) of ingested files.
+
+    A file of which nothing is new may be a copy of a registered one: ``files`` has
+    (source_uri, content_hash), ``paths`` those of papers.
+    """
+    added = new.groupBy("source_uri").agg(F.count("*").alias("chunks_added"))
+    every = incoming.groupBy("source_uri").agg(F.count("*").alias("n")).join(added, "source_uri", "left").withColumn("chunks_added", F.coalesce("chunks_added", F.lit(0)))
+    out = every.join(duplicate_files(files, paths), "source_uri", "left")
+    return out.select("source_uri", "chunks_added", (F.col("n") - F.col("chunks_added")).alias("chunks_skipped"), F.when((F.col("chunks_added") == 0) & (F.col("n") > 0), F.col("duplicate_of_paper_id")).alias("duplicate_of_paper_id"))
+
+
+def preserved_sessions(old: DataFrame, new: DataFrame, links: DataFrame) -> DataFrame:
+    """(chunk_id, session_id): every session of a document's replaced chunks holds for all its new ones.
+
+    ``old`` and ``new`` have (chunk_id, source_uri).
+    """
+    sessions = links.join(old.select("chunk_id", "source_uri"), "chunk_id").select("source_uri", "session_id").distinct()
+    return new.select("chunk_id", "source_uri").join(sessions, "source_uri").select("chunk_id", "session_id")
 
 
-def relinked_mentions(entities: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(entity_id, chunk_id): the first chunk, by index, in which a name stands as words of its own.
+def relinked(named: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, chunk_id): the first chunk of its document, by index, in which a name stands as whole words.
 
-    Names and chunks meet on the name's first word, then are compared whole.
+    ``named`` has (id, name, source_uri), ``chunks`` (chunk_id, chunk_index, source_uri,
+    content). Names and chunks of a document meet on the name's first word; only the texts of
+    those chunks are read again.
     """
     word = r"[\p{L}\p{N}_]+"
-    names = entities.select("entity_id", F.lower("canonical_name").alias("name")).withColumn("word", F.regexp_extract("name", word, 0))
-    words = chunks.select("chunk_id", "chunk_index", F.lower("content").alias("text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(word), F.lit(0)))).alias("word"))
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("name"), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    met = names.join(words, "word").where(F.regexp_like("text", quoted))
-    return met.groupBy("entity_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))
+    names = named.select("id", "name", "source_uri", F.regexp_extract("name", word, 0).alias("word"))
+    words = chunks.select("chunk_id", "source_uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("word"))
+    met = words.join(names.select("source_uri", "word").distinct(), ["source_uri", "word"], "left_semi").join(names, ["source_uri", "word"])
+    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    found = met.select("id", "name", "chunk_id").join(chunks.select("chunk_id", "chunk_index", "content"), "chunk_id").where(F.regexp_like("content", quoted))
+    return found.groupBy("id").agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id"))

@@ -24,7 +24,11 @@ class Settings:
             raise ValueError("dimensions are positive, thresholds lie between 0 and 1")
 
     def changed(self, **values) -> Settings:
-        return replace(self, **values)
+        """Settings with other values; names and types are checked."""
+        types = {f.name: type(f.default) for f in fields(Settings)}
+        if unknown := values.keys() - types.keys():
+            raise ValueError(f"no setting {sorted(unknown)}")
+        return replace(self, **{k: types[k](v) for k, v in values.items()})
 
 
 def resolved(prefix: str = "DOCLOOM_", **given) -> Settings:

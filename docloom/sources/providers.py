@@ -34,6 +34,18 @@ class Describer(Protocol):
     def describe(self, image: bytes, prompt: str) -> list[dict]: ...
 
 
+class Recogniser(Protocol):
+    """Texts and icons in an image, as dictionaries with type, content and box."""
+
+    def recognise(self, image: bytes) -> list[dict]: ...
+
+
+class PdfReader(Protocol):
+    """The pages of a PDF as markdown."""
+
+    def pages(self, content: bytes) -> list[str]: ...
+
+
 class HashEmbedder:
     """Sums of words' random signs, unit length; equal texts have equal vectors."""
 
@@ -99,3 +111,15 @@ def described(images: DataFrame, provider: Describer, prompt: str = "Describe th
             yield pd.DataFrame(rows, columns=[key, "n", "description"])
 
     return images.mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, n int, description string")
+
+
+def recognised(images: DataFrame, provider: Recogniser | None) -> DataFrame:
+    """(key, image) -> (key, pos, type, content): elements of images, in order; none without a provider."""
+    key = images.columns[0]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(k, i, e.get("type") or "text", e["content"]) for k, image in zip(part[key], part["image"]) for i, e in enumerate(provider.recognise(image) if provider else []) if isinstance(e.get("content"), str)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "type", "content"])
+
+    return images.mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, pos int, type string, content string")

@@ -22,10 +22,22 @@ def test_snapshots(spark, tmp_path):
     store.write("t", store.read("t").where("id > 0"))  # from itself
     assert store.read("t").count() == 2 and store.read("t", 1).count() == 3
     store.restore("t", 1)
-    assert store.current("t") == 3 and rows(store.report(["t"])) == [("t", 3, 3)]
+    assert store.current("t") == 3 and rows(store.report(["t"])) == [("t", 3, 2, 3)]
     assert store.vacuum("t") == [1] and store.versions("t") == [2, 3]
 
 
+def test_appended_rows_and_deleted_ones(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.append("t", spark.range(3))
+    store.append("t", spark.range(3, 5).withColumn("more", F.lit("x")))
+    assert rows(store.read("t")) == [(0, None), (1, None), (2, None), (3, "x"), (4, "x")]
+    kept = store.folders("t")[0]
+    store.delete("t", spark.createDataFrame([(4,), (9,)], "id long"), "id")
+    assert store.folders("t")[0] == kept and rows(store.read("t"), "id") == [(0,), (1,), (2,), (3,)]
+    assert store.delete("t", spark.createDataFrame([(9,)], "id long"), "id") == store.current("t") == 3
+    assert store.read("t", 2).count() == 5 and store.vacuum("t", 1) == [1, 2] and store.read("t").count() == 4
+
+
 def test_ingest_chain(spark):
     docs = spark.createDataFrame([("/a/1.md", "same text"), ("/a/2.md", "same text"), ("/b/3.md", "other")], "source_uri string, text string")
     first = ingest.deduplicated(ingest.documents_to_chunks(docs))
@@ -39,15 +51,24 @@ def test_ingest_chain(spark):
 
 
 def test_sessions_survive_a_replacement(spark):
-    links = spark.createDataFrame([(1, "s1"), (1, "s2"), (2, "s1")], "chunk_id long, session_id string")
-    out = ingest.preserved_sessions(links, spark.createDataFrame([(1,)], "chunk_id long"), spark.createDataFrame([(7,), (8,)], "chunk_id long"))
-    assert rows(out) == [(2, "s1"), (7, "s1"), (7, "s2"), (8, "s1"), (8, "s2")]
+    links = spark.createDataFrame([(1, "s1"), (1, "s2"), (2, "s1"), (3, "s9")], "chunk_id long, session_id string")
+    old = spark.createDataFrame([(1, "/a"), (3, "/b")], "chunk_id long, source_uri string")
+    new = spark.createDataFrame([(7, "/a"), (8, "/a"), (9, "/b")], "chunk_id long, source_uri string")
+    assert rows(ingest.preserved_sessions(old, new, links)) == [(7, "s1"), (7, "s2"), (8, "s1"), (8, "s2"), (9, "s9")]
+
 
+def test_names_find_whole_words(spark):
+    named = spark.createDataFrame([(1, "BERT", "/a"), (2, "BERT large", "/a"), (3, "C++ (x", "/a"), (4, "BERT", "/b"), (5, "a\\Eb", "/a")], "id long, name string, source_uri string")
+    texts = [(10, 0, "/a", "ROBERTSON bert"), (11, 1, "/a", "uses BERT."), (12, 2, "/a", "BERT large wins; C++ (x) a\\Eb"), (13, 0, "/b", "none")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, chunk_index int, source_uri string, content string")
+    assert rows(ingest.relinked(named, chunks)) == [(1, 11), (2, 12), (3, 12), (5, 12)]
 
-def test_mentions_find_whole_words(spark):
-    entities = spark.createDataFrame([(1, "BERT"), (2, "bert large"), (3, "C++ (x)")], "entity_id long, canonical_name string")
-    chunks = spark.createDataFrame([(10, 0, "robertson"), (11, 1, "uses bert."), (12, 2, "BERT large wins; c++ (x)")], "chunk_id long, chunk_index int, content string")
-    assert rows(ingest.relinked_mentions(entities, chunks)) == [(1, 11), (2, 12), (3, 12)]
+
+def test_ingest_report(spark):
+    incoming = spark.createDataFrame([("/a",), ("/a",), ("/b",)], "source_uri string")
+    files = spark.createDataFrame([("/a", "h1"), ("/b", "h2")], "source_uri string, content_hash string")
+    paths = spark.createDataFrame([(7, "h2"), (8, "h1")], "paper_id long, content_hash string")
+    assert rows(ingest.ingest_report(incoming, incoming.where("source_uri = '/a'").limit(1), files, paths)) == [("/a", 1, 1, None), ("/b", 0, 1, 7)]
 
 
 def test_reference_repair(spark):
@@ -129,6 +150,16 @@ def test_extraction(spark):
     assert facts.model_json("<think>so {not} [2] then {\"a\": 1} end</think>") == {"a": 1}
 
 
+def test_resolution(spark):
+    answer = '{"groups": [{"canonical": "BERT", "type": "method", "members": ["bert", " Bert-Base "]}, {"canonical": null, "members": ["x"]}, 3, {"canonical": "Q", "type": "odd", "members": "q"}]}'
+    assert facts.resolution(answer) == [("method", "bert", "BERT"), ("method", "bert-base", "BERT")]
+    found = spark.createDataFrame([(1, 10, "method", "bert", None, None)], "paper_id long, chunk_id long, kind string, name string, description string, surface_forms array<string>")
+    assert rows(facts.resolved_groups(found, lambda prompt: answer)) == [("method", "bert", "BERT"), ("method", "bert-base", "BERT")]
+    assert facts.resolved_groups(found, lambda prompt: 1 / 0).count() == 0
+    chunks = spark.createDataFrame([(1, 11, 1, "b"), (1, 10, 0, "a"), (2, 20, 0, "x" * 9000)], "paper_id long, chunk_id long, chunk_index int, content string")
+    assert rows(facts.whole_papers(chunks).selectExpr("paper_id", "chunk_id", "substring(content, 1, 4) AS c")) == [(1, 10, "a\n\nb"), (2, 20, "xxxx")]
+
+
 def test_spaces_compared_with_few_results(spark):
     make = lambda ids: spark.createDataFrame([(0, c, i + 1) for i, c in enumerate(ids)], "query_id int, chunk_id long, rank int")
     r = stats.compare_spaces(make([1, 2, 3, 4, 5, 6]), make([6, 5, 4, 3, 2, 1]), "chunk_id", 10).first()

@@ -38,6 +38,9 @@ def test_search_and_misses(engine):
     found = engine.search_index("sparse retrieval").collect()
     assert found[0].content.startswith("# Sparse") and found[0].match_type == "hybrid"
     assert engine.search_index("sparse", mode="fts", source_type="code").count() == 0
+    assert engine.search_index("retrieve", mode="fts").first().content.startswith("# Sparse")  # by its stem
+    assert engine.search_index("what about the deep graphs?", mode="fts", keyword_prefilter=True).count() == 2
+    assert engine.search_index("neighbor* OR pastas", mode="fts").first().content.startswith("Cooking")
     assert engine.search_index("zzz", mode="fts").count() == 0 and engine.search_index(" ZZZ", mode="fts").count() == 0
     errors = engine.list_prediction_errors().collect()
     assert sorted((r.error_type, r["query"], r.source_type_filter) for r in errors if r["query"] == "zzz") == [("no_results", "zzz", None)]
@@ -82,7 +85,13 @@ def test_facts_and_jobs(engine):
     engine.record_method("Mine", 1, "by hand")
     engine.submit_job(1, "extract_structure")
     engine.submit_job(1, "extract_structure")
-    assert engine.run_jobs() == 1 and [r.status for r in engine.list_jobs().collect()] == ["completed"]
+    assert engine.run_jobs() == 3 and {r.status for r in engine.list_jobs().collect()} == {"completed"}
+    assert sorted(r.job_type for r in engine.list_jobs().collect()) == ["auto_relate", "auto_relate", "extract_structure"]
+    assert engine.get_job_status(1).status == "completed"
+    with pytest.raises(ValueError):
+        engine.get_job_status(99)
+    assert [(r.name, r.value, r.method) for r in engine.get_metrics(1).collect()] == [("f1", 0.9, "BM25")]
+    assert [r.name for r in engine.get_datasets(1).collect()] == ["Graphs"] and engine.extraction_estimate(1).first().single_pass
     assert sorted(r.name for r in engine.table("methods").collect()) == ["BM25", "Mine"]
     engine.extract_structure(1)
     assert engine.table("methods").count() == 2 and engine.table("metrics").first().method_id is not None
@@ -101,6 +110,8 @@ def test_spaces(engine):
     rows = engine.compare_spaces(["sparse graphs", "salt water"], "default", "bytes", 3).collect()
     assert len(rows) == 2 and all(r.overlap > 0.5 for r in rows)
     assert engine.batch_compare_spaces(["sparse"], "default", "short", 3).count() == 2
+    bench = {r.space: r for r in engine.benchmark_spaces(sample_queries=3, top_k=3).collect()}
+    assert bench["bytes"].storage_ratio == 0.25 and bench["short"].storage_ratio == 0.25 and bench["bytes"].overlap > 0.5 and bench["short"].error is None
     engine.promote_embed_space("bytes")
     assert engine.active_space().name == "bytes"
     assert engine.search_index("sparse retrieval", mode="vec", log=False).first().content.startswith("# Sparse")
@@ -118,7 +129,7 @@ def test_reingest_keeps_sessions_and_repairs(engine, spark):
     assert [r.content for r in new] == ["Cooking rice takes water."]
     assert {r.session_id for r in engine.table("chunk_sessions").where(f"chunk_id = {new[0].chunk_id}").collect()} == {"s1", "s2"}
     assert engine.table("conclusions").where(f"id = {id_}").isEmpty()
-    assert engine.co_occurrence().count() > 0 and engine.status().count() == 16
+    assert engine.co_occurrence().count() > 0 and engine.status().where("value is null").count() == 20
 
 
 def test_pages(engine, spark):
@@ -127,6 +138,97 @@ def test_pages(engine, spark):
     assert engine.search_index("quantum", mode="fts").first().source_uri == "https://e.org/x"
 
 
+def test_adding_a_document_writes_its_own_rows(engine, spark):
+    before = {n: engine.store.folders(n) for n in ("chunks", "chunk_vec", "postings", "chunk_lengths", "chunk_sessions")}
+    docs = spark.createDataFrame([("/n/new.md", "markdown", "Fresh words about zebras."), ("/n/same.md", "markdown", "Fresh words about zebras.")], "source_uri string, source_type string, text string")
+    assert engine.ingest_documents(docs, "s3").count() == 1
+    for name, folders in before.items():
+        assert engine.store.folders(name)[:-1] == folders and engine.store.read(name).count() > 0
+    assert engine.search_index("zebra", mode="fts").first().source_uri == "/n/new.md"
+    engine.compact_index()
+    assert engine.search_index("zebra", mode="fts").count() == 1 and len(engine.store.folders("postings")) == 1
+    assert engine.list_chunks(after=1, limit=2).count() == 2
+
+
+def test_a_failing_reranker_keeps_the_order(engine):
+    class Broken:
+        def score(self, query, texts):
+            raise RuntimeError("no model")
+
+    kept, engine.reranker = engine.reranker, Broken()
+    found = engine.search_index("sparse retrieval", rerank=True).collect()
+    engine.reranker = kept
+    assert found and found[0].match_type != "reranked"
+
+
+def test_report_and_relinked_facts(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "p.md").write_text("# One\nIntro.\n" + "word " * 300 + "\n# Two\nThe BM25 model ranks.\n")
+    (tmp_path / "docs" / "copy.md").write_text((tmp_path / "docs" / "p.md").read_text())
+    e = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16))
+    report = {r.source_uri.rsplit("/", 1)[1]: r for r in e.ingest(str(tmp_path / "docs"), "s1").collect()}
+    assert report["copy.md"].chunks_added == report["p.md"].chunks_skipped > 0
+    uri = next(r.source_uri for r in e.table("chunks").collect())
+    paper = e.register_paper("One", path=uri)
+    assert {r.duplicate_of_paper_id for r in e.ingest(str(tmp_path / "docs"), "s2").collect()} == {paper}
+    last = e.table("chunks").orderBy("chunk_index", ascending=False).first()
+    e.append("methods", spark.createDataFrame([(1, "BM25", paper, last.chunk_id)], "id long, name string, paper_id long, chunk_id long"))
+    text = "# Zero\nNothing.\n" + "word " * 300 + "\n# Three\nBM25 again.\n"
+    e.reingest(spark.createDataFrame([(uri, "markdown", text)], "source_uri string, source_type string, text string"), "s3")
+    now = e.table("chunks").collect()
+    assert e.get_methods(paper).first().chunk_id == next(r.chunk_id for r in now if "BM25" in r.content)
+    assert e.get_paper(paper).first().abstract_chunk_id == min((r.chunk_index, r.chunk_id) for r in now)[1]
+    assert {r.session_id for r in e.table("chunk_sessions").collect()} == {"s1", "s2", "s3"}
+
+
+def test_figures_of_a_paper(spark, tmp_path):
+    class Eyes:
+        def describe(self, image, prompt):
+            return [{"description": f"a chart of {len(image)} bytes"}, {"description": " "}]
+
+        def recognise(self, image):
+            return [{"type": "text", "content": "axis label"}]
+
+    for name, size in (("a.png", 3), ("b.png", 5), ("other.png", 7)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    e = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16), describer=Eyes(), recogniser=Eyes())
+    text = "# P\n![x](img/a.png)\nFigure 1 shows growth\n\n![y](b.png)\n" + "filler " * 40
+    e.ingest_documents(spark.createDataFrame([("/p.md", "markdown", text)], "source_uri string, source_type string, text string"))
+    paper = e.register_paper("P", path="/p.md")
+    e.submit_job(paper, "extract_figures", f'{{"folder": "{tmp_path}"}}')
+    assert e.run_jobs() == 2 and {r.status for r in e.list_jobs().collect()} == {"completed"}
+    found = {r.chunk_index: r.content for r in e.table("chunks").where("source_type = 'figure'").collect()}
+    assert found[1_001_000].startswith("[Caption] Figure 1 shows growth\n\n[Description] a chart of 3 bytes") and "axis label" in found[1_001_001]
+    assert e.extract_figures(paper, str(tmp_path), [1]).count() == 2 and e.table("chunks").where("source_type = 'figure'").count() == 2
+    assert e.search_index("charts", mode="fts", source_type="figure").count() == 2
+    assert e.extract_figures(paper, str(tmp_path), [7]).count() == 0 and e.table("chunks").where("source_type = 'figure'").count() == 2
+
+
+def test_configuration_is_kept(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16))
+    e.configure(chunk_strategy="semantic", auto_relate_propose_threshold="0.5")
+    again = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16))
+    assert again.settings.chunk_strategy == "semantic" and again.settings.auto_relate_propose_threshold == 0.5
+    assert again.config().where("stored").count() == 2 and again.schema().where("table = 'chunks'").count() == 9
+    with pytest.raises(ValueError):
+        e.configure(colour="red")
+    other = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16), embedder=HashEmbedder(8))
+    with pytest.raises(ValueError):
+        other.ingest_documents(spark.createDataFrame([("/x.md", "markdown", "text")], "source_uri string, source_type string, text string"))
+
+
+def test_pages_of_a_pdf(spark, tmp_path):
+    class Reader:
+        def pages(self, content):
+            return content.decode().split("|")
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "p.pdf").write_text("# One\nfirst page " + "a " * 200 + "|# Two\nsecond page " + "b " * 200)
+    e = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16), pdf_reader=Reader())
+    e.ingest(str(tmp_path / "docs"))
+    assert [r.metadata for r in e.table("chunks").orderBy("chunk_index").collect()] == ['{"pages":[1]}', '{"pages":[2]}']
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("DOCLOOM_EMBED_DIM", "12")
     monkeypatch.setenv("DOCLOOM_CHUNK_STRATEGY", " ")
