@@ -90,7 +90,7 @@ def image_captions(chunks: DataFrame) -> DataFrame:
 def page_captions(chunks: DataFrame) -> DataFrame:
     """(source_uri, page, captions): distinct caption lines for each page of their chunk, pages from 0."""
     lines = chunks.select("source_uri", "pages", F.explode(F.split("content", "\n")).alias("text")).where(F.col("text").rlike(CAPTION))
-    return lines.select("source_uri", (F.explode("pages") - 1).alias("page"), F.trim("text").alias("caption")).groupBy("source_uri", "page").agg(F.array_sort(F.collect_set("caption")).alias("captions"))
+    return lines.select("source_uri", F.explode(F.transform("pages", lambda p: p - 1)).alias("page"), F.trim("text").alias("caption")).groupBy("source_uri", "page").agg(F.array_sort(F.collect_set("caption")).alias("captions"))
 
 
 def image_pages(chunks: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Name -> query and name -> oracle SQL of the retrieval engine."""
 
-from docloom.plans import analytics_queries, search_queries
+from docloom.plans import analytics_queries, search_queries, upkeep_queries
 
-QUERIES = {**search_queries.QUERIES, **analytics_queries.QUERIES}
-ORACLES = {**search_queries.ORACLES, **analytics_queries.ORACLES}
+QUERIES = {**search_queries.QUERIES, **analytics_queries.QUERIES, **upkeep_queries.QUERIES}
+ORACLES = {**search_queries.ORACLES, **analytics_queries.ORACLES, **upkeep_queries.ORACLES}
