@@ -207,13 +207,12 @@ def brute_digest(text: str | None) -> str:
 
 def _sql() -> str:
     """Matches by string_split_regex and regexp_extract_all, placed by running sums; the turns over the graph one by one."""
-    space = "[\\x09-\\x0D\\x20]"
     plain = {k: v.replace("(", "(?:").replace("(?:?:", "(?:").replace("().", "().") for k, v in _PLAIN.items()}
     plain["phone"] = _PLAIN["phone"]  # its parentheses are characters
     parts = [
         f"SELECT r, {i} AS kind, regexp_extract_all(t, '{plain[k]}') AS m, string_split_regex(t, '{plain[k]}') AS g FROM d" for i, k in enumerate(KINDS)
     ]
-    parts.append(f"SELECT r, 4, regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+'), string_split_regex(t, '[^\\x09-\\x0D\\x20]+') FROM d")
+    token = "[^\\x09-\\x0D\\x20]+"
     last = f"translate(regexp_replace(regexp_extract(rtrim(translate(right(gap, {CONTEXT_CHARS}), chr(9) || chr(10) || chr(13), '   '), ' '), '[^ ]*$'), '[^\\p{{L}}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     first = f"translate(regexp_replace(regexp_extract(ltrim(translate(left(after, {CONTEXT_CHARS}), chr(9) || chr(10) || chr(13), '   '), ' '), '^[^ ]*'), '[^\\p{{L}}]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     digits = "regexp_replace(value, '[^0-9]', '', 'g')"
@@ -231,8 +230,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 k AS ({' UNION ALL '.join(parts)}),
 e AS (SELECT r, kind, unnest(m) AS value, unnest(g[1:len(m)]) AS gap, unnest(g[2:len(m) + 1]) AS after, unnest(range(0, len(m))) AS i FROM k WHERE len(m) > 0),
 a AS (SELECT *, sum(length(gap) + length(value)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM e),
-w AS (SELECT r, kind, value, {last} AS before, {first} AS behind, stop::BIGINT AS stop, (stop - length(value))::BIGINT AS start FROM a
-  WHERE kind < 4 OR starts_with(value, '@') AND length(value) > 1 OR length({digits}) > 0),
+t0 AS (SELECT r, t, regexp_extract_all(t, '{token}') AS m, string_split_regex(t, '{token}') AS g FROM d),
+t1 AS (SELECT r, t, unnest(m) AS value, unnest(g[1:len(m)]) AS gap, unnest(range(0, len(m))) AS i FROM t0 WHERE len(m) > 0),
+t2 AS (SELECT *, (sum(length(gap) + length(value)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS stop FROM t1),
+t3 AS (SELECT r, t, value, stop, stop - length(value) AS start FROM t2 WHERE starts_with(value, '@') AND length(value) > 1 OR length({digits}) > 0),
+t4 AS (SELECT r, 4 AS kind, value, substr(t, coalesce(lag(stop) OVER o, 0) + 1, start - coalesce(lag(stop) OVER o, 0)) AS gap, substr(t, stop + 1, coalesce(lead(start) OVER o, length(t)) - stop) AS after, stop FROM t3 WINDOW o AS (PARTITION BY r ORDER BY start)),
+w AS (SELECT r, kind, value, {last} AS before, {first} AS behind, stop::BIGINT AS stop, (stop - length(value))::BIGINT AS start FROM (SELECT r, kind, value, gap, after, stop FROM a UNION ALL SELECT * FROM t4)),
 b AS (SELECT * FROM w WHERE kind = 0 OR kind = 1 AND len(list_filter(string_split(value, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT) > 255, true))) = 0
   OR kind = 2 AND length({digits}) BETWEEN 14 AND 19 AND {luhn} OR kind = 3 AND length({digits}) BETWEEN 10 AND 15),
 q AS (SELECT * FROM w WHERE kind = 4 AND (starts_with(value, '@') OR length({digits}) >= {LEAST_DIGITS}) AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = w.r AND b.start < w.stop AND w.start < b.stop)),

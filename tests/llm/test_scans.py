@@ -131,6 +131,37 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert rows[6].base_sha256 == pii.brute_digest("")
 
 
+def by_sql(tmp_path, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    return sorted((repr(r) for r in con.execute(sql).fetchall()))
+
+
+def test_discoveries_are_those_of_the_sql(spark, tmp_path):
+    rng = random.Random(11)
+    texts = [f"please call account 192.168.{i}.7 now" for i in range(12)] + [f"reach {n}@host{i}.org today" for i, n in enumerate("abcdef")]
+    # found behind account, these teach the word member, which finds others
+    texts += [f"my account 12-3456-{i}00 is" for i in range(8)] + [f"the member 12-3456-{i}00 is" for i in range(8)] + ["old member 77-1234-999 left", "reach @handle today", "reach @other soon", "size 4000000 is"]
+    words = ["account", "member", "reach", "1234567", "10.0.0.1", "a@b.cc", "x", "é", "+1 800 555 0199", "4111111111111111", "@me", "12-34-5678"]
+    texts += [" ".join(rng.choice(words) for _ in range(30)) for _ in range(20)] + [None, ""]
+    folder = save(frame(spark, texts), tmp_path, "documents")
+    got = pii.op6_pii(spark, folder)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == by_sql(tmp_path, pii.OP6_SQL)
+    plain = {r.doc_id: r.spans for r in pii.digest(pii.detect(frame(spark, texts[:38]))).collect()}
+    assert plain[18] == "context:11:22" and plain[34] == "context:11:22" and plain[35] == "context:6:13" and plain[37] == ""
+
+
+def test_a_text_with_a_hundred_thousand_numbers(spark):
+    import time
+
+    text = "id 1234567 at 10.0.0.1 " * 50_000
+    began = time.monotonic()
+    r = pii.digest(pii.detect(frame(spark, [text, "one"]))).orderBy("doc_id").first()
+    assert r.n_ip == 50_000 and r.base_sha256 == pii.brute_digest(text) and time.monotonic() - began < 60
+
+
 def test_odd_and_empty_tables(spark, tmp_path):
     folder = save(odd(spark, True), tmp_path, "documents")
     key = lambda r: repr(tuple(r))
