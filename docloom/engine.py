@@ -77,7 +77,7 @@ class Engine:
     def next_id(self, name: str, column: str = "id") -> int:
         return (self.table(name).agg(F.max(column).alias("m")).first().m or 0) + 1
 
-    def add(self, name: str, **values) -> int:
+    def add(self, name: str, /, **values) -> int:
         """Appends one row with the next id."""
         id_ = self.next_id(name)
         types = dict(x.split(" ", 1) for x in schemas.TABLES[name].split(", "))

@@ -70,11 +70,6 @@ class OverlapReranker:
         return [8 * len(words & set(t.lower().split())) / max(1, len(words)) - 4 for t in texts]
 
 
-class NoDescriber:
-    def describe(self, image: bytes, prompt: str) -> list[dict]:
-        return []
-
-
 def embedded(df: DataFrame, text: str, provider: Embedder, batch: int = 32, out: str = "embedding") -> DataFrame:
     """``df`` with vectors; texts go to the provider in batches, and a vector of another dimension is an error."""
 

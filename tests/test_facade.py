@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.engine import Engine
 from docloom.settings import Settings, resolved
@@ -229,6 +230,51 @@ def test_pages_of_a_pdf(spark, tmp_path):
     assert [r.metadata for r in e.table("chunks").orderBy("chunk_index").collect()] == ['{"pages":[1]}', '{"pages":[2]}']
 
 
+def test_paths_files_and_states(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), Settings(embed_dim=16))
+    docs = [("/a.md", "markdown", "Alpha text about 10.9999/zz things."), ("/b.md", "markdown", "Beta text.")]
+    e.ingest_documents(spark.createDataFrame(docs, "source_uri string, source_type string, text string"))
+    one = e.register_paper("Alpha", ["Ann Bee"], 2020, path="/a.md")
+    assert [r.doi for r in e.unmatched_dois().collect()] == ["10.9999/zz"]
+    known = e.get_paper_paths(one).first().content_hash
+    with pytest.raises(ValueError):
+        e.relocate_paper("/a.md", "/c.md", "other")
+    e.relocate_paper("/a.md", "/c.md", known)
+    assert e.get_paper(one).first().paths == ["/c.md"] and e.table("chunks").where("source_uri = '/c.md'").count() == 1
+    beta = e.table("chunks").where("source_uri = '/b.md'").first().chunk_id
+    e.append("papers", spark.createDataFrame([(9, "Beta", beta)], "paper_id long, title string, abstract_chunk_id long"))
+    assert e.backfill_paths() == 1 and e.get_paper_paths(9).first().path == "/b.md" and e.backfill_paths() == 0
+    e.record_method("M", one)
+    e.record_metric("f1", 0.5, one, method_id=1)
+    assert [(r.name, r.value, r.method) for r in e.get_metrics(one).collect()] == [("f1", 0.5, "M")]
+    e.save("jobs", e.table("jobs").withColumn("status", F.lit("running")))
+    e.recover_jobs()
+    assert {r.status for r in e.list_jobs().collect()} == {"pending"}
+    e.create_embed_space("spare")
+    e.deprecate_embed_space("spare")
+    assert e.benchmark_spaces().count() == 0
+    e.export_bibtex(str(tmp_path / "refs"), [one])
+    assert spark.read.text(str(tmp_path / "refs")).where("value like '%Alpha%'").count() >= 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from docloom.__main__ import main
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("Zebras run in herds.")
+    store = ["--store", str(tmp_path / "store")]
+    assert main([*store, "ingest", str(tmp_path / "docs")], spark) == 0
+    main([*store, "search", "zebra", "--mode", "fts", "--keywords"], spark)
+    main([*store, "configure", "chunk_strategy=semantic"], spark)
+    main([*store, "status"], spark)
+    out = capsys.readouterr().out
+    assert "a.md" in out and "semantic" in out and "chunk_lengths" in out
+    main([*store, "restore", "config", "1"], spark)
+    main([*store, "vacuum", "config"], spark)
+    main([*store, "jobs"], spark)
+    assert capsys.readouterr().out.split() == ["2", "[]", "0"]
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("DOCLOOM_EMBED_DIM", "12")
     monkeypatch.setenv("DOCLOOM_CHUNK_STRATEGY", " ")
