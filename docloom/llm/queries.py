@@ -26,4 +26,5 @@ ORACLES = {
     "op6_pii": pii.OP6_SQL,
     "op7_shard": sharding.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op10_secrets": secrets.OP10_SQL,
 }

@@ -252,3 +252,38 @@ def brute_spans(text: str | None, rules=RULES) -> list[tuple[int, int, int]]:
 def brute_digest(text: str | None) -> str:
     spans = [f"{RULES[k][0]}:{a}:{b}" for a, k, b in brute_spans(text) if k < len(BASE_RULES)]
     return hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def _sql() -> str:
+    """The rules one by one, with letters in either case written out, as RE2's own folding goes beyond ASCII."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
+    words = "|".join([*map(either, ("password", "passwd", "secret", "token")), f"{either('api')}_?{either('key')}"])
+    rules = [
+        ("assign", f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+        ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+        ("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40),
+        ("code_host", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+        ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+        ("map_key", "AIza[0-9A-Za-z_-]+", 0, 39),
+        ("pay", "[rs]k_live_[0-9A-Za-z]+", 0, 24),
+        ("url_login", "://[^/\\x09-\\x0D\\x20:@]+:[^/\\x09-\\x0D\\x20:@]+@", 0, 1),
+        ("bearer", f"{either('bearer')}\\x20+[A-Za-z0-9._~+/=-]+", 0, 27),
+    ]
+    parts = " UNION ALL ".join(
+        f"SELECT r, {i} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{regex}') AS m, regexp_extract_all(t, '{regex}', {group}) AS v, string_split_regex(t, '{regex}') AS g FROM d" for i, (kind, regex, group, least) in enumerate(rules)
+    )
+    listed = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({parts}),
+e AS (SELECT r, k, kind, least, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, unnest(range(0, len(m))) AS i FROM f WHERE len(m) > 0),
+p AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY r, k ORDER BY i))::BIGINT AS stop FROM e),
+s AS (SELECT r, k, kind, stop - length(m) AS start, stop FROM p WHERE length(v) >= least),
+a AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({listed}, ',' ORDER BY start, k, stop) FILTER (k < 3) AS base, string_agg({listed}, ',' ORDER BY start, k, stop) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
+"""
+
+
+OP10_SQL = _sql()

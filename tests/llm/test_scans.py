@@ -103,6 +103,12 @@ def test_secrets_against_brute_force(spark):
         assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
 
 
+def test_secrets_by_sql(spark, tmp_path):
+    texts = HARD + [None, ""] + fuzz(3, ["token", "Secret", "api", "_", "key", "=", ":", " ", '"', "abc123", "AKIA", "A1" * 9, "0af" * 9, "é", ".", "bearer ", "://u:p@", "ſ"])
+    got = secrets.op10_secrets(spark, save(frame(spark, texts), tmp_path, "documents"))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == by_sql(tmp_path, secrets.OP10_SQL)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+", False) is None
     assert secrets.trigrams_of(secrets.trigram_query("AKIA[A-Z0-9]+", False)) == {b"AKI", b"KIA"}
