@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import figures, graph, ingest, mutate
 from docloom.plans import views
-from docloom.plans.analytics_queries import _PAIRS
+from docloom.plans.analytics_queries import _GAPS, _PAIRS
 from docloom.session import table
 from docloom.sources import files
 
@@ -157,6 +157,8 @@ SELECT source_uri, chunks_added, chunks_skipped, CASE WHEN chunks_added = 0 THEN
     "figure_indexes": """SELECT doc_id, (1000000 + doc_id % 40 * 1000 + doc_id % 7)::INT AS chunk_index, '{' || concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN '"pages":[' || doc_id % 40 || ']' END, CASE WHEN doc_id % 3 = 0 THEN '"images":["' || doc_id || '.png"]' END) || '}' AS metadata, doc_id % 40 IN (3, 17) AS chosen FROM documents""",
     "elements_in_regions": f"WITH {_BOXES} SELECT vec_id, page, zx1::DOUBLE AS rx1 FROM b, {_ZONES} WHERE (x1 + x2) / 2 BETWEEN zx1 AND zx2 AND (y1 + y2) / 2 BETWEEN zy1 AND zy2",
     "elements_outside": f"WITH {_BOXES} SELECT vec_id, page FROM b WHERE NOT EXISTS (SELECT 1 FROM {_ZONES} WHERE x1 < zx2 AND zx1 < x2 AND y1 < zy2 AND zy1 < y2)",
+    "padded_regions": f"""WITH {_GAPS}, w AS (SELECT page, CASE WHEN n < 2 THEN 0.0 ELSE x1 END AS a, CASE WHEN n < 2 THEN 0.0 ELSE y1 END AS b, CASE WHEN n < 2 THEN 1.0 ELSE x2 END AS c, CASE WHEN n < 2 THEN 1.0 ELSE y2 END AS d FROM h)
+SELECT page, round(greatest(0.0, a - 0.02 * (c - a)), 9) AS x1, round(greatest(0.0, b - 0.02 * (d - b)), 9) AS y1, round(least(1.0, c + 0.02 * (c - a)), 9) AS x2, round(least(1.0, d + 0.02 * (d - b)), 9) AS y2 FROM w""",
     "vector_pages": "SELECT source AS source_uri, doc_id AS page FROM documents WHERE doc_id % 23 > 10 AND doc_id % 3 <> 0",
     "page_captions": """WITH l AS (SELECT '/' || source AS source_uri, doc_id, unnest(string_split(coalesce(text, '') || chr(10) || '  Figure ' || doc_id % 5 || ' shows' || chr(10) || 'fig. 7 and table' || CASE WHEN doc_id % 2 = 0 THEN ' 3' ELSE '' END, chr(10))) AS t FROM documents),
 c AS (SELECT DISTINCT source_uri, unnest([(doc_id % 4)::INT, 8]) AS page, trim(t, ' ') AS caption FROM l WHERE regexp_matches(t, '(?i)(?:Figure|Fig\\.|Table)\\s+\\d+')) SELECT source_uri, page, string_agg(caption, '|' ORDER BY caption) AS captions FROM c GROUP BY ALL""",
