@@ -262,7 +262,7 @@ class Engine:
         folders = self.table("folder_summaries").where("embedding is not null") if row.status == "active" and not row.matryoshka_base_dim and row.element_type == "float32" else None
         scorer = reranked(query, self.reranker) if rerank else None
         found = retrieval.search(self.table("chunks"), query, self._query_vector(query, row) if mode != "fts" else None, self.vectors(row.name), folders, top_k, mode, source_type, chunk_strategy, scorer, rerank_top, index=self.index(), keyword_prefilter=keyword_prefilter)
-        found = written(found, "found").orderBy("place")
+        found = self.spark.createDataFrame(found.collect(), found.schema).orderBy("place")  # top_k rows
         if log:
             self.log_miss(query, mode, found, source_type)
         return found

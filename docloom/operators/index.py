@@ -71,15 +71,14 @@ class Index:
     def read(cls, spark: SparkSession, path: str, key: str, stem: bool = True, fold: bool = True) -> Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), key, stem, fold)
 
-    def words(self, tree: Phrase | Node) -> DataFrame:
-        """(key, pos, term): where the words of a query stand in chunks that are there."""
-        asked = phrases(tree)
-        whole = {w for p in asked for w in (p.words[:-1] if p.prefix else p.words)}
+    def asked(self, tree: Phrase | Node) -> DataFrame:
+        """The postings of a query's words; the scan takes the filter."""
+        every = phrases(tree)
+        whole = {w for p in every for w in (p.words[:-1] if p.prefix else p.words)}
         found = F.col("term").isin(sorted(whole)) if whole else F.lit(False)
-        for start in {p.words[-1] for p in asked if p.prefix and p.words}:
+        for start in {p.words[-1] for p in every if p.prefix and p.words}:
             found = found | F.col("term").startswith(start)
-        kept = self.postings.where(found).join(self.lengths.select(self.key), self.key, "left_semi")
-        return kept.select(self.key, F.explode("positions").alias("pos"), "term")
+        return self.postings.where(found)
 
     def best(self, queries: DataFrame, k: int, most: int = 200) -> DataFrame:
         """(query_id, key, score, rank): the k best chunks by BM25 for the words (query_id, term) of any number of queries.

@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import query_tokens, terms
 from docloom.session import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+_MATCHED = T.StructType().add("holds", T.BooleanType()).add("tf", T.ArrayType(T.IntegerType()))
 #: Query words that a filter holds as a set.
 MOST_TERMS = 5000
 
@@ -52,10 +55,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str = "content",
     return wanted.join(scored, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
 
 
-def impact() -> Column:
-    """BM25 of one word in one chunk, from tf, df, len, n (chunks) and words (of all chunks)."""
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("words") / F.col("n"))))
+def impact(**given: Column) -> Column:
+    """BM25 of one word in one chunk, from tf, df, len, n (chunks) and words (of all chunks): columns, or those given."""
+    tf, df, size, n, words = (given.get(c, F.col(c)) for c in ("tf", "df", "len", "n", "words"))
+    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (words / n)))
 
 
 def top(scored: DataFrame, key: str, k: int, digits: int = 9, by: str = "score", descending: bool = True) -> DataFrame:
@@ -217,22 +221,60 @@ def phrases(tree: Phrase | Node, scoring: bool = False) -> list[Phrase]:
     return [p for part in parts for p in phrases(part, scoring)]
 
 
-def phrase_scores(words: DataFrame, key: str, tree: Phrase | Node, lengths: DataFrame) -> DataFrame:
-    """(query_id, key, score): BM25 over the phrases of a query; a phrase's frequency in a chunk is how often it stands there.
+def _spans(words: dict[str, list[int]], phrase: Phrase) -> list[tuple[int, int]]:
+    """(first, last) of the places of a phrase in a chunk's words."""
+    if not phrase.words:
+        return []
+    last = phrase.words[-1]
+    ends = {p for w, places in words.items() if (w.startswith(last) if phrase.prefix else w == last) for p in places}
+    n = len(phrase.words) - 1
+    for i, w in enumerate(phrase.words[:-1]):
+        ends &= {p + n - i for p in words.get(w, ())}
+    return [(e - n, e) for e in sorted(ends)]
 
-    ``lengths`` has (key, len) of all chunks.
+
+def _holds(words: dict[str, list[int]], tree: Phrase | Node) -> bool:
+    """Whether a chunk with these words meets a query."""
+    if isinstance(tree, Phrase):
+        return bool(_spans(words, tree))
+    if tree.op == "near":
+        met = [(a, b, b) for a, b in _spans(words, tree.parts[0])] if tree.parts else []
+        for part in tree.parts[1:]:
+            spans = _spans(words, part)
+            met = [(min(a, c), max(b, d), max(reach, d)) for a, b, reach in met for c, d in spans if max(a, c) - min(reach, d) - 1 <= tree.distance]
+        return bool(met)
+    found = (_holds(words, p) for p in tree.parts)
+    return next(found) and not any(found) if tree.op == "not" else all(found) if tree.op == "and" else any(found)
+
+
+def scored_matches(postings_: DataFrame, lengths: DataFrame, key: str, tree: Phrase | Node) -> DataFrame:
+    """(query_id, key, score) of the chunks that a query matches, from the postings (term, key, positions) of its words.
+
+    The words of a chunk come together once; the query is held against them, and its phrases
+    are counted. BM25 is over phrases: one is as frequent in a chunk as it stands there.
+    ``lengths`` has (key, len) of all chunks; others are gone.
     """
     asked: dict[tuple, int] = {}
     for p in phrases(tree, True):
         if p.words:
             asked[tuple(p.words), p.prefix] = asked.get((tuple(p.words), p.prefix), 0) + 1
-    hits = None
-    for i, ((ws, prefix), times) in enumerate(asked.items()):
-        one = _phrase_spans(words, key, Phrase(list(ws), prefix)).groupBy(key).agg(F.count("*").alias("tf")).select(F.lit(i).alias("phrase"), F.lit(times).alias("times"), key, "tf")
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return lengths.select(F.lit(0).alias("query_id"), key, F.lit(0.0).alias("score")).where(F.lit(False))
-    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each phrase of the query
-    whole = F.broadcast(lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")))  # one row
-    scored = hits.join(F.broadcast(df), "phrase").join(lengths, key).crossJoin(whole)
-    return scored.groupBy(key).agg(F.sum(F.col("times") * impact()).alias("score")).select(F.lit(0).alias("query_id"), key, "score")
+    each = [Phrase(list(ws), prefix) for ws, prefix in asked]
+
+    @F.pandas_udf(_MATCHED)
+    def held(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for items in lists:
+            words = {x["term"]: list(x["positions"]) for x in items}
+            rows.append((_holds(words, tree), [len(_spans(words, p)) for p in each]))
+        return pd.DataFrame(rows, columns=["holds", "tf"])
+
+    grouped = postings_.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("words")).join(lengths, key)
+    found = written(grouped.select(key, "len", held("words").alias("m")).select(key, "len", "m.*"), "matches")
+    totals = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(each))]
+    df = found.agg(*totals).first() if each else []
+    whole = lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")).first()
+    score = F.lit(0.0)
+    for i, times in enumerate(asked.values()):
+        one = {"tf": F.col("tf")[i], "df": F.lit(df[i]), "n": F.lit(whole.n), "words": F.lit(whole.words)}
+        score = score + F.lit(times) * impact(**one)
+    return found.where("holds").select(F.lit(0).alias("query_id"), key, score.alias("score"))

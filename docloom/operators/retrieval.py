@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import keywords, match_query
 from docloom.functions.vectors import cosine, l2
 from docloom.operators.index import Index
-from docloom.operators.lexical import QueryError, matching, normal, parse, phrase_scores, top
-from docloom.session import written
+from docloom.operators.lexical import QueryError, normal, parse, scored_matches, top
 
 # The constant of rank fusion, how many candidates each step takes, and the boost of near folders.
 RRF_K = 60
@@ -104,8 +103,7 @@ def lexical_leg(index: Index, query: str, limit: int, among: DataFrame | None =
     key = index.key
     try:
         tree = normal(parse(query), index.stem, index.fold)
-        words = written(index.words(tree), "words")
-        scored = phrase_scores(words, key, tree, index.lengths).join(matching(words, key, tree), key, "left_semi")
+        scored = scored_matches(index.asked(tree), index.lengths, key, tree)
     except QueryError:
         scored = index.lengths.select(F.lit(0).alias("query_id"), key, F.lit(0.0).alias("score")).where(F.lit(False))
     if among is not None:
@@ -144,13 +142,15 @@ def search(
     asked = intent(query, spark) if keyword_prefilter and mode != "vec" else query
     among = chunks.where(F.col("chunk_strategy") == chunk_strategy) if chunk_strategy else chunks if prefilter and source_type else None
     lexical = lexical_leg(index, asked, limit, among) if mode != "vec" and asked.strip() else none
-    lexical, vector, queries = written(lexical.select("query_id", key, "rank"), "leg"), none, None
+    # a leg has at most 15 * top_k rows
+    held = lambda leg: spark.createDataFrame(leg.select(F.col("query_id").cast("int"), F.col(key).cast("long"), F.col("rank").cast("int")).collect(), none.schema)
+    lexical, vector, queries = held(lexical), none, None
     if mode != "fts" and qvec is not None and vectors is not None:
         queries = spark.createDataFrame([(0, [float(x) for x in qvec])], "query_id int, qvec array<double>")
         vector = nearest(queries, vectors, key, limit)
         if prefilter and source_type:
             vector = nearest(queries, vectors.join(chunks.select(key), key, "left_semi"), key, limit)
-        vector = written(vector.select("query_id", key, "rank"), "leg")
+        vector = held(vector)
         if chunk_strategy:
             vector = vector.join(chunks.where(F.col("chunk_strategy") == chunk_strategy), key, "left_semi")
             vector = vector.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
@@ -159,6 +159,8 @@ def search(
     merged = fuse(lexical, vector, key) if found_lexical and found_vector else single_leg(lexical if found_lexical else vector, key)
     kind = "hybrid" if found_lexical and found_vector else "fts" if found_lexical else "vec"
     window = merged.where(F.col("place") <= WINDOW_FACTOR * top_k)
+    rows = window.collect()  # 2 * top_k
+    window, chunks = spark.createDataFrame(rows, window.schema), chunks.where(F.col(key).isin([r[key] for r in rows]))
     if folders is not None and queries is not None:
         window = folder_boost(window, chunks, folders, queries, key)
     order = [F.desc(F.round("score", 12)), F.col("place")]
