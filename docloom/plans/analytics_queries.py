@@ -523,8 +523,9 @@ i AS (SELECT chunk_id, source_uri, line AS spot, split_part(unnest(regexp_extrac
 k AS (SELECT chunk_id, source_uri, line, trim(text) AS caption FROM l WHERE regexp_matches(text, '(?i)(?:Figure|Fig\\.|Table)\\s+\\d+'))
 SELECT source_uri, image, caption FROM i JOIN k USING (chunk_id, source_uri) WHERE line <> spot AND abs(line - spot) <= 3 QUALIFY row_number() OVER (PARTITION BY source_uri, image ORDER BY chunk_id, spot, line) = 1""",
     "image_pages": "WITH i AS (SELECT '/' || source || '.pdf' AS source_uri, unnest([(doc_id % 50) || '.png', (doc_id % 3) || '.gif']) AS image, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE (doc_id % 9 + 2)::INT END AS page FROM documents) SELECT source_uri, image, min(page) AS page FROM i GROUP BY ALL",
-    "page_images": """WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+') AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS dir FROM pages)
-SELECT page_id, 0 AS n, host || '/pic/a.png' AS url, 'A chart' AS alt FROM p UNION ALL SELECT page_id, 1, CASE WHEN length(dir) < 9 THEN host || '/' ELSE dir END || 'c.png', '' FROM p""",
+    "page_images": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS dir FROM pages),
+i AS (SELECT page_id, 0 AS at_, host || '/pic/a.png' AS url, 'A chart' AS alt FROM p UNION ALL SELECT page_id, 1, CASE WHEN length(dir) < 9 THEN host || '/' ELSE dir END || 'c.png', '' FROM p)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY at_) - 1)::INT AS n, url, alt FROM i WHERE NOT regexp_matches(url, '(?i)[/_-](logo|favicon|avatar|banner|sprite|spacer|badge)[/_.-]|[/_-]ads?[/_-]|[/_-](tracking[_-]?pixel|1x1)[/_.-]')""",
     "markdown_chunks": f"WITH {CHUNKS_SQL} SELECT source_uri, chunk_index, length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) AS n_chars FROM chunks",
     "section_chunks": """WITH d AS (SELECT '/' || source || '/' || doc_id || '.md' AS source_uri, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS whole, list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S')) AS ps FROM documents WHERE regexp_matches(text, '\\S')),
 c AS (SELECT source_uri, CASE WHEN length(whole) <= 8000 THEN [whole] ELSE list_reduce(list_transform(ps, lambda p: [p]), lambda a, b: CASE WHEN length(a[-1]) + 2 + length(b[1]) > 8000 THEN list_append(a, b[1]) ELSE list_append(a[1:len(a) - 1], a[-1] || chr(10) || chr(10) || b[1]) END) END AS parts FROM d)
