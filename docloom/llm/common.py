@@ -22,6 +22,9 @@ SCAN_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
+#: Byte table of letters: A-Z lowered, a-z and all bytes of other alphabets kept, the rest to spaces.
+LETTER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -152,3 +155,21 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     column = column.cast(pa.large_binary())
     for x in column:
         yield x.as_py() or b""
+
+
+def pieces(text: bytes, table: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text translated by a byte table that makes spaces of breaks, in pieces of about ``most`` bytes that end at a break."""
+    at = 0
+    while at < len(text):
+        part = text[at : at + most].translate(table)
+        at += len(part)
+        if at < len(text) and (cut := part.rfind(b" ")) >= 0:
+            at -= len(part) - cut - 1
+            part = part[:cut]
+        else:  # no break so far: on to the next one
+            while at < len(text) and not part.endswith(b" "):
+                more = text[at : at + most].translate(table)
+                cut = more.find(b" ")
+                more = more if cut < 0 else more[: cut + 1]
+                at, part = at + len(more), part + more
+        yield part

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import chat, decontamination, imatch, licenses, mixing, pii, quality, secrets, sharding, simhash
+from docloom.llm import chat, decontamination, divergence, imatch, licenses, mixing, pii, quality, secrets, sharding, simhash, spelling, topk
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op10_secrets": secrets.op10_secrets,
     "op9_quality": quality.op9_quality,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_topk": topk.op12_topk,
+    "op13_divergence": divergence.op13_divergence,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
@@ -27,4 +30,7 @@ ORACLES = {
     "op7_shard": sharding.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
     "op10_secrets": secrets.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op12_topk": topk.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }

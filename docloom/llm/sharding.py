@@ -122,8 +122,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_rows(marked, "doc_id", ("__crc",)).drop("__crc")
 
 
-def _sql() -> str:
-    """CRC-32 by half bytes, row numbers, and the permutation walked until no number lies outside."""
+def crc_sql(octets: str) -> str:
+    """DuckDB's CRC-32 of a list of two-digit hex strings, by half bytes."""
     table = [0]
     for i in range(1, 16):
         c = i
@@ -133,6 +133,11 @@ def _sql() -> str:
     step = "xor({t}[(xor({c}, {b}) & 15) + 1], {c} >> 4)"
     half = step.format(t="T", c="c", b="b")
     whole = step.format(t="T", c=f"({half})", b="(b >> 4)").replace("T", f"({table})")
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform({octets}, lambda x: ('0x' || x)::BIGINT)), lambda c, b: {whole}))"
+
+
+def _sql() -> str:
+    """CRC-32, row numbers, and the permutation walked until no number lies outside."""
     rounds, left, right = [], "l0", "r0"
     for i, (a, b) in enumerate(round_keys()):
         x = f"(({right} % {PRIME}) * {a} + {b}) % {PRIME}"
@@ -141,7 +146,7 @@ def _sql() -> str:
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
     list_filter(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' '), lambda x: x <> '') AS bytes FROM documents),
-e AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: ('0x' || x)::BIGINT)), lambda c, b: {whole})) AS text_crc32 FROM d),
+e AS (SELECT doc_id, size::BIGINT AS size, {crc_sql('bytes')} AS text_crc32 FROM d),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS i, count(*) OVER () AS n FROM e),
 h AS (SELECT i, n, greatest(1, ceil(log2(n) / 2))::BIGINT AS bits FROM o),
 walk AS (SELECT i, n, bits, i AS x, 0 AS steps FROM h UNION ALL
