@@ -1,8 +1,9 @@
 """The engine as one object: tables in a store, and the operations a user calls.
 
 Every change makes the next version of its tables; nothing is updated in place. Added rows
-are written by themselves, and removed ones only with the folders that held them. Results are
-DataFrames.
+are written by themselves, and removed ones only with the folders that held them. What ingests
+or replaces documents and figures changes all its tables together, or none if a step fails.
+Results are DataFrames.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from docloom.functions import html
 from docloom.functions.chunking import chunk_structured, chunk_windows, paged_markdown_chunks, paged_section_chunks, python_chunks
 from docloom.functions.text import content_hash
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import facts, figures, graph, ingest, mutate, retrieval, stats
+from docloom.operators import blockmax, facts, figures, graph, ingest, mutate, retrieval, stats
 from docloom.operators.index import Index, lengths, posting_lists
 from docloom.session import written
 from docloom.settings import Settings
@@ -69,6 +70,13 @@ class Engine:
         """Adds rows; only they are written."""
         self.store.append(name, self._shaped(name, df))
 
+    def _put(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        """Puts rows in place of those with the same keys; where there are none, only they are written."""
+        if self.table(name).join(rows.select(keys), keys, "left_semi").isEmpty():
+            self.append(name, rows)
+        else:
+            self.save(name, mutate.upserted(self.table(name), rows, keys))
+
     def schema(self) -> DataFrame:
         """(table, column, type) of all tables."""
         rows = [(t, f.name, f.dataType.simpleString()) for t, ddl in schemas.TABLES.items() for f in T.StructType.fromDDL(ddl)]
@@ -126,13 +134,22 @@ class Engine:
         new = written(self._shaped("chunks", ingest.numbered(new, order, self.next_id("chunks", "chunk_id"))), "chunks")
         if new.isEmpty():
             return new
+        blocked = self.store.current("posting_blocks") is not None or self.store.current("chunks") is None  # else compact_index makes them of all
         self.append("chunks", new)
-        self.append("postings", posting_lists(new, "chunk_id", "content").sortWithinPartitions("term", "chunk_id"))
-        self.append("chunk_lengths", lengths(new, "chunk_id", "content"))
+        found, sizes = written(posting_lists(new, "chunk_id", "content"), "postings"), written(lengths(new, "chunk_id", "content"), "lengths")
+        self.append("postings", found.sortWithinPartitions("term", "chunk_id"))
+        self.append("chunk_lengths", sizes)
+        if blocked:
+            self.append("posting_blocks", blockmax.block_rows(found, sizes, "chunk_id").sortWithinPartitions("term", "shard"))
+            self.append("index_totals", blockmax.totals(sizes))
         self.backfill_embed_space(self.active_space().name, new)
         return new
 
     def _ingested(self, docs: DataFrame, session_id: str | None) -> tuple[DataFrame, DataFrame]:
+        with self.store.changes():
+            return self._with_ingested(docs, session_id)
+
+    def _with_ingested(self, docs: DataFrame, session_id: str | None) -> tuple[DataFrame, DataFrame]:
         session_id = session_id or uuid.uuid4().hex
         if "pages" not in docs.columns:
             docs = docs.withColumn("pages", F.lit(None).cast("map<int,int>"))
@@ -174,7 +191,14 @@ class Engine:
         return self.ingest_documents(docs, session_id)
 
     def reingest(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:
-        """Documents in place of their earlier chunks; sessions stay, references are linked anew by name, similar edges of their papers are found anew."""
+        """Documents in place of their earlier chunks; sessions stay, references are linked anew by name, similar edges of their papers are found anew.
+
+        If a step fails, every table is as it was.
+        """
+        with self.store.changes():
+            return self._replaced(docs, session_id)
+
+    def _replaced(self, docs: DataFrame, session_id: str | None) -> DataFrame:
         uris = docs.select("source_uri").distinct()
         gone = written(self.table("chunks").join(uris, "source_uri", "left_semi"), "gone")
         at = gone.select("chunk_id", "source_uri")
@@ -207,6 +231,14 @@ class Engine:
 
     def drop_chunks(self, gone: DataFrame) -> None:
         """Removes chunks and what hangs on them; only folders and tables that name one are written anew."""
+        with self.store.changes():
+            self._dropped(gone)
+
+    def _dropped(self, gone: DataFrame) -> None:
+        if self.store.current("posting_blocks") is not None:
+            out = written(self.table("chunk_lengths").join(gone.select("chunk_id").distinct(), "chunk_id", "left_semi"), "gone")
+            self.append("gone_chunks", out.select("chunk_id"))
+            self.append("index_totals", blockmax.totals(out).selectExpr("-n AS n", "-words AS words"))
         for name in ("chunks", "chunk_vec", "chunk_sessions", "chunk_lengths", "entity_mentions"):
             self.store.delete(name, gone, "chunk_id")
         for name, column in (("papers", "abstract_chunk_id"), ("relationships", "evidence_chunk_id"), *((t, "chunk_id") for t in FACTS)):
@@ -217,10 +249,19 @@ class Engine:
             self.save("conclusions", mutate.cleaned_conclusions(self.table("conclusions"), gone))
 
     def compact_index(self) -> None:
-        """Writes the postings of chunks that are there in one folder, ordered by term."""
+        """Writes the postings of chunks that are there in one folder, ordered by term, and their blocks."""
+        with self.store.changes():
+            self._compacted()
+
+    def _compacted(self) -> None:
         live = self.table("postings").join(self.table("chunk_lengths").select("chunk_id"), "chunk_id", "left_semi")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.save("postings", live.repartitionByRange(parts, "term", "chunk_id").sortWithinPartitions("term", "chunk_id"))
+        sizes = self.table("chunk_lengths")
+        blocks = blockmax.block_rows(self.table("postings"), sizes, "chunk_id")
+        self.save("posting_blocks", blocks.repartitionByRange(parts, "term", "shard").sortWithinPartitions("term", "shard"))
+        self.save("index_totals", blockmax.totals(sizes))
+        self.save("gone_chunks", self.table("gone_chunks").limit(0))
 
     def list_chunks(self, after: int = 0, limit: int = 100, source_uri: str | None = None) -> DataFrame:
         """The next chunks by key, behind the last one that was read."""
@@ -251,7 +292,9 @@ class Engine:
         return [float(x) for x in df.select((int8(shaped) if space.element_type == "int8" else shaped).alias("v")).first().v or [0.0] * space.dim]
 
     def index(self) -> Index:
-        return Index(self.table("postings"), self.table("chunk_lengths"), "chunk_id")
+        gone = self.table("gone_chunks")
+        parts = (self.table("posting_blocks"), self.table("index_totals"), None if gone.isEmpty() else gone) if self.store.current("posting_blocks") is not None else ()
+        return Index(self.table("postings"), self.table("chunk_lengths"), "chunk_id", True, True, *parts)
 
     def search_index(
         self, query: str, top_k: int = 10, mode: str = "hybrid", source_type: str | None = None, chunk_strategy: str | None = None, rerank: bool = False,
@@ -275,7 +318,7 @@ class Engine:
         recent = known.where(F.col("detected_at") > F.current_timestamp() - F.expr("INTERVAL 1 HOUR"))
         fresh = miss.join(recent, [miss[k].eqNullSafe(recent[k]) for k in misses.KEYS], "left_anti")
         if not fresh.isEmpty():
-            self.save("prediction_errors", known.unionByName(fresh.withColumn("id", F.lit(self.next_id("prediction_errors"))), allowMissingColumns=True))
+            self.append("prediction_errors", fresh.withColumn("id", F.lit(self.next_id("prediction_errors"))))
 
     def list_prediction_errors(self, since: str | None = None, unresolved: bool = True) -> DataFrame:
         return mutate.open_misses(self.table("prediction_errors"), since, unresolved)
@@ -346,8 +389,10 @@ class Engine:
     def add_relationship(self, source: int, target: int, relation_type: str, confidence: float = 1.0, evidence_chunk_id: int | None = None) -> None:
         if relation_type not in graph.RELATIONS:
             raise ValueError(f"a relationship is one of {graph.RELATIONS}")
+        if not 0 <= confidence <= 1:
+            raise ValueError("confidence must lie between 0 and 1")
         row = self.spark.createDataFrame([(source, target, relation_type, confidence, evidence_chunk_id)], ", ".join(schemas.TABLES["relationships"].split(", ")[:-1]))
-        self.save("relationships", mutate.with_relationship(self.table("relationships"), row.withColumn("created_at", F.current_timestamp())))
+        self._put("relationships", row.withColumn("created_at", F.current_timestamp()), ["source_paper_id", "target_paper_id", "relation_type"])
 
     def get_relationships(self, paper_id: int, relation_type: str | None = None, direction: str = "both") -> DataFrame:
         found = graph.both_directions(self.table("relationships")).where(F.col("paper_id") == paper_id)
@@ -426,7 +471,7 @@ class Engine:
 
     def _record(self, name: str, title: str, paper_id: int, description: str | None, source: str = "user") -> None:
         row = self.spark.createDataFrame([(self.next_id(name), title, paper_id, description, source)], "id long, name string, paper_id long, description string, source string")
-        self.save(name, mutate.upserted(self.table(name), row, ["name", "paper_id"]))
+        self._put(name, row, ["name", "paper_id"])
 
     def record_method(self, name: str, paper_id: int, description: str | None = None) -> None:
         self._record("methods", name, paper_id, description)
@@ -515,8 +560,9 @@ class Engine:
         )
         new = written(new, "figures")
         old = self.table("chunks").where((F.col("source_uri") == source.path) & (F.col("source_type") == "figure"))
-        self.drop_chunks(written(old.where(figures.in_pages("chunk_index", pages)) if pages else old, "old"))
-        return self._add_chunks(new, ["chunk_index"])
+        with self.store.changes():
+            self.drop_chunks(written(old.where(figures.in_pages("chunk_index", pages)) if pages else old, "old"))
+            return self._add_chunks(new, ["chunk_index"])
 
     # --- embedding spaces ---
 

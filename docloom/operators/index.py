@@ -2,8 +2,9 @@
 
 The index is built once and read by every search. A search reads the postings of its words
 alone: they are ordered by term, so Parquet statistics leave all but a few row groups unread.
-How many chunks a word is in is counted among those, and only the number and length of all
-chunks come from the lengths, so adding chunks means adding rows.
+How many chunks a word is in is counted among those. An index with block-max rows and totals
+answers queries of words by a walk that leaves blocks unread; without them, and for phrases,
+the number and length of all chunks come from the lengths. Adding chunks means adding rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import terms, tokens
+from docloom.operators import blockmax
 from docloom.operators.lexical import Node, Phrase, impact, phrases, top
 
 
@@ -47,13 +49,20 @@ def lengths(chunks: DataFrame, key: str, text: str, fold: bool = True) -> DataFr
 
 @dataclass
 class Index:
-    """Postings (term, key, positions) and lengths (key, len) of chunks; keys without a length are gone."""
+    """Postings (term, key, positions) and lengths (key, len) of chunks; keys without a length are gone.
+
+    ``blocks``, ``totals`` and ``gone`` are those of ``blockmax``: rows of postings in blocks,
+    (n, words) to be summed, and keys whose rows count no more.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     key: str
     stem: bool = True
     fold: bool = True
+    blocks: DataFrame | None = None
+    totals: DataFrame | None = None
+    gone: DataFrame | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame, key: str, text: str = "content", stem: bool = True, fold: bool = True) -> Index:
@@ -66,10 +75,16 @@ class Index:
         ordered = self.postings.repartitionByRange(parts, "term", self.key).sortWithinPartitions("term", self.key)
         ordered.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
+        spark = self.postings.sparkSession
+        written, sizes = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        rows = blockmax.block_rows(written, sizes, self.key).repartitionByRange(parts, "term", "shard").sortWithinPartitions("term", "shard")
+        rows.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/blocks")
+        blockmax.totals(sizes).write.parquet(f"{path}/totals")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, key: str, stem: bool = True, fold: bool = True) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), key, stem, fold)
+        postings, sizes = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        return cls(postings, sizes, key, stem, fold, spark.read.schema(blockmax.ROWS).parquet(f"{path}/blocks"), spark.read.schema("n long, words long").parquet(f"{path}/totals"))
 
     def asked(self, tree: Phrase | Node) -> DataFrame:
         """The postings of a query's words; the scan takes the filter."""
@@ -80,16 +95,26 @@ class Index:
             found = found | F.col("term").startswith(start)
         return self.postings.where(found)
 
-    def best(self, queries: DataFrame, k: int, most: int = 200) -> DataFrame:
+    def best(self, queries: DataFrame, k: int, most: int = 200, every: bool = False) -> DataFrame:
         """(query_id, key, score, rank): the k best chunks by BM25 for the words (query_id, term) of any number of queries.
 
-        Few words become a filter that the scan takes; more are joined.
+        Few words become a filter that the scan takes; more are joined. ``every`` asks for
+        chunks that have all words of a query.
         """
-        wanted = queries.select("query_id", F.explode(terms("term", self.stem, self.fold)).alias("term")).distinct()
+        return self.best_of(queries.select("query_id", F.explode(terms("term", self.stem, self.fold)).alias("term")).distinct(), k, most, every)
+
+    def best_of(self, wanted: DataFrame, k: int, most: int = 200, every: bool = False) -> DataFrame:
+        """The same for distinct words as the index has them."""
         known = [r.term for r in wanted.select("term").distinct().limit(most + 1).collect()]
-        hits = self.postings.where(F.col("term").isin(known)) if len(known) <= most else self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+        few = F.col("term").isin(known) if len(known) <= most else None
+        if self.blocks is not None:
+            return blockmax.best(self.blocks, self.totals, wanted, self.key, k, few, self.gone, every)
+        hits = self.postings.where(few) if few is not None else self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
         hits = hits.select("term", self.key, F.size("positions").alias("tf")).join(self.lengths, self.key)
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         whole = F.broadcast(self.lengths.agg(F.count("*").alias("n"), F.sum("len").alias("words")))  # one row
         scored = hits.join(df, "term").crossJoin(whole).select("term", self.key, impact().alias("impact")).join(wanted, "term")
-        return top(scored.groupBy("query_id", self.key).agg(F.sum("impact").alias("score")), self.key, k)
+        summed = scored.groupBy("query_id", self.key).agg(F.sum("impact").alias("score"), F.count("*").alias("found"))
+        if every:
+            summed = summed.join(wanted.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id").where("found = asked")
+        return top(summed.select("query_id", self.key, "score"), self.key, k)

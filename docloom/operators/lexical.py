@@ -221,6 +221,15 @@ def phrases(tree: Phrase | Node, scoring: bool = False) -> list[Phrase]:
     return [p for part in parts for p in phrases(part, scoring)]
 
 
+def plain_words(tree: Phrase | Node) -> tuple[list[str], bool] | None:
+    """(words, whether all are asked for) of a query of distinct words joined by OR or by AND; None for any other."""
+    parts = [tree] if isinstance(tree, Phrase) else tree.parts if tree.op in ("or", "and") else []
+    words = [p.words[0] for p in parts if isinstance(p, Phrase) and len(p.words) == 1 and not p.prefix]
+    if not words or len(words) < len(parts) or len(set(words)) < len(words):
+        return None
+    return words, isinstance(tree, Node) and tree.op == "and"
+
+
 def _spans(words: dict[str, list[int]], phrase: Phrase) -> list[tuple[int, int]]:
     """(first, last) of the places of a phrase in a chunk's words."""
     if not phrase.words:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import keywords, match_query
 from docloom.functions.vectors import cosine, l2
 from docloom.operators.index import Index
-from docloom.operators.lexical import QueryError, normal, parse, scored_matches, top
+from docloom.operators.lexical import QueryError, normal, parse, plain_words, scored_matches, top
 
 # The constant of rank fusion, how many candidates each step takes, and the boost of near folders.
 RRF_K = 60
@@ -99,10 +99,17 @@ def hybrid(index: Index, vectors: DataFrame, terms: DataFrame, qvecs: DataFrame,
 
 
 def lexical_leg(index: Index, query: str, limit: int, among: DataFrame | None = None) -> DataFrame:
-    """Ranked matches of a boolean query, of those in ``among``; a query that can't be parsed finds nothing."""
+    """Ranked matches of a boolean query, of those in ``among``; a query that can't be parsed finds nothing.
+
+    Words joined by OR or AND are a walk over blocks of postings, if the index has them;
+    phrases, prefixes and the other operators read the positions.
+    """
     key = index.key
     try:
         tree = normal(parse(query), index.stem, index.fold)
+        if among is None and index.blocks is not None and (plain := plain_words(tree)):
+            wanted = index.postings.sparkSession.createDataFrame([(0, w) for w in plain[0]], "query_id int, term string")
+            return index.best_of(wanted, limit, every=plain[1])
         scored = scored_matches(index.asked(tree), index.lengths, key, tree)
     except QueryError:
         scored = index.lengths.select(F.lit(0).alias("query_id"), key, F.lit(0.0).alias("score")).where(F.lit(False))

@@ -149,6 +149,12 @@ def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("chunk_id", F.round("score", 6).alias("score"), "place")
 
 
+def indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of every benchmark text as a query: the ten best documents of each by a walk over blocks of postings."""
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.col("text").alias("term"))
+    return _index(spark, sf).best(queries, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def batch_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark text as a query: five intent words and a vector each, in one pass."""
     terms = keywords(spark, sf).select(F.col("query_id").cast("int").alias("query_id"), F.col("keyword").alias("term"))
@@ -241,7 +247,7 @@ def match_query(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "chunk_text": chunk_text, "content_dedup": content_dedup, "token_stats": token_stats, "bm25_topk": bm25_topk, "bm25_stemmed": bm25_stemmed,
     "boolean_match": boolean_match, "l2_topk": l2_topk, "cosine_topk": cosine_topk, "matryoshka_topk": matryoshka_topk, "int8_topk": int8_topk,
-    "rrf_hybrid": rrf_hybrid, "indexed_search": indexed_search, "batch_search": batch_search, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
+    "rrf_hybrid": rrf_hybrid, "indexed_search": indexed_search, "indexed_topk": indexed_topk, "batch_search": batch_search, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
     "full_search": full_search, "stemmed_search": stemmed_search, "keywords": keywords, "match_query": match_query,
 }
 ORACLES = {
@@ -256,6 +262,8 @@ ORACLES = {
     "int8_topk": _knn_sql("list_transform(" + _unit("{0}") + ", lambda x: floor(least(greatest((x + 1) / 2 * 255, 0.0), 255.0) - 128)::TINYINT)"),
     "rrf_hybrid": f"WITH {_FUSED} SELECT g.chunk_id, round(score, 6) AS score, place, '/' || source || '/' || doc_id || '.md' AS source_uri FROM g JOIN documents ON doc_id = chunk_id WHERE place <= 10",
     "indexed_search": f"WITH {_FUSED} SELECT chunk_id, round(score, 6) AS score, place FROM g WHERE place <= 10",
+    "indexed_topk": "WITH " + _BM25.replace(_Q, "q AS (SELECT DISTINCT item_id::INT AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark)") + """
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm QUALIFY rank <= 10""",
     "batch_search": f"""WITH kw AS ({_KEYWORDS_SQL}), {_BM25.replace(_Q, "q AS (SELECT query_id::INT AS query_id, keyword AS term FROM kw)")},
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 30),
 sv AS (SELECT q.vec_id::INT AS query_id, e.vec_id AS chunk_id, round({_l2('e.embedding', 'q.embedding')}, 9) AS distance FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),

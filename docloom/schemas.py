@@ -5,6 +5,9 @@ TABLES = {
     "chunk_vec": "space string, chunk_id long, embedding array<float>",
     "postings": "term string, chunk_id long, positions array<int>",
     "chunk_lengths": "chunk_id long, len int",
+    "posting_blocks": "term string, shard long, n int, places binary, tfs binary, lens binary, ends binary, edge_tf binary, edge_len binary, edges binary",
+    "index_totals": "n long, words long",
+    "gone_chunks": "chunk_id long",
     "chunk_sessions": "chunk_id long, session_id string",
     "papers": "paper_id long, title string, authors array<string>, year int, venue string, doi string, bibtex string, abstract_chunk_id long, added_at timestamp",
     "sources": "source_uri string, file_hash string, ingested_at timestamp",
