@@ -404,9 +404,10 @@ class Engine:
 
     def scan_relationships(self) -> DataFrame:
         """Similar edges between all papers, found anew."""
-        pairs = written(graph.pair_similarity(self._paper_vectors()), "pairs")
-        self.save("relationships", graph.refreshed_edges(self.table("relationships"), pairs, self.settings.auto_relate_propose_threshold))
-        return graph.similar_edges(pairs, self.settings.auto_relate_propose_threshold)
+        least, vectors = self.settings.auto_relate_propose_threshold, self._paper_vectors()
+        pairs = written(graph.similar_pairs(vectors, least)[0], "pairs")
+        self.save("relationships", graph.rescanned_edges(self.table("relationships"), pairs, vectors, least))
+        return graph.similar_edges(pairs, least)
 
     def relate(self, papers: DataFrame) -> DataFrame:
         """Similar edges between these papers (paper_id) and all others, found anew."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import keywords, match_query
 from docloom.functions.vectors import cosine, l2
+from docloom.operators import cells
 from docloom.operators.index import Index
 from docloom.operators.lexical import QueryError, normal, parse, plain_words, scored_matches, top
 
@@ -23,28 +23,23 @@ BOOST, BOOST_FOLDERS, BOOST_WITHIN, BOOST_LEAST = 1.15, 5, 2, 1e-6
 RERANK_TOP = 20
 MODES = ("hybrid", "fts", "vec")
 TYPES = ("pdf", "markdown", "code", "web", "note", "figure")
-#: Queries of a batch go to every task up to this many; a larger batch is cut into blocks.
+#: Queries of a batch go to every task up to this many.
 QUERY_BLOCK = 1000
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, metric: str = "l2", digits: int = 9) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, metric: str = "l2", digits: int = 9, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, distance, rank): exact k nearest vectors of each query.
 
-    ``queries`` has (query_id, qvec) and any number of rows. Blocks of about QUERY_BLOCK are
-    compared with all vectors, one pass each; ranks are limited within partitions before the
-    shuffle.
+    ``queries`` has (query_id, qvec) and any number of rows. Up to ``block`` of them go to every
+    task and are compared with all vectors; ranks are limited within partitions before the
+    shuffle. More go through ``cells``, where a query reads only the vectors near it.
     """
-    measure = l2("embedding", "qvec") if metric == "l2" else 1 - cosine("embedding", "qvec")
     queries = queries.select("query_id", "qvec")
-    n = -(-queries.count() // QUERY_BLOCK)
-    # a query's rows are all in one block, so blocks can be ranked by themselves
-    blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
-
-    def ranked(block: DataFrame) -> DataFrame:
-        compared = vectors.select(key, "embedding").join(F.broadcast(block)).select("query_id", key, measure.alias("distance"))
-        return top(compared.where("distance is not null"), key, k, digits, "distance", False)
-
-    return reduce(DataFrame.unionByName, map(ranked, blocks))
+    if queries.limit(block + 1).count() > block:
+        return cells.nearest(queries, vectors, key, k, metric, digits)
+    measure = l2("embedding", "qvec") if metric == "l2" else 1 - cosine("embedding", "qvec")
+    compared = vectors.select(key, "embedding").join(F.broadcast(queries)).select("query_id", key, measure.alias("distance"))
+    return top(compared.where("distance is not null"), key, k, digits, "distance", False)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, key: str, k: int = RRF_K) -> DataFrame:

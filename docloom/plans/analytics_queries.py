@@ -116,6 +116,24 @@ t AS (SELECT *, row_number() OVER (PARTITION BY paper_a, paper_b ORDER BY c DESC
 pairs AS (SELECT paper_a, paper_b, avg(c) AS score, min_by(ca, p) AS evidence_chunk_id, count(*) AS n FROM t GROUP BY ALL)"""
 
 
+def bounded_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar edges at the usual threshold between single vectors and their revisions, which lack the last 16 components."""
+    rows = views.vectors(spark, sf).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    short = F.transform("embedding", lambda x, i: F.when(i < 48, x).otherwise(0.0))
+    revised = rows.select((F.col("chunk_id") + REVISED).alias("chunk_id"), short.alias("embedding"))
+    papers = rows.unionByName(revised).withColumn("paper_id", F.col("chunk_id"))
+    found = graph.similar_edges(graph.similar_pairs(papers)[0])
+    return found.select("source_paper_id", "target_paper_id", "relation_type", F.round("confidence", 6).alias("confidence"), "evidence_chunk_id")
+
+
+REVISED = 1_000_000_000
+_REVISED_SQL = f"""WITH p AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS v FROM embeddings
+  UNION ALL SELECT vec_id + {REVISED}, list_transform(embedding, lambda x, i: CASE WHEN i <= 48 THEN x::DOUBLE ELSE 0.0 END) FROM embeddings),
+s AS (SELECT a.id AS source_paper_id, b.id AS target_paper_id, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM p a JOIN p b ON a.id < b.id)
+SELECT source_paper_id, target_paper_id, 'similar' AS relation_type, round(least(score, 1.0), 6) AS confidence, source_paper_id AS evidence_chunk_id
+FROM s WHERE score >= {graph.PROPOSE}"""
+
+
 def _trade(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between nations: who supplies whom."""
     s = table(spark, sf, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey AS source_paper_id")
@@ -460,7 +478,7 @@ def text_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     folder_hash, folder_summary, stale_folders, index_status, group_counts, recent_sources, sources_distinct, cooccurrence, session_links_union, backfill_anti_join,
-    duplicate_files, new_chunks, source_types, pair_similarity, similar_edges, edge_both_directions, relationships_titles, supersession_chain, chain_with_cycle, doi_unmatched,
+    duplicate_files, new_chunks, source_types, pair_similarity, similar_edges, bounded_edges, edge_both_directions, relationships_titles, supersession_chain, chain_with_cycle, doi_unmatched,
     author_year_citations, title_word_ratio, suggest_relationships, bibtex_key_suffix, bibtex_entries, space_overlap, batch_space_stats, storage_ratio, shared_datasets,
     metrics_view, metric_comparison, entity_mentions_fold, canonical_entities, extraction_estimate, upsert_latest, conclusions_filter, json_reference_cleanup, job_queue,
     space_progress, miss_log_hourly, miss_detection, gap_clusters, figure_pages, image_captions, image_pages, page_documents, page_images, python_source, text_cleaning,
@@ -481,6 +499,7 @@ ORACLES = {
     "new_chunks": f"WITH {CHUNKS_SQL}, v AS (SELECT '/chat/' || conv_id || '-' || turn AS source_uri, text, unnest(range(0, CASE WHEN length(text) <= 1000 THEN 1 ELSE ceil((length(text) - 1000) / 800.0)::BIGINT + 1 END)) AS w FROM conversations WHERE text IS NOT NULL), x AS (SELECT source_uri, w, substr(text, w * 800 + 1, 1000) AS content FROM v), y AS (SELECT source_uri, (row_number() OVER (PARTITION BY source_uri ORDER BY w) - 1)::INT AS chunk_index, substr(sha256(content), 1, 16) AS content_hash FROM x WHERE regexp_matches(content, '\\S')) SELECT * FROM y WHERE content_hash NOT IN (SELECT content_hash FROM chunks) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY source_uri, chunk_index) = 1",
     "source_types": f"WITH n AS (SELECT '/web/' || page_id || '.HTML' AS path FROM pages UNION ALL SELECT '/' || source || '/' || doc_id || ({list(_EXTENSIONS)})[doc_id % {len(_EXTENSIONS)} + 1] FROM documents), p AS (SELECT path, CASE WHEN path ILIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(path), '[.](py|rs|cpp|c|h|hpp|toml|yaml|yml|json)$') THEN 'code' ELSE 'markdown' END AS source_type FROM n) SELECT *, CASE WHEN source_type = 'pdf' THEN 'semantic' ELSE 'mechanical' END AS chunk_strategy FROM p",
     "pair_similarity": f"WITH {_PAIRS} SELECT paper_a, paper_b, round(score, 6) AS score, evidence_chunk_id, n FROM pairs",
+    "bounded_edges": _REVISED_SQL,
     "similar_edges": f"WITH {_PAIRS} SELECT paper_a AS source_paper_id, paper_b AS target_paper_id, 'similar' AS relation_type, round(least(score, 1.0), 6) AS confidence, evidence_chunk_id FROM pairs WHERE score >= 0.3",
     "edge_both_directions": f"WITH {_TRADE} SELECT source_paper_id AS paper_id, target_paper_id AS other_paper_id, 'out' AS direction, relation_type, confidence FROM e UNION ALL SELECT target_paper_id, source_paper_id, 'in', relation_type, confidence FROM e",
     "relationships_titles": f"WITH {_TRADE} SELECT source_paper_id, target_paper_id, s.n_name AS source_title, t.n_name AS target_title, confidence FROM e JOIN nation s ON s.n_nationkey = source_paper_id JOIN nation t ON t.n_nationkey = target_paper_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as text_functions
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import ingest, lexical, retrieval
+from docloom.operators import cells, ingest, lexical, retrieval
 from docloom.operators.index import Index
 from docloom.plans import views
 from docloom.plans.views import CHUNKS_SQL, WORDS_SQL
@@ -79,6 +79,14 @@ def _knn(spark: SparkSession, sf: str, k: int, metric: str, shape=lambda c: F.co
     return retrieval.nearest(queries, vectors, "chunk_id", k, metric).select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of all vectors for every one whose id is divisible by 100, by cells around pivots."""
+    vectors = views.vectors(spark, sf)
+    queries = vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").cast("int").alias("query_id"), F.col("embedding").alias("qvec"))
+    found = cells.MetricIndex.of(vectors, "chunk_id").nearest(queries, 10)
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 def l2_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf, 10, "l2")
 
@@ -95,10 +103,10 @@ def int8_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf, 10, "l2", lambda c: int8(normalised(c)))
 
 
-def _knn_sql(shape: str = "{}", metric: str = "l2", k: int = 10) -> str:
+def _knn_sql(shape: str = "{}", metric: str = "l2", k: int = 10, ids: str = "chunk_id IN (0, 7, 42)") -> str:
     distance = _l2("v", "qv") if metric == "l2" else f"1 - {_dot('v', 'qv')} / (sqrt({_dot('v', 'v')}) * sqrt({_dot('qv', 'qv')}))"
     return f"""WITH e AS (SELECT vec_id AS chunk_id, {shape.format('embedding')} AS v FROM embeddings),
-q AS (SELECT chunk_id::INT AS query_id, v AS qv FROM e WHERE chunk_id IN (0, 7, 42)),
+q AS (SELECT chunk_id::INT AS query_id, v AS qv FROM e WHERE {ids}),
 s AS (SELECT query_id, chunk_id, round({distance}, 9) AS distance FROM e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank FROM s)
 SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= {k}"""
@@ -246,7 +254,7 @@ def match_query(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "chunk_text": chunk_text, "content_dedup": content_dedup, "token_stats": token_stats, "bm25_topk": bm25_topk, "bm25_stemmed": bm25_stemmed,
-    "boolean_match": boolean_match, "l2_topk": l2_topk, "cosine_topk": cosine_topk, "matryoshka_topk": matryoshka_topk, "int8_topk": int8_topk,
+    "boolean_match": boolean_match, "knn_indexed": knn_indexed, "l2_topk": l2_topk, "cosine_topk": cosine_topk, "matryoshka_topk": matryoshka_topk, "int8_topk": int8_topk,
     "rrf_hybrid": rrf_hybrid, "indexed_search": indexed_search, "indexed_topk": indexed_topk, "batch_search": batch_search, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
     "full_search": full_search, "stemmed_search": stemmed_search, "keywords": keywords, "match_query": match_query,
 }
@@ -257,6 +265,7 @@ ORACLES = {
     "bm25_topk": f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bm) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20",
     "boolean_match": "WITH t AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents) SELECT chunk_id FROM t WHERE (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') OR list_contains(w, 'und')) AND NOT list_contains(w, 'was')",
     "l2_topk": _knn_sql(),
+    "knn_indexed": _knn_sql(ids="chunk_id % 100 = 0"),
     "cosine_topk": _knn_sql(metric="cosine"),
     "matryoshka_topk": _knn_sql(_unit("list_slice({0}, 1, 16)").replace("{0}", "{0}")),
     "int8_topk": _knn_sql("list_transform(" + _unit("{0}") + ", lambda x: floor(least(greatest((x + 1) / 2 * 255, 0.0), 255.0) - 128)::TINYINT)"),
