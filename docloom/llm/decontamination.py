@@ -27,7 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -218,22 +218,38 @@ def search_shard(texts: list[bytes], block: Phrases, had: list[tuple[list, list]
     return n, spans, [sorted(x) for x in named]
 
 
-def pieces(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """(item_id, at, words) of the items: runs of at most ``block_words`` words and a window, which hold every window once or more."""
+def pieces(benchmark: DataFrame, window: int, words: int) -> DataFrame:
+    """(item_id, words) of the items: distinct runs of at most ``words`` words and a window, which hold every window once or more."""
     split = F.filter(F.split(ascii_lower("text"), WORD_BREAKS), lambda w: w != "")
     items = benchmark.select("item_id", split.alias("w")).where(F.size("w") > 0)
-    starts = F.expr(f"sequence(0, greatest(0, size(w) - {window}), {block_words})")
+    starts = F.expr(f"sequence(0, greatest(0, size(w) - {window}), {words})")
     each = items.select("item_id", "w", F.explode(starts).alias("at"))
-    return each.select("item_id", "at", F.slice("w", F.col("at") + 1, F.lit(block_words + window - 1)).alias("words"))
+    return each.select("item_id", F.slice("w", F.col("at") + 1, F.lit(words + window - 1)).alias("words")).distinct()
+
+
+def blocked(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """(item_id, words, block) of the benchmark's pieces and how many blocks there are.
+
+    Blocks are cut where the words counted so far pass ``block_words``, so each has at most
+    one piece more, whatever the ids. Pieces are counted in buckets by their hash.
+    """
+    held = written(pieces(benchmark, window, max(window, block_words // 16)).withColumn("n", F.size("words")), "pieces")
+    blocks = int(-(-(held.agg(F.sum("n").alias("n")).first().n or 0) // block_words)) or 1
+    if blocks == 1:
+        return held.select("item_id", "words", F.lit(0).cast("long").alias("block")), 1
+    held = written(held.withColumn("bucket", F.pmod(F.xxhash64("item_id", "words"), F.lit(4 * blocks))), "pieces")
+    sizes = held.groupBy("bucket").agg(F.sum("n").alias("m"))
+    starts = sizes.select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("start"))  # a row for each bucket
+    running = F.sum("n").over(Window.partitionBy("bucket").orderBy("words", "item_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = held.withColumn("before", running).join(starts, "bucket")
+    placed = placed.select("item_id", "words", F.floor((F.col("start") + F.col("before")) / block_words).alias("block"))
+    placed = written(placed.repartitionByRange("block").sortWithinPartitions("block"), "pieces")  # a block is read alone
+    return placed, placed.agg(F.max("block").alias("last")).first().last + 1
 
 
 def read_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
     """The phrases in blocks of about ``block_words`` words, one after the other."""
-    held = written(pieces(benchmark, window, block_words), "pieces")
-    blocks = int(-(-(held.agg(F.sum(F.size("words")).alias("n")).first().n or 0) // block_words)) or 1
-    if blocks > 1:
-        held = held.withColumn("block", F.pmod(F.xxhash64("item_id", "at"), F.lit(blocks)).cast("int"))
-        held = written(held.repartitionByRange("block").sortWithinPartitions("block"), "pieces")  # a block is read alone
+    held, blocks = blocked(benchmark, window, block_words)
     for i in range(blocks):
         part = held.where(F.col("block") == i) if blocks > 1 else held
         yield Phrases([(r["item_id"], " ".join(r["words"])) for r in part.select("item_id", "words").collect()], window)

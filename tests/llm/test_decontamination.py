@@ -94,6 +94,20 @@ def test_an_item_longer_than_a_block(spark):
         assert (rows[i].n_words, sum(s.end - s.start for s in rows[i].spans)) == (n, hit)
 
 
+def test_blocks_of_items_without_or_with_equal_ids(spark):
+    """10,000 items without an id and as many of one id spread over blocks of counted words; equal ones are dropped."""
+    from pyspark.sql import functions as F
+
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(5000)).cast("string")) for i in range(12)])
+    some = spark.range(10_000).select(text.alias("text"))
+    benchmark = some.select(F.lit(None).cast("long").alias("item_id"), "text").unionByName(some.select(F.lit(7).cast("long").alias("item_id"), "text"))
+    benchmark = benchmark.unionByName(benchmark.limit(5000)).unionByName(spark.range(500).select(F.lit(7).cast("long").alias("item_id"), F.lit("the same words every time").alias("text")))
+    held, blocks = D.blocked(benchmark, block_words=20_000)
+    sizes = {r.block: (r.n, r.m) for r in held.groupBy("block").agg(F.sum(F.size("words")).alias("n"), F.count("*").alias("m")).collect()}
+    assert sum(m for _, m in sizes.values()) == 20_001
+    assert set(sizes) == set(range(blocks)) and blocks == 12 and max(n for n, _ in sizes.values()) < 1.1 * 20_000
+
+
 def test_cleaned_texts_hold_no_window(spark):
     passage = "alpha beta gamma delta one two three four five six seven"
     docs = spark.createDataFrame([(1, f"Keep this. {passage.title()}! And that."), (2, "clean text"), (3, None)], "doc_id long, text string")
