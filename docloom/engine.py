@@ -28,7 +28,7 @@ from docloom.operators.index import Index, lengths, posting_lists
 from docloom.session import written
 from docloom.settings import Settings
 from docloom.sources import bibtex, files
-from docloom.sources.providers import Describer, Embedder, HashEmbedder, OverlapReranker, PdfReader, Recogniser, Reranker, described, embedded, recognised, reranked
+from docloom.sources.providers import Describer, Embedder, HashEmbedder, OverlapReranker, PdfReader, Recogniser, Renderer, Reranker, described, embedded, recognised, reranked
 from docloom.sources.snapshots import Store
 from docloom.streaming import misses
 
@@ -41,11 +41,12 @@ class Engine:
     def __init__(
         self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None,
         model: Callable[[str], str] | None = None, describer: Describer | None = None, recogniser: Recogniser | None = None, pdf_reader: PdfReader | None = None,
+        renderer: Renderer | None = None,
     ):
         self.spark, self.store = spark, Store(spark, folder)
         self.settings = (settings or Settings()).changed(**{r.key: r.value for r in self.table("config").collect()})  # a row for each setting
         self.embedder, self.reranker, self.model = embedder or HashEmbedder(self.settings.embed_dim), reranker or OverlapReranker(), model
-        self.describer, self.recogniser, self.pdf_reader = describer, recogniser, pdf_reader
+        self.describer, self.recogniser, self.pdf_reader, self.renderer = describer, recogniser, pdf_reader, renderer
         if self.store.current("embed_spaces") is None:
             spaces = mutate.space_created(self.table("embed_spaces"), DEFAULT_SPACE, self.settings.embed_model, self.settings.embed_provider, self.embedder.dim)
             self.save("embed_spaces", spaces.withColumn("status", F.lit("active")))
@@ -186,8 +187,8 @@ class Engine:
         return ingest.ingest_report(chunked, new, found.select("source_uri", F.col("file_hash").alias("content_hash")), self.table("paper_paths"))
 
     def ingest_pages(self, pages: DataFrame, session_id: str | None = None) -> DataFrame:
-        """Web pages (page_id, url, html)."""
-        docs = html.pages_to_documents(pages).select("source_uri", F.lit("web").alias("source_type"), "text")
+        """Web pages (page_id, url, html) by their main text; short ones are rendered, if there is a renderer."""
+        docs = html.pages_to_documents(pages, renderer=self.renderer).select("source_uri", F.lit("web").alias("source_type"), "text")
         return self.ingest_documents(docs, session_id)
 
     def reingest(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:

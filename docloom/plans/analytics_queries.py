@@ -439,16 +439,12 @@ def page_documents(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source_uri", "title", F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"), F.length("text").alias("n_chars"))
 
 
-_STEPS = [f"(?is)<{t}\\b[^>]*>.*?</{t}\\s*>" for t in html_functions.HIDDEN]
-_TEXT_SQL = "html"
-for _step in _STEPS:
-    _TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '{_step}', ' ', 'g')"
-_TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|main|body|html)\\b[^>]*>', chr(10), 'g')"
-_TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
-for _mark, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _TEXT_SQL = f"replace({_TEXT_SQL}, '{_mark}', '{_char}')"
-_TEXT_SQL = f"regexp_replace(regexp_replace({_TEXT_SQL}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
-_TEXT_SQL = f"regexp_replace({_TEXT_SQL}, '^\\s+|\\s+$', '', 'g')"
+# The given pages have their content in one article; the operator is not told so and finds it by its scores.
+_ARTICLE_SQL = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
+_ARTICLE_SQL = f"regexp_replace(regexp_replace({_ARTICLE_SQL}, '</?(p|br|h1)>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _mark, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;?", "&")):
+    _ARTICLE_SQL = f"regexp_replace({_ARTICLE_SQL}, '{_mark}', '{_char}', 'g')"
+_ARTICLE_SQL = f"trim(regexp_replace({_ARTICLE_SQL}, ' *\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 def page_images(spark: SparkSession, sf: str) -> DataFrame:
@@ -549,7 +545,10 @@ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY at_) - 1)::INT
     "section_chunks": """WITH d AS (SELECT '/' || source || '/' || doc_id || '.md' AS source_uri, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS whole, list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S')) AS ps FROM documents WHERE regexp_matches(text, '\\S')),
 c AS (SELECT source_uri, CASE WHEN length(whole) <= 8000 THEN [whole] ELSE list_reduce(list_transform(ps, lambda p: [p]), lambda a, b: CASE WHEN length(a[-1]) + 2 + length(b[1]) > 8000 THEN list_append(a, b[1]) ELSE list_append(a[1:len(a) - 1], a[-1] || chr(10) || chr(10) || b[1]) END) END AS parts FROM d)
 SELECT source_uri, (generate_subscripts(parts, 1) - 1)::INT AS chunk_index, length(regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g')) AS n_chars FROM c""",
-    "page_documents": f"WITH t AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS source_uri, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, {_TEXT_SQL} AS text FROM pages), l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY page_id DESC) = 1) SELECT source_uri, title, substr(sha256(text), 1, 16) AS text_hash, length(text) AS n_chars FROM l WHERE length(text) >= 1",
+    "page_documents": f"""WITH l AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS source_uri, html FROM pages
+  QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY page_id DESC) = 1),
+t AS (SELECT source_uri, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, {_ARTICLE_SQL} AS text FROM l)
+SELECT source_uri, title, substr(sha256(text), 1, 16) AS text_hash, length(text) AS n_chars FROM t WHERE length(text) >= 1""",
     "python_source": """WITH p AS (SELECT p_partkey AS id, p_partkey::VARCHAR AS k FROM part WHERE p_partkey % 9 <> 0)
 SELECT id, 0 AS chunk_index, 'import os' || repeat(chr(10), 7) || 'z = 2' AS text, '<module>' AS name, 'module' AS type, 1 AS start_line, 12 AS end_line FROM p
 UNION ALL SELECT id, 1, 'def f' || k || '(x):' || chr(10) || '    return x', 'f' || k, 'function', 4, 5 FROM p

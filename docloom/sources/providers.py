@@ -46,6 +46,12 @@ class PdfReader(Protocol):
     def pages(self, content: bytes) -> list[str]: ...
 
 
+class Renderer(Protocol):
+    """Gives a page's HTML after its scripts have run, null where it can't."""
+
+    def render(self, url: str) -> str | None: ...
+
+
 class HashEmbedder:
     """Sums of words' random signs, unit length; equal texts have equal vectors."""
 
