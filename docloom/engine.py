@@ -35,6 +35,8 @@ from docloom.streaming import misses
 DEFAULT_SPACE = "default"
 TEXT_FILES = ("md", "txt", "typ", "rst", *files.TYPES["code"])
 FACTS = ("methods", "datasets", "metrics")
+#: Folders that a filter names; more are joined.
+MOST_FOLDERS = 100
 
 
 class Engine:
@@ -165,7 +167,7 @@ class Engine:
         if not links.isEmpty():
             self.append("chunk_sessions", links)
         self.append("sources", docs.select("source_uri", "file_hash", F.current_timestamp().alias("ingested_at")))
-        self.update_folder_summaries()
+        self.update_folder_summaries(docs.select(retrieval.parent_folder().alias("folder_path")))
         return new, chunked
 
     def ingest_documents(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:
@@ -269,16 +271,35 @@ class Engine:
         rows = self.table("chunks").where(F.col("chunk_id") > after)
         return (rows.where(F.col("source_uri") == source_uri) if source_uri else rows).orderBy("chunk_id").limit(limit)
 
-    def update_folder_summaries(self) -> DataFrame:
-        """Refreshes folders whose content changed and drops empty ones; returns what was done."""
+    def _in_folders(self, folders: DataFrame) -> DataFrame:
+        """Chunks that lie directly in these folders; of a few folders only the row groups that may name them are read."""
+        names = [r.folder_path for r in folders.select("folder_path").distinct().limit(MOST_FOLDERS + 1).collect()]
+        chunks = self.table("chunks")
+        if len(names) > MOST_FOLDERS:
+            return chunks.join(folders.select("folder_path").distinct(), retrieval.parent_folder() == F.col("folder_path"), "left_semi")
+        below = F.lit(False)
+        for name in names:  # a uri without a slash is its own folder
+            below = below | F.col("source_uri").startswith(f"{name}/") | (F.col("source_uri") == name)
+        return chunks.where(below).where(retrieval.parent_folder().isin(names) if names else F.lit(False))
+
+    def update_folder_summaries(self, folders: DataFrame | None = None) -> DataFrame:
+        """Refreshes folders whose content changed and drops empty ones; returns what was done.
+
+        With ``folders`` (folder_path) only these are read, hashed and written.
+        """
         chunks, stored = self.table("chunks"), self.table("folder_summaries")
+        if folders is not None:
+            folders = written(folders.select("folder_path").distinct(), "folders")
+            chunks, stored = self._in_folders(folders), stored.join(folders, "folder_path", "left_semi")
         now = ingest.folder_hash(chunks)
         todo = written(ingest.stale_folders(now, stored), "folders")
         if todo.isEmpty():
             return todo
         fresh = ingest.folder_summary(chunks.join(todo.where("action = 'refresh'").select("folder_path"), retrieval.parent_folder() == F.col("folder_path"), "left_semi")).join(now, "folder_path")
-        fresh = embedded(fresh, "summary", self.embedder).withColumn("updated_at", F.current_timestamp())
-        self.save("folder_summaries", mutate.without(stored, todo, "folder_path").unionByName(fresh, allowMissingColumns=True))
+        fresh = written(embedded(fresh, "summary", self.embedder).withColumn("updated_at", F.current_timestamp()), "summaries")
+        with self.store.changes():
+            self.store.delete("folder_summaries", todo, "folder_path")
+            self.append("folder_summaries", fresh)
         return todo
 
     # --- search ---
@@ -564,7 +585,9 @@ class Engine:
         old = self.table("chunks").where((F.col("source_uri") == source.path) & (F.col("source_type") == "figure"))
         with self.store.changes():
             self.drop_chunks(written(old.where(figures.in_pages("chunk_index", pages)) if pages else old, "old"))
-            return self._add_chunks(new, ["chunk_index"])
+            added = self._add_chunks(new, ["chunk_index"])
+            self.update_folder_summaries(self.spark.createDataFrame([(source.path,)], "source_uri string").select(retrieval.parent_folder().alias("folder_path")))
+            return added
 
     # --- embedding spaces ---
 

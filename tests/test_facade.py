@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import schemas
 from docloom.engine import Engine
 from docloom.settings import Settings, resolved
 from docloom.sources.providers import HashEmbedder
@@ -130,7 +131,7 @@ def test_reingest_keeps_sessions_and_repairs(engine, spark):
     assert [r.content for r in new] == ["Cooking rice takes water."]
     assert {r.session_id for r in engine.table("chunk_sessions").where(f"chunk_id = {new[0].chunk_id}").collect()} == {"s1", "s2"}
     assert engine.table("conclusions").where(f"id = {id_}").isEmpty()
-    assert engine.co_occurrence().count() > 0 and engine.status().where("value is null").count() == 20
+    assert engine.co_occurrence().count() > 0 and engine.status().where("value is null").count() == len(schemas.TABLES)
 
 
 def test_pages(engine, spark):
