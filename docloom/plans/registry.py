@@ -1,6 +1,7 @@
 """Name -> query and name -> oracle SQL of the retrieval engine."""
 
-from docloom.plans import analytics_queries, search_queries, upkeep_queries
+from docloom.plans import analytics_queries, search_queries, stream_queries, upkeep_queries
 
-QUERIES = {**search_queries.QUERIES, **analytics_queries.QUERIES, **upkeep_queries.QUERIES}
-ORACLES = {**search_queries.ORACLES, **analytics_queries.ORACLES, **upkeep_queries.ORACLES}
+_PARTS = (search_queries, analytics_queries, upkeep_queries, stream_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from docloom.streaming import jobs, misses
+from docloom.streaming import jobs, misses, runs
 
 SCHEMA = "query_hash string, error_type string, source_type_filter string, detected_at timestamp"
 START = datetime(2024, 1, 1)
@@ -54,3 +54,25 @@ def test_job_stream(spark, tmp_path):
     handlers = {"scan": lambda mine: mine.where("params <> 'bad'").select("id", F.lit("ok").alias("result"))}
     jobs.run_jobs(stream, handlers, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(90)
     assert sorted(tuple(r)[:4] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "scan", "completed", "ok"), (3, "scan", "failed", None), (4, "odd", "failed", "no handler")]
+
+
+def test_windows_and_sessions_leave_late_rows_out(spark, tmp_path):
+    """A row behind the watermark of an earlier batch is dropped, by windows and sessions."""
+    schema = "event_id long, user_id long, event_type string, ts timestamp, value double"
+    row = lambda i, user, minutes: (i, user, "click", START + timedelta(minutes=minutes), 1.0)
+    parts = [[row(1, 1, 0), row(2, 1, 200)], [row(4, 2, 205)], [row(3, 1, 10), row(5, 1, 215), row(6, 2, 300)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    counts = runs.run_to_end(runs.windowed(stream), "update", ["start", "event_type"])
+    got = {(r.start - START).total_seconds() // 3600: r.n for r in counts.collect()}
+    assert got == {0: 1, 3: 3, 5: 1}  # the row at minute 10 came two batches after minute 200
+    found = sorted((r.user_id, (r.start - START).total_seconds() // 60, r.n) for r in runs.run_to_end(runs.sessions(stream), "complete").collect())
+    assert found == [(1, 0, 1), (1, 200, 2), (2, 205, 1), (2, 300, 1)]
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    schema = "event_id long, user_id long, event_type string, ts timestamp, value double"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert runs.run_to_end(runs.sessions(stream), "complete").count() == 0
