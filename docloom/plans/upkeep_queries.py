@@ -133,7 +133,7 @@ def figure_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def ocr_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of conversations as recognised elements of an image."""
-    rows = table(spark, sf, "conversations").selectExpr("conv_id", "turn AS pos", "if(role = 'user', 'text', 'icon') AS type", "substring(text, 1, 60) AS content")
+    rows = table(spark, sf, "conversations").selectExpr("conv_id", "turn AS pos", "if(role = 'user', 'text', 'icon') AS type", "text AS content")
     return figures.ocr_text(rows, "conv_id")
 
 
@@ -165,7 +165,7 @@ c AS (SELECT DISTINCT source_uri, unnest([(doc_id % 4)::INT, 8]) AS page, trim(t
     "figure_texts": """WITH e AS (SELECT s_suppkey AS k, s_name, unnest(CASE WHEN s_suppkey % 3 = 0 THEN [0, 1] ELSE [NULL] END) AS n FROM supplier),
 p AS (SELECT 'i' || k AS image, (k % 9)::INT AS page, n, list_filter([CASE WHEN k % 2 = 0 THEN '[Caption] Figure ' || k END, CASE WHEN n = 0 THEN '[Description] ' || s_name WHEN n = 1 THEN '[Description] more' END, CASE WHEN k % 5 = 0 THEN '[OCR] axis' END], lambda x: x IS NOT NULL) AS parts FROM e)
 SELECT image, page, (row_number() OVER (PARTITION BY page ORDER BY image, n) - 1)::INT AS figure, CASE WHEN len(parts) = 1 THEN regexp_replace(parts[1], '^\\[[A-Za-z]+\\] ', '') ELSE array_to_string(parts, chr(10) || chr(10)) END AS text FROM p WHERE len(parts) > 0""",
-    "ocr_texts": f"""WITH r AS (SELECT conv_id, turn AS pos, role = 'user' AS is_text, trim(substr(text, 1, 60), ' ') AS c FROM conversations), k AS (SELECT * FROM r WHERE length(c) >= 2 QUALIFY row_number() OVER (PARTITION BY conv_id, lower(c) ORDER BY pos) = 1),
+    "ocr_texts": f"""WITH r AS (SELECT conv_id, turn AS pos, role = 'user' AS is_text, trim(text, ' ') AS c FROM conversations), k AS (SELECT * FROM r WHERE length(c) >= 2 QUALIFY row_number() OVER (PARTITION BY conv_id, lower(c) ORDER BY pos) = 1),
 g AS (SELECT conv_id, 'Detected text: ' || string_agg('"' || c || '"', ', ' ORDER BY pos) FILTER (is_text) AS t, 'Detected elements: ' || string_agg('"' || c || '"', ', ' ORDER BY pos) FILTER (NOT is_text) AS i FROM k GROUP BY conv_id),
 h AS (SELECT conv_id, i, {_CUT.format(c='t', n='500')} AS a FROM g), j AS (SELECT *, 500 - coalesce(length(a), 0) AS left_ FROM h)
 SELECT conv_id, concat_ws(chr(10), a, CASE WHEN left_ > 20 THEN {_CUT.format(c='i', n='left_')} END) AS ocr FROM j""",
