@@ -134,7 +134,8 @@ class Engine:
 
     def _add_chunks(self, new: DataFrame, order: list[str]) -> DataFrame:
         """Gives chunks their keys and adds them with their postings, lengths and vectors; returns them."""
-        new = written(self._shaped("chunks", ingest.numbered(new, order, self.next_id("chunks", "chunk_id"))), "chunks")
+        first = max(self.next_id("chunks", "chunk_id"), self.next_id("gone_chunks", "chunk_id"))  # postings may still name dropped keys
+        new = written(self._shaped("chunks", ingest.numbered(new, order, first)), "chunks")
         if new.isEmpty():
             return new
         blocked = self.store.current("posting_blocks") is not None or self.store.current("chunks") is None  # else compact_index makes them of all

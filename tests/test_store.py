@@ -151,3 +151,12 @@ def test_single_rows_are_appended(engine):
     assert [r.confidence for r in engine.table("relationships").where("target_paper_id = 3").collect()] == [0.7]
     with pytest.raises(ValueError):
         engine.add_relationship(1, 4, "cites", 1.5)
+
+
+def test_keys_of_dropped_chunks_are_not_given_again(spark, engine):
+    last = engine.table("chunks").orderBy(F.desc("chunk_id")).first()
+    engine.drop_chunks(engine.table("chunks").where(F.col("chunk_id") == last.chunk_id))
+    docs = spark.createDataFrame([("/b/four.txt", "note", "omicron pi rho")], "source_uri string, source_type string, text string")
+    (new,) = engine.ingest_documents(docs).collect()
+    assert new.chunk_id > last.chunk_id
+    assert [r.chunk_id for r in engine.search_index("omicron", mode="fts").collect()] == [new.chunk_id]
