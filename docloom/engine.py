@@ -23,7 +23,7 @@ from docloom.functions import html
 from docloom.functions.chunking import chunk_structured, chunk_windows, paged_markdown_chunks, paged_section_chunks, python_chunks
 from docloom.functions.text import content_hash
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import blockmax, facts, figures, graph, ingest, mutate, retrieval, stats
+from docloom.operators import blockmax, facts, figures, graph, ingest, mutate, retrieval, stats, web_images
 from docloom.operators.index import Index, lengths, posting_lists
 from docloom.session import written
 from docloom.settings import Settings
@@ -43,12 +43,12 @@ class Engine:
     def __init__(
         self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None,
         model: Callable[[str], str] | None = None, describer: Describer | None = None, recogniser: Recogniser | None = None, pdf_reader: PdfReader | None = None,
-        renderer: Renderer | None = None,
+        renderer: Renderer | None = None, image_source: web_images.ImageSource | None = None,
     ):
         self.spark, self.store = spark, Store(spark, folder)
         self.settings = (settings or Settings()).changed(**{r.key: r.value for r in self.table("config").collect()})  # a row for each setting
         self.embedder, self.reranker, self.model = embedder or HashEmbedder(self.settings.embed_dim), reranker or OverlapReranker(), model
-        self.describer, self.recogniser, self.pdf_reader, self.renderer = describer, recogniser, pdf_reader, renderer
+        self.describer, self.recogniser, self.pdf_reader, self.renderer, self.image_source = describer, recogniser, pdf_reader, renderer, image_source
         if self.store.current("embed_spaces") is None:
             spaces = mutate.space_created(self.table("embed_spaces"), DEFAULT_SPACE, self.settings.embed_model, self.settings.embed_provider, self.embedder.dim)
             self.save("embed_spaces", spaces.withColumn("status", F.lit("active")))
@@ -190,9 +190,28 @@ class Engine:
         return ingest.ingest_report(chunked, new, found.select("source_uri", F.col("file_hash").alias("content_hash")), self.table("paper_paths"))
 
     def ingest_pages(self, pages: DataFrame, session_id: str | None = None) -> DataFrame:
-        """Web pages (page_id, url, html) by their main text; short ones are rendered, if there is a renderer."""
+        """Web pages (page_id, url, html) by their main text; short ones are rendered, if there is a renderer.
+
+        With a describer and a source of images their inline images become figures, in place of
+        earlier ones of the page. Returns the new chunks, figures included.
+        """
         docs = html.pages_to_documents(pages, renderer=self.renderer).select("source_uri", F.lit("web").alias("source_type"), "text")
-        return self.ingest_documents(docs, session_id)
+        with self.store.changes():
+            new = self.ingest_documents(docs, session_id)
+            if self.describer is None or self.image_source is None:
+                return new
+            return new.unionByName(self._with_inline_figures(pages))
+
+    def _with_inline_figures(self, pages: DataFrame) -> DataFrame:
+        """Puts the figures of pages' inline images in place of their earlier ones; content that another chunk has is skipped."""
+        found, settled = web_images.inline_figures(pages, self.image_source, self.describer, self.settings.vision_model)
+        settled = written(settled, "pages")
+        old = self.table("chunks").where(web_images.is_inline()).join(settled, "source_uri", "left_semi")
+        self.drop_chunks(written(old, "old"))
+        fixed = {"source_type": F.lit("figure"), "chunk_strategy": F.lit("mechanical"), "created_at": F.current_timestamp()}
+        added = self._add_chunks(ingest.new_chunks(self.table("chunks"), found).withColumns(fixed), ["source_uri", "chunk_index"])
+        self.update_folder_summaries(settled.select(retrieval.parent_folder().alias("folder_path")))
+        return added
 
     def reingest(self, docs: DataFrame, session_id: str | None = None) -> DataFrame:
         """Documents in place of their earlier chunks; sessions stay, references are linked anew by name, similar edges of their papers are found anew.

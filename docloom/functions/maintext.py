@@ -35,6 +35,15 @@ PARAGRAPH, LINKED, BESIDE = 25, 0.5, 0.2
 DEEPEST = 200
 
 
+# What begins like a marked section but is no CDATA ends at the next ">", as a comment does.
+_ODD_SECTION = re.compile(r"<!\[(?!CDATA\[)[^>]*>?")
+
+
+def readable(html: str) -> str:
+    """HTML without the marked sections that the parser refuses as a whole page."""
+    return _ODD_SECTION.sub("", html)
+
+
 @dataclass
 class Line:
     text: str
@@ -129,7 +138,7 @@ class _Tree(HTMLParser):
             self.links += len(data.strip(SPACE))
 
     def tree(self, html: str) -> Block:
-        self.feed(html)
+        self.feed(readable(html))
         self.close()
         self.flush()
         return self.root

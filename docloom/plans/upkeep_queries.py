@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import figures, graph, ingest, mutate
+from docloom.operators import figures, graph, ingest, mutate, web_images
 from docloom.plans import views
 from docloom.plans.analytics_queries import _GAPS, _PAIRS
 from docloom.session import table
@@ -137,10 +137,30 @@ def ocr_texts(spark: SparkSession, sf: str) -> DataFrame:
     return figures.ocr_text(rows, "conv_id")
 
 
+_PNG = "unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex({w}), 8, '0'), lpad(hex({h}), 8, '0'), repeat('00', {more})))"
+
+
+def inline_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a picture of their own and one that all share; some have none, others one that is missing.
+
+    A page that is settled without a figure has a row without an index.
+    """
+    own = "concat('<img alt=\"Page ', page_id, '\" src=\"https://img.example.org/', page_id, '.png\"><img src=\"https://img.example.org/all.png\">')"
+    missing = "concat('<img src=\"https://img.example.org/none/', page_id, '.png\">')"
+    pages = table(spark, sf, "pages")
+    shown = pages.selectExpr("page_id", "url", f"concat(html, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 7 = 3 THEN {missing} ELSE {own} END) AS html")
+    drawn = _PNG.format(w="60 + length(html) % 200", h="80 + page_id % 90", more="cast(page_id % 50 AS int)")
+    bytes_ = pages.selectExpr("concat('https://img.example.org/', page_id, '.png') AS url", f"{drawn} AS image")
+    shared = spark.range(1).selectExpr("'https://img.example.org/all.png' AS url", f"{_PNG.format(w=300, h=200, more=0)} AS image")
+    found, settled = web_images.inline_figures(shown, web_images.ImageTable(bytes_.unionByName(shared)), web_images.SidesDescriber())
+    meta = F.from_json("metadata", "image_url string, alt_text string")
+    return settled.join(found, "source_uri", "left").select("source_uri", "chunk_index", "content", "content_hash", meta["image_url"].alias("image_url"), meta["alt_text"].alias("alt_text"))
+
+
 _CUT = "CASE WHEN length({c}) > {n} THEN substr({c}, 1, ({n} - 1)::BIGINT) || '…' ELSE {c} END"
 QUERIES = {f.__name__: f for f in (
     relinked_facts, kept_sessions, ingest_report, paper_edges, backfilled_paths, recovered_jobs, open_misses, image_folders, figure_indexes, elements_in_regions,
-    elements_outside, padded_regions, vector_pages, page_captions, figure_texts, ocr_texts,
+    elements_outside, padded_regions, vector_pages, page_captions, figure_texts, ocr_texts, inline_figures,
 )}
 ORACLES = {
     "relinked_facts": """WITH c AS (SELECT p_partkey + 100000 AS chunk_id, p_partkey AS chunk_index, '/d' || p_partkey * 7 % 20 AS uri, 'uses ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END || ' and ' || CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE p_brand END || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '_y' END || ' of ' || p_name AS content FROM part)
@@ -169,4 +189,18 @@ SELECT image, page, (row_number() OVER (PARTITION BY page ORDER BY image, n) - 1
 g AS (SELECT conv_id, 'Detected text: ' || string_agg('"' || c || '"', ', ' ORDER BY pos) FILTER (is_text) AS t, 'Detected elements: ' || string_agg('"' || c || '"', ', ' ORDER BY pos) FILTER (NOT is_text) AS i FROM k GROUP BY conv_id),
 h AS (SELECT conv_id, i, {_CUT.format(c='t', n='500')} AS a FROM g), j AS (SELECT *, 500 - coalesce(length(a), 0) AS left_ FROM h)
 SELECT conv_id, concat_ws(chr(10), a, CASE WHEN left_ > 20 THEN {_CUT.format(c='i', n='left_')} END) AS ocr FROM j""",
+    "inline_figures": """WITH p AS (
+  SELECT page_id, regexp_replace(url, '#.*$', '') AS source_uri, length(html) AS n FROM pages
+  QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY page_id DESC) = 1),
+i AS (
+  SELECT page_id, source_uri, 0 AS at_, 'https://img.example.org/' || page_id || '.png' AS image_url, 'Page ' || page_id AS alt_text,
+    60 + n % 200 AS w, 80 + page_id % 90 AS h, 24 + page_id % 50 AS size
+  FROM p WHERE page_id % 5 <> 0 AND page_id % 7 <> 3
+  UNION ALL SELECT page_id, source_uri, 1, 'https://img.example.org/all.png', '', 300, 200, 24 FROM p WHERE page_id % 5 <> 0 AND page_id % 7 <> 3),
+f AS (
+  SELECT source_uri, (2000000 + row_number() OVER (PARTITION BY source_uri ORDER BY at_) - 1)::INT AS chunk_index,
+    'PNG image of ' || w || ' x ' || h || ' pixels, ' || size || ' bytes' AS content, image_url, alt_text
+  FROM i WHERE least(w, h) >= 100)
+SELECT source_uri, chunk_index, content, substr(sha256(content), 1, 16) AS content_hash, image_url, alt_text FROM f
+UNION ALL SELECT source_uri, NULL, NULL, NULL, NULL, NULL FROM p WHERE page_id % 5 = 0""",
 }

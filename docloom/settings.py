@@ -13,6 +13,7 @@ class Settings:
     embed_provider: str = "local"
     llm_provider: str = "none"
     llm_model: str = "none"
+    vision_model: str = "none"
     prediction_error_threshold: float = 0.025
     auto_relate_propose_threshold: float = 0.82
     chunk_strategy: str = "mechanical"

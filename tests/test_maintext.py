@@ -75,3 +75,8 @@ def test_short_pages_get_a_second_attempt(spark):
     assert got == {"http://x.org/a": whole, "http://x.org/none": "short", "http://x.org/b": SENTENCE * 4, "http://x.org/c": whole}
     plain = {r.source_uri: r.text for r in H.pages_to_documents(pages).collect()}
     assert plain == {"http://x.org/a": "last one", "http://x.org/none": "short", "http://x.org/b": SENTENCE * 4}
+
+
+def test_odd_sections_do_not_stop_a_page():
+    page = "<html><body><article><p>Some words stand here for a reader.</p><![bad]><p>More words follow.</p><![if !x]><p>The last.</p></article></body></html>"
+    assert main_text(page).split("\n")[-1] == "The last." and "Some words" in main_text(page) and "bad" not in main_text(page)
