@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import spatial
+
 # Caption lines and image references of extracted markdown.
 CAPTION = r"(?i)(?:Figure|Fig\.|Table)\s+\d+"
 IMAGE_REF = r"!\[[^\]]*\]\(([^)]+)\)"
@@ -65,26 +67,30 @@ def in_pages(index: str, pages: list[int]) -> Column:
 
 
 def elements_in(elements: DataFrame, regions_: DataFrame) -> DataFrame:
-    """Elements whose centre lies in a region of their page."""
-    r = regions_.select("page", F.col("x1").alias("rx1"), F.col("y1").alias("ry1"), F.col("x2").alias("rx2"), F.col("y2").alias("ry2"))
-    inside = F.expr("(x1 + x2) / 2 BETWEEN rx1 AND rx2 AND (y1 + y2) / 2 BETWEEN ry1 AND ry2")
-    return elements.join(r, "page").where(inside)
+    """Elements whose centre lies in a region of their page, with the region's sides; they meet by cells of a grid."""
+    return spatial.points_in(elements, regions_, "(x1 + x2) / 2", "(y1 + y2) / 2")
 
 
 def outside(rects: DataFrame, zones: DataFrame) -> DataFrame:
-    """Rectangles that overlap no zone of their page."""
-    z = zones.select("page", F.col("x1").alias("zx1"), F.col("y1").alias("zy1"), F.col("x2").alias("zx2"), F.col("y2").alias("zy2"))
-    return rects.join(z, (rects["page"] == z["page"]) & F.expr("x1 < zx2 AND zx1 < x2 AND y1 < zy2 AND zy1 < y2"), "left_anti")
+    """Rectangles that overlap no zone of their page; they meet by cells of a grid."""
+    return rects.join(spatial.overlapping(rects, zones), ["page", *spatial.SIDES], "left_anti").select(rects.columns)
 
 
 def image_captions(chunks: DataFrame) -> DataFrame:
-    """(source_uri, image, caption): the first caption line within three lines of an image reference, of the first reference that has one."""
+    """(source_uri, image, caption): the first caption line within three lines of an image reference, of the first reference that has one.
+
+    Lines meet by bands as wide as a reference can see: a caption lies in one of them, a
+    reference looks into two at most.
+    """
     lines = chunks.select("source_uri", "chunk_id", F.posexplode(F.split("content", "\n")).alias("line", "text"))
     images = lines.select("source_uri", "chunk_id", F.col("line").alias("at"), F.explode(F.regexp_extract_all("text", F.lit(IMAGE_REF), F.lit(1))).alias("ref")).withColumn("image", F.substring_index("ref", "/", -1))
     captions = lines.where(F.col("text").rlike(CAPTION)).select("source_uri", "chunk_id", "line", F.trim("text").alias("caption"))
-    near = images.join(captions, ["source_uri", "chunk_id"]).where((F.abs(F.col("line") - F.col("at")) <= CAPTION_LINES) & (F.col("line") != F.col("at")))
-    first = F.row_number().over(Window.partitionBy("source_uri", "image").orderBy("chunk_id", "at", "line"))
-    return near.withColumn("n", first).where("n = 1").select("source_uri", "image", "caption")
+    band = lambda line: F.floor(line / (2 * CAPTION_LINES + 1))
+    images = images.withColumn("band", F.explode(F.sequence(band(F.col("at") - CAPTION_LINES), band(F.col("at") + CAPTION_LINES))))
+    near = images.join(captions.withColumn("band", band(F.col("line"))), ["source_uri", "chunk_id", "band"])
+    near = near.where((F.abs(F.col("line") - F.col("at")) <= CAPTION_LINES) & (F.col("line") != F.col("at")))
+    first = near.groupBy("source_uri", "image").agg(F.min(F.struct("chunk_id", "at", "line", "caption")).alias("first"))
+    return first.select("source_uri", "image", "first.caption")
 
 
 def page_captions(chunks: DataFrame) -> DataFrame:
