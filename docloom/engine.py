@@ -28,7 +28,7 @@ from docloom.operators.index import Index, lengths, posting_lists
 from docloom.session import written
 from docloom.settings import Settings
 from docloom.sources import bibtex, files
-from docloom.sources.providers import Describer, Embedder, HashEmbedder, OverlapReranker, PdfReader, Recogniser, Renderer, Reranker, described, embedded, recognised, reranked
+from docloom.sources.providers import Describer, Embedder, HashEmbedder, OverlapReranker, PdfReader, Recogniser, Renderer, Reranker, Tokeniser, described, embedded, recognised, reranked
 from docloom.sources.snapshots import Store
 from docloom.streaming import misses
 
@@ -43,12 +43,12 @@ class Engine:
     def __init__(
         self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None,
         model: Callable[[str], str] | None = None, describer: Describer | None = None, recogniser: Recogniser | None = None, pdf_reader: PdfReader | None = None,
-        renderer: Renderer | None = None, image_source: web_images.ImageSource | None = None,
+        renderer: Renderer | None = None, image_source: web_images.ImageSource | None = None, tokeniser: Tokeniser | None = None,
     ):
         self.spark, self.store = spark, Store(spark, folder)
         self.settings = (settings or Settings()).changed(**{r.key: r.value for r in self.table("config").collect()})  # a row for each setting
         self.embedder, self.reranker, self.model = embedder or HashEmbedder(self.settings.embed_dim), reranker or OverlapReranker(), model
-        self.describer, self.recogniser, self.pdf_reader, self.renderer, self.image_source = describer, recogniser, pdf_reader, renderer, image_source
+        self.describer, self.recogniser, self.pdf_reader, self.renderer, self.image_source, self.tokeniser = describer, recogniser, pdf_reader, renderer, image_source, tokeniser
         if self.store.current("embed_spaces") is None:
             spaces = mutate.space_created(self.table("embed_spaces"), DEFAULT_SPACE, self.settings.embed_model, self.settings.embed_provider, self.embedder.dim)
             self.save("embed_spaces", spaces.withColumn("status", F.lit("active")))
@@ -345,7 +345,7 @@ class Engine:
         """The best chunks, words by the kept index; a miss is logged."""
         row = self.space(space) if space else self.active_space()
         folders = self.table("folder_summaries").where("embedding is not null") if row.status == "active" and not row.matryoshka_base_dim and row.element_type == "float32" else None
-        scorer = reranked(query, self.reranker) if rerank else None
+        scorer = reranked(query, self.reranker, self.tokeniser) if rerank else None
         found = retrieval.search(self.table("chunks"), query, self._query_vector(query, row) if mode != "fts" else None, self.vectors(row.name), folders, top_k, mode, source_type, chunk_strategy, scorer, rerank_top, index=self.index(), keyword_prefilter=keyword_prefilter)
         found = self.spark.createDataFrame(found.collect(), found.schema).orderBy("place")  # top_k rows
         if log:

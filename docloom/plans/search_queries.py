@@ -252,7 +252,20 @@ def match_query(spark: SparkSession, sf: str) -> DataFrame:
     return text_functions.match_query(keywords(spark, sf))
 
 
+def pair_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a passage behind the one before it as its query, within the tokens of a cross-encoder's input."""
+    from docloom.sources.providers import WordTokeniser, cut_pairs
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pairs = docs.selectExpr("doc_id", "text AS passage").join(docs.selectExpr("doc_id + 1 AS doc_id", "text AS query"), "doc_id")
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = cut_pairs(pairs, WordTokeniser())
+    digest = lambda c: F.sha2(F.array_join(words(c), " "), 256)
+    return cut.select("doc_id", F.size(words("query")).alias("n_query"), F.size(words("passage")).alias("n_passage"), digest("query").alias("query_sha256"), digest("passage").alias("passage_sha256"))
+
+
 QUERIES = {
+    "pair_tokens": pair_tokens,
     "chunk_text": chunk_text, "content_dedup": content_dedup, "token_stats": token_stats, "bm25_topk": bm25_topk, "bm25_stemmed": bm25_stemmed,
     "boolean_match": boolean_match, "knn_indexed": knn_indexed, "l2_topk": l2_topk, "cosine_topk": cosine_topk, "matryoshka_topk": matryoshka_topk, "int8_topk": int8_topk,
     "rrf_hybrid": rrf_hybrid, "indexed_search": indexed_search, "indexed_topk": indexed_topk, "batch_search": batch_search, "single_leg": single_leg, "folder_boost": folder_boost, "strategy_filtered_search": strategy_filtered_search,
@@ -290,4 +303,11 @@ f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(leg * 1000 +
 SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, first)::INT AS place FROM f QUALIFY place <= 10""",
     "keywords": _KEYWORDS_SQL,
     "match_query": f"WITH k AS ({_KEYWORDS_SQL}) SELECT query_id, string_agg('\"' || replace(keyword, '\"', '\"\"') || '\"', ' OR ' ORDER BY rank) AS match FROM k GROUP BY query_id",
+    "pair_tokens": """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT b.doc_id, a.w AS q, b.w AS p, len(a.w) AS nq, len(b.w) AS np, least(len(a.w), len(b.w), 254) AS short FROM d b JOIN d a ON b.doc_id = a.doc_id + 1),
+k AS (
+  SELECT doc_id, q, p, CASE WHEN nq + np <= 509 THEN nq WHEN nq > np THEN 509 - short ELSE short END AS kq,
+    CASE WHEN nq + np <= 509 THEN np WHEN nq > np THEN short ELSE 509 - short END AS kp
+  FROM p)
+SELECT doc_id, kq::INT AS n_query, kp::INT AS n_passage, sha256(array_to_string(q[1:kq], ' ')) AS query_sha256, sha256(array_to_string(p[1:kp], ' ')) AS passage_sha256 FROM k""",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -52,6 +52,35 @@ class Renderer(Protocol):
     def render(self, url: str) -> str | None: ...
 
 
+class Tokeniser(Protocol):
+    """Where the tokens of a text end, in code points, ascending."""
+
+    def ends(self, text: str) -> list[int]: ...
+
+
+class WordTokeniser:
+    """Runs without white space as tokens."""
+
+    WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def ends(self, text: str) -> list[int]:
+        return [m.end() for m in self.WORD.finditer(text)]
+
+
+class FileTokeniser:
+    """Tokens of a vocabulary file of the tokenizers library; it travels to the tasks with its vocabulary."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+
+    def ends(self, text: str) -> list[int]:
+        return [end for _, end in self.model.encode(text, add_special_tokens=False).offsets]
+
+
 class HashEmbedder:
     """Sums of words' random signs, unit length; equal texts have equal vectors."""
 
@@ -92,12 +121,60 @@ def embedded(df: DataFrame, text: str, provider: Embedder, batch: int = 32, out:
     return df.withColumn(out, run(text))
 
 
-def reranked(query: str, provider: Reranker):
-    """(chunk_id, content) -> (chunk_id, rerank_score): sigmoid of the provider's logits."""
+#: Fixed value: tokens of a query and a passage together, and those of them that mark begin, border and end.
+PAIR_TOKENS, PAIR_MARKS = 512, 3
+
+
+def pair_lengths(query: int, passage: int, most: int) -> tuple[int, int]:
+    """Tokens that stay of a pair: the longer text gives until both fit, or both are halves; the odd token is the longer one's, or the passage's."""
+    if query + passage <= most:
+        return query, passage
+    short = min(query, passage, most // 2)
+    return (most - short, short) if query > passage else (short, most - short)
+
+
+def cut_pair(query: str, passage: str, tokeniser: Tokeniser, most: int = PAIR_TOKENS - PAIR_MARKS, query_ends: list[int] | None = None) -> tuple[str, str]:
+    """Both texts up to the end of their last token that stays; whole texts if all stay."""
+    ends = (tokeniser.ends(query) if query_ends is None else query_ends, tokeniser.ends(passage))
+    kept = pair_lengths(len(ends[0]), len(ends[1]), most)
+    return tuple(text if n == len(e) else text[: e[n - 1]] if n else "" for text, e, n in zip((query, passage), ends, kept))
+
+
+def cut_pairs(pairs: DataFrame, tokeniser: Tokeniser, query: str = "query", passage: str = "passage", most: int = PAIR_TOKENS - PAIR_MARKS) -> DataFrame:
+    """``pairs`` with both texts cut to ``most`` tokens together; a null text counts as empty."""
+
+    @F.pandas_udf("q string, p string")
+    def run(queries: pd.Series, passages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut_pair(q or "", p or "", tokeniser, most) for q, p in zip(queries, passages)], columns=["q", "p"])
+
+    return pairs.withColumn("__cut", run(query, passage)).withColumn(query, F.col("__cut.q")).withColumn(passage, F.col("__cut.p")).drop("__cut")
+
+
+def reranked(query: str, provider: Reranker, tokeniser: Tokeniser | None = None, most: int = PAIR_TOKENS - PAIR_MARKS):
+    """(chunk_id, content) -> (chunk_id, rerank_score): sigmoid of the provider's logits.
+
+    With a tokeniser every pair of query and text is cut to ``most`` tokens before it is scored;
+    texts that leave the query alike are scored together.
+    """
+
+    def logits(texts: list[str]) -> list[float]:
+        if tokeniser is None:
+            return provider.score(query, texts)
+        ends, groups = tokeniser.ends(query), {}
+        for at, text in enumerate(texts):
+            q, p = cut_pair(query, text, tokeniser, most, ends)
+            groups.setdefault(q, []).append((at, p))
+        out = [0.0] * len(texts)
+        for q, members in groups.items():
+            for (at, _), score in zip(members, provider.score(q, [p for _, p in members])):
+                out[at] = score
+        return out
 
     @F.pandas_udf(T.DoubleType())
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([1 / (1 + math.exp(-x)) for x in provider.score(query, texts.fillna("").tolist())])
+        x = np.asarray(logits(texts.fillna("").tolist()), dtype=float)
+        e = np.exp(-np.abs(x))  # large logits of either sign have a sigmoid too
+        return pd.Series(np.where(x >= 0, 1 / (1 + e), e / (1 + e)))
 
     return lambda pool: pool.select("chunk_id", run("content").alias("rerank_score"))
 
