@@ -23,7 +23,7 @@ from docloom.functions import html
 from docloom.functions.chunking import chunk_structured, chunk_windows, paged_markdown_chunks, paged_section_chunks, python_chunks
 from docloom.functions.text import content_hash
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import blockmax, facts, figures, graph, ingest, mutate, retrieval, stats, web_images
+from docloom.operators import blockmax, facts, figures, graph, ingest, migrations, mutate, retrieval, stats, web_images
 from docloom.operators.index import Index, lengths, posting_lists
 from docloom.session import written
 from docloom.settings import Settings
@@ -43,15 +43,19 @@ class Engine:
     def __init__(
         self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None,
         model: Callable[[str], str] | None = None, describer: Describer | None = None, recogniser: Recogniser | None = None, pdf_reader: PdfReader | None = None,
-        renderer: Renderer | None = None, image_source: web_images.ImageSource | None = None, tokeniser: Tokeniser | None = None,
+        renderer: Renderer | None = None, image_source: web_images.ImageSource | None = None, tokeniser: Tokeniser | None = None, migrate: bool = False,
     ):
         self.spark, self.store = spark, Store(spark, folder)
+        #: Steps of the schema's chain that ran when the store was opened.
+        self.migrated = migrations.opened(self.store, any(self.store.current(t) is not None for t in schemas.TABLES), migrate)
         self.settings = (settings or Settings()).changed(**{r.key: r.value for r in self.table("config").collect()})  # a row for each setting
         self.embedder, self.reranker, self.model = embedder or HashEmbedder(self.settings.embed_dim), reranker or OverlapReranker(), model
         self.describer, self.recogniser, self.pdf_reader, self.renderer, self.image_source, self.tokeniser = describer, recogniser, pdf_reader, renderer, image_source, tokeniser
         if self.store.current("embed_spaces") is None:
             spaces = mutate.space_created(self.table("embed_spaces"), DEFAULT_SPACE, self.settings.embed_model, self.settings.embed_provider, self.embedder.dim)
             self.save("embed_spaces", spaces.withColumn("status", F.lit("active")))
+        if self.migrated:
+            self.update_folder_summaries()  # folders may have other names now
 
     # --- tables ---
 
@@ -181,13 +185,20 @@ class Engine:
 
     def ingest(self, folder: str, session_id: str | None = None) -> DataFrame:
         """Text files below a folder, and PDFs if there is a reader; (source_uri, chunks_added, chunks_skipped, duplicate_of_paper_id)."""
+        found = self._files(folder)
+        new, chunked = self._ingested(found, session_id)
+        return ingest.ingest_report(chunked, new, found.select("source_uri", F.col("file_hash").alias("content_hash")), self.table("paper_paths"))
+
+    def _files(self, folder: str) -> DataFrame:
         found = files.text_files(self.spark, folder, TEXT_FILES).withColumn("pages", F.lit(None).cast("map<int,int>"))
         if self.pdf_reader is not None:
             pdfs = files.pdf_documents(self.spark, folder, self.pdf_reader)
             found = found.unionByName(pdfs.select(found.columns))
-        found = written(found, "files")
-        new, chunked = self._ingested(found, session_id)
-        return ingest.ingest_report(chunked, new, found.select("source_uri", F.col("file_hash").alias("content_hash")), self.table("paper_paths"))
+        return written(found, "files")
+
+    def reingest_files(self, folder: str, session_id: str | None = None) -> DataFrame:
+        """Files below a folder in place of their earlier chunks; returns the new chunks."""
+        return self.reingest(self._files(folder), session_id)
 
     def ingest_pages(self, pages: DataFrame, session_id: str | None = None) -> DataFrame:
         """Web pages (page_id, url, html) by their main text; short ones are rendered, if there is a renderer.
@@ -712,15 +723,15 @@ class Engine:
             raise ValueError(f"no job {id_}")
         return job
 
-    def run_jobs(self) -> int:
-        """Runs waiting jobs, oldest first; returns how many."""
+    def run_jobs(self, limit: int | None = None) -> int:
+        """Runs waiting jobs, oldest first, up to ``limit``; returns how many."""
         run = {
             "auto_relate": lambda job: self.auto_relate(job.paper_id).count(),
             "extract_structure": lambda job: self.extract_structure(job.paper_id).count(),
             "extract_figures": lambda job: self.extract_figures(job.paper_id, **json.loads(job.params)).count(),
         }
         done = 0
-        while True:
+        while limit is None or done < limit:
             jobs = mutate.job_claimed(self.table("jobs"))
             job = jobs.where("status = 'running'").first()
             if job is None:
@@ -736,6 +747,7 @@ class Engine:
                 table = table.withColumn(column, F.when(mine, F.lit(value)).otherwise(F.col(column)))
             self.save("jobs", table.withColumn("completed_at", F.when(mine, F.current_timestamp()).otherwise(F.col("completed_at"))))
             done += 1
+        return done
 
     def list_jobs(self, status: str | None = None, paper_id: int | None = None) -> DataFrame:
         jobs = self.table("jobs")
