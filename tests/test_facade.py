@@ -272,8 +272,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert "a.md" in out and "semantic" in out and "chunk_lengths" in out
     main([*store, "restore", "config", "1"], spark)
     main([*store, "vacuum", "config"], spark)
-    main([*store, "jobs"], spark)
-    assert capsys.readouterr().out.split() == ["2", "[]", "0"]
+    main([*store, "jobs", "--limit", "1"], spark)
+    main([*store, "migrate"], spark)
+    main([*store, "reingest", str(tmp_path / "docs")], spark)
+    spark.createDataFrame([(1, "https://e.org/p", "<p>Okapis live in the forests of the north and eat leaves.</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    main([*store, "ingest-pages", str(tmp_path / "pages")], spark)
+    assert capsys.readouterr().out.split() == ["2", "[]", "0", "nothing", "to", "do", "1", "1"]
 
 
 def test_settings(monkeypatch):
