@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from docloom import schemas
 from docloom.functions import html
-from docloom.functions.chunking import chunk_structured, chunk_windows, paged_markdown_chunks, paged_section_chunks, python_chunks
+from docloom.functions.chunking import chunk_structured, chunk_windows, markdown_chunks, python_chunks, section_chunks
 from docloom.functions.text import content_hash
 from docloom.functions.vectors import int8, normalised, truncated
 from docloom.operators import blockmax, facts, figures, graph, ingest, migrations, mutate, retrieval, stats, web_images
@@ -127,8 +127,8 @@ class Engine:
         unparsed = docs.where(F.col("source_type").isin("code", "web", "note")).join(parsed.select("source_uri"), "source_uri", "left_anti")
         windows = chunk_windows(unparsed, "source_uri").withColumn("metadata", F.lit("{}"))
         marked = docs.where(F.col("source_type").isin("markdown", "pdf"))
-        sections = chunk_structured(marked.where(semantic & (F.col("source_type") == "pdf")), "source_uri", "text", paged_section_chunks, "pages")
-        plain = chunk_structured(marked.where(~(semantic & (F.col("source_type") == "pdf"))), "source_uri", "text", paged_markdown_chunks, "pages")
+        sections = chunk_structured(marked.where(semantic & (F.col("source_type") == "pdf")), "source_uri", "text", section_chunks, "pages")
+        plain = chunk_structured(marked.where(~(semantic & (F.col("source_type") == "pdf"))), "source_uri", "text", markdown_chunks, "pages")
         names = F.transform(F.regexp_extract_all("text", F.lit(figures.IMAGE_REF), F.lit(1)), lambda x: F.substring_index(x, "/", -1))
         paged = sections.unionByName(plain).withColumn("images", F.array_distinct(names))
         paged = paged.select("source_uri", "chunk_index", F.col("text").alias("content"), ingest.chunk_metadata().alias("metadata"))
