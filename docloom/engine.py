@@ -23,7 +23,7 @@ from docloom.functions import html
 from docloom.functions.chunking import chunk_structured, chunk_windows, markdown_chunks, python_chunks, section_chunks
 from docloom.functions.text import content_hash
 from docloom.functions.vectors import int8, normalised, truncated
-from docloom.operators import blockmax, facts, figures, graph, ingest, migrations, mutate, retrieval, stats, web_images
+from docloom.operators import blockmax, facts, figures, graph, ingest, migrations, mutate, papers, retrieval, stats, web_images
 from docloom.operators.index import Index, lengths, posting_lists
 from docloom.session import written
 from docloom.settings import Settings
@@ -426,18 +426,48 @@ class Engine:
     def get_paper_paths(self, paper_id: int) -> DataFrame:
         return self.table("paper_paths").where(F.col("paper_id") == paper_id).orderBy(F.desc("is_primary"), "added_at")
 
+    def relocate_papers(self, asked: DataFrame) -> DataFrame:
+        """Moves files (old, new, content_hash): their paths, chunks and hashes change place together, their folders are summarised anew.
+
+        Only folders of tables that name a moved file are written. Returns (old, new, status) of ``papers.moves``.
+        """
+        found = written(papers.moves(asked, self.table("paper_paths")), "moves")
+        done = written(found.where("status = 'moved'"), "moved")
+        with self.store.changes():
+            for name, column in (("paper_paths", "path"), ("chunks", "source_uri"), ("sources", "source_uri")):
+                rows = written(papers.moved(self.table(name), column, done), "moved")
+                if not rows.isEmpty():
+                    self.store.delete(name, done.select(F.col("old").alias(column)), column)
+                    self.append(name, rows)
+            places = done.select(F.explode(F.array("old", "new")).alias("source_uri"))
+            self.update_folder_summaries(places.select(retrieval.parent_folder().alias("folder_path")))
+        return found
+
     def relocate_paper(self, old: str, new: str, file_hash: str) -> None:
-        paths, chunks = mutate.relocated(self.table("paper_paths"), self.table("chunks"), old, new, file_hash)
-        self.save("paper_paths", paths)
-        self.save("chunks", chunks)
+        status = self.relocate_papers(self.spark.createDataFrame([(old, new, file_hash)], "old string, new string, content_hash string")).first().status
+        if status != "moved":
+            raise ValueError({"unknown": "no such file is registered", "other": "the file at the new place is another one"}.get(status, "a file is registered there"))
+
+    def register_papers(self, asked: DataFrame) -> DataFrame:
+        """Registers many papers: (n, title, doi, path) and what else a paper has; n unique. Returns (n, paper_id, status, path_owner).
+
+        Abstracts are the first chunks of the paths, and similar papers are looked for by a job, as with ``register_paper``.
+        """
+        first = self.table("chunks").groupBy(F.col("source_uri").alias("path")).agg(F.min_by("chunk_id", "chunk_index").alias("abstract_chunk_id"))
+        known = self.file_hashes().withColumnRenamed("source_uri", "path")
+        found = papers.registrations(asked, self.table("papers"), self.table("paper_paths")).join(first, "path", "left").join(known, "path", "left")
+        found = written(found, "asked")
+        added = written(ingest.numbered(found.where("status = 'added'"), ["n"], self.next_id("papers", "paper_id"), "paper_id"), "added")
+        now = F.current_timestamp()
+        with self.store.changes():
+            self.append("papers", added.withColumn("added_at", now))
+            self.append("paper_paths", added.where("path_free").withColumns({"content_hash": F.coalesce("content_hash", F.lit("")), "is_primary": F.lit(True), "added_at": now}))
+            jobs = ingest.numbered(added.select("paper_id"), ["paper_id"], self.next_id("jobs"), "id")
+            self.append("jobs", jobs.withColumns({"job_type": F.lit("auto_relate"), "params": F.lit("{}"), "status": F.lit("pending"), "created_at": now}))
+        return found.select("n", "status", "path_owner").join(added.select("n", "paper_id"), "n", "left").select("n", "paper_id", "status", "path_owner")
 
     def paper_chunks(self) -> DataFrame:
-        """(paper_id, chunk_id, content, chunk_index): chunks of the papers' files but figures; of papers without one, the abstract."""
-        chunks = self.table("chunks").where("source_type <> 'figure'")
-        by_path = self.table("paper_paths").select("paper_id", F.col("path").alias("source_uri")).join(chunks, "source_uri")
-        lone = self.table("papers").join(by_path.select("paper_id"), "paper_id", "left_anti").select("paper_id", F.col("abstract_chunk_id").alias("chunk_id")).join(chunks, "chunk_id")
-        columns = ["paper_id", "chunk_id", "content", "chunk_index"]
-        return by_path.select(*columns).unionByName(lone.select(*columns))
+        return papers.paper_chunks(self.table("papers"), self.table("paper_paths"), self.table("chunks"))
 
     def add_relationship(self, source: int, target: int, relation_type: str, confidence: float = 1.0, evidence_chunk_id: int | None = None) -> None:
         if relation_type not in graph.RELATIONS:

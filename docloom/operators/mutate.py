@@ -82,15 +82,6 @@ def registered(papers: DataFrame, paths: DataFrame, paper_id: int, path: str, fi
     return paths.unionByName(row.withColumn("added_at", F.current_timestamp()), allowMissingColumns=True), None
 
 
-def relocated(paths: DataFrame, chunks: DataFrame, old: str, new: str, file_hash: str) -> tuple[DataFrame, DataFrame]:
-    """Paths and chunks after a file moved; its hash must be the registered one."""
-    known = paths.where(F.col("path") == old).select("content_hash").first()
-    if known is None or known.content_hash != file_hash:
-        raise ValueError("the file at the new place is another one")
-    moved = lambda c: F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c))
-    return paths.withColumn("path", moved("path")), chunks.withColumn("source_uri", moved("source_uri"))
-
-
 def with_relationship(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Edges with new ones put in; confidence must lie between 0 and 1."""
     checked = new.withColumn("confidence", F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(F.raise_error(F.lit("confidence must lie between 0 and 1"))))

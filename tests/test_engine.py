@@ -118,11 +118,6 @@ def test_papers_and_paths(spark):
     assert taken is None and rows(paths, "path", "is_primary") == [("/a", True)]
     same, taken = mutate.registered(None, paths, 2, "/a", "h1")
     assert taken == 1 and same.count() == 1
-    chunks = spark.createDataFrame([(1, "/a")], "chunk_id long, source_uri string")
-    moved, moved_chunks = mutate.relocated(paths, chunks, "/a", "/b", "h1")
-    assert rows(moved, "path") == [("/b",)] and rows(moved_chunks, "source_uri") == [("/b",)]
-    with pytest.raises(ValueError):
-        mutate.relocated(paths, chunks, "/a", "/b", "other")
 
 
 def test_pair_similarity_rules(spark):
