@@ -11,7 +11,9 @@ Spans are code points, end exclusive. Base kinds are assign, access and hex; the
 after them add spans of their own kinds.
 
 Cases: null texts are empty; matches that fail a rule's length are dropped without a retry;
-overlapping spans of different kinds all stay; repeated rows stay.
+overlapping spans of different kinds all stay; repeated rows stay; null ids stay null; very
+long texts are read in time that grows with their length; an empty table gives no rows; columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ BASE_RULES = (
 )
 MORE_RULES = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40),
+    # a run that begins no token is matched once and dropped, as group 1 is empty there; no later place in it could begin one
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)|eyJ[A-Za-z0-9_-]+", False, 1, 40),
     ("code_host", r"gh[pousr]_[A-Za-z0-9]+", False, 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 20),
     ("map_key", r"AIza[0-9A-Za-z_-]+", False, 0, 39),
@@ -244,7 +247,7 @@ def brute_spans(text: str | None, rules=RULES) -> list[tuple[int, int, int]]:
     out = []
     for at, (_, pattern, fold, group, least) in enumerate(rules):
         for m in re.finditer(pattern, text or "", re.ASCII | (re.IGNORECASE if fold else 0)):
-            if len(m.group(group)) >= least:
+            if m.end(group) - m.start(group) >= least:
                 out.append((m.start(), at, m.end()))
     return sorted(out)
 

@@ -1,6 +1,8 @@
 """License, secret and personal-data scans."""
 
 import random
+import re
+import time
 
 from docloom.llm import licenses, pii, secrets
 from tests.llm.helpers import ODD, none, odd, save
@@ -184,3 +186,16 @@ def test_long_logins_of_urls(spark):
     texts = [f"see https://{'u' * n}:{'p' * m}@example.org/x now" for n, m in ((80, 80), (81, 5), (5, 93), (3000, 3000))] + ["see https://u@example.org:80/x"]
     rows = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(frame(spark, texts))).collect()}
     assert [rows[i] for i in range(4)] == [f"url_login:9:{14 + n}" for n in (160, 86, 98, 6000)] and rows[4] == ""
+
+
+def test_runs_that_hold_many_token_heads_take_linear_time():
+    first = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    jwt = next(i for i, r in enumerate(secrets.RULES) if r[0] == "jwt")
+    scanner, r = secrets.Scanner(), random.Random(5)
+    texts = ["".join(r.choice(["eyJ", "eyJ" + "a" * 14, ".", "b-_", " ", "é", "eyJq."]) for _ in range(60)) for _ in range(300)]
+    found = scanner.scan([t.encode() for t in texts])
+    want = [[m.span() for m in first.finditer(t) if len(m.group()) >= 40] for t in texts]
+    assert [[(a, b) for a, k, b in spans if k == jwt] for spans in found] == want and any(want)
+    before = time.process_time()
+    long = "eyJ" * 700_000 + " eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".c"
+    assert [k for _, k, _ in scanner.scan([long.encode()])[0]] == [jwt] and time.process_time() - before < 5
