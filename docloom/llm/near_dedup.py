@@ -52,6 +52,8 @@ SAMPLE, FREQUENT, MOST_COMMON = 20_000, 4, 200_000
 SALTS = 256
 #: Pairs for each row of the join from which on one text of a shingle is first compared with the others, and rounds of that.
 PAIRS, MOST_ROUNDS = 64, 4
+#: Turns of naming texts anew that share 64 bits.
+NAMINGS = 8
 #: Longs of a text's bits, and texts of a shingle that meet in one task.
 WORDS, BLOCK = 16, 2000
 BITS = [f"b{i}" for i in range(WORDS)]
@@ -68,14 +70,36 @@ def digest() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def node(key: str = "key") -> Column:
+def half(first: int) -> Column:
+    """64 bits of the column ``key`` from a hex digit on."""
+    return F.conv(F.substring(F.hex("key"), first, 16), 16, -10).cast("long")
+
+
+def node() -> Column:
     """64 bits of a digest: texts are compared under this name."""
-    return F.conv(F.substring(F.hex(key), 1, 16), 16, -10).cast("long")
+    return half(1)
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key, node) of documents: equal texts have one node, different texts never share one.
+
+    Where several texts have the same 64 bits they are named anew, until no two are left that
+    share a name. Of 10^10 texts some six need it.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest().alias("key")).withColumn("node", node())
+    halves = [f(half(first)).alias(name) for first, f, name in ((1, F.min, "a1"), (1, F.max, "a2"), (17, F.min, "b1"), (17, F.max, "b2"))]
+    for turn in range(NAMINGS):
+        shared = written(rows.groupBy("node").agg(*halves).where("a1 < a2 or b1 < b2").select("node", F.lit(True).alias("__shared")), "shared")
+        if shared.isEmpty():
+            return rows
+        rows = rows.join(small(shared, shared.count()), "node", "left")
+        rows = rows.withColumn("node", F.when(F.col("__shared"), F.xxhash64("key", F.lit(turn))).otherwise(F.col("node"))).select("doc_id", "text", "key", "node")
+    raise RuntimeError("texts share their names in every turn")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(node, text) of documents."""
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), digest().alias("key")).select(node().alias("node"), "text")
+    """(node, text) of named documents."""
+    return docs.select("node", "text")
 
 
 def shingled(text: bytes) -> tuple[np.ndarray, int]:
@@ -394,12 +418,12 @@ def near_links(texts: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, key, root): documents with equal roots are near copies; ``key`` is the text's digest."""
     spark = docs.sparkSession
+    docs = named(docs)
     with scratch(spark):
         with scratch(spark):
             texts = written(sets(docs), "sets")
         linked = written(near_links(texts).distinct(), "near")
-    ids = docs.select("doc_id", digest().alias("key")).withColumn("node", node())
-    return with_roots(ids, small(linked, linked.count())).select("doc_id", "key", "root")
+    return with_roots(docs.select("doc_id", "key", "node"), small(linked, linked.count())).select("doc_id", "key", "root")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

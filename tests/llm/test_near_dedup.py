@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import near_dedup
 
@@ -127,3 +128,17 @@ def test_hot_copies(spark):
     rows = [(i, " ".join(base)) for i in range(3000)] + [(3000, near), (3001, " ".join(words(rng, 50)))]
     out = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7), "")
     assert sorted(r.doc_id for r in out.collect()) == [0, 3001]
+
+
+def test_texts_that_share_a_name_are_named_anew(spark, monkeypatch):
+    rng, texts = random.Random(8), []
+    for _ in range(12):
+        base = words(rng, 120)
+        texts += [" ".join(base), " ".join(base[:-4] + words(rng, 4))]
+    texts += [texts[0], "", "short"]
+    monkeypatch.setattr(near_dedup, "node", lambda: F.pmod(F.length("text"), F.lit(3)).cast("long"))
+    assert groups(spark, texts) == brute(texts)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, None])], "doc_id long, text string, node string")
+    rows = near_dedup.named(docs).collect()
+    assert len({r.node for r in rows}) == len({r.key for r in rows}) == len({r.text for r in rows}) and len(rows) == len(texts) + 1
+    assert near_dedup.named(docs.limit(0)).count() == 0
