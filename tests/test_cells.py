@@ -73,3 +73,35 @@ def test_similar_edges_with_skipped_blocks(spark):
     assert row(graph.similar_edges(found, 0.82)) == row(whole) != []
     pairs = skipped.first()
     assert 0 < pairs.met < pairs.every, pairs
+
+
+def test_cosines_below_the_threshold_stay_in_their_tile(spark):
+    """Single vectors: only pairs at the threshold leave a pair of tiles, though all blocks meet."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(60, 16))
+    rows = [(i, i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([near, near + rng.normal(size=near.shape) * 0.05, rng.normal(size=(180, 16))]))]
+    vectors = spark.createDataFrame(rows, "paper_id long, chunk_id long, embedding array<double>")
+    unit = np.array([v for _, _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if round(float(unit[i] @ unit[j]), 9) >= 0.82}
+    found = {(r.paper_a, r.paper_b) for r in graph.similar_pairs(vectors, 0.82, block=20)[0].collect()}
+    assert found == want and len(want) >= 60
+
+
+def test_best_pairs_are_alike_for_any_tiles(spark):
+    """Papers of many vectors, with ties, whose best three pairs lie in several strips and tiles."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 4, i, [float(x) for x in rng.integers(-2, 3, 5)]) for i in range(700)]
+    vectors = spark.createDataFrame(rows, "paper_id int, chunk_id long, embedding array<float>")
+    row = lambda df: sorted((r.paper_a, r.paper_b, round(r.score, 9), r.evidence_chunk_id, r.n) for r in df.collect())
+    v = np.array([x for _, _, x in rows])
+    norm = np.linalg.norm(v, axis=1)
+    ok = np.flatnonzero(norm > 0)
+    want = []
+    for a in range(4):
+        for b in range(a + 1, 4):
+            best = sorted((-round(float(v[i] @ v[j] / norm[i] / norm[j]), 9), i, j) for i in ok if i % 4 == a for j in ok if j % 4 == b)[:3]
+            want.append((a, b, round(-sum(x[0] for x in best) / 3, 9), best[0][1], 3))
+    assert row(graph.pair_similarity(vectors)) == row(graph.pair_similarity(vectors, block=90)) == want
+    of = spark.createDataFrame([(0,), (3,)], "paper_id int")
+    assert row(graph.pair_similarity(vectors, block=90, of=of)) == [w for w in want if {w[0], w[1]} & {0, 3}]
