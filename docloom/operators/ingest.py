@@ -135,13 +135,17 @@ def relinked(named: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, chunk_id): the first chunk of its document, by index, in which a name stands as whole words.
 
     ``named`` has (id, name, source_uri), ``chunks`` (chunk_id, chunk_index, source_uri,
-    content). Names and chunks of a document meet on the name's first word; only the texts of
-    those chunks are read again.
+    content). Each name is looked up once in a document, in the chunks that have the rarest of
+    its words; only the texts of those chunks are read again.
     """
-    word = r"[\p{L}\p{N}_]+"
-    names = named.select("id", "name", "source_uri", F.regexp_extract("name", word, 0).alias("word"))
-    words = chunks.select("chunk_id", "source_uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(word), F.lit(0)))).alias("word"))
-    met = words.join(names.select("source_uri", "word").distinct(), ["source_uri", "word"], "left_semi").join(names, ["source_uri", "word"])
+    words_of = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)))).alias("word")
+    names = named.select("name", "source_uri").distinct().select("name", "source_uri", words_of("name"))
+    words = chunks.select("chunk_id", "source_uri", words_of("content"))
+    met = written(words.join(names.select("source_uri", "word").distinct(), ["source_uri", "word"], "left_semi"), "words")
+    often = met.groupBy("source_uri", "word").agg(F.count("*").alias("n"))
+    rarest = names.join(often, ["source_uri", "word"], "left").groupBy("source_uri", "name").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    found = met.select("id", "name", "chunk_id").join(chunks.select("chunk_id", "chunk_index", "content"), "chunk_id").where(F.regexp_like("content", quoted))
-    return found.groupBy("id").agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id"))
+    asked = met.join(rarest, ["source_uri", "word"]).select("source_uri", "name", "chunk_id")
+    found = asked.join(chunks.select("chunk_id", "chunk_index", "content"), "chunk_id").where(F.regexp_like("content", quoted))
+    first = found.groupBy("source_uri", "name").agg(F.min(F.struct("chunk_index", "chunk_id")).alias("first"))
+    return named.select("id", "name", "source_uri").join(first, ["source_uri", "name"]).groupBy("id").agg(F.min("first").alias("f")).select("id", F.col("f.chunk_id").alias("chunk_id"))
