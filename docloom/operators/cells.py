@@ -138,10 +138,10 @@ class MetricIndex:
         least = F.greatest(F.lit(0.0), F.col("d") - F.col("high"), F.col("low") - F.col("d")) - SLACK
         return each.join(self.parts, "pivot").select("q", "part", "n", "d", least.alias("bound"))
 
-    def _visited(self, asked: DataFrame, k: int) -> DataFrame:
-        """(q, key, distance, read) of the best k of each part for (q, part, qvec, d, most): each part meets its queries."""
+    def _visited(self, asked: DataFrame, k: int, blocks: int) -> DataFrame:
+        """(q, key, distance, read) of the best k of each part for (q, part, qvec, d, most): each part meets its queries, in ``blocks`` of them."""
         key, kind = self.key, self.vectors.schema[self.key].dataType.simpleString()
-        blocked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(64)))
+        blocked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
         visits = blocked.select(F.col("part").alias("at"), F.col("block").alias("of")).distinct()
         held = self.vectors.join(visits, F.col("part") == F.col("at")).drop("part")
         met = blocked.groupBy("part", "block").cogroup(held.groupBy("at", "of"))
@@ -156,18 +156,19 @@ class MetricIndex:
         shaped = normalised("qvec") if self.metric == "cosine" else F.transform("qvec", lambda x: x.cast("double"))
         rows = queries.select("query_id", shaped.alias("qvec"), F.monotonically_increasing_id().alias("q")).where("qvec is not null")
         rows = written(rows, "queries")
+        blocks = max(1, -(-rows.count() // QUERIES))  # a vector is sent once for each
         order = Window.partitionBy("q").orderBy("bound", "part")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         nearby = self.near_cells(rows.withColumn("most", F.lit(None).cast("double")), k)
         first = written(nearby.withColumn("before", before).where(F.col("before") < k).select("q", "part", "d"), "first")
         vectors = rows.select("q", "qvec")
         columns = ["q", "part", "qvec", "d", "most"]
-        seeds = written(self._visited(first.withColumn("most", F.lit(float("inf"))).join(vectors, "q").select(columns), k), "seeds")
+        seeds = written(self._visited(first.withColumn("most", F.lit(float("inf"))).join(vectors, "q").select(columns), k, blocks), "seeds")
         ranked = seeds.where(f"{key} is not null").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance")))
         limits = ranked.where(F.col("r") == k).select("q", F.col("distance").alias("most"))
         limited = written(rows.join(limits, "q", "left").select("q", "qvec", F.coalesce("most", F.lit(float("inf"))).alias("most")), "limits")
         rest = self.near_cells(limited, k).join(first.select("q", "part"), ["q", "part"], "left_anti").join(limited, "q")
-        later = written(self._visited(rest.where(F.col("bound") <= F.col("most") + SLACK).select(columns), k), "later")
+        later = written(self._visited(rest.where(F.col("bound") <= F.col("most") + SLACK).select(columns), k, blocks), "later")
         names = rows.select("q", "query_id")
         every = seeds.unionByName(later)
         if counted:
