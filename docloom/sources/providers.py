@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +124,8 @@ def embedded(df: DataFrame, text: str, provider: Embedder, batch: int = 32, out:
 
 #: Fixed value: tokens of a query and a passage together, and those of them that mark begin, border and end.
 PAIR_TOKENS, PAIR_MARKS = 512, 3
+#: Pairs of a batch that are Python strings at once.
+PAIRS_AT_ONCE = 64
 
 
 def pair_lengths(query: int, passage: int, most: int) -> tuple[int, int]:
@@ -143,9 +146,14 @@ def cut_pair(query: str, passage: str, tokeniser: Tokeniser, most: int = PAIR_TO
 def cut_pairs(pairs: DataFrame, tokeniser: Tokeniser, query: str = "query", passage: str = "passage", most: int = PAIR_TOKENS - PAIR_MARKS) -> DataFrame:
     """``pairs`` with both texts cut to ``most`` tokens together; a null text counts as empty."""
 
-    @F.pandas_udf("q string, p string")
-    def run(queries: pd.Series, passages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut_pair(q or "", p or "", tokeniser, most) for q, p in zip(queries, passages)], columns=["q", "p"])
+    @F.arrow_udf("q string, p string")
+    def run(queries: pa.Array, passages: pa.Array) -> pa.Array:
+        out = [pa.StructArray.from_arrays([pa.array([], pa.string())] * 2, ["q", "p"])]
+        for at in range(0, len(queries), PAIRS_AT_ONCE):
+            both = (x.slice(at, PAIRS_AT_ONCE).to_pylist() for x in (queries, passages))
+            cut = [cut_pair(q or "", p or "", tokeniser, most) for q, p in zip(*both, strict=True)]
+            out.append(pa.StructArray.from_arrays([pa.array(side, pa.string()) for side in zip(*cut, strict=True)], ["q", "p"]))
+        return pa.concat_arrays(out)
 
     return pairs.withColumn("__cut", run(query, passage)).withColumn(query, F.col("__cut.q")).withColumn(passage, F.col("__cut.p")).drop("__cut")
 
