@@ -1,11 +1,13 @@
 """Audit of how the sources of a language diverge, by sorted runs of terms.
 
-Slices of texts hand on, for each language, term and source, a run of documents: the first of
-them, how many there are and how often the term occurs. The runs are range-partitioned and
-sorted by (lang, term, source, document), so a term of any frequency is spread over as many
-tasks as it needs, and one scan of the sorted rows adds up document frequency and counts. A
-term that begins and ends within a task is complete there and is dropped at once if too few
-documents have it; only what touches a task's edges is merged after.
+Sources are numbered within their language. Slices of texts hand on, for each language and term,
+a run of documents: the first of them, how many there are, and packed for each source how many
+of its documents have the term and how often. A row for each term, not one for each of its
+sources, is what is shuffled and sorted. The runs are range-partitioned and sorted by (term,
+lang, document), so a term of any frequency is spread over as many tasks as it needs, and one
+scan of the sorted rows adds up document frequency and counts. A term that begins and ends
+within a batch is complete there and is dropped before it is unpacked if too few documents
+have it; only what touches a batch's edges is merged after.
 
 A second scan, over the kept terms of all sources side by side, emits sums for pairs of
 sources and each source's candidate terms. For a pair (a, b) a term that neither source has
@@ -39,40 +41,82 @@ from docloom.session import table
 
 #: Documents of its language that a kept term has, unit of shares, ranks of terms.
 LEAST_DOCS, UNIT, TOP = 10, 1_000_000_000, 10
-#: Distinct (group, term) that a task counts, and sums of pairs that it holds, before it hands them on.
-MOST_COUNTED, MOST_PAIRS = 200_000, 1 << 22
+#: Distinct (group, term) that a task counts before it makes them arrays, such array rows and sums of pairs that it holds before it hands them on.
+MOST_COUNTED, MOST_HELD, MOST_PAIRS = 200_000, 1 << 21, 1 << 22
 #: Parts of a group's histogram.
 PARTS = 64
-RUN = "lang string, term string, source string, first long, docs long, n long"
+RUN = "lang string, term string, first long, docs long, sources binary"
+#: A source's part of a run.
+SOURCE = np.dtype([("no", "<i4"), ("docs", "<i4"), ("n", "<i8")])
+#: Runs of a batch that a task hands on.
+BATCH_RUNS = 20_000
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of terms of slices of (lang, source, doc_id, text)."""
-    groups: dict[tuple[str, str], tuple[int | None, Counter, Counter]] = {}
+def added(of: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(of, SOURCE) of rows of the same (of, no) added up, in that order."""
+    no, docs, n = rows
+    key = of.astype(np.int64) << 32 | no
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    out = np.empty(len(starts), SOURCE)
+    out["no"], out["docs"], out["n"] = key[starts] & 0xFFFFFFFF, np.add.reduceat(docs[order], starts), np.add.reduceat(n[order], starts)
+    return key[starts] >> 32, out
 
-    def flushed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (first, docs, counts) in groups.items():
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of terms of slices of (lang, no, doc_id, text)."""
+    groups: dict[tuple[str, int], tuple[Counter, Counter]] = {}
+    held: dict[str, list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    first: dict[str, int | None] = {}
+
+    def settled() -> int:
+        """Counters become arrays, a tenth as large."""
+        rows = 0
+        for (lang, no), (docs, counts) in groups.items():
             n = len(counts)
-            same = [pa.array([x] * n, kind) for x, kind in ((lang, pa.string()), (source, pa.string()), (first, pa.int64()))]
-            term = pa.array(counts.keys(), pa.binary()).cast(pa.string())
-            columns = [same[0], term, same[1], same[2], pa.array([docs[t] for t in counts], pa.int64()), pa.array(counts.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "first", "docs", "n"])
+            numbers = np.full(n, no, np.int32), np.fromiter(map(docs.__getitem__, counts), np.int32, n), np.fromiter(counts.values(), np.int64, n)
+            held.setdefault(lang, []).append((pa.array(counts.keys(), pa.binary()), *numbers))
+            rows += n
         groups.clear()
+        return rows
 
-    held = 0
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            terms = pa.concat_arrays([part[0] for part in parts]).dictionary_encode()
+            if not len(terms):
+                continue
+            code, sources = added(terms.indices.to_numpy(), [np.concatenate([part[i] for part in parts]) for i in (1, 2, 3)])
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))  # codes are 0 and on, none left out
+            ends = (np.append(starts, len(code)) * SOURCE.itemsize).astype(np.int32)
+            n = len(starts)
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(sources)])
+            docs = np.add.reduceat(sources["docs"].astype(np.int64), starts)
+            columns = [pa.array([lang] * n, pa.string()), terms.dictionary.cast(pa.string()), pa.array([first[lang]] * n, pa.int64()), pa.array(docs), packed]
+            whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "first", "docs", "sources"])
+            for at in range(0, n, BATCH_RUNS):
+                yield whole.slice(at, BATCH_RUNS)
+        held.clear()
+        first.clear()
+
+    counting = rows = 0
     for part in sliced(batches, 3):
-        for lang, source, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), utf8(part.column(3)), strict=True):
-            _, docs, counts = groups.setdefault((lang, source), (doc, Counter(), Counter()))
+        for lang, no, doc, text in zip(*(part.column(i).to_pylist() for i in range(3)), utf8(part.column(3)), strict=True):
+            first.setdefault(lang, doc)
+            docs, counts = groups.setdefault((lang, no), (Counter(), Counter()))
             before, seen = len(counts), set()
             for piece in pieces(text, LETTER_TABLE):
                 terms = piece.split()
                 counts.update(terms)
                 seen.update(terms)
             docs.update(seen)
-            held += len(counts) - before
-            if held > MOST_COUNTED:
-                yield from flushed()
-                held = 0
+            counting += len(counts) - before
+            if counting > MOST_COUNTED:
+                rows, counting = rows + settled(), 0
+                if rows > MOST_HELD:
+                    yield from flushed()
+                    rows = 0
+    settled()
     yield from flushed()
 
 
@@ -87,48 +131,42 @@ def changes(columns: list[pa.Array]) -> np.ndarray:
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, term, source, docs, n) of sorted runs, without the terms that are seen whole and have too few documents."""
-    carried, first = None, True
-    names = ["lang", "term", "source", "docs", "n"]
-
-    def told(rows: pa.Table, whole: np.ndarray) -> pa.RecordBatch:
-        starts = changes([rows.column(0), rows.column(1)])
-        docs = np.add.reduceat(rows.column(3).to_numpy(), starts)
-        kept = ~whole[: len(starts)] | (docs >= LEAST_DOCS)
-        return rows.filter(pa.array(np.repeat(kept, np.diff(np.append(starts, rows.num_rows)))))
-
-    def reduced(rows: pa.Table) -> pa.Table:
-        starts = changes([rows.column(i) for i in (0, 1, 2)])
-        sums = [pa.array(np.add.reduceat(rows.column(i).to_numpy(), starts)) for i in (3, 4)]
-        return pa.table([rows.column(i).take(pa.array(starts)) for i in (0, 1, 2)] + sums, names=names)
-
+    """(lang, term, no, docs, n) of sorted runs, without the terms that are seen whole and have too few documents."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.table(batch).select(names)
-        rows = reduced((rows if carried is None else pa.concat_tables([carried, rows])).combine_chunks()).combine_chunks()
-        starts = changes([rows.column(0).chunk(0), rows.column(1).chunk(0)])
-        last = int(starts[-1])  # the last term may go on
-        carried = rows.slice(last)
-        if last:
-            whole = np.ones(len(starts), bool)
-            whole[0] = not first
-            first = False
-            yield from told(rows.slice(0, last).combine_chunks(), whole).to_batches()
-    if carried is not None:
-        yield from carried.to_batches()
-
-
-def term_runs(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, n, total, head) of the kept terms: total over the language, head 1 for one source of each term."""
+        lang, term, docs, sources = (batch.column(c) for c in ("lang", "term", "docs", "sources"))
+        starts = changes([term, lang])
+        kept = np.add.reduceat(docs.to_numpy(), starts) >= LEAST_DOCS
+        kept[0] = kept[-1] = True  # they may go on in another batch
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+        rows = np.flatnonzero(kept[of])
+        sources = sources.take(pa.array(rows))
+        each = np.frombuffer(b"".join(sources.to_pylist()), SOURCE)
+        of = np.repeat(of[rows], pc.binary_length(sources).to_numpy() // SOURCE.itemsize)
+        of, each = added(of, [each["no"], each["docs"].astype(np.int64), each["n"]])
+        at = pa.array(starts[of])
+        columns = [lang.take(at), term.take(at), *(pa.array(each[c].astype(np.int64)) for c in ("no", "docs", "n"))]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "no", "docs", "n"])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(lang, source, no) of every occurring group; numbers from 1 in each language."""
+    found = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    return written(found.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source"))), "numbers")
+
+
+def term_runs(docs: DataFrame, numbers: DataFrame, groups: int) -> DataFrame:
+    """(lang, term, no, n, total, head) of the kept terms: total over the language, head 1 for one source of each term."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], F.col("doc_id").cast("long").alias("doc"), "text")
+    texts = texts.join(small(numbers, groups), ["lang", "source"]).select("lang", "no", "doc", "text")
     runs = written(texts.mapInArrow(counted, RUN), "runs")
-    order = ("lang", "term", "source", "first")
-    merged = runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scanned, "lang string, term string, source string, docs long, n long")
-    each = merged.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    order = ("term", "lang", "first")
+    merged = runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scanned, "lang string, term string, no long, docs long, n long")
+    each = merged.repartition("lang", "term").groupBy("lang", "term", "no").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     term = Window.partitionBy("lang", "term")
-    each = each.withColumns({"docs": F.sum("docs").over(term), "total": F.sum("n").over(term), "head": F.row_number().over(term.orderBy("source"))})
-    return written(each.where(F.col("docs") >= LEAST_DOCS).select("lang", "term", "source", "n", "total", (F.col("head") == 1).cast("long").alias("head")), "kept")
+    each = each.withColumns({"docs": F.sum("docs").over(term), "total": F.sum("n").over(term), "head": F.row_number().over(term.orderBy("no"))})
+    return written(each.where(F.col("docs") >= LEAST_DOCS).select("lang", "term", "no", "n", "total", (F.col("head") == 1).cast("long").alias("head")), "kept")
 
 
 def share(count: str, size: str) -> Column:
@@ -145,13 +183,12 @@ def gap(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) div ({p} + {q}))"
 
 
-def groups_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def groups_of(numbers: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, no, size, lang_size, terms, zero) of every occurring group; sizes are the divisors N + 2 V."""
-    found = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("head").alias("heads"))
+    sums = kept.groupBy("lang", "no").agg(F.sum("n").alias("n"), F.sum("head").alias("heads"))
     lang = Window.partitionBy("lang")
-    rows = found.join(sums, ["lang", "source"], "left").fillna(0, ["n", "heads"])
-    rows = rows.withColumns({"terms": F.sum("heads").over(lang), "lang_n": F.sum("n").over(lang), "no": F.row_number().over(lang.orderBy("source"))})
+    rows = numbers.join(sums, ["lang", "no"], "left").fillna(0, ["n", "heads"])
+    rows = rows.withColumns({"terms": F.sum("heads").over(lang), "lang_n": F.sum("n").over(lang)})
     rows = rows.select("lang", "source", "no", "terms", *[F.greatest(F.col(c) + 2 * F.col("terms"), F.lit(2)).alias(name) for c, name in (("n", "size"), ("lang_n", "lang_size"))])
     return written(rows.withColumn("zero", share("0L", "size")), "groups")
 
@@ -255,10 +292,11 @@ def compared(top: int, most: int = MOST_PAIRS) -> Callable[[Iterator[pa.RecordBa
 
 def divergences(docs: DataFrame, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank) of the sources of documents."""
-    kept = term_runs(docs)
-    groups = groups_of(docs, kept)
-    n = groups.count()
-    named = kept.join(small(groups, n), ["lang", "source"])
+    numbers = numbered(docs)
+    n = numbers.count()
+    kept = term_runs(docs, numbers, n)
+    groups = groups_of(numbers, kept)
+    named = kept.join(small(groups, n), ["lang", "no"])
     shares = named.select("lang", "term", F.col("no").cast("long").alias("no"), share("n", "size").alias("p"), share("total", "lang_size").alias("q"), "zero")
     scanned_rows = shares.repartition("lang", "term").sortWithinPartitions("lang", "term", "no").mapInArrow(compared(top), "lang string, a long, b long, term string, value long")
     found = written(scanned_rows, "compared")

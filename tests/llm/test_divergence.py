@@ -102,6 +102,21 @@ def test_runs_over_tiny_batches(spark, tmp_path, monkeypatch):
     assert same_rows(got, plain([(d[1], d[2], d[3]) for d in docs]))
 
 
+def test_a_task_hands_on_a_row_for_each_term(monkeypatch):
+    """Not one for each source of a term; also if counters are turned into arrays after each document."""
+    texts = ["one two two", "Two three", "漢字 one"] * 40
+    columns = [pa.array(["en"] * 120), pa.array([i % 40 + 1 for i in range(120)], pa.int32()), pa.array([None, *range(119)], pa.int64()), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["lang", "no", "doc", "text"])
+    for most in (divergence.MOST_COUNTED, 0):
+        monkeypatch.setattr(divergence, "MOST_COUNTED", most)
+        runs = list(divergence.counted(iter([batch])))
+        assert sum(b.num_rows for b in runs) == 4 and sum(b.column("docs").to_pylist().count(80) for b in runs) == 2
+        runs = pa.Table.from_batches(runs).sort_by([("term", "ascending")]).combine_chunks().to_batches()
+        got = Counter({(r["term"], r["no"]): (r["docs"], r["n"]) for b in divergence.scanned(iter(runs)) for r in b.to_pylist()})
+        want = {(t, no): (sum(t in x for x in own), sum(x.count(t) for x in own)) for no in range(1, 41) for own in [[x.lower().split() for i, x in enumerate(texts) if i % 40 + 1 == no]] for t in {w for x in own for w in x}}
+        assert got == want
+
+
 def test_pair_sums_are_handed_on_early():
     """A scan that holds few sums yields the same pairs in more parts."""
     rng = np.random.default_rng(4)
