@@ -8,7 +8,9 @@ of the target. Documents of one size are ordered by a hash of id and text.
 
 As all documents of a source are expected equally often, a prefix sum is a row number times
 that expectation; rows are numbered in buckets that keep their size however large a source
-or a size of it is. The table of sources has one row for each and is ordered by one task,
+or a size of it is. What a document holds may stay apart from that: by size, the last bucket of
+a source has its longest texts, so the pipeline stage sorts numbers alone and adds the texts
+after, by the number of their row. The table of sources has one row for each and is ordered by one task,
 which is meant for up to some millions of sources.
 
 Cases: null texts have size 0; a null source is a source of its own and comes last; empty
@@ -58,16 +60,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return levelled.select("key", "source_size", F.least(F.col("weight") * F.col("level"), F.col("most").cast("double")).alias("target"))
 
 
-def placed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The ``keep`` columns of ``docs``, named k_ and their name, with ``size``, ``source_size``, ``target`` and ``copies``."""
+def placed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, apart: bool = False) -> DataFrame:
+    """The ``keep`` columns of ``docs``, named k_ and their name, with ``size``, ``source_size``, ``target`` and ``copies``.
+
+    ``apart``: they aren't sorted, but joined to what is taken of them; rows not taken are left out.
+    """
     name = F.coalesce(F.concat(F.lit("0"), F.col("doc_id").cast("string")), F.lit("1"))
     rows = docs.select(
         *[F.col(c).alias(f"k_{c}") for c in keep],
+        *[F.monotonically_increasing_id().alias("row")] * apart,
         F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("key"),
         word_count().alias("size"),
         _hex(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.coalesce(F.md5("text"), F.lit(""))), 15).alias("mark"),
     )
-    rows = written(rows, "mix")
+    rows = held = written(rows, "mix")
+    if apart:
+        rows = rows.drop(*[f"k_{c}" for c in keep])
     sizes = written(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     shares = targets(sizes.drop("n"), weights, cap).withColumn(
         "step", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("long")
@@ -88,7 +96,11 @@ def placed(docs: DataFrame, keep: tuple[str, ...], weights: tuple[int, ...] = WE
         return F.floor(F.shiftright(i * part + F.col("offset"), 28))
 
     copies = (whole + crossed(i + 1) - crossed(i)).cast("long")
-    return numbered.select(*[f"k_{c}" for c in keep], "size", "source_size", "target", copies.alias("copies"))
+    own = ["size", "source_size", "target", "copies"]
+    numbered = numbered.withColumn("copies", copies)
+    if apart:  # the table of numbers is hashed, so texts pass by it unsorted
+        numbered = held.select("row", *[f"k_{c}" for c in keep]).join(numbered.where("copies > 0").select("row", *own).hint("shuffle_hash"), "row")
+    return numbered.select(*[f"k_{c}" for c in keep], *own)
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...], **settings) -> DataFrame:
@@ -107,7 +119,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
     columns = tuple(docs.columns)
-    mixed = placed(docs, columns)
+    mixed = placed(docs, columns, apart=True)
     repeated = mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*[F.col(f"k_{c}").alias(c) for c in columns])
 

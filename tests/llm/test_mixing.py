@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from docloom.llm import mixing
 from tests.llm.helpers import none, odd, save
@@ -108,3 +108,16 @@ def test_rows_without_ids_and_one_id_of_many_texts(spark, tmp_path):
         assert abs(taken - target) <= 5
     kept = lambda: sorted(r.text for r in mixing.stage(spark, df.repartition(3), "").collect())
     assert kept() == kept()
+
+
+def test_stage_sorts_no_texts(spark):
+    """What the stage takes is what the operator says, and no window or sort holds a text."""
+    df = spark.createDataFrame([(i if i % 5 else None, f"w{i % 40} " * (i % 11), "en", "abc"[i % 3] if i % 7 else None, i) for i in range(700)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.stage(spark, df.repartition(4), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    want = Counter({(r.doc_id, r.text): 0 for r in df.collect()})
+    for r in mixing.mix(df.repartition(3), ("doc_id", "text")).collect():
+        want[r.doc_id, r.text] += r.copies
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == +want
+    below = plan[plan.index("Window [") :]
+    assert "Join" in plan[: plan.index("Window [")] and "k_text" in plan and "k_text" not in below
