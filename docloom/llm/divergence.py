@@ -77,7 +77,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(counts)
             numbers = np.full(n, no, np.int32), np.fromiter(map(docs.__getitem__, counts), np.int32, n), np.fromiter(counts.values(), np.int64, n)
             held.setdefault(lang, []).append((pa.array(counts.keys(), pa.binary()), *numbers))
-            rows += n
+            rows += max(n, held[lang][-1][0].nbytes // 32)  # long terms count as several
         groups.clear()
         return rows
 
@@ -110,7 +110,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.update(terms)
                 seen.update(terms)
             docs.update(seen)
-            counting += len(counts) - before
+            counting += max(len(counts) - before, len(text) >> 8)
             if counting > MOST_COUNTED:
                 rows, counting = rows + settled(), 0
                 if rows > MOST_HELD:

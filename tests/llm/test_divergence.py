@@ -117,6 +117,16 @@ def test_a_task_hands_on_a_row_for_each_term(monkeypatch):
         assert got == want
 
 
+def test_long_terms_are_handed_on_early(monkeypatch):
+    """A task holds so many bytes of terms, not only so many terms."""
+    monkeypatch.setattr(divergence, "MOST_COUNTED", 1000)
+    monkeypatch.setattr(divergence, "MOST_HELD", 10_000)
+    texts = [chr(97 + i // 26) + chr(97 + i % 26) * 100_000 for i in range(40)]
+    columns = [pa.array(["en"] * 40), pa.array([1] * 40, pa.int32()), pa.array(range(40), pa.int64()), pa.array(texts)]
+    runs = list(divergence.counted(iter([pa.RecordBatch.from_arrays(columns, ["lang", "no", "doc", "text"])])))
+    assert len(runs) > 5 and sorted(t for b in runs for t in b.column("term").to_pylist()) == sorted(texts)
+
+
 def test_pair_sums_are_handed_on_early():
     """A scan that holds few sums yields the same pairs in more parts."""
     rng = np.random.default_rng(4)
