@@ -20,10 +20,11 @@ counted on that alone. Before, a pair is held against the filters of such a join
 by position in the order, and by ``WORDS`` longs of bits, one for each shingle by hash, as a
 text can't share a shingle whose bit the other lacks.
 
-A shingle of many texts is not joined all with all. While that would make more than ``PAIRS``
-pairs for each row, one of its texts is compared with all others, for ``MOST_ROUNDS`` rounds at
-most, and texts that are connected by then need no further comparison. Afterwards all pairs
-that are not connected are compared.
+A shingle of many texts is not joined all with all, as a family of near copies would make pairs
+by the square of its size. One of its texts is compared with all others, and texts that are
+connected by then need no further comparison. Such rounds go on, ``MOST_ROUNDS`` at most, while
+what those texts meet tells that all pairs would be more than ``PAIRS`` for each row. The count
+steers cost alone: afterwards all pairs that are not connected are compared.
 
 Cases: null texts are empty; empty texts are equal texts; a text of fewer than five words is
 one shingle; of a group the row with the smallest id stays (null ids come last), and among
@@ -51,7 +52,7 @@ SAMPLE, FREQUENT, MOST_COMMON = 20_000, 4, 200_000
 #: Tasks over which a frequent shingle's texts are dealt.
 SALTS = 256
 #: Pairs for each row of the join from which on one text of a shingle is first compared with the others, and rounds of that.
-PAIRS, MOST_ROUNDS = 64, 4
+PAIRS, MOST_ROUNDS = 1, 8
 #: Turns of naming texts anew that share 64 bits.
 NAMINGS = 8
 #: Longs of a text's bits, and texts of a shingle that meet in one task.
@@ -375,6 +376,12 @@ def live(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "h", "left_semi")
 
 
+def per_shingle(rows: DataFrame) -> DataFrame:
+    """(h, n, main, apart): rows of each shingle, its most frequent root and the rows that are of another."""
+    roots = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    return roots.select("h", "n", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("apart"))
+
+
 def simhash_links(texts: DataFrame) -> DataFrame:
     """Links between each text and the first of its SimHash class."""
     linked = classes(texts.select("fp").distinct())
@@ -389,22 +396,26 @@ def near_links(texts: DataFrame) -> DataFrame:
     linked = components(edges)
     rows = written(live(with_roots(prefixes(texts), linked)), "near")
     for turn in range(MOST_ROUNDS):
-        # while all pairs would be many more than the rows, one text of each shingle is compared with the others
-        sums = rows.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).first()
+        sums = per_shingle(rows).agg(F.sum("n").alias("rows"), F.sum(F.col("n").cast("double") * F.col("apart")).alias("pairs")).first()
         if not sums.rows:
             return linked
         if sums.pairs <= PAIRS * sums.rows:
             break
+        # one text of each shingle is compared with the others
         head = F.min(F.when(F.col("inner"), F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size", "alone", "pos", "root", *BITS))).alias("head")
-        heads = rows.groupBy("h").agg(head).select("h", "head.*")
+        heads = rows.groupBy("h").agg(head, F.count("*").alias("n")).select("h", "head.*", "n")
         met = rows.alias("r").join(heads.alias("o"), "h").where(F.expr("r.root <> o.root") & may_link("r", "o"))
-        edges = edges.unionByName(verified(ordered_pairs(met, "r.node", "o.node"), texts))
+        met = written(met.select(F.col("r.node").alias("x"), F.col("o.node").alias("y"), "n"), "met")
+        expected = met.agg(F.sum("n").alias("n")).first().n or 0
+        edges = edges.unionByName(verified(ordered_pairs(met, "x", "y"), texts))
         linked = components(edges)
         # a head has met all of its shingle
         rest = rows.join(heads.select("h", "node"), ["h", "node"], "left_anti")
         rows = written(live(with_roots(rest, linked)), "near")
+        if expected <= PAIRS * sums.rows:  # each text of a shingle meets as many as its head did
+            break
     # all pairs of a shingle that are not connected: one of the two is outside its main group; a large shingle meets in pairs of blocks
-    main = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    main = per_shingle(rows).select("h", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = written(rows.join(main, "h"), "dealt")
     left = dealt.where("root <> main").withColumns({"i": own, "j": F.explode(every)})

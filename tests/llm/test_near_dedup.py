@@ -142,3 +142,19 @@ def test_texts_that_share_a_name_are_named_anew(spark, monkeypatch):
     rows = near_dedup.named(docs).collect()
     assert len({r.node for r in rows}) == len({r.key for r in rows}) == len({r.text for r in rows}) and len(rows) == len(texts) + 1
     assert near_dedup.named(docs.limit(0)).count() == 0
+
+
+def test_a_family_is_not_compared_all_with_all(spark, monkeypatch):
+    """Of families of 30 and 60 near copies a text is compared with a few others, however large the family is."""
+    rng, texts, compared = random.Random(11), [], []
+    for size in (30, 60):
+        base = words(rng, 400)
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(400), 4):
+                copy[at] = rng.choice(VOCABULARY)
+            texts.append(" ".join(copy))
+    count = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, of: (compared.append(pairs.count()), count(pairs, of))[1])
+    assert groups(spark, texts) == brute(texts)
+    assert sum(compared) <= 8 * len(texts), compared
