@@ -41,6 +41,33 @@ def test_sessions_of_any_size(spark, monkeypatch):
             assert got == {k: n for k, n in counts.items() if n >= 2}
 
 
+def test_documents_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    """What is shuffled does not grow with the square of the documents, and counted pairs are not shuffled at all."""
+    monkeypatch.setattr(stats, "SESSION_BLOCK", 2)
+    monkeypatch.setattr(stats, "SMALL_SESSION", 20)
+    monkeypatch.setattr(stats, "SESSION_TILES", 3)
+    monkeypatch.setattr(stats, "FEW_PAIRS", 3)
+    monkeypatch.setattr(stats, "ROWS_OUT", 7)
+    sent = []
+    tiled = stats._tiled
+    monkeypatch.setattr(stats, "_tiled", lambda packed, tiles: sent.append(tiled(packed, tiles)) or sent[-1])
+    sessions = {1: range(60), 2: range(10, 50), 3: range(55, 70), 4: range(0, 60, 5), 5: (66, 67, 3), 6: (66, 67, 3), 7: (8, 9)}
+    each = spark.createDataFrame([(f"u{u}", s) for s, us in sessions.items() for u in us], "source_uri string, session_id int")
+    counts = {}
+    for us in sessions.values():
+        names = sorted(f"u{u}" for u in us)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                counts[a, b] = counts.get((a, b), 0) + 1
+    for least in (1, 2, 3):
+        found = stats.cooccurrence_of(each, least)
+        assert sorted((r.uri_a, r.uri_b, r.co_sessions) for r in found.collect()) == sorted((*k, n) for k, n in counts.items() if n >= least)
+        documents = sent[-1].select("source_uri").distinct().count()
+        assert documents > 30
+        assert sent[-1].count() <= documents * 3  # every tile with every tile, itself once
+        assert "sum(co_sessions" not in str(found._jdf.queryExecution().optimizedPlan())
+
+
 def test_names_are_looked_up_once_in_a_document(spark):
     """Many facts of one name and one document; a name ends where ``\\b`` says so."""
     named = [(i, "Brand#7" if i % 2 else "Brand#8", "/a") for i in range(50)] + [(90, "x7", "/a"), (91, "Brand#7", "/b"), (92, "Brand#9", "/a")]
