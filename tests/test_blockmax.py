@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,40 @@ def test_gone_chunks_count_nowhere(spark, tmp_path):
     queries = spark.createDataFrame([(0, "a b"), (1, "f")], "query_id int, term string")
     answer = lambda index: sorted(map(tuple, index.best(queries, 9).select("query_id", "chunk_id", "score", "rank").collect()))
     assert answer(kept) == answer(Index.of(live, "chunk_id"))
+
+
+def test_an_index_is_saved_from_one_pass_over_its_postings(spark, tmp_path):
+    """Ranges are sampled, which must not read the texts again; rows packed together are those packed one by one."""
+    seen = spark.sparkContext.accumulator(0)
+    texts = [(i, " ".join(f"w{(i * j) % (j + 3)}" for j in range(40))) for i in range(300)]
+    index = Index.of(spark.createDataFrame(texts, "chunk_id long, content string"), "chunk_id", stem=False)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    n = index.postings.count()
+    index.postings = index.postings.mapInArrow(counted, index.postings.schema)
+    index.save(str(tmp_path / "index"))
+    assert seen.value == n
+    assert spark.read.parquet(str(tmp_path / "index/postings")).count() == n
+
+
+def test_rows_packed_together():
+    rng = np.random.default_rng(3)
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("tf", pa.int32()), ("len", pa.int32())]))
+    lists = [[{"place": int(p), "tf": int(rng.integers(1, 6)), "len": int(rng.integers(1, 40))} for p in sorted(rng.choice(1 << 16, n, replace=False))] for n in (1, 128, 129, 1000, 1, 256)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(6)]), pa.array(range(6), pa.int64()), pa.array(lists, kind)], ["term", "shard", "found"])
+    for part in (batch, batch.slice(2, 3)):
+        (got,) = blockmax._packed([part])
+        for row in got.to_pylist():
+            found = lists[row["shard"]]
+            place, tf, size = (np.array([x[c] for x in found]) for c in ("place", "tf", "len"))
+            starts = np.arange(0, len(found), blockmax.BLOCK)
+            kept = [blockmax.edges(tf[i : i + blockmax.BLOCK], size[i : i + blockmax.BLOCK]) + i for i in starts]
+            edge = np.concatenate(kept)
+            want = (place, tf, size, place[np.append(starts[1:], len(place)) - 1], tf[edge], size[edge], np.cumsum([0, *map(len, kept)]))
+            assert row["n"] == len(found)
+            for name, values in zip(("places", "tfs", "lens", "ends", "edge_tf", "edge_len", "edges"), want, strict=True):
+                assert blockmax._ints(row[name]).tolist() == values.tolist()

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,23 @@ def test_more_queries_than_a_block(spark):
     found = R.nearest(queries, vectors, "chunk_id", 2).collect()
     assert len(found) == 2 * n
     assert {r.query_id: r.chunk_id for r in found if r["rank"] == 1} == {i: i % 7 for i in range(n)}
+
+
+def test_nearest_measures_few_of_all_pairs(spark, monkeypatch):
+    """Copies, ties, nulls, other lengths and numbers without an end: as measuring every pair."""
+    monkeypatch.setattr(R, "VECTORS_AT_ONCE", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 2]) for i in range(700)]
+    rows += [(700, None), (701, [1.0, None, 0.0, 0.0]), (702, [1.0]), (703, [float("nan"), 0.0, 0.0, 0.0]), (704, [float("inf"), 0.0, 0.0, 0.0]), (705, [])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in range(9)], "query_id int, qvec array<float>")
+    for k in (5, 2000):
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.distance) for r in R.nearest(queries, vectors, "chunk_id", k).where("distance < 1000").collect()}
+        want = {}
+        for q in range(9):
+            each = sorted((round(sum((a - b) ** 2 for a, b in zip(v, rows[q][1], strict=True)) ** 0.5, 9), i) for i, v in rows[:700])
+            want |= {(q, n + 1): (i, d) for n, (d, i) in enumerate(each[:k])}
+        assert got == want
+    assert R.nearest(queries, vectors, "chunk_id", 2000).where("query_id = 0").count() == 702  # what is not finite comes last
+    sent = vectors.coalesce(1).mapInArrow(R._possible(np.array([r[1] for r in rows[:9]]), 5, 9), "i int, chunk_id long, embedding array<float>")
+    assert sent.count() < 9 * 700 / 2
