@@ -17,6 +17,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 _MATCHED = T.StructType().add("holds", T.BooleanType()).add("tf", T.ArrayType(T.IntegerType()))
 #: Query words that a filter holds as a set.
 MOST_TERMS = 5000
+#: Keys of several rows that a filter holds as a set.
+MOST_KEYS = 5000
 #: Rows of a batch that are Python objects at once.
 ROWS_AT_ONCE = 256
 
@@ -26,9 +28,33 @@ def occurrences(chunks: DataFrame, key: str, text: str, stem: bool = False, fold
     return chunks.select(key, F.posexplode(terms(F.col(text), stem, fold)).alias("pos", "term"))
 
 
-def postings(words: DataFrame, key: str) -> DataFrame:
-    """(term, key, tf) of occurrences."""
-    return words.groupBy("term", key).agg(F.count("*").alias("tf"))
+def come_again(rows: DataFrame, key: str, most: int = MOST_KEYS) -> Column | None:
+    """Whether a row's key is null or that of another row, too; None if more than ``most`` keys come again."""
+    several = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    again = [r[key] for r in several.select(key).limit(most + 1).collect()]
+    if len(again) > most:
+        return None
+    return F.col(key).isNull() | F.col(key).isin(again) if again else F.col(key).isNull()
+
+
+def postings(chunks: DataFrame, key: str, text: str, stem: bool = False, fold: bool = False, most: int = MOST_KEYS) -> DataFrame:
+    """(term, key, tf) of chunks.
+
+    A chunk's words are in one row, so they are counted there: sorted, equal words are a run.
+    Only chunks whose keys come again are counted by term and key; if more than ``most`` keys
+    do, all are.
+    """
+    counted = lambda some: occurrences(some, key, text, stem, fold).groupBy("term", key).agg(F.count("*").alias("tf"))
+    again = come_again(chunks, key, most)
+    if again is None:
+        return counted(chunks)
+    words = chunks.where(~again).select(key, F.sort_array(terms(F.col(text), stem, fold)).alias("words"))
+    places = F.slice(F.sequence(F.lit(0), F.size("words")), 1, F.size("words"))
+    begins = F.filter(places, lambda i: ~F.equal_null(F.get("words", i), F.get("words", i - 1)))
+    # inline takes an expression: of a column Spark would derive a filter and compute the words once more below it
+    end = lambda run: F.coalesce(F.get("begins", run + 1), F.size("words"))
+    runs = F.transform("begins", lambda at, run: F.struct(F.get("words", at).alias("term"), (end(run) - at).alias("tf")))
+    return words.select(key, "words", begins.alias("begins")).select(key, F.inline(runs)).select("term", key, F.col("tf").cast("long").alias("tf")).unionByName(counted(chunks.where(again)))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str = "content", stem: bool = False, fold: bool = False, most: int = MOST_TERMS) -> DataFrame:

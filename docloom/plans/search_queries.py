@@ -51,8 +51,8 @@ def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    words = lexical.occurrences(views.whole_chunks(spark, sf), "chunk_id", "content")
-    return lexical.postings(words, "chunk_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    found = lexical.postings(views.whole_chunks(spark, sf), "chunk_id", "content")
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 def _bm25(spark: SparkSession, sf: str, stem: bool = False) -> DataFrame:

@@ -150,3 +150,21 @@ def test_nearest_measures_few_of_all_pairs(spark, monkeypatch):
     assert R.nearest(queries, vectors, "chunk_id", 2000).where("query_id = 0").count() == 702  # what is not finite comes last
     sent = vectors.coalesce(1).mapInArrow(R._possible(np.array([r[1] for r in rows[:9]]), 5, 9), "i int, chunk_id long, embedding array<float>")
     assert sent.count() < 9 * 700 / 2
+
+
+def test_words_are_counted_within_their_row(spark):
+    """Keys that come once need no aggregate by term and key; null keys, repeated ones, empty and null texts count as ever."""
+    rows = [(1, "b a b"), (2, "b"), (2, "b c"), (None, "a"), (None, "a d"), (3, ""), (4, None), (5, "x"), (5, "x"), (6, "z " * 3000 + "é 1"), (7, None), (7, "a")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    want = {}
+    for key, text in rows:
+        for w in (text or "").split():
+            want[w, key] = want.get((w, key), 0) + 1
+    for most in (L.MOST_KEYS, 2, 0):
+        found = L.postings(chunks, "chunk_id", "content", most=most)
+        got = [((r.term, r.chunk_id), r.tf) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        assert found.schema.simpleString() == "struct<term:string,chunk_id:bigint,tf:bigint>"
+    plan = L.postings(chunks, "chunk_id", "content")._jdf.queryExecution().optimizedPlan().toString()
+    once, several = plan.split("Aggregate [term")  # the union's first branch counts nothing by term and key
+    assert "inline" in once and "isnull(chunk_id" in several
