@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.lexical import B, K1, LEAST_IDF, top
+from docloom.operators.lexical import B, K1, LEAST_IDF, come_again, top
 
 BLOCK, SHARD = 128, 1 << 16
 #: Postings that are packed at once.
 AT_ONCE = 1 << 20
+#: Postings that a task puts in order, about.
+TASK_POSTINGS = 1 << 19
 #: Stretches of a walk's first batch.
 FIRST = 16
 #: Digits to which scores are compared, as in ``lexical.top``.
@@ -99,12 +101,68 @@ def _place(key: str) -> Column:
     return F.col(key).cast("long").bitwiseAND(F.lit(SHARD - 1)).cast("int")
 
 
+def parts(n: int) -> int:
+    """Tasks to put n postings in order."""
+    return max(1, -(-n // TASK_POSTINGS))
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where the groups of rows in the order of (term, shard) begin."""
+    term, shard = rows.column(0).dictionary_encode().indices.to_numpy(), rows.column(1).to_numpy()
+    return np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(shard) != 0)))
+
+
+def _listed(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """(term, shard, postings as a list) of rows (term, shard, place, tf, len) with the groups' starts."""
+    postings = pa.StructArray.from_arrays(rows.columns[2:], ["place", "tf", "len"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, rows.num_rows), pa.int32()), postings)
+    return pa.RecordBatch.from_arrays([*(c.take(pa.array(starts)) for c in rows.columns[:2]), lists], ["term", "shard", "found"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups of rows in order; the last group of a batch waits for the next, which may go on with it."""
+    held: list[pa.RecordBatch] = []
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    of = lambda batch, i: (batch.column(0)[i], batch.column(1)[i])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if of(held[0], 0) == of(batch, batch.num_rows - 1):
+            continue
+        rows = whole()
+        starts = _starts(rows)
+        yield _listed(rows.slice(0, starts[-1]), starts[:-1])
+        held = [rows.slice(starts[-1])]
+    if held:
+        yield _listed(whole(), np.zeros(1, np.int64))
+
+
+def _sized(postings: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """(term, key, tf, len) of postings and lengths (key, len).
+
+    Postings may have the len of their chunk already; then only those of keys with several
+    lengths are joined with them.
+    """
+    tf = F.size("positions").alias("tf")
+    again = come_again(lengths, key) if "len" in postings.columns else None
+    if again is None:
+        return postings.select("term", key, tf).join(lengths, key)
+    joined = postings.where(again).select("term", key, tf).join(lengths.where(again), key)
+    return postings.where(~again).select("term", key, tf, "len").unionByName(joined.select("term", key, "tf", "len"))
+
+
 def block_rows(postings: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
-    """Rows of ROWS from postings (term, key, positions) and lengths (key, len); a row has at most SHARD postings."""
-    each = postings.select("term", key, F.size("positions").alias("tf")).join(lengths, key)
-    entry = F.struct(_place(key).alias("place"), F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
-    grouped = each.groupBy("term", _shard(key).alias("shard")).agg(F.array_sort(F.collect_list(entry)).alias("found"))
-    return grouped.mapInArrow(_packed, ROWS)
+    """Rows of ROWS from postings (term, key, positions), with len or not, and lengths (key, len); a row has at most SHARD postings.
+
+    Postings are dealt by term and shard and put in order once, by tasks of about the same size
+    however many there are; a row is packed when its last posting has been read.
+    """
+    each = _sized(postings, lengths, key)
+    order = ("term", "shard", "place", "tf", "len")
+    entries = each.select("term", _shard(key).alias("shard"), _place(key).alias("place"), F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
+    dealt = entries.repartition(parts(postings.count()), "term", "shard").sortWithinPartitions(*order)
+    return dealt.mapInArrow(lambda batches: _packed(_grouped(batches)), ROWS)
 
 
 def totals(lengths: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ WORDS_AT_ONCE = 1 << 20
 
 
 def _lists(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(term, key, positions) of (key, words): words are numbers in arrays, not Python's strings."""
+    """(term, key, positions, len) of (key, words): words are numbers in arrays, not Python's strings."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,15 +49,18 @@ def _lists(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 first = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
                 positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
                 one = pa.array(order[first])
-                yield pa.RecordBatch.from_arrays([words.dictionary.take(words.indices.take(one)), some.column(0).take(pa.array(chunk[order[first]])), positions], ["term", key, "positions"])
+                of_chunk = chunk[order[first]]
+                columns = [words.dictionary.take(words.indices.take(one)), some.column(0).take(pa.array(of_chunk)), positions, pa.array(n[of_chunk], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["term", key, "positions", "len"])
 
     return of
 
 
-def posting_lists(chunks: DataFrame, key: str, text: str, stem: bool = True, fold: bool = True) -> DataFrame:
-    """(term, key, positions) of chunks; no shuffle, as a chunk's words are together."""
+def posting_lists(chunks: DataFrame, key: str, text: str, stem: bool = True, fold: bool = True, sized: bool = False) -> DataFrame:
+    """(term, key, positions) of chunks; no shuffle, as a chunk's words are together. ``sized`` adds len, the words of the chunk."""
     kind = chunks.schema[key].dataType.simpleString()
-    return chunks.select(key, terms(F.col(text), stem, fold).alias("words")).mapInArrow(_lists(key), f"term string, {key} {kind}, positions array<int>")
+    lists = chunks.select(key, terms(F.col(text), stem, fold).alias("words")).mapInArrow(_lists(key), f"term string, {key} {kind}, positions array<int>, len int")
+    return lists if sized else lists.drop("len")
 
 
 def lengths(chunks: DataFrame, key: str, text: str, fold: bool = True) -> DataFrame:
@@ -69,6 +72,8 @@ def lengths(chunks: DataFrame, key: str, text: str, fold: bool = True) -> DataFr
 class Index:
     """Postings (term, key, positions) and lengths (key, len) of chunks; keys without a length are gone.
 
+    Postings that are not read from a table have the len of their chunk, too.
+
     ``blocks``, ``totals`` and ``gone`` are those of ``blockmax``: rows of postings in blocks,
     (n, words) to be summed, and keys whose rows count no more.
     """
@@ -85,18 +90,18 @@ class Index:
     @classmethod
     def of(cls, chunks: DataFrame, key: str, text: str = "content", stem: bool = True, fold: bool = True) -> Index:
         """An index that is computed when it is read."""
-        return cls(posting_lists(chunks, key, text, stem, fold), lengths(chunks, key, text, fold), key, stem, fold)
+        return cls(posting_lists(chunks, key, text, stem, fold, True), lengths(chunks, key, text, fold), key, stem, fold)
 
     def save(self, path: str) -> None:
         """Writes the index; postings are ordered by term, and those of a frequent term lie in several files."""
         spark = self.postings.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.lengths.write.parquet(f"{path}/lengths")
         sizes = spark.read.parquet(f"{path}/lengths")
         with scratch(spark, 0):
             # ranges are sampled before rows are dealt, so what goes into them is computed and written first
             lists = written(self.postings, "postings")
-            ordered = lists.repartitionByRange(parts, "term", self.key).sortWithinPartitions("term", self.key)
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blockmax.parts(lists.count()))
+            ordered = lists.drop("len").repartitionByRange(parts, "term", self.key).sortWithinPartitions("term", self.key)
             ordered.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
             rows = written(blockmax.block_rows(lists, sizes, self.key), "blocks")
             rows = rows.repartitionByRange(parts, "term", "shard").sortWithinPartitions("term", "shard")

@@ -141,3 +141,30 @@ def test_rows_packed_together():
             assert row["n"] == len(found)
             for name, values in zip(("places", "tfs", "lens", "ends", "edge_tf", "edge_len", "edges"), want, strict=True):
                 assert blockmax._ints(row[name]).tolist() == values.tolist()
+
+
+def test_rows_are_packed_as_their_postings_come_in_order(spark):
+    """No list of postings is collected; rows that begin in one Arrow batch and end in a later one are whole, null and repeated keys count as ever."""
+    rng = random.Random(6)
+    words = ["every", *(f"w{i}" for i in range(30))]
+    keys = [*range(120), *range(65_530, 65_600), 7, 7, None, 200_000]
+    rows = [(k, w, list(range(rng.randrange(1, 4)))) for k in keys for w in words if w == "every" or rng.random() < 0.2]
+    postings = spark.createDataFrame(rows, "chunk_id long, term string, positions array<int>")
+    sizes = [(k, rng.randrange(1, 50)) for k in keys if k != 200_000]
+    lengths = spark.createDataFrame(sizes, "chunk_id long, len int")
+    want = {}
+    for k, w, at in rows:
+        for _, n in (x for x in sizes if k is not None and x[0] == k):
+            want.setdefault((w, k >> 16), []).append((k & 65_535, len(at), n))
+    packed = lambda rows: {(r.term, r.shard): list(zip(*(blockmax._ints(r[c]).tolist() for c in ("places", "tfs", "lens")), strict=True)) for r in rows.collect()}
+    # with the len of their chunk postings are not joined, but for keys of several lengths
+    own = spark.createDataFrame([(k, w, at, dict(sizes)[k]) for k, w, at in rows if k != 200_000], "chunk_id long, term string, positions array<int>, len int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = blockmax.block_rows(postings, lengths, "chunk_id")
+        got, got_own = packed(found), packed(blockmax.block_rows(own, lengths, "chunk_id"))
+        empty = blockmax.block_rows(postings.where("false"), lengths, "chunk_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == got_own == {at: sorted(x) for at, x in want.items()} and not empty
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
