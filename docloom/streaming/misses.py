@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ def hourly_stream(events: DataFrame, at: str = "detected_at", late: str = "10 mi
     """The hourly limit as a stream: the state of a key is the time it was last kept, and ends an hour after.
 
     ``events`` is a stream with query_hash, error_type, source_type_filter (null as empty) and ``at``.
+    Spark turns every column of every key's rows into a pandas series, also when a state ends,
+    so the three go to Python as one.
     """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,11 +67,13 @@ def hourly_stream(events: DataFrame, at: str = "detected_at", late: str = "10 mi
         if last is not None:
             state.update((last,))
             state.setTimeoutTimestamp(max(last // 1_000_000 + HOUR * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, pd.Timestamp(t, unit="ns", tz="UTC").tz_localize(None)) for t in kept], columns=[*KEYS, at])
+        if kept:
+            yield pd.DataFrame({"key": key[0], at: np.array(kept, "datetime64[ns]")})
 
-    named = events.withColumn("source_type_filter", F.coalesce("source_type_filter", F.lit(""))).select(*KEYS, F.col(at).cast("timestamp").alias(at))
-    out = f"query_hash string, error_type string, source_type_filter string, {at} timestamp"
-    return named.withWatermark(at, late).groupBy(*KEYS).applyInPandasWithState(fold, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    filled = events.withColumn("source_type_filter", F.coalesce("source_type_filter", F.lit("")))
+    named = filled.select(F.to_json(F.struct(*KEYS)).alias("key"), F.col(at).cast("timestamp").alias(at))
+    kept_times = named.withWatermark(at, late).groupBy("key").applyInPandasWithState(fold, f"key string, {at} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept_times.select(F.from_json("key", ", ".join(f"{c} string" for c in KEYS)).alias("key"), at).select("key.*", at)
 
 
 def counts_by_hour(events: DataFrame, at: str = "detected_at", late: str = "10 minutes") -> DataFrame:
